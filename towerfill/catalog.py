@@ -81,5 +81,223 @@ def q_gap_histogram(spark, sf):
     return _gaps.gap_histogram(_gaps.gap_runs(tower(spark, sf), TOWER, "co2_flux"), TOWER)
 
 
+
+
+# --------------------------------------------------------------------------- SQL mirrors
+import math as _math  # noqa: E402
+
+from towerfill.functions import calendar as _cal  # noqa: E402
+from towerfill.functions import constants as K  # noqa: E402
+from towerfill.functions import meteo as _met  # noqa: E402
+from towerfill.operators import windows as _win  # noqa: E402
+
+
+def fl(x: float) -> str:
+    """A DuckDB double literal with the exact value of the Python float."""
+    return "%.17e" % float(x)
+
+
+def sql_div(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"
+
+
+def sql_vpd(t="air_temperature", rh="relative_humidity") -> str:
+    svp = f"({fl(K.SVP_A)} * exp({sql_div(f'{fl(K.SVP_B)} * {t}', f'{fl(K.SVP_C)} + {t}')}))"
+    return f"({svp} - {svp} * {rh} / {fl(100.0)})"
+
+
+def sql_vp_slope(t="air_temperature") -> str:
+    e = f"exp({sql_div(f'{fl(17.27)} * {t}', f'{t} + {fl(237.3)}')})"
+    return f"(4098 * ({fl(0.6108)} * {e}) / pow({t} + {fl(237.3)}, 2))"
+
+
+def sql_inv_ra(u="wind_speed", height=2.0) -> str:
+    return f"({fl(K.VON_KARMAN ** 2)} * {u} / {fl(_math.log(height / K.ROUGHNESS) ** 2)})"
+
+
+def sql_pet(t="air_temperature", rh="relative_humidity", u="wind_speed",
+            rad="downwelling_shortwave_flux_total") -> str:
+    d, ira = sql_vp_slope(t), sql_inv_ra(u)
+    num = f"({d} * ({rad} * {fl(K.W_TO_MJ_DAY)}) + {fl(K.RHO_AIR * K.CP_AIR)} * {sql_vpd(t, rh)} * {ira})"
+    den = f"({d} + {fl(K.GAMMA_PSY)} * (1 + {K.SURFACE_RESISTANCE} * {ira}))"
+    return f"({sql_div(num, den)} / {fl(K.LAMBDA_V)} * 1000 * 86400)"
+
+
+def sql_diff_ratio(d="downwelling_shortwave_flux_diffuse", t="downwelling_shortwave_flux_total") -> str:
+    return f"(CASE WHEN {t} > 0 THEN {sql_div(d, t)} END)"
+
+
+def sql_stab_bin(x="obukhov_length") -> str:
+    parts = [f"WHEN {x} IS NULL OR isnan({x}) OR {x} = '-inf'::DOUBLE THEN NULL"]
+    parts += [f"WHEN {x} <= {e} THEN {i}" for i, e in enumerate(K.STABILITY_EDGES)]
+    return "(CASE " + " ".join(parts) + f" ELSE {len(K.STABILITY_EDGES)} END)"
+
+
+def sql_pick(values: list, idx: str) -> str:
+    lits = ", ".join(f"'{v}'" if isinstance(v, str) else fl(v) for v in values)
+    return f"([{lits}])[({idx}) + 1]"
+
+
+def sql_wind_idx(d="wind_dir") -> str:
+    x = f"((({d}) % 360.0E0 + 360.0E0) % 360.0E0)"
+    return f"(CASE WHEN {d} IS NULL OR isnan({d}) THEN NULL WHEN {x} <= 22.5E0 THEN 0 ELSE CAST(ceil({x} / 22.5E0) AS INTEGER) - 1 END)"
+
+
+def sql_time_cols(ts="datetime") -> dict[str, str]:
+    c = {
+        "hour": f"hour({ts})", "day": f"day({ts})", "month": f"month({ts})", "year": f"year({ts})",
+        "dayofyear": f"dayofyear({ts})", "weekday": f"(isodow({ts}) - 1)", "quarter": f"quarter({ts})",
+        "weekofyear": f"weekofyear({ts})",
+    }
+    c["is_weekend"] = f"CAST((isodow({ts}) - 1) >= 5 AS INTEGER)"
+    for name, period in _cal.CYCLE_PERIODS:
+        per = fl(period) if isinstance(period, float) else str(period)
+        c[f"{name}_sin"] = f"sin({fl(_cal.TWO_PI)} * {c[name]} / {per})"
+        c[f"{name}_cos"] = f"cos({fl(_cal.TWO_PI)} * {c[name]} / {per})"
+    c["hour_decimal"] = f"(hour({ts}) + minute({ts}) / 60.0E0)"
+    c["season"] = f"CAST(floor((month({ts}) % 12) / 3) AS INTEGER)"
+    for i in range(4):
+        c[f"season_{i}"] = f"CAST(floor((month({ts}) % 12) / 3) = {i} AS INTEGER)"
+    h = f"hour({ts})"
+    c["is_morning"] = f"CAST({h} >= 6 AND {h} < 12 AS INTEGER)"
+    c["is_afternoon"] = f"CAST({h} >= 12 AND {h} < 18 AS INTEGER)"
+    c["is_evening"] = f"CAST({h} >= 18 AND {h} < 22 AS INTEGER)"
+    c["is_night"] = f"CAST({h} >= 22 OR {h} < 6 AS INTEGER)"
+    return c
+
+
+def sql_select(cols: dict[str, str], dbl: set[str] = frozenset()) -> str:
+    """Render ``expr AS name``, rounding doubles and casting the rest of numbers to BIGINT."""
+    out = []
+    for name, e in cols.items():
+        if name in dbl:
+            out.append(f"round({e}, 6) AS {name}")
+        else:
+            out.append(f"CAST({e} AS BIGINT) AS {name}")
+    return ", ".join(out)
+
+
+_TC = sql_time_cols()
+_BASE = ["hour", "day", "month", "year", "dayofyear", "weekday", "quarter", "weekofyear", "is_weekend"]
+_MORE = ["hour_decimal", "season", "season_0", "season_1", "season_2", "season_3",
+         "is_morning", "is_afternoon", "is_evening", "is_night"]
+_CYC = [f"{n}_{f}" for n, _ in _cal.CYCLE_PERIODS for f in ("sin", "cos")]
+
+
+@register("time_features", W + " SELECT event_id, series_id, datetime, "
+          + sql_select({k: _TC[k] for k in _BASE + _MORE}, {"hour_decimal"}) + " FROM tower")
+def q_time_features(spark, sf):
+    """Calendar parts, weekend flag, decimal hour, season and its dummies, day parts."""
+    df = _cal.add_time_features(tower(spark, sf).select("event_id", "series_id", "datetime"))
+    return df.drop(*_CYC)
+
+
+@register("cyclical_features", W + " SELECT event_id, " + sql_select({k: _TC[k] for k in _CYC}, set(_CYC))
+          + " FROM tower")
+def q_cyclical(spark, sf):
+    """The twelve sin/cos columns."""
+    df = _cal.add_time_features(tower(spark, sf).select("event_id", "datetime"))
+    return df.select("event_id", *_CYC)
+
+
+@register("month_lookup", W + " SELECT event_id, CAST(month(datetime) AS BIGINT) AS month, "
+          + sql_pick(K.MONTH_NAMES, "month(datetime) - 1") + " AS month_name, CAST("
+          + "([" + ", ".join(map(str, K.DAYS_IN_MONTH)) + "])[month(datetime)] AS BIGINT) AS days_in_month FROM tower")
+def q_month_lookup(spark, sf):
+    """Month name and days in month (February = 28)."""
+    m = F.month("datetime")
+    return tower(spark, sf).select("event_id", m.alias("month"), _cal.month_name(m).alias("month_name"),
+                                   _cal.days_in_month(m).alias("days_in_month"))
+
+
+_OVER = "OVER (PARTITION BY series_id ORDER BY datetime, event_id"
+
+
+def _sql_shift(fn: str) -> str:
+    cols = {f"co2_flux_lag_{k}": f"{fn}(co2_flux, {k}) {_OVER})" for k in K.SHIFT_PERIODS}
+    return W + " SELECT event_id, series_id, datetime, " + sql_select(cols, set(cols)) + " FROM tower"
+
+
+def _sql_roll(stats: list[str]) -> str:
+    fns = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    cols = {f"co2_flux_rolling_{n}_{s}": f"{fns[s]}(co2_flux) {_OVER} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+            for n in K.ROLLING_WINDOWS for s in stats}
+    return W + " SELECT event_id, series_id, datetime, " + sql_select(cols, set(cols)) + " FROM tower"
+
+
+def _tower_keys(spark, sf):
+    return tower(spark, sf).select("event_id", "series_id", "datetime", "co2_flux")
+
+
+@register("shift_backward", _sql_shift("lead"))
+def q_shift_backward(spark, sf):
+    """W1 default direction: ``co2_flux_lag_k`` holds the value k rows later (reference semantics)."""
+    return _win.add_shift_features(_tower_keys(spark, sf), TOWER, ["co2_flux"]).drop("co2_flux")
+
+
+@register("shift_forward", _sql_shift("lag"))
+def q_shift_forward(spark, sf):
+    """W1 forward direction: the value k rows earlier."""
+    return _win.add_shift_features(_tower_keys(spark, sf), TOWER, ["co2_flux"], direction="forward").drop("co2_flux")
+
+
+@register("rolling_mean", _sql_roll(["mean"]))
+def q_rolling_mean(spark, sf):
+    """Trailing 3/6/12-row mean, at least one value."""
+    return _win.add_rolling_features(_tower_keys(spark, sf), TOWER, ["co2_flux"], stats=["mean"]).drop("co2_flux")
+
+
+@register("rolling_std", _sql_roll(["std"]))
+def q_rolling_std(spark, sf):
+    """Trailing sample std; one value gives null."""
+    return _win.add_rolling_features(_tower_keys(spark, sf), TOWER, ["co2_flux"], stats=["std"]).drop("co2_flux")
+
+
+@register("rolling_minmax", _sql_roll(["min", "max"]))
+def q_rolling_minmax(spark, sf):
+    """Trailing min and max."""
+    return _win.add_rolling_features(_tower_keys(spark, sf), TOWER, ["co2_flux"],
+                                     stats=["min", "max"]).drop("co2_flux")
+
+
+@register("vpd", W + f" SELECT event_id, round({sql_vpd()}, 6) AS vpd FROM tower")
+def q_vpd(spark, sf):
+    """Vapour pressure deficit."""
+    return _met.add_vpd(tower(spark, sf)).select("event_id", "vpd")
+
+
+@register("potential_et", W + f" SELECT event_id, round({sql_vp_slope()}, 6) AS vp_slope, "
+          f"round({sql_pet()}, 6) AS potential_et FROM tower")
+def q_potential_et(spark, sf):
+    """Slope of the vapour pressure curve and potential ET (shortwave total as radiation)."""
+    t = F.col("air_temperature")
+    return tower(spark, sf).select(
+        "event_id", _met.vp_slope(t).alias("vp_slope"),
+        _met.potential_et(t, F.col("relative_humidity"), F.col("wind_speed"),
+                          F.col("downwelling_shortwave_flux_total")).alias("potential_et"))
+
+
+@register("diff_ratio", W + f" SELECT event_id, round({sql_diff_ratio()}, 6) AS diff_ratio FROM tower")
+def q_diff_ratio(spark, sf):
+    """C17: diffuse / total shortwave where total > 0."""
+    return _met.add_met_features(tower(spark, sf)).select("event_id", "diff_ratio")
+
+
+@register("stability", W + f" SELECT event_id, {sql_pick(K.STABILITY_CLASSES, sql_stab_bin())} AS stability_class, "
+          f"round({sql_pick([float(v) for v in K.STABILITY_INDEX], sql_stab_bin())}, 6) AS stability_index FROM tower")
+def q_stability(spark, sf):
+    """Obukhov-length stability class and index (right-closed bins)."""
+    return _met.add_met_features(tower(spark, sf)).select("event_id", "stability_class", "stability_index")
+
+
+@register("wind_sector", W + f" SELECT event_id, {sql_pick(K.WIND_SECTORS, sql_wind_idx())} AS wind_dir_cat, "
+          + ", ".join(f"CAST(coalesce({sql_pick(K.WIND_SECTORS, sql_wind_idx())} = '{s}', false) AS BIGINT) AS wind_dir_{s}"
+                      for s in K.WIND_SECTORS) + " FROM tower")
+def q_wind_sector(spark, sf):
+    """16-sector wind direction and its sixteen dummies."""
+    return _met.add_met_features(tower(spark, sf)).select(
+        "event_id", "wind_dir_cat", *[f"wind_dir_{s}" for s in K.WIND_SECTORS])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gap_summary"](spark, sf_dir)
