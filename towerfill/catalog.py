@@ -299,5 +299,186 @@ def q_wind_sector(spark, sf):
         "event_id", "wind_dir_cat", *[f"wind_dir_{s}" for s in K.WIND_SECTORS])
 
 
+# --------------------------------------------------------------------------- profile & quality
+from towerfill.fixtures import TOWER_VARIABLES  # noqa: E402
+from towerfill.operators import profile as _prof  # noqa: E402
+from towerfill.operators import quality as _qual  # noqa: E402
+
+_INT_VARS = {"k", "co2_flux_qc"}
+_OUT_COLS = [c for c in TOWER_VARIABLES if c != "co2_flux_qc"]  # numeric, not keys, not flags (P4)
+_ALL_COLS = ["event_id", "series_id", "datetime", *TOWER_VARIABLES]
+
+
+def _render_tower_cols(exprs: dict[str, str]) -> str:
+    out = []
+    for c in _ALL_COLS:
+        e = exprs.get(c, c)
+        if c in ("series_id", "datetime"):
+            out.append(f"{e} AS {c}")
+        elif c == "event_id" or c in _INT_VARS:
+            out.append(f"CAST({e} AS BIGINT) AS {c}")
+        else:
+            out.append(f"round({e}, 6) AS {c}")
+    return ", ".join(out)
+
+
+@register("table_shape", W + f" SELECT series_id, count(*) AS n_rows, CAST({len(_ALL_COLS)} AS BIGINT) AS n_cols "
+          "FROM tower GROUP BY series_id")
+def q_table_shape(spark, sf):
+    """G1: rows and columns per series."""
+    return _prof.table_shape(tower(spark, sf), ["series_id"])
+
+
+@register("missing_summary", W + ", m AS (" + " UNION ALL ".join(
+    f"SELECT series_id, '{c}' AS variable, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(*) AS n "
+    f"FROM tower GROUP BY series_id" for c in TOWER_VARIABLES)
+    + ") SELECT series_id, variable, missing, round_even(CAST(missing AS DOUBLE) / n * 100, 2) AS pct FROM m")
+def q_missing_summary(spark, sf):
+    """Null count and percent per variable and series, worst first."""
+    return _prof.missing_summary(tower(spark, sf), TOWER_VARIABLES, ["series_id"])
+
+
+@register("missing_matrix", W + " SELECT series_id, variable, bucket, round(avg(isn), 6) AS missing_frac FROM ("
+          + " UNION ALL ".join(f"SELECT series_id, '{c}' AS variable, date_trunc('day', datetime) AS bucket, "
+                               f"CAST({c} IS NULL AS INTEGER) AS isn FROM tower" for c in TOWER_VARIABLES)
+          + ") GROUP BY series_id, variable, bucket")
+def q_missing_matrix(spark, sf):
+    """Share of nulls per variable and day (heatmap data)."""
+    return _prof.missing_matrix(tower(spark, sf), TOWER_VARIABLES, "datetime", "day", ["series_id"])
+
+
+@register("time_series", W + " SELECT series_id, datetime, event_id, round(co2_flux, 6) AS co2_flux FROM tower")
+def q_time_series(spark, sf):
+    """Datetime and variable in time order (whole series)."""
+    return tower(spark, sf).select("series_id", "datetime", "event_id", "co2_flux").orderBy(*TOWER.keys)
+
+
+@register("preview_head", W + " SELECT series_id, datetime, event_id, round(co2_flux, 6) AS co2_flux FROM tower "
+          "QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY datetime, event_id) <= 50")
+def q_preview_head(spark, sf):
+    """L2: first 50 rows of each series (the preview is a top-k by design)."""
+    t = tower(spark, sf).select("series_id", "datetime", "event_id", "co2_flux")
+    return _prof.head(t, TOWER.order, 50, ["series_id"])
+
+
+@register("diurnal_profile", W + " SELECT series_id, CAST(hour(datetime) AS BIGINT) AS hour, "
+          "round(avg(co2_flux), 6) AS co2_flux_mean FROM tower GROUP BY series_id, hour(datetime)")
+def q_diurnal(spark, sf):
+    """Mean by hour of day."""
+    return _prof.diurnal(tower(spark, sf), "co2_flux", "datetime", ["series_id"])
+
+
+_BOX = ", ".join(f"round(quantile_cont(co2_flux, {p}), 6) AS {n}" for p, n in zip(_prof.BOX_PROBS, _prof.BOX_NAMES))
+
+
+@register("monthly_box", W + ", big AS (SELECT series_id FROM tower GROUP BY series_id HAVING count(*) > 28) "
+          f"SELECT series_id, CAST(month(datetime) AS BIGINT) AS month, {_BOX}, count(co2_flux) AS count "
+          "FROM tower WHERE series_id IN (SELECT series_id FROM big) AND co2_flux IS NOT NULL "
+          "GROUP BY series_id, month(datetime)")
+def q_monthly_box(spark, sf):
+    """Exact box statistics of co2_flux per month (series with more than 28 rows)."""
+    return _prof.monthly_box(tower(spark, sf), "co2_flux", "datetime", ["series_id"])
+
+
+@register("value_box", W + f" SELECT series_id, {_BOX}, count(co2_flux) AS count FROM tower "
+          "WHERE co2_flux IS NOT NULL GROUP BY series_id")
+def q_value_box(spark, sf):
+    """G5 box marginal: exact min, quartiles, max of co2_flux per series."""
+    return _prof.box_stats(tower(spark, sf), "co2_flux", ["series_id"])
+
+
+def _sql_hist(col: str, src: str, bins: int = 30, by: str = "series_id") -> str:
+    w = "((hi - lo) / " + str(bins) + ")"
+    return (f", hx AS (SELECT {by}, {col} AS v FROM {src} WHERE {col} IS NOT NULL), "
+            f"rg AS (SELECT {by}, min(v) AS lo, max(v) AS hi FROM hx GROUP BY {by}), "
+            f"b AS (SELECT {by}, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor({sql_div('v - lo', w)}), {bins - 1}) END "
+            f"AS BIGINT) AS bin FROM hx JOIN rg USING ({by})) "
+            f"SELECT {by}, bin, round(lo + bin * {w}, 6) AS lower, "
+            f"round(CASE WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * {w} END, 6) AS upper, count(*) AS count "
+            f"FROM b GROUP BY {by}, bin, lo, hi")
+
+
+@register("value_histogram", W + _sql_hist("co2_flux", "tower"))
+def q_value_histogram(spark, sf):
+    """30 equal-width bins of co2_flux per series."""
+    return _prof.value_histogram(tower(spark, sf), "co2_flux", 30, ["series_id"])
+
+
+@register("qc_range", W + " SELECT series_id, 'co2_flux_qc' AS flag, CAST(min(co2_flux_qc) AS BIGINT) AS qc_min, "
+          "CAST(max(co2_flux_qc) AS BIGINT) AS qc_max, least(CAST(max(co2_flux_qc) AS BIGINT), 1) AS default_limit "
+          "FROM tower GROUP BY series_id")
+def q_qc_range(spark, sf):
+    """Flag range and default limit min(max, 1)."""
+    return _prof.qc_range(tower(spark, sf), ["co2_flux_qc"], ["series_id"])
+
+
+def _qc_limits(df):
+    """Default limits from G8 over the whole table (one small row per flag column)."""
+    pairs = _qual.default_qc_pairs(df)
+    rng = {r.flag: r.default_limit for r in _prof.qc_range(df, sorted(set(pairs.values()))).collect()}
+    return {flux: (flag, int(rng[flag])) for flux, flag in pairs.items()}
+
+
+_QC_SQL = ", qc AS (SELECT * REPLACE (CASE WHEN co2_flux_qc > (SELECT least(max(co2_flux_qc), 1) FROM tower) " \
+          "THEN NULL ELSE co2_flux END AS co2_flux) FROM tower)"
+
+
+@register("qc_filter", W + _QC_SQL + " SELECT event_id, round(co2_flux, 6) AS co2_flux FROM qc")
+def q_qc_filter(spark, sf):
+    """co2_flux nulled where co2_flux_qc exceeds the default limit; null flags keep the value."""
+    t = tower(spark, sf)
+    return _qual.qc_filter(t, _qc_limits(t)).select("event_id", "co2_flux")
+
+
+def _sql_outlier(method: str, src: str = "tower", param: float = 1.5) -> str:
+    th, cond = [], {}
+    if method == "iqr":
+        for c in _OUT_COLS:
+            th.append(f"quantile_cont({c}, 0.25) AS {c}_a, quantile_cont({c}, 0.75) AS {c}_b")
+            cond[c] = f"({c} < {c}_a - {fl(param)} * ({c}_b - {c}_a) OR {c} > {c}_b + {fl(param)} * ({c}_b - {c}_a))"
+        thsql = f", th AS (SELECT series_id, {', '.join(th)} FROM {src} GROUP BY series_id)"
+    elif method == "z":
+        for c in _OUT_COLS:
+            th.append(f"avg({c}) AS {c}_a, stddev_samp({c}) AS {c}_b")
+            cond[c] = f"(abs({c} - {c}_a) > {fl(param)} * {c}_b)"
+        thsql = f", th AS (SELECT series_id, {', '.join(th)} FROM {src} GROUP BY series_id)"
+    else:
+        med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_a" for c in _OUT_COLS)
+        mad = ", ".join(f"quantile_cont(abs(s.{c} - m.{c}_a), 0.5) * 1.4826E0 AS {c}_b" for c in _OUT_COLS)
+        keep = ", ".join(f"m.{c}_a" for c in _OUT_COLS)
+        for c in _OUT_COLS:
+            cond[c] = f"(abs({c} - {c}_a) > {fl(param)} * {c}_b)"
+        thsql = (f", med AS (SELECT series_id, {med} FROM {src} GROUP BY series_id), "
+                 f"th AS (SELECT s.series_id, {keep}, {mad} FROM {src} s JOIN med m USING (series_id) "
+                 f"GROUP BY s.series_id, {keep})")
+    exprs = {c: f"CASE WHEN coalesce({cond[c]}, false) THEN NULL ELSE {c} END" for c in _OUT_COLS}
+    return thsql + f" SELECT {_render_tower_cols(exprs)} FROM {src} JOIN th USING (series_id)"
+
+
+@register("outlier_iqr", W + _sql_outlier("iqr", param=1.5))
+def q_outlier_iqr(spark, sf):
+    """O1: IQR rule (k = 1.5) per series on every numeric non-flag variable."""
+    return _qual.outlier_iqr(tower(spark, sf), _OUT_COLS, 1.5, ["series_id"])
+
+
+@register("outlier_zscore", W + _sql_outlier("z", param=3.0))
+def q_outlier_zscore(spark, sf):
+    """O2: z-score rule (z = 3, sample std) per series."""
+    return _qual.outlier_zscore(tower(spark, sf), _OUT_COLS, 3.0, ["series_id"])
+
+
+@register("outlier_modz", W + _sql_outlier("modz", param=3.5))
+def q_outlier_modz(spark, sf):
+    """O3: modified z-score rule (3.5, MAD of non-null values) per series."""
+    return _qual.outlier_modz(tower(spark, sf), _OUT_COLS, 3.5, ["series_id"])
+
+
+@register("preprocess_chain", W + _QC_SQL + _sql_outlier("iqr", src="qc", param=1.5))
+def q_preprocess_chain(spark, sf):
+    """QC filter first, then the IQR rule."""
+    t = tower(spark, sf)
+    return _qual.preprocess(t, _qc_limits(t), "IQR", 1.5, _OUT_COLS, ["series_id"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gap_summary"](spark, sf_dir)

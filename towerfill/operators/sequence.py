@@ -58,7 +58,20 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     ren = {k: f"_r_{k}" for k in keys}
     r = right.withColumnsRenamed(ren)
     cond = [left[k].eqNullSafe(r[ren[k]]) for k in keys]
-    return left.join(r, cond, how).drop(*ren.values())
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti", "semi", "anti") else out.drop(*ren.values())
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the columns of a per-group table (one row per ``keys``) to every row.
+
+    With no keys the table has exactly one row, a proven size, and is broadcast.
+    With keys it has one row per group; AQE broadcasts it when it is small at run
+    time and otherwise splits a hot group's partition (skew join).
+    """
+    if keys:
+        return join_on_keys(df, small, list(keys))
+    return df.withColumn("_one", F.lit(0)).join(F.broadcast(small.withColumn("_one", F.lit(0))), "_one").drop("_one")
 
 
 def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = ()) -> DataFrame:
