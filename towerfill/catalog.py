@@ -480,5 +480,124 @@ def q_preprocess_chain(spark, sf):
     return _qual.preprocess(t, _qc_limits(t), "IQR", 1.5, _OUT_COLS, ["series_id"])
 
 
+# --------------------------------------------------------------------------- flux analytics
+from towerfill.operators import flux as _flux  # noqa: E402
+
+_RN = ("((downwelling_shortwave_flux - upwelling_shortwave_flux) + "
+       "(downwelling_longwave_flux - upwelling_longwave_flux))")
+_EB_SQL = (f", eb AS (SELECT event_id, series_id, datetime, {_RN} AS Rnet, sensible_heat_flux, latent_heat_flux, "
+           f"sensible_heat_flux + latent_heat_flux AS energy_balance, "
+           f"{_RN} - (sensible_heat_flux + latent_heat_flux) AS residual FROM tower)")
+
+
+def _eb(spark, sf):
+    return _flux.energy_balance(tower(spark, sf), keep=["event_id", "series_id"])
+
+
+@register("energy_balance", W + _EB_SQL + " SELECT event_id, series_id, datetime, round(Rnet, 6) AS Rnet, "
+          "round(sensible_heat_flux, 6) AS sensible_heat_flux, round(latent_heat_flux, 6) AS latent_heat_flux, "
+          "round(energy_balance, 6) AS energy_balance, round(residual, 6) AS residual FROM eb")
+def q_energy_balance(spark, sf):
+    """Net radiation, H, LE, H+LE and residual per row."""
+    return _eb(spark, sf)
+
+
+@register("ebc_regression", W + _EB_SQL + """, r AS (SELECT series_id, regr_count(energy_balance, Rnet) AS n_pairs,
+  regr_slope(energy_balance, Rnet) AS sl, regr_intercept(energy_balance, Rnet) AS ic, regr_r2(energy_balance, Rnet) AS r2,
+  min(CASE WHEN Rnet IS NOT NULL AND energy_balance IS NOT NULL THEN Rnet END) AS xmin,
+  max(CASE WHEN Rnet IS NOT NULL AND energy_balance IS NOT NULL THEN Rnet END) AS xmax,
+  min(CASE WHEN Rnet IS NOT NULL AND energy_balance IS NOT NULL THEN energy_balance END) AS ymin,
+  max(CASE WHEN Rnet IS NOT NULL AND energy_balance IS NOT NULL THEN energy_balance END) AS ymax
+  FROM eb GROUP BY series_id)
+SELECT series_id, CAST(n_pairs AS BIGINT) AS n_pairs,
+  round(CASE WHEN n_pairs > 10 THEN sl END, 6) AS slope, round(CASE WHEN n_pairs > 10 THEN ic END, 6) AS intercept,
+  round(CASE WHEN n_pairs > 10 THEN r2 END, 6) AS r2, round(CASE WHEN n_pairs > 10 THEN xmin END, 6) AS x_min,
+  round(CASE WHEN n_pairs > 10 THEN xmax END, 6) AS x_max,
+  round(CASE WHEN n_pairs > 10 THEN sl * xmin + ic END, 6) AS line_y_min,
+  round(CASE WHEN n_pairs > 10 THEN sl * xmax + ic END, 6) AS line_y_max,
+  round(CASE WHEN n_pairs > 10 THEN least(xmin, ymin) END, 6) AS one_to_one_min,
+  round(CASE WHEN n_pairs > 10 THEN greatest(xmax, ymax) END, 6) AS one_to_one_max FROM r""")
+def q_ebc_regression(spark, sf):
+    """Energy-balance closure regression per series (more than 10 pairs)."""
+    return _flux.closure_regression(_eb(spark, sf), ["series_id"])
+
+
+@register("ebc_ratio", W + _EB_SQL + f" SELECT series_id, round({sql_div('sum(energy_balance)', 'sum(Rnet)')}, 6) AS ebr, "
+          "round(avg(residual), 6) AS mean_residual FROM eb GROUP BY series_id")
+def q_ebc_ratio(spark, sf):
+    """Energy balance ratio and mean residual per series."""
+    return _flux.closure_ratio(_eb(spark, sf), ["series_id"])
+
+
+def _sql_diurnal(col: str, src: str) -> str:
+    return (f" SELECT series_id, CAST(hour(datetime) AS BIGINT) AS hour, round(avg({col}), 6) AS mean, "
+            f"round(stddev_samp({col}), 6) AS std, round(avg({col}) + stddev_samp({col}), 6) AS upper, "
+            f"round(avg({col}) - stddev_samp({col}), 6) AS lower FROM {src} GROUP BY series_id, hour(datetime)")
+
+
+def _sql_monthly(col: str, src: str) -> str:
+    return (f" SELECT series_id, CAST(month(datetime) AS BIGINT) AS month, round(avg({col}), 6) AS {col}, "
+            f"{sql_pick(K.MONTH_NAMES, 'month(datetime) - 1')} AS month_name FROM {src} GROUP BY series_id, month(datetime)")
+
+
+@register("carbon_diurnal", W + _sql_diurnal("co2_flux", "tower"))
+def q_carbon_diurnal(spark, sf):
+    """CO2 flux mean, std and band by hour."""
+    return _flux.diurnal_stats(tower(spark, sf), "co2_flux", by=["series_id"])
+
+
+@register("carbon_monthly", W + _sql_monthly("co2_flux", "tower"))
+def q_carbon_monthly(spark, sf):
+    """CO2 flux monthly mean with month name."""
+    return _flux.monthly_mean(tower(spark, sf), "co2_flux", by=["series_id"])
+
+
+_BUDGET_SQL = (", bud AS (SELECT series_id, month(datetime) AS month, avg(co2_flux) AS mean, count(co2_flux) AS count, "
+               f"avg(co2_flux) * {fl(K.CARBON_FACTOR)} AS d, "
+               f"([{', '.join(map(str, K.DAYS_IN_MONTH))}])[month(datetime)] AS days FROM tower GROUP BY series_id, month(datetime))")
+
+
+@register("carbon_budget", W + _BUDGET_SQL + " SELECT series_id, CAST(month AS BIGINT) AS month, round(mean, 6) AS mean, "
+          "count, round(d, 6) AS gC_m2_day, CAST(days AS BIGINT) AS days, round(d * days, 6) AS gC_m2_month, "
+          f"{sql_pick(K.MONTH_NAMES, 'month - 1')} AS month_name FROM bud")
+def q_carbon_budget(spark, sf):
+    """Monthly carbon budget per series."""
+    return _flux.carbon_budget(tower(spark, sf), by=["series_id"])
+
+
+@register("carbon_annual", W + _BUDGET_SQL + " SELECT series_id, round(sum(d * days), 6) AS annual_gC_m2, "
+          "CASE WHEN sum(d * days) < 0 THEN 'sink' ELSE 'source' END AS status FROM bud GROUP BY series_id")
+def q_carbon_annual(spark, sf):
+    """Annual budget and sink / source status per series."""
+    return _flux.carbon_annual(_flux.carbon_budget(tower(spark, sf), by=["series_id"]), ["series_id"])
+
+
+_BR_SQL = (", br AS (SELECT event_id, series_id, datetime, "
+           f"{sql_div('sensible_heat_flux', 'latent_heat_flux')} AS bowen_ratio FROM tower), "
+           "brf AS (SELECT * FROM br WHERE bowen_ratio > -10 AND bowen_ratio < 10)")
+
+
+def _br(spark, sf):
+    return _flux.bowen_series(tower(spark, sf), keep=["event_id", "series_id"])
+
+
+@register("bowen_series", W + _BR_SQL + " SELECT event_id, series_id, datetime, round(bowen_ratio, 6) AS bowen_ratio FROM br")
+def q_bowen_series(spark, sf):
+    """Bowen ratio H / LE per row."""
+    return _br(spark, sf)
+
+
+@register("bowen_diurnal", W + _BR_SQL + _sql_diurnal("bowen_ratio", "brf"))
+def q_bowen_diurnal(spark, sf):
+    """Bowen ratio diurnal mean, std and band inside (-10, 10)."""
+    return _flux.diurnal_stats(_flux.bowen_filtered(_br(spark, sf)), "bowen_ratio", by=["series_id"])
+
+
+@register("bowen_monthly", W + _BR_SQL + _sql_monthly("bowen_ratio", "brf"))
+def q_bowen_monthly(spark, sf):
+    """Bowen ratio monthly mean inside (-10, 10)."""
+    return _flux.monthly_mean(_flux.bowen_filtered(_br(spark, sf)), "bowen_ratio", by=["series_id"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gap_summary"](spark, sf_dir)
