@@ -599,5 +599,54 @@ def q_bowen_monthly(spark, sf):
     return _flux.monthly_mean(_flux.bowen_filtered(_br(spark, sf)), "bowen_ratio", by=["series_id"])
 
 
+# --------------------------------------------------------------------------- artificial gaps
+from towerfill.operators import masking as _mask  # noqa: E402
+
+_U = "((CAST(CAST('0x' || substr(md5(concat('42:', event_id)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5E0) / 4503599627370496E0)"
+
+
+def _sql_mask(weight: str | None) -> str:
+    """Oracle: rank valid rows by key per series and null the first floor(n * 0.2)."""
+    if weight is None:
+        key, extra = _U, ""
+    else:
+        a = f"abs({weight})"
+        extra = (f", ws AS (SELECT series_id, min({a}) AS lo, max({a}) AS hi FROM tower WHERE co2_flux IS NOT NULL "
+                 "GROUP BY series_id)")
+        w = f"(CASE WHEN hi = lo THEN 1.0E0 ELSE coalesce(({a} - lo) / (hi - lo) + 0.1E0, 0.1E0) END)"
+        key = f"(-ln({_U}) / {w})"
+    src = "tower JOIN ws USING (series_id)" if weight else "tower"
+    return (W + extra + f", v AS (SELECT event_id, series_id, co2_flux, {key} AS key FROM {src}), "
+            "r AS (SELECT event_id, row_number() OVER (PARTITION BY series_id ORDER BY key, event_id) AS rn, "
+            "count(*) OVER (PARTITION BY series_id) AS n FROM v WHERE co2_flux IS NOT NULL) "
+            "SELECT v.event_id, v.series_id, round(CASE WHEN r.rn <= floor(r.n * 0.2E0) THEN NULL ELSE v.co2_flux END, 6) "
+            "AS co2_flux, CAST(coalesce(r.rn <= floor(r.n * 0.2E0), false) AS BIGINT) AS masked_co2_flux "
+            "FROM v LEFT JOIN r USING (event_id)")
+
+
+def _masked(spark, sf, mech, dep=None):
+    t = tower(spark, sf).select("event_id", "series_id", "co2_flux", "air_temperature")
+    m = _mask.artificial_gaps(t, ["co2_flux"], 0.2, mech, dep, 42, row_key=["event_id"], by=["series_id"])
+    return m.select("event_id", "series_id", "co2_flux", "masked_co2_flux")
+
+
+@register("mask_mcar", _sql_mask(None))
+def q_mask_mcar(spark, sf):
+    """M1, M4: null exactly floor(0.2 * n_valid) random co2_flux cells per series (seed 42)."""
+    return _masked(spark, sf, "MCAR")
+
+
+@register("mask_mar", _sql_mask("air_temperature"))
+def q_mask_mar(spark, sf):
+    """M2: weighted by min-max scaled |air_temperature| + 0.1 (Efraimidis-Spirakis keys)."""
+    return _masked(spark, sf, "MAR", "air_temperature")
+
+
+@register("mask_mnar", _sql_mask("co2_flux"))
+def q_mask_mnar(spark, sf):
+    """M3: weighted by the target's own scaled |value| + 0.1."""
+    return _masked(spark, sf, "MNAR")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["gap_summary"](spark, sf_dir)

@@ -62,16 +62,18 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return out if how in ("left_semi", "left_anti", "semi", "anti") else out.drop(*ren.values())
 
 
-def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Add the columns of a per-group table (one row per ``keys``) to every row.
 
     With no keys the table has exactly one row, a proven size, and is broadcast.
     With keys it has one row per group; AQE broadcasts it when it is small at run
-    time and otherwise splits a hot group's partition (skew join).
+    time and otherwise splits a hot group's partition (skew join).  Rows whose
+    group has no row in ``small`` keep nulls (left join).
     """
     if keys:
-        return join_on_keys(df, small, list(keys))
-    return df.withColumn("_one", F.lit(0)).join(F.broadcast(small.withColumn("_one", F.lit(0))), "_one").drop("_one")
+        return join_on_keys(df, small, list(keys), how)
+    one = F.lit(0).alias("_one")
+    return df.select("*", one).join(F.broadcast(small.select("*", one)), "_one", how).drop("_one")
 
 
 def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = ()) -> DataFrame:
