@@ -648,5 +648,190 @@ def q_mask_mnar(spark, sf):
     return _masked(spark, sf, "MNAR")
 
 
+# --------------------------------------------------------------------------- features, routing, fill
+from towerfill.operators.encoding import apply_encoding, fit_encoding  # noqa: E402
+from towerfill.plans import evaluate as _eval  # noqa: E402
+from towerfill.plans import fill as _fill  # noqa: E402
+from towerfill.plans import modeling as _model  # noqa: E402
+from towerfill.plans.features import FeatureSpec, build_features, feature_lists  # noqa: E402
+
+_STAB_LABEL = sql_pick(K.STABILITY_CLASSES, sql_stab_bin())
+_WIND_LABEL = sql_pick(K.WIND_SECTORS, sql_wind_idx())
+_ENC_SQL = (f", enc_s AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS code FROM (SELECT DISTINCT "
+            f"coalesce({_STAB_LABEL}, 'nan') AS lab FROM tower UNION SELECT 'nan')), "
+            f"enc_w AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS code FROM (SELECT DISTINCT "
+            f"coalesce({_WIND_LABEL}, 'nan') AS lab FROM tower UNION SELECT 'nan'))")
+
+
+def _feature_sql_cols() -> dict[str, tuple[str, bool]]:
+    """Every added feature of the frame: name -> (DuckDB expression, is_double)."""
+    cols: dict[str, tuple[str, bool]] = {}
+    for k, e in _TC.items():
+        cols[k] = (e, k.endswith("_sin") or k.endswith("_cos") or k == "hour_decimal")
+    for k in K.SHIFT_PERIODS:
+        cols[f"co2_flux_lag_{k}"] = (f"lead(co2_flux, {k}) {_OVER})", True)
+    fns = {"mean": "avg", "std": "stddev_samp"}
+    for n in K.ROLLING_WINDOWS:
+        for st in K.ROLLING_STATS:
+            cols[f"co2_flux_rolling_{n}_{st}"] = (
+                f"{fns[st]}(co2_flux) {_OVER} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)", True)
+    cols["vpd"] = (sql_vpd(), True)
+    cols["potential_et"] = (sql_pet(), True)
+    cols["diff_ratio"] = (sql_diff_ratio(), True)
+    cols["stability_class"] = ("(SELECT code FROM enc_s WHERE lab = coalesce(" + _STAB_LABEL + ", 'nan'))", False)
+    cols["stability_index"] = (sql_pick([float(v) for v in K.STABILITY_INDEX], sql_stab_bin()), True)
+    cols["wind_dir_cat"] = ("(SELECT code FROM enc_w WHERE lab = coalesce(" + _WIND_LABEL + ", 'nan'))", False)
+    for sct in K.WIND_SECTORS:
+        cols[f"wind_dir_{sct}"] = (f"CAST(coalesce({_WIND_LABEL} = '{sct}', false) AS INTEGER)", False)
+    return cols
+
+
+_FCOLS = _feature_sql_cols()
+_BASE_FEATS = [c for c in TOWER_VARIABLES if c not in ("co2_flux", "co2_flux_qc")]
+_ALL_FEATS = sorted(set(_BASE_FEATS) | set(_FCOLS))
+_FF_SQL = (W + _ENC_SQL + ", ff AS (SELECT tower.*, "
+           + ", ".join(f"{e} AS {n}" for n, (e, _) in _FCOLS.items()) + " FROM tower)")
+
+
+def _ff_select() -> str:
+    out = []
+    for c in _ALL_COLS:
+        out.append(c if c in ("series_id", "datetime") else
+                   (f"CAST({c} AS BIGINT) AS {c}" if c == "event_id" or c in _INT_VARS else f"round({c}, 6) AS {c}"))
+    for n, (_, dbl) in _FCOLS.items():
+        out.append(f"round({n}, 6) AS {n}" if dbl else f"CAST({n} AS BIGINT) AS {n}")
+    return ", ".join(out)
+
+
+def _features(spark, sf, spec=None):
+    src = tower(spark, sf)
+    spec = spec or FeatureSpec(targets=["co2_flux"])
+    feats, enc = build_features(src, TOWER, spec)
+    allf, timef = feature_lists(src, feats, spec.targets, TOWER)
+    return src, feats, enc, allf, timef, spec
+
+
+@register("feature_frame", _FF_SQL + " SELECT " + _ff_select() + " FROM ff")
+def q_feature_frame(spark, sf):
+    """The full feature frame for target co2_flux (calendar, look-ahead shifts, rolling mean/std,
+    VPD, potential ET, diffuse ratio, stability, wind sectors, label-encoded categories)."""
+    return _features(spark, sf)[1]
+
+
+@register("label_encode", W + _ENC_SQL + f" SELECT event_id, CAST((SELECT code FROM enc_s WHERE lab = coalesce("
+          f"{_STAB_LABEL}, 'nan')) AS BIGINT) AS stability_class, CAST((SELECT code FROM enc_w WHERE lab = "
+          f"coalesce({_WIND_LABEL}, 'nan')) AS BIGINT) AS wind_dir_cat FROM tower")
+def q_label_encode(spark, sf):
+    """Sorted-vocabulary codes of stability_class and wind_dir_cat (nan reserved)."""
+    from towerfill.functions.meteo import add_met_features
+    m = add_met_features(tower(spark, sf)).select("event_id", "stability_class", "wind_dir_cat")
+    return apply_encoding(m, fit_encoding(m, ["stability_class", "wind_dir_cat"]))
+
+
+def _present_sql(cols) -> str:
+    return " AND ".join(f"({c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE)))" for c in cols)
+
+
+_ROUTE_SQL = (_FF_SQL + ", rt AS (SELECT event_id, series_id, CAST(co2_flux IS NULL AS BIGINT) AS filled, "
+              f"CASE WHEN co2_flux IS NOT NULL THEN 'observed' WHEN {_present_sql(_ALL_FEATS)} THEN 'ALL' "
+              "ELSE 'TIME' END AS route FROM ff)")
+
+
+@register("fill_routing", _ROUTE_SQL + " SELECT * FROM rt")
+def q_fill_routing(spark, sf):
+    """Per row, observed / ALL (every ALL feature present) / TIME, and the filled flag."""
+    _, feats, _, allf, _, _ = _features(spark, sf)
+    return _fill.route(feats, "co2_flux", allf).select("event_id", "series_id", "filled", "route")
+
+
+@register("fill_summary", _ROUTE_SQL + " SELECT series_id, sum(filled) AS rows_filled, "
+          "round(100 * avg(filled), 6) AS pct_filled FROM rt GROUP BY series_id")
+def q_fill_summary(spark, sf):
+    """Rows the fill job fills and their percent, per series."""
+    _, feats, _, allf, _, _ = _features(spark, sf)
+    return _fill.fill_summary(_fill.route(feats, "co2_flux", allf), ["series_id"])
+
+
+# Models are trained once per (data, type) in this process and saved in the registry.
+_MODELS: dict = {}
+
+
+def trained(spark, sf, model_type="rf", params=None):
+    from towerfill.session import scratch_path
+    key = (sf, model_type, tuple(sorted((params or {}).items())))
+    if key not in _MODELS:
+        src, feats, enc, allf, timef, spec = _features(spark, sf)
+        tm = _model.train_models(feats, "co2_flux", allf, timef, spec, enc, model_type, params)
+        reg = _model.ModelRegistry(spark, scratch_path(spark, "models", format(abs(hash(key)), "x")))
+        reg.save(tm)
+        _MODELS[key] = reg.load(model_type, "co2_flux")
+    return _MODELS[key]
+
+
+def _filled(spark, sf, model_type="rf", keep_original=False):
+    return _fill.fill_gaps(tower(spark, sf), TOWER, trained(spark, sf, model_type), keep_original)
+
+
+@register("fill_rf")
+def q_fill_rf(spark, sf):
+    """Random-forest ALL and TIME models (100 trees, depth 10), gaps filled."""
+    return _fill.export_frame(_filled(spark, sf, "rf"), "co2_flux", keys=["event_id", "series_id"])
+
+
+@register("fill_gbt")
+def q_fill_gbt(spark, sf):
+    """Gradient-boosted ALL and TIME models (100 rounds, depth 4, rate 0.05), gaps filled."""
+    return _fill.export_frame(_filled(spark, sf, "gbt"), "co2_flux", keys=["event_id", "series_id"])
+
+
+@register("fill_export")
+def q_fill_export(spark, sf):
+    """The export columns datetime, co2_flux, filled of the random-forest fill."""
+    return _fill.export_frame(_filled(spark, sf, "rf"), "co2_flux")
+
+
+@register("fill_overlay")
+def q_fill_overlay(spark, sf):
+    """Original co2_flux beside the values the fill produced."""
+    return _fill.overlay(_filled(spark, sf, "rf", keep_original=True), "co2_flux", ["event_id", "series_id", "datetime"])
+
+
+def _report(spark, sf, mechanism="MCAR", dep=None):
+    return _eval.evaluate(tower(spark, sf), TOWER, trained(spark, sf, "rf"), mechanism, 0.2, dep, 42,
+                          row_key=["event_id"])
+
+
+@register("evaluate_rf")
+def q_evaluate_rf(spark, sf):
+    """Complete cases -> features -> 20 % MCAR gaps -> fill -> observed vs filled rows."""
+    return _report(spark, sf).select("event_id", "original", "filled", "residual", "route")
+
+
+@register("eval_metrics")
+def q_eval_metrics(spark, sf):
+    """MAE, RMSE, R^2 and slope of the random-forest fill on the hidden cells."""
+    return _eval.evaluation_metrics(_report(spark, sf))
+
+
+@register("residual_histogram")
+def q_residual_histogram(spark, sf):
+    """Residuals of the evaluation in 30 bins."""
+    from towerfill.operators.metrics import residual_histogram
+    return residual_histogram(_report(spark, sf), "residual", 30)
+
+
+@register("eval_pairs")
+def q_eval_pairs(spark, sf):
+    """Range of observed and predicted values (1:1 line ends)."""
+    from towerfill.operators.metrics import pair_range
+    return pair_range(_report(spark, sf), "original", "filled")
+
+
+@register("eval_report")
+def q_eval_report(spark, sf):
+    """K2: evaluation report rows with run settings (MAR driven by air_temperature)."""
+    return _report(spark, sf, "MAR", "air_temperature").drop("route")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["gap_summary"](spark, sf_dir)
+    return QUERIES["fill_routing"](spark, sf_dir)

@@ -31,17 +31,19 @@ def shift_exprs(w: Window, cols: Sequence[str], periods: Sequence[int], directio
     return [(F.lead(c, k) if ahead else F.lag(c, k)).over(w).alias(f"{c}_lag_{k}") for c in cols for k in periods]
 
 
-def rolling_exprs(w: Window, cols: Sequence[str], windows: Sequence[int], stats: Sequence[str]) -> list[Column]:
-    """``{c}_rolling_{n}_{stat}`` over the trailing n rows including the current one."""
+def rolling_exprs(w: Window, cols: Sequence[str], windows: Sequence[int], stats: Sequence[str],
+                  end: int = 0) -> list[Column]:
+    """``{c}_rolling_{n}_{stat}`` over the trailing n rows ending ``end`` rows from the current one
+    (0: including it, as the reference; -1: the n rows before it)."""
     _check(stats)
-    return [_STATS[s](c).over(w.rowsBetween(-(n - 1), 0)).alias(f"{c}_rolling_{n}_{s}")
+    return [_STATS[s](c).over(w.rowsBetween(-(n - 1) + end, end)).alias(f"{c}_rolling_{n}_{s}")
             for c in cols for n in windows for s in stats]
 
 
 def add_window_features(df: DataFrame, tl: Timeline, shift_cols: Sequence[str] = (),
                         periods: Sequence[int] = tuple(SHIFT_PERIODS), direction: str = "backward",
                         rolling_cols: Sequence[str] = (), windows: Sequence[int] = tuple(ROLLING_WINDOWS),
-                        stats: Sequence[str] = tuple(ROLLING_STATS)) -> DataFrame:
+                        stats: Sequence[str] = tuple(ROLLING_STATS), rolling_end: int = 0) -> DataFrame:
     """Shift features of ``shift_cols`` and rolling stats of ``rolling_cols`` in one pass.
 
     Absent columns are skipped, as in the reference."""
@@ -53,10 +55,11 @@ def add_window_features(df: DataFrame, tl: Timeline, shift_cols: Sequence[str] =
     fwd = direction.lower() == "forward"
     reach = max(periods) if (shift_cols and periods) else 0
     ahead = 0 if fwd else reach
-    behind = max([reach if fwd else 0] + ([max(windows) - 1] if rolling_cols and windows else []))
+    behind = max([reach if fwd else 0] + ([max(windows) - 1 - rolling_end] if rolling_cols and windows else []))
 
     def build(w):
-        return shift_exprs(w, shift_cols, periods, direction) + rolling_exprs(w, rolling_cols, windows, stats)
+        return (shift_exprs(w, shift_cols, periods, direction)
+                + rolling_exprs(w, rolling_cols, windows, stats, rolling_end))
 
     return with_window_columns(df, tl, ahead, behind, build)
 
