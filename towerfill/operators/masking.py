@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from towerfill.operators.sequence import attach
+from towerfill.session import cut_lineage
 
 HASH_SCALE = float(1 << 52)
 
@@ -82,7 +83,7 @@ def artificial_gaps(df: DataFrame, targets: Sequence[str], p: float = 0.2, mecha
     out = df
     for i, t in enumerate([c for c in targets if c in df.columns]):
         if i:  # cut lineage so each target's plan does not re-run the previous ones
-            out = out.checkpoint()
+            out = cut_lineage(out, "masked")
         valid = F.col(t).isNotNull()
         drive = dependency if mech == "MAR" and dependency and dependency in df.columns else (t if mech == "MNAR" else None)
         cols = out.columns

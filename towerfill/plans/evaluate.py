@@ -18,6 +18,7 @@ from towerfill.operators.metrics import regression_metrics
 from towerfill.plans.features import FeatureSpec, build_features, feature_lists
 from towerfill.plans.fill import apply_fill, predict, route
 from towerfill.plans.modeling import TrainedModels, train_models
+from towerfill.session import cut_lineage
 from towerfill.timeline import Timeline
 
 
@@ -27,21 +28,24 @@ def evaluate(df: DataFrame, tl: Timeline, tm: TrainedModels, mechanism: str = "M
     """Rows of the evaluation report: keys, datetime, original, filled, residual and the run settings."""
     t = tm.target
     keys = list(row_key) if row_key else [*tl.series, *tl.order]
-    complete = df.na.drop("any")  # P11
+    # P11; written once so later plans start from a scan (also keeps the optimizer's
+    # constraint propagation away from the complete-case filter).
+    complete = cut_lineage(df.na.drop("any"), "eval-complete")
     orig = f"_orig_{t}"
     if not leak_free:
         feats, _ = build_features(complete, tl, tm.spec, tm.encoding)
         # Cut lineage: the masking step reads the wide feature frame several times.
-        feats = feats.withColumn(orig, F.col(t)).checkpoint()
+        feats = cut_lineage(feats.withColumn(orig, F.col(t)), "eval-features")
         gapped = artificial_gaps(feats, [t], p, mechanism, dependency, seed,
                                  keys, tl.series, flag_prefix="_masked_")
         models = tm
     else:
         gapped0 = artificial_gaps(complete.withColumn(orig, F.col(t)), [t], p, mechanism, dependency, seed,
-                                  keys, tl.series, flag_prefix="_masked_").checkpoint()
+                                  keys, tl.series, flag_prefix="_masked_")
+        gapped0 = cut_lineage(gapped0, "eval-gapped")
         spec = FeatureSpec(**{**tm.spec.to_json(), "leak_free": True})
         gapped, enc = build_features(gapped0, tl, spec, tm.encoding)
-        gapped = gapped.checkpoint()
+        gapped = cut_lineage(gapped, "eval-features")
         base = gapped0.drop(orig, f"_masked_{t}")
         allf, timef = feature_lists(base, gapped.drop(orig, f"_masked_{t}"), spec.targets, tl)
         models = train_models(gapped.drop(orig, f"_masked_{t}"), t, allf, timef, spec, enc, tm.model_type, tm.params)

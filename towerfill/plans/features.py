@@ -48,7 +48,8 @@ def build_features(df: DataFrame, tl: Timeline, spec: FeatureSpec,
                             rolling_end=-1 if spec.leak_free else 0)
     x = add_met_features(add_vpd(x))
     if encoding is None:
-        encoding = fit_encoding(x, CATEGORICAL)
+        # The categories depend only on source columns: fit on the narrow projection.
+        encoding = fit_encoding(add_met_features(df), CATEGORICAL)
     return apply_encoding(x, encoding), dict(encoding)
 
 

@@ -20,10 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from towerfill.plans.features import FeatureSpec
+from towerfill.session import cut_lineage
 
 # Effective constants of the reference's two model types.
 RF_DEFAULTS = dict(numTrees=100, maxDepth=10, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
                    bootstrap=True, seed=42)
+# Execution knobs (same trees, fewer passes over the data): bigger node groups per pass and
+# cached node ids, so deep levels do not re-walk every tree from the root.
+RF_EXEC = dict(maxMemoryInMB=1024, cacheNodeIds=True)
+GBT_EXEC = dict(cacheNodeIds=True)
 GBT_DEFAULTS = dict(maxIter=100, stepSize=0.05, maxDepth=4, minInstancesPerNode=3, subsamplingRate=0.7,
                     featureSubsetStrategy="0.7", seed=42)
 
@@ -45,10 +50,10 @@ def make_regressor(model_type: str, label: str, features_col: str, pred_col: str
     t = model_type.lower()
     if t in ("rf", "random forest", "random_forest"):
         return RandomForestRegressor(labelCol=label, featuresCol=features_col, predictionCol=pred_col,
-                                     checkpointInterval=10, **{**RF_DEFAULTS, **(params or {})})
+                                     checkpointInterval=10, **{**RF_DEFAULTS, **RF_EXEC, **(params or {})})
     if t in ("gbt", "xgboost", "boosted", "gradient boosting"):
         return GBTRegressor(labelCol=label, featuresCol=features_col, predictionCol=pred_col,
-                            checkpointInterval=10, **{**GBT_DEFAULTS, **(params or {})})
+                            checkpointInterval=10, **{**GBT_DEFAULTS, **GBT_EXEC, **(params or {})})
     raise ValueError(f"unknown model type {model_type!r}")
 
 
@@ -82,7 +87,7 @@ def train_models(features: DataFrame, target: str, all_features: Sequence[str],
     rows = features.filter(F.col(target).isNotNull()).select(target, *sorted(set(all_features) | set(time_features)))
     # Written to the checkpoint folder: both fits and the count below reuse it, and a lost
     # executor does not force the feature windows to be recomputed.
-    rows = rows.checkpoint()
+    rows = cut_lineage(rows, "train")
     # Drop ALL features with no value among the training rows (one small aggregate).
     counts = rows.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in all_features]).first().asDict()
     feats = [c for c in all_features if counts[c] > 0]

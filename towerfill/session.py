@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
+    # Wide feature plans (about 100 derived columns over null filters) make Catalyst's
+    # constraint propagation take tens of seconds per query; it adds nothing here.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -59,3 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (never a machine-local temp dir)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def cut_lineage(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    This ends the lineage (later jobs and retries after a lost executor start from
+    the files, not from the upstream shuffles) and, unlike ``Dataset.checkpoint``,
+    computes the frame once and stores it columnar.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, "stages", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
