@@ -833,5 +833,182 @@ def q_eval_report(spark, sf):
     return _report(spark, sf, "MAR", "air_temperature").drop("route")
 
 
+# --------------------------------------------------------------------------- sources and layouts
+from towerfill.sources import archive as _arch  # noqa: E402
+from towerfill.sources import layouts as _lay  # noqa: E402
+from towerfill.sources import text as _text  # noqa: E402
+
+
+def _stamp(fmt: str, plus: str | None = None):
+    c = F.col("datetime") if plus is None else F.col("datetime") + F.expr(f"INTERVAL {plus}")
+    return F.date_format(c, fmt)
+
+
+def _sentinel(c: str):
+    return F.coalesce(F.col(c), F.lit(-9999.0)).alias(c)
+
+
+def _layout_out(df, label, cols):
+    return df.select("datetime", *cols, F.lit(label).alias("layout"))
+
+
+def _sql_layout(trunc: str, label: str, cols: list[str], renames: dict[str, str] | None = None) -> str:
+    renames = renames or {}
+    sel = []
+    for c in cols:
+        src = renames.get(c, c)
+        sel.append(c if c == "series_id" else (f"CAST({src} AS BIGINT) AS {c}" if c == "event_id"
+                                               else f"round({src}, 6) AS {c}"))
+    return (W + f" SELECT date_trunc('{trunc}', datetime) AS datetime, {', '.join(sel)}, '{label}' AS layout FROM tower")
+
+
+_LCOLS = ["event_id", "series_id", "co2_flux", "sensible_heat_flux"]
+
+
+@register("layout_fluxnet", _sql_layout("minute", "FLUXNET", _LCOLS))
+def q_layout_fluxnet(spark, sf):
+    """FLUXNET half-hourly layout (yyyyMMddHHmm stamps, -9999 missing) parsed back."""
+    t = tower(spark, sf)
+    stand = t.select(_stamp("yyyyMMddHHmm").cast("long").alias("TIMESTAMP_START"),
+                     _stamp("yyyyMMddHHmm", "30 MINUTES").cast("long").alias("TIMESTAMP_END"),
+                     "event_id", "series_id", _sentinel("co2_flux"), _sentinel("sensible_heat_flux"))
+    df, label = _lay.detect_layout(stand)
+    return _layout_out(df, label, _LCOLS)
+
+
+@register("layout_aggregated", _sql_layout("hour", "FLUXNET", ["event_id", "series_id", "NEE_VUT_REF"],
+                                           {"NEE_VUT_REF": "co2_flux"}))
+def q_layout_aggregated(spark, sf):
+    """FLUXNET aggregated layout (TIMESTAMP yyyyMMddHH, NEE_VUT_REF) parsed per row by stamp length."""
+    t = tower(spark, sf)
+    stand = t.select(_stamp("yyyyMMddHH").cast("long").alias("TIMESTAMP"), "event_id", "series_id",
+                     F.coalesce("co2_flux", F.lit(-9999.0)).alias("NEE_VUT_REF"))
+    df, label = _lay.detect_layout(stand)
+    return _layout_out(df, label, ["event_id", "series_id", "NEE_VUT_REF"])
+
+
+@register("layout_icos", _sql_layout("second", "ICOS", _LCOLS))
+def q_layout_icos(spark, sf):
+    """ICOS layout (TIMESTAMP, TIMESTAMP_END text stamps); both stamps dropped."""
+    t = tower(spark, sf)
+    stand = t.select(_stamp("yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP"),
+                     _stamp("yyyy-MM-dd HH:mm:ss", "30 MINUTES").alias("TIMESTAMP_END"),
+                     "event_id", "series_id", _sentinel("co2_flux"), _sentinel("sensible_heat_flux"))
+    df, label = _lay.detect_layout(stand)
+    return _layout_out(df, label, _LCOLS)
+
+
+@register("layout_ameriflux", _sql_layout("minute", "AMERIFLUX", ["event_id", "series_id", "FC"], {"FC": "co2_flux"}))
+def q_layout_ameriflux(spark, sf):
+    """S4d: AmeriFlux layout (TIMESTAMP_START, FC); -9999 becomes null (T5)."""
+    t = tower(spark, sf)
+    stand = t.select(_stamp("yyyyMMddHHmm").cast("long").alias("TIMESTAMP_START"), "event_id", "series_id",
+                     F.coalesce("co2_flux", F.lit(-9999.0)).alias("FC"))
+    df, label = _lay.detect_layout(stand)
+    return _layout_out(df, label, ["event_id", "series_id", "FC"])
+
+
+_EC_OUT = ["event_id", "series_id", "co2_flux", "sensible_heat_flux", "latent_heat_flux", "air_temperature", "wind_dir"]
+
+
+@register("layout_ec_tower", _sql_layout("second", "EC Tower", _EC_OUT))
+def q_layout_ec_tower(spark, sf):
+    """S4e, S5: EC-tower layout (date dd.MM.yyyy + time (UTC), long variable names) renamed to short names;
+    the two air-temperature sources are merged in map order."""
+    t = tower(spark, sf)
+    stand = t.select(
+        _stamp("dd.MM.yyyy").alias("date"), _stamp("HH:mm:ss").alias("time (UTC)"), "event_id", "series_id",
+        F.col("co2_flux").alias(K.EC_TOWER_CO2),
+        F.col("sensible_heat_flux").alias("upward sensible heat flux in air (W m-2) (H)"),
+        F.col("latent_heat_flux").alias("upward latent heat flux in air (W m-2) (LE)"),
+        F.when(F.col("k") % 2 == 0, F.lit(None)).otherwise(F.col("air_temperature"))
+         .alias("air temperature (degree_C) (T_40m_Avg)"),
+        F.col("air_temperature").alias("air temperature (degree_C) (T_1000cm_Avg)"),
+        F.col("wind_dir").alias("wind from direction (degree) (wind_dir)"))
+    df, label = _lay.detect_layout(stand)
+    return _layout_out(df, label, _EC_OUT)
+
+
+@register("layout_general", _sql_layout("second", "GENERAL TIME SERIES", _LCOLS))
+def q_layout_general(spark, sf):
+    """S4f: general series with a text ``timestamp`` column (first name in the priority list)."""
+    t = tower(spark, sf)
+    stand = t.select(_stamp("yyyy-MM-dd HH:mm:ss").alias("timestamp"), *_LCOLS)
+    df, label = _lay.detect_layout(stand)
+    return _layout_out(df, label, _LCOLS)
+
+
+@register("sentinel_null", W + " SELECT event_id, round(co2_flux, 6) AS co2_flux, "
+          "round(sensible_heat_flux, 6) AS sensible_heat_flux, CAST(k AS BIGINT) AS k FROM tower")
+def q_sentinel_null(spark, sf):
+    """Exact -9999 and NaN become null in every numeric column."""
+    t = tower(spark, sf)
+    stand = t.select("event_id", _sentinel("co2_flux"),
+                     F.when(F.col("sensible_heat_flux").isNull(), F.lit(float("nan")))
+                      .otherwise(F.col("sensible_heat_flux")).alias("sensible_heat_flux"), "k")
+    return _lay.nan_to_null(_lay.sentinel_to_null(stand))
+
+
+_RT_COLS = ["event_id", "series_id", "co2_flux", "co2_flux_qc"]
+
+
+@register("csv_roundtrip", W + " SELECT datetime, CAST(event_id AS BIGINT) AS event_id, series_id, "
+          "round(co2_flux, 6) AS co2_flux, CAST(co2_flux_qc AS BIGINT) AS co2_flux_qc, "
+          "'GENERAL TIME SERIES' AS layout FROM tower")
+def q_csv_roundtrip(spark, sf):
+    """S1, S7, K1-style sink: tower rows written as header CSV by the executors, read back as strings,
+    missing tokens nulled, types inferred, time column detected and parsed."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    path = scratch_path(spark, "roundtrip", uuid.uuid4().hex)
+    _text.write_csv(tower(spark, sf).select("datetime", *_RT_COLS), path)
+    df, label = _lay.detect_layout(_text.read_csv(spark, path))
+    return _layout_out(df, label, _RT_COLS)
+
+
+def _write_zips(spark, df, folder):
+    """Stand-in input for S2/S3: each partition becomes one ZIP holding one CSV member that
+    starts with two metadata lines (written by the executors into the shared folder)."""
+    import os
+
+    def write(batches):
+        import io as _io
+        import uuid as _uuid
+        import zipfile as _zf
+
+        import pandas as _pd
+        parts = [b for b in batches]
+        if not parts:
+            return
+        pdf = _pd.concat(parts)
+        buf = _io.StringIO()
+        buf.write("site: tower\nexported by: towerfill\n")
+        pdf.to_csv(buf, index=False, date_format="%Y-%m-%d %H:%M:%S.%f")
+        name = os.path.join(folder, f"part-{_uuid.uuid4().hex}.zip")
+        with _zf.ZipFile(name, "w", _zf.ZIP_DEFLATED) as z:
+            z.writestr("data/tower.csv", buf.getvalue())
+            z.writestr("README.md", "not a table")
+        yield _pd.DataFrame({"file": [name]})
+
+    os.makedirs(folder, exist_ok=True)
+    return df.mapInPandas(write, "file string").collect()
+
+
+@register("zip_ingest", W + " SELECT datetime, CAST(event_id AS BIGINT) AS event_id, series_id, "
+          "round(co2_flux, 6) AS co2_flux, CAST(co2_flux_qc AS BIGINT) AS co2_flux_qc, "
+          "'GENERAL TIME SERIES' AS layout FROM tower")
+def q_zip_ingest(spark, sf):
+    """ZIP archives scanned per task, CSV members found, two metadata lines skipped (auto),
+    parsed with from_csv, types inferred, layout detected."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    folder = scratch_path(spark, "zips", uuid.uuid4().hex)
+    _write_zips(spark, tower(spark, sf).select("datetime", *_RT_COLS), folder)
+    df, label = _lay.detect_layout(_arch.read_table(spark, folder, skip_rows="auto", glob="*.zip"))
+    return _layout_out(df, label, _RT_COLS)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["fill_routing"](spark, sf_dir)
