@@ -68,7 +68,7 @@ def diurnal_stats(df: DataFrame, col: str, time_col: str = "datetime", by: Seque
 def monthly_mean(df: DataFrame, col: str, time_col: str = "datetime", by: Sequence[str] = ()) -> DataFrame:
     """Mean per calendar month with its short name (L3: order by month number)."""
     g = df.groupBy(*by, F.month(time_col).alias("month")).agg(F.avg(col).alias(col))
-    return g.select(*by, "month", col, month_name(F.col("month")).alias("month_name"))
+    return g.select(*by, "month", col, month_name(F.col("month")).alias("month_name")).orderBy(*by, "month")
 
 
 def carbon_budget(df: DataFrame, time_col: str = "datetime", by: Sequence[str] = (),
@@ -78,7 +78,8 @@ def carbon_budget(df: DataFrame, time_col: str = "datetime", by: Sequence[str] =
     day = F.col("mean") * factor
     days = days_in_month(F.col("month"))
     return g.select(*by, "month", "mean", "count", day.alias("gC_m2_day"), days.alias("days"),
-                    (day * days).alias("gC_m2_month"), month_name(F.col("month")).alias("month_name"))
+                    (day * days).alias("gC_m2_month"), month_name(F.col("month")).alias("month_name")
+                    ).orderBy(*by, "month")
 
 
 def carbon_annual(budget: DataFrame, by: Sequence[str] = ()) -> DataFrame:
