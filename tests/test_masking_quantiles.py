@@ -7,9 +7,10 @@ from towerfill.operators.quantiles import exact_quantiles
 
 def test_quantiles_match_numpy_with_tiny_histograms(spark, tower_df):
     pdf = tower_df.select("series_id", "co2_flux", "k").toPandas()
-    for bins in (1, 3, 1 << 14):
+    for bins, small in ((1, 0), (3, 0), (1 << 14, 0), (1 << 20, 1 << 20)):
         for col in ("co2_flux", "k"):
-            got = exact_quantiles(tower_df, ["series_id"], col, [0, 0.1, 0.25, 0.5, 0.9, 1], bins=bins).collect()
+            got = exact_quantiles(tower_df, ["series_id"], col, [0, 0.1, 0.25, 0.5, 0.9, 1], bins=bins,
+                                  small_group_rows=small).collect()
             for r in got:
                 vals = pdf.loc[pdf.series_id == r.series_id, col].dropna().astype(float).to_numpy()
                 exp = np.quantile(vals, [0, 0.1, 0.25, 0.5, 0.9, 1])

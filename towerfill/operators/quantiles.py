@@ -5,14 +5,22 @@ merges it in one task, which a hot group (a third of all rows) cannot afford.
 Here the order statistics are found in three aggregate passes:
 
 1. per group: count, min, max;
-2. per (group, bucket) of a fine equal-width histogram: count, min, max;
-   a running count over the buckets (at most ``bins`` rows per group) tells
-   which bucket holds each needed rank;
+2. per (group, bucket) of an equal-width histogram with about sqrt(n) buckets
+   (at most ``bins``): count, min, max; a running count over the buckets tells
+   which bucket holds each needed rank, and that bucket holds about sqrt(n) rows;
 3. only rows of those buckets are counted per distinct value, and a running
    count over them picks the exact value of each rank.
 
 Quantiles interpolate linearly between the two neighbouring ranks, as pandas,
 Spark ``percentile`` and DuckDB ``quantile_cont`` do.
+
+When the largest group (known from pass 1) has at most ``small_group_rows`` rows,
+Spark's exact ``percentile`` is used instead: its per-group state is then bounded
+by that checked size, and one aggregate replaces passes 2 and 3.
+
+The small intermediate tables (per-group stats, the histogram, the result; at most
+groups x bins rows) are written once to the shared checkpoint folder, so the input
+is scanned three times and later consumers do not re-run the passes.
 """
 
 from __future__ import annotations
@@ -23,10 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from towerfill.operators.sequence import join_on_keys
+from towerfill.session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, bins: int = 1 << 14) -> DataFrame:
+                    names: Sequence[str] | None = None, bins: int = 1 << 20,
+                    small_group_rows: int = 1 << 20) -> DataFrame:
     """One row per group of ``keys`` with a column per probability (nulls ignored).
 
     Groups with no non-null value are absent from the result."""
@@ -34,16 +44,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    stats = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    stats = cut_lineage(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
+                                             F.max("_v").alias("_hi")), "q-stats")
+    largest = stats.agg(F.max("_n")).first()[0] or 0
+    if largest <= small_group_rows:
+        arr = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
+        out = x.groupBy(*keys).agg(arr.alias("_q"))
+        return cut_lineage(out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]), "q-result")
     span = F.col("_hi") - F.col("_lo")
+    nb = F.least(F.lit(bins), F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_n"))))).cast("long")
     bucket = F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), span) * bins), F.lit(bins - 1))).cast("long")
-    xb = join_on_keys(x, stats.select(*keys, "_lo", "_hi"), keys).withColumn("_b", bucket).drop("_lo", "_hi")
+        F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), span) * F.col("_nb")), F.col("_nb") - 1)).cast("long")
+    xb = (join_on_keys(x, stats.select(*keys, "_lo", "_hi", nb.alias("_nb")), keys)
+          .withColumn("_b", bucket).drop("_lo", "_hi", "_nb"))
 
     hist = xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_bmin"),
                                        F.max("_v").alias("_bmax"))
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_bn").over(
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    hist = cut_lineage(hist.withColumn("_before", F.coalesce(F.sum("_bn").over(
+        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "q-hist")
 
     # Needed 0-based ranks: floor and ceil of (n - 1) * p for each p.
     ranks = stats.select(*keys, "_n", F.explode(F.array(*[
@@ -77,5 +95,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     q = F.when(lo_r == hi_r, F.col("_lo._val")).otherwise(
         (hi_r - F.col("_h")) * F.col("_lo._val") + (F.col("_h") - lo_r) * F.col("_hi._val"))
     per_q = per_q.select(*keys, "_j", q.alias("_qv"))
-    wide = per_q.groupBy(*keys).pivot("_j", list(range(len(probs)))).agg(F.first("_qv"))
-    return wide.select(*keys, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+    wide = per_q.groupBy(*keys).agg(*[F.first(F.when(F.col("_j") == i, F.col("_qv")), ignorenulls=True).alias(n)
+                                      for i, n in enumerate(names)])
+    return cut_lineage(wide, "q-result")
