@@ -26,7 +26,7 @@ def test_metrics_hand_values(spark):
 
 def test_one_exchange_for_all_window_features(spark, tower_df):
     base = tower_df.select("event_id", "series_id", "datetime", "co2_flux", "sensible_heat_flux")
-    x = windows.add_window_features(base, TOWER, shift_cols=["co2_flux", "sensible_heat_flux"],
+    x = windows.add_window_features(base, TOWER.with_(strategy="blocked"), shift_cols=["co2_flux", "sensible_heat_flux"],
                                     rolling_cols=["co2_flux", "sensible_heat_flux"], stats=["mean", "std", "min", "max"])
     plan = x._jdf.queryExecution().executedPlan().toString()
     halo = [ln for ln in plan.splitlines() if "Exchange hashpartitioning(series_id" in ln and "_blk" in ln]

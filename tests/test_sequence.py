@@ -12,7 +12,7 @@ def _rows(df, key="event_id"):
 
 
 def test_index_is_dense_and_ordered(spark, tower_df):
-    tl = TOWER.with_(bucket_rows=7)  # many tiny time buckets
+    tl = TOWER.with_(bucket_rows=7, strategy="blocked")  # many tiny time buckets
     x = index_rows(tower_df.select("event_id", "series_id", "datetime"), tl)
     got = {r.event_id: r[INDEX] for r in x.collect()}
     pdf = tower_df.select("event_id", "series_id", "datetime").toPandas()
@@ -25,11 +25,14 @@ def test_halo_blocks_equal_direct(spark, tower_df):
     base = tower_df.select("event_id", "series_id", "datetime", "co2_flux")
     kw = dict(shift_cols=["co2_flux"], rolling_cols=["co2_flux"], stats=["mean", "std", "min", "max"])
     direct = windows.add_window_features(base, TOWER.with_(block_rows=0), **kw)
-    split = windows.add_window_features(base, TOWER.with_(block_rows=170, bucket_rows=11), **kw)
+    split = windows.add_window_features(base, TOWER.with_(block_rows=170, bucket_rows=11, strategy="blocked"), **kw)
+    auto_small = windows.add_window_features(base, TOWER.with_(block_rows=100), **kw)  # series > 100 rows: split
+    auto_big = windows.add_window_features(base, TOWER, **kw)  # series fit a block: plain window
     a, b = _rows(direct), _rows(split)
     assert len(a) == base.count() and a == b
+    assert _rows(auto_small) == a and _rows(auto_big) == a
     fwd_d = windows.add_shift_features(base, TOWER.with_(block_rows=0), ["co2_flux"], direction="forward")
-    fwd_s = windows.add_shift_features(base, TOWER.with_(block_rows=168, bucket_rows=5), ["co2_flux"],
+    fwd_s = windows.add_shift_features(base, TOWER.with_(block_rows=168, bucket_rows=5, strategy="blocked"), ["co2_flux"],
                                        direction="forward")
     assert _rows(fwd_d) == _rows(fwd_s)
 
@@ -45,7 +48,9 @@ def test_lead_then_lag_is_identity(spark, tower_df):
 
 
 def test_gap_runs_cover_all_nulls(spark, tower_df):
-    runs = gaps.gap_runs(tower_df, TOWER.with_(bucket_rows=13), "co2_flux")
+    runs = gaps.gap_runs(tower_df, TOWER.with_(bucket_rows=13, strategy="blocked"), "co2_flux")
+    direct = gaps.gap_runs(tower_df, TOWER, "co2_flux")
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, direct.collect()))
     total = runs.agg(F.sum("length")).first()[0]
     assert total == tower_df.filter(F.col("co2_flux").isNull()).count()
     pdf = tower_df.select("series_id", "datetime", "event_id", "co2_flux").toPandas()

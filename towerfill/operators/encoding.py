@@ -20,21 +20,21 @@ NAN = "nan"
 
 
 def fit_encoding(df: DataFrame, cols: Sequence[str], max_levels: int = 4096) -> dict[str, list[str]]:
-    """One distributed ``distinct`` over (column, value) pairs; at most ``max_levels + 1`` values
-    per column reach the driver, and more than ``max_levels`` is an error."""
+    """One aggregate (``collect_set`` per column, partially aggregated).
+
+    Meant for columns with a bounded label set (the stability and wind-sector
+    labels have 8 and 16); more than ``max_levels`` values is an error."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(NAN)).alias("v"))
-                                for c in cols])).alias("p")
-    rows = df.select(pairs).select("p.c", "p.v").distinct().limit(len(cols) * (max_levels + 1)).collect()
-    vocab: dict[str, set] = {c: {NAN} for c in cols}
-    for r in rows:
-        vocab[r.c].add(r.v)
-    for c, v in vocab.items():
+    row = df.agg(*[F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(NAN))).alias(c) for c in cols]).first()
+    vocab = {}
+    for c in cols:
+        v = set(row[c]) | {NAN}
         if len(v) > max_levels:
             raise ValueError(f"{c} has more than {max_levels} distinct values; not a categorical column")
-    return {c: sorted(v) for c, v in vocab.items()}
+        vocab[c] = sorted(v)
+    return vocab
 
 
 def apply_encoding(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -15,8 +15,11 @@ series may hold a third of all rows.  So we split every series twice:
    ``behind`` rows before it).  Any ``lead``/``lag``/``rowsBetween`` expression
    evaluated over ``(series, block)`` is then exact for the block's own rows.
 
-``Timeline.block_rows = 0`` selects the plain ``partitionBy(series)`` window,
-which is cheaper when every series is known to be small.
+With ``Timeline.strategy = "auto"`` one count per series decides: if the largest
+series has at most ``block_rows`` rows, the plain ``partitionBy(series)`` window is
+used (each task then holds at most ``block_rows`` rows, a checked bound);
+otherwise the split path above.  ``block_rows = 0`` or ``strategy = "direct"``
+forces the plain window, ``strategy = "blocked"`` the split one.
 """
 
 from __future__ import annotations
@@ -76,7 +79,25 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left")
     return df.select("*", one).join(F.broadcast(small.select("*", one)), "_one", how).drop("_one")
 
 
-def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = ()) -> DataFrame:
+def use_direct(df: DataFrame, tl: Timeline) -> bool:
+    """Whether the plain per-series window is safe: forced, or the largest series fits a block."""
+    if tl.block_rows <= 0 or tl.strategy == "direct":
+        return True
+    if tl.strategy == "blocked":
+        return False
+    largest = (df.groupBy(*tl.series).count().agg(F.max("count")).first()[0]) if tl.series else df.count()
+    return (largest or 0) <= tl.block_rows
+
+
+def _index_direct(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
+    w = Window.partitionBy(*tl.series).orderBy(*tl.order_cols())
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(INDEX),
+                     *[F.sum(F.col(c).isNull().cast("long")).over(run).alias(f"_nb_{c}") for c in nulls])
+
+
+def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = (),
+               direct: bool | None = None) -> DataFrame:
     """Add ``_g``, the 0-based row position inside each series (order ``tl.order``).
 
     For each column ``c`` in ``count_nulls_of`` also add ``_nb_c``: the number
@@ -84,6 +105,8 @@ def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = ())
     The order must be total (``tl.tiebreak``) for positions to be deterministic.
     """
     nulls = list(count_nulls_of)
+    if direct if direct is not None else use_direct(df, tl):
+        return _index_direct(df, tl, nulls)
     x, s = _series(df, tl)
     x = x.withColumn("_t", _order_value(x, tl.time))
 
@@ -127,11 +150,11 @@ def neighbour_frame(df: DataFrame, tl: Timeline, ahead: int, behind: int) -> tup
     largest row offsets after / before the current row that any expression reads.
     """
     ahead, behind = max(0, int(ahead)), max(0, int(behind))
-    if tl.block_rows <= 0:  # direct: one partition per series
+    if use_direct(df, tl):  # one partition per series, checked to be small
         x = df.withColumn(HOME, F.lit(True)).withColumn(BLOCK, F.lit(0)).withColumn(INDEX, F.lit(0))
         return x, Window.partitionBy(*tl.series).orderBy(*tl.order_cols())
     size = max(int(tl.block_rows), ahead, behind, 1)
-    x = index_rows(df, tl)
+    x = index_rows(df, tl, direct=False)
     b = F.floor(F.col(INDEX) / F.lit(size)).cast("long")
     pos = F.col(INDEX) - b * F.lit(size)
     targets = F.array(b,

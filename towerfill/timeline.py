@@ -21,6 +21,9 @@ class Timeline:
     tiebreak: tuple[str, ...] = ()
     # Rows per block when one series is split across tasks (see operators.sequence).
     block_rows: int = 1 << 20
+    # "auto": plain per-series window when the largest series has at most block_rows rows
+    # (checked with one count per series), else split; "direct" / "blocked" force one path.
+    strategy: str = "auto"
     # Target rows per time bucket used to number rows without a per-series sort.
     bucket_rows: int = 1 << 20
     extra: dict = field(default_factory=dict, compare=False)
@@ -42,7 +45,7 @@ class Timeline:
 
     def with_(self, **kw) -> "Timeline":
         d = dict(series=self.series, time=self.time, tiebreak=self.tiebreak,
-                 block_rows=self.block_rows, bucket_rows=self.bucket_rows)
+                 block_rows=self.block_rows, bucket_rows=self.bucket_rows, strategy=self.strategy)
         d.update(kw)
         return Timeline(**d)
 
