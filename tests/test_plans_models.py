@@ -71,3 +71,27 @@ def test_evaluate_report_and_gbt(spark, tower_df):
     assert {r.dependency_col for r in rep.select("dependency_col").distinct().collect()} == {"N/A"}
     m = evaluation_metrics(rep).first()
     assert m.n == exp and m.rmse >= m.mae
+
+
+def test_leak_free_evaluation_refits_on_gapped_frame(spark, tower_df):
+    _, tm = _small_models(spark, tower_df)
+    rep = evaluate(tower_df, TOWER, tm, "MCAR", 0.2, row_key=["event_id"], leak_free=True).cache()
+    complete = tower_df.na.drop("any")
+    exp = sum(int(r.n * 0.2) for r in complete.groupBy("series_id").agg(F.count("*").alias("n")).collect())
+    assert rep.count() == exp
+    assert rep.filter(F.col("filled").isNull()).count() == 0
+    # same cells hidden as the default order (same seed and row key)
+    base = evaluate(tower_df, TOWER, tm, "MCAR", 0.2, row_key=["event_id"])
+    assert {r.event_id for r in rep.collect()} == {r.event_id for r in base.collect()}
+
+
+def test_leak_free_rolling_excludes_current_row(spark, tower_df):
+    base = tower_df.select("event_id", "series_id", "datetime", "co2_flux")
+    lf, _ = build_features(base, TOWER, FeatureSpec(targets=["co2_flux"], leak_free=True), {})
+    d, _ = build_features(base, TOWER, FeatureSpec(targets=["co2_flux"]), {})
+    # the leak-free 3-row mean at row i equals the standard 3-row mean ending at row i-1
+    from pyspark.sql import Window
+    w = Window.partitionBy("series_id").orderBy("datetime", "event_id")
+    prev = d.select("event_id", F.lag("co2_flux_rolling_3_mean", 1).over(w).alias("p"))
+    j = lf.select("event_id", "co2_flux_rolling_3_mean").join(prev, "event_id")
+    assert j.filter(~F.col("co2_flux_rolling_3_mean").eqNullSafe(F.col("p"))).count() == 0

@@ -779,24 +779,30 @@ def q_fill_summary(spark, sf):
     return _fill.fill_summary(_fill.route(feats, "co2_flux", allf), ["series_id"])
 
 
-# Models are trained once per (data, type) in this process and saved in the registry.
+# Models are trained once per (data, type) in this process and saved in the registry;
+# the feature frame is written once and serves both training and filling.
 _MODELS: dict = {}
 
 
 def trained(spark, sf, model_type="rf", params=None):
-    from towerfill.session import scratch_path
+    return _trained(spark, sf, model_type, params)[0]
+
+
+def _trained(spark, sf, model_type="rf", params=None):
+    from towerfill.session import cut_lineage, scratch_path
     key = (sf, model_type, tuple(sorted((params or {}).items())))
     if key not in _MODELS:
         src, feats, enc, allf, timef, spec = _features(spark, sf)
-        tm = _model.train_models(feats, "co2_flux", allf, timef, spec, enc, model_type, params)
-        reg = _model.ModelRegistry(spark, scratch_path(spark, "models", format(abs(hash(key)), "x")))
-        reg.save(tm)
-        _MODELS[key] = reg.load(model_type, "co2_flux")
+        feats = cut_lineage(feats, "features")
+        tm = _model.train_models(feats, "co2_flux", allf, timef, spec, enc, model_type, params, materialize=False)
+        _model.ModelRegistry(spark, scratch_path(spark, "models", format(abs(hash(key)), "x"))).save(tm)
+        _MODELS[key] = (tm, feats)
     return _MODELS[key]
 
 
 def _filled(spark, sf, model_type="rf", keep_original=False):
-    return _fill.fill_gaps(tower(spark, sf), TOWER, trained(spark, sf, model_type), keep_original)
+    tm, feats = _trained(spark, sf, model_type)
+    return _fill.fill_with_features(feats, tm, keep_original)
 
 
 @register("fill_rf")

@@ -42,11 +42,16 @@ def apply_fill(routed: DataFrame, target: str, keep_original: bool = False) -> D
     return routed.withColumn(target, value).drop("_pred_all", "_pred_time")
 
 
+def fill_with_features(feats: DataFrame, tm: TrainedModels, keep_original: bool = False) -> DataFrame:
+    """M5-M7 on a feature frame already built with ``tm.spec`` and ``tm.encoding``."""
+    routed = route(predict(feats, tm), tm.target, tm.all_features, tm.model_all is not None)
+    return apply_fill(routed, tm.target, keep_original)
+
+
 def fill_gaps(df: DataFrame, tl: Timeline, tm: TrainedModels, keep_original: bool = False) -> DataFrame:
     """M7: features (with the stored encoding) -> predict -> route -> filled target."""
     feats, _ = build_features(df, tl, tm.spec, tm.encoding)
-    routed = route(predict(feats, tm), tm.target, tm.all_features, tm.model_all is not None)
-    return apply_fill(routed, tm.target, keep_original)
+    return fill_with_features(feats, tm, keep_original)
 
 
 def fill_summary(filled: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -82,12 +82,15 @@ def _pipeline(model_type, target, feats, tag, params):
 
 def train_models(features: DataFrame, target: str, all_features: Sequence[str], time_features: Sequence[str],
                  spec: FeatureSpec, encoding: Mapping, model_type: str = "rf",
-                 params: Mapping | None = None) -> TrainedModels:
-    """N2-N6 for one target: drop null targets (P10), fit ALL and TIME."""
+                 params: Mapping | None = None, materialize: bool = True) -> TrainedModels:
+    """N2-N6 for one target: drop null targets (P10), fit ALL and TIME.
+
+    ``materialize`` writes the training rows to the checkpoint folder first (both fits
+    and the count reuse them, and a lost executor does not recompute the feature
+    windows); pass False when ``features`` is already a written table."""
     rows = features.filter(F.col(target).isNotNull()).select(target, *sorted(set(all_features) | set(time_features)))
-    # Written to the checkpoint folder: both fits and the count below reuse it, and a lost
-    # executor does not force the feature windows to be recomputed.
-    rows = cut_lineage(rows, "train")
+    if materialize:
+        rows = cut_lineage(rows, "train")
     # Drop ALL features with no value among the training rows (one small aggregate).
     counts = rows.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in all_features]).first().asDict()
     feats = [c for c in all_features if counts[c] > 0]
