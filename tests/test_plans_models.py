@@ -95,3 +95,23 @@ def test_leak_free_rolling_excludes_current_row(spark, tower_df):
     prev = d.select("event_id", F.lag("co2_flux_rolling_3_mean", 1).over(w).alias("p"))
     j = lf.select("event_id", "co2_flux_rolling_3_mean").join(prev, "event_id")
     assert j.filter(~F.col("co2_flux_rolling_3_mean").eqNullSafe(F.col("p"))).count() == 0
+
+
+def test_sinks_names_and_roundtrip(spark, tower_df):
+    import os
+
+    from towerfill.plans.evaluate import write_report
+    from towerfill.sources.text import read_csv
+    _, tm = _small_models(spark, tower_df)
+    d = tempfile.mkdtemp(prefix="tf-sink-")
+    filled = fill.fill_gaps(tower_df, TOWER, tm)
+    out = fill.write_export(filled, d, "co2_flux")
+    assert out.endswith("gapfilled_co2_flux_clean") and os.path.isdir(out)
+    back = read_csv(spark, out)
+    assert back.columns == ["datetime", "co2_flux", "filled"] and back.count() == tower_df.count()
+    assert back.filter(F.col("co2_flux").isNull()).count() == 0
+    rep = evaluate(tower_df, TOWER, tm, "MAR", 0.1, "air_temperature", row_key=["event_id"])
+    rp = write_report(rep, d, "co2_flux", "MAR")
+    r = read_csv(spark, rp)
+    assert rp.endswith("eval_report_co2_flux_MAR")
+    assert {x.dependency_col for x in r.select("dependency_col").distinct().collect()} == {"air_temperature"}

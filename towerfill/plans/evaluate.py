@@ -63,9 +63,7 @@ def evaluation_metrics(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return regression_metrics(report, "original", "filled", by)
 
 
-def write_report(report: DataFrame, path: str) -> str:
-    """K2: ``eval_report_{target}_{mechanism}`` CSV folder."""
-    r = report.select("target_variable", "mechanism").first()
-    out = f"{path.rstrip('/')}/eval_report_{r.target_variable}_{r.mechanism}"
-    report.write.mode("overwrite").option("header", True).csv(out)
-    return out
+def write_report(report: DataFrame, path: str, target: str, mechanism: str) -> str:
+    """K2: ``eval_report_{target}_{mechanism}`` CSV folder written by the executors."""
+    from towerfill.sources.text import write_csv
+    return write_csv(report, f"{path.rstrip('/')}/eval_report_{target}_{mechanism}")

@@ -74,6 +74,5 @@ def overlay(filled: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
 def write_export(filled: DataFrame, path: str, target: str, time_col: str = "datetime",
                  keys: Sequence[str] = ()) -> str:
     """K1: CSV with header, in folder ``{path}/gapfilled_{target}_clean``."""
-    out = f"{path.rstrip('/')}/gapfilled_{target}_clean"
-    export_frame(filled, target, time_col, keys).write.mode("overwrite").option("header", True).csv(out)
-    return out
+    from towerfill.sources.text import write_csv
+    return write_csv(export_frame(filled, target, time_col, keys), f"{path.rstrip('/')}/gapfilled_{target}_clean")
