@@ -11,9 +11,12 @@ partitioning and survives task retries:
   the driving column (another column for MAR, the target itself for MNAR);
   a constant column gives ``w = 1``; a null driving value gets the floor 0.1.
 
-"The n smallest keys" is found without sorting a series in one task: a fine
-histogram of keys per series gives the bucket that holds the n-th key, only
-that bucket's rows are ranked, and the exact threshold key is then a filter.
+"The n smallest keys" is found without sorting a series in one task: a histogram
+of keys per series (about sqrt(n) buckets) gives the bucket that holds the n-th
+key, only that bucket's rows are ranked, and the exact threshold key is then a
+filter.  When every series has at most ``direct_rows`` eligible rows (checked from
+the quota table), a per-series ``row_number`` is used instead; each task then
+sorts at most that many rows.
 """
 
 from __future__ import annotations
@@ -46,12 +49,20 @@ def _weights(df: DataFrame, valid: Column, dep: str, by: list[str]) -> tuple[Dat
     return x, w
 
 
-def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int = 1 << 20) -> DataFrame:
+def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int = 1 << 20,
+                  direct: bool = False) -> DataFrame:
     """Add boolean ``_sel``: row is among the ``_n`` smallest ``(_key, tiebreak)`` of its group.
 
     ``df`` carries ``_key`` (null = not eligible), ``_unit`` (``_key`` mapped monotonically
-    into [0, 1)) and ``_n`` (quota per group, equal on every row of the group)."""
-    x = df.withColumn("_bk", F.least(F.floor(F.col("_unit") * bins), F.lit(bins - 1)).cast("long"))
+    into [0, 1)), ``_n`` (quota per group) and optionally ``_nbins`` (buckets per group,
+    default ``bins``), each equal on every row of the group."""
+    order = [F.col("_key").asc_nulls_last(), *[F.col(c) for c in tiebreak]]
+    if direct:
+        rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        sel = F.when(F.col("_key").isNotNull(), rn <= F.col("_n"))
+        return df.withColumn("_sel", F.coalesce(sel, F.lit(False)))
+    nb = F.col("_nbins") if "_nbins" in df.columns else F.lit(bins)
+    x = df.withColumn("_bk", F.least(F.floor(F.col("_unit") * nb), nb - 1).cast("long"))
     el = x.filter(F.col("_key").isNotNull())
     hist = el.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(
@@ -60,20 +71,21 @@ def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int =
     edge = edge.select(*by, F.col("_bk").alias("_edge"), (F.col("_n") - F.col("_before")).alias("_need"))
     # Rank only the rows of the boundary bucket.
     inb = attach(el, edge, by, "inner").filter(F.col("_bk") == F.col("_edge"))
-    order = [F.col("_key"), *[F.col(c) for c in tiebreak]]
     inb = inb.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    keycols = [F.col("_key"), *[F.col(c) for c in tiebreak]]
     thr = inb.filter(F.col("_r") == F.col("_need")).select(
-        *by, "_edge", F.struct(*[c.alias(f"_t{i}") for i, c in enumerate(order)]).alias("_thr"))
+        *by, "_edge", F.struct(*[c.alias(f"_t{i}") for i, c in enumerate(keycols)]).alias("_thr"))
     y = attach(x, thr, by)
-    me = F.struct(*[c.alias(f"_t{i}") for i, c in enumerate(order)])
+    me = F.struct(*[c.alias(f"_t{i}") for i, c in enumerate(keycols)])
     sel = F.col("_key").isNotNull() & F.col("_edge").isNotNull() & (
         (F.col("_bk") < F.col("_edge")) | ((F.col("_bk") == F.col("_edge")) & (me <= F.col("_thr"))))
-    return y.withColumn("_sel", F.coalesce(sel, F.lit(False))).drop("_bk", "_edge", "_thr")
+    return y.withColumn("_sel", F.coalesce(sel, F.lit(False))).drop("_bk", "_edge", "_thr", "_nbins")
 
 
 def artificial_gaps(df: DataFrame, targets: Sequence[str], p: float = 0.2, mechanism: str = "MCAR",
                     dependency: str | None = None, seed: int = 42, row_key: Sequence[str] = (),
-                    by: Sequence[str] = (), flag_prefix: str = "masked_") -> DataFrame:
+                    by: Sequence[str] = (), flag_prefix: str = "masked_",
+                    direct_rows: int = 1 << 20) -> DataFrame:
     """Null ``floor(n_valid * p)`` cells of each target per group; add ``{flag_prefix}{target}`` (0/1)."""
     by, row_key = list(by), list(row_key)
     if not row_key:
@@ -93,9 +105,14 @@ def artificial_gaps(df: DataFrame, targets: Sequence[str], p: float = 0.2, mecha
             x, w = _weights(out, valid, drive, by)
             key = -F.log(u) / w
             x = x.withColumn("_key", F.when(valid, key)).withColumn("_unit", 1.0 - F.exp(-F.col("_key")))
-        quota = x.filter(valid).groupBy(*by).agg(F.floor(F.count(F.lit(1)) * float(p)).cast("long").alias("_n"))
-        x = attach(x, quota, by)
-        x = mark_smallest(x, by, row_key)
+        quota = x.filter(valid).groupBy(*by).agg(F.count(F.lit(1)).alias("_valid"))
+        quota = cut_lineage(quota.select(
+            *by, F.floor(F.col("_valid") * float(p)).cast("long").alias("_n"),
+            F.least(F.lit(1 << 20), F.greatest(F.lit(1), F.floor(F.sqrt("_valid")))).cast("long").alias("_nbins"),
+            "_valid"), "quota")
+        largest = quota.agg(F.max("_valid")).first()[0] or 0
+        x = attach(x, quota.drop("_valid"), by)
+        x = mark_smallest(x, by, row_key, direct=largest <= direct_rows)
         out = x.select(*[F.when(F.col("_sel"), F.lit(None)).otherwise(F.col(c)).alias(c) if c == t else F.col(f"`{c}`")
                          for c in cols],
                        F.col("_sel").cast("int").alias(f"{flag_prefix}{t}"))
