@@ -62,11 +62,22 @@ def add_time_features(df: DataFrame, time_col: str = "datetime") -> DataFrame:
     return df.select("*", *dummies, *day_part_flags(F.col("hour")))
 
 
+def pick(values: list, index0: Column) -> Column:
+    """``values[index0]`` as a CASE chain; null or out-of-range index gives null.
+
+    (Spark 4.1's ``element_at`` over a literal array returned the last element for a
+    null CASE-built index, so lookups avoid it.)"""
+    c = None
+    for i, v in enumerate(values):
+        c = (F.when(index0 == i, F.lit(v)) if c is None else c.when(index0 == i, F.lit(v)))
+    return c
+
+
 def month_name(month: Column) -> Column:
     """Short month name by lookup."""
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month.cast("int"))
+    return pick(MONTH_NAMES, month.cast("int") - 1)
 
 
 def days_in_month(month: Column) -> Column:
     """Days per month with February = 28, as the carbon budget uses."""
-    return F.element_at(F.array(*[F.lit(d) for d in DAYS_IN_MONTH]), month.cast("int"))
+    return pick(DAYS_IN_MONTH, month.cast("int") - 1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from towerfill.functions import constants as K
+from towerfill.functions.calendar import pick
 
 
 def saturation_vp(t: Column) -> Column:
@@ -63,12 +64,12 @@ def _stability_bin(x: Column) -> Column:
 
 def stability_class(x: Column) -> Column:
     """Class label of the Obukhov length."""
-    return F.element_at(F.array(*[F.lit(s) for s in K.STABILITY_CLASSES]), _stability_bin(x) + 1)
+    return pick(K.STABILITY_CLASSES, _stability_bin(x))
 
 
 def stability_index(x: Column) -> Column:
     """Numeric stability index of the same bins."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in K.STABILITY_INDEX]), _stability_bin(x) + 1)
+    return pick([float(v) for v in K.STABILITY_INDEX], _stability_bin(x))
 
 
 def wind_sector_index(direction: Column) -> Column:
@@ -81,7 +82,7 @@ def wind_sector_index(direction: Column) -> Column:
 
 def wind_sector(direction: Column) -> Column:
     """C20: sector label N .. NNW."""
-    return F.element_at(F.array(*[F.lit(s) for s in K.WIND_SECTORS]), wind_sector_index(direction) + 1)
+    return pick(K.WIND_SECTORS, wind_sector_index(direction))
 
 
 def add_vpd(df: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,9 @@ def apply_encoding(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> DataFra
     for c, levels in vocab.items():
         if c not in df.columns:
             continue
-        m = F.create_map(*chain.from_iterable((F.lit(v), F.lit(i)) for i, v in enumerate(levels)))
         key = F.coalesce(F.col(c).cast("string"), F.lit(NAN))
-        repl[c] = F.coalesce(F.element_at(m, key), F.lit(list(levels).index(NAN))).cast("int")
+        code = F.lit(list(levels).index(NAN))  # null and unseen values
+        for i, v in reversed(list(enumerate(levels))):
+            code = F.when(key == F.lit(v), F.lit(i)).otherwise(code)
+        repl[c] = code.cast("int")
     return df.withColumns(repl)
