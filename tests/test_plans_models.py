@@ -115,3 +115,22 @@ def test_sinks_names_and_roundtrip(spark, tower_df):
     r = read_csv(spark, rp)
     assert rp.endswith("eval_report_co2_flux_MAR")
     assert {x.dependency_col for x in r.select("dependency_col").distinct().collect()} == {"air_temperature"}
+
+
+def test_train_targets_and_latest(spark, tower_df):
+    from towerfill.plans.modeling import train_targets
+    spec = FeatureSpec(targets=["co2_flux", "sensible_heat_flux"])
+    feats, enc = build_features(tower_df, TOWER, spec)
+    sets = {t: feature_lists(tower_df, feats, spec.targets, TOWER) for t in spec.targets}
+    models = train_targets(feats, spec.targets, sets, spec, enc, "rf", {"numTrees": 3, "maxDepth": 3})
+    assert set(models) == {"co2_flux", "sensible_heat_flux"}
+    # the ALL model of one target may use the other target's shift features (T22), never its own value
+    assert "sensible_heat_flux_lag_3" in models["co2_flux"].all_features
+    assert "co2_flux" not in models["co2_flux"].all_features
+    filled = fill.fill_gaps(tower_df, TOWER, models["sensible_heat_flux"])
+    assert filled.filter(F.col("sensible_heat_flux").isNull()).count() == 0
+    reg = ModelRegistry(spark, tempfile.mkdtemp(prefix="tf-reg2-"))
+    reg.save(models["co2_flux"])
+    gbt = train_targets(feats, ["co2_flux"], sets, spec, enc, "gbt", {"maxIter": 2})["co2_flux"]
+    reg.save(gbt)
+    assert reg.latest("co2_flux").model_type == "gbt" and reg.load("rf", "co2_flux").model_type == "rf"

@@ -791,6 +791,8 @@ def trained(spark, sf, model_type="rf", params=None):
 def _trained(spark, sf, model_type="rf", params=None):
     from towerfill.session import cut_lineage, scratch_path
     key = (sf, model_type, tuple(sorted((params or {}).items())))
+    if key in _MODELS and _MODELS[key][1].sparkSession is not spark:
+        del _MODELS[key]  # a new session: frames of the old one may be gone
     if key not in _MODELS:
         src, feats, enc, allf, timef, spec = _features(spark, sf)
         feats = cut_lineage(feats, "features")

@@ -104,6 +104,19 @@ def train_models(features: DataFrame, target: str, all_features: Sequence[str],
                          dict(params or {}))
 
 
+def train_targets(features: DataFrame, targets: Sequence[str], feature_sets: Mapping[str, tuple[list, list]],
+                  spec: FeatureSpec, encoding: Mapping, model_type: str = "rf",
+                  params: Mapping | None = None) -> dict[str, TrainedModels]:
+    """Models for several targets from one feature frame (built for all of them, T22).
+
+    ``feature_sets`` maps each target to its (ALL, TIME) feature lists.  Each fit is a
+    distributed MLlib job; the loop only walks the (few) targets."""
+    from towerfill.session import cut_lineage
+    feats = cut_lineage(features, "train-features")
+    return {t: train_models(feats, t, *feature_sets[t], spec, encoding, model_type, params, materialize=False)
+            for t in targets}
+
+
 class ModelRegistry:
     """K3: models saved under ``root/{type}/{target}`` with ``metadata.json``; lookup by exact
     ``(type, target)`` (T16: no suffix matching)."""
@@ -115,11 +128,12 @@ class ModelRegistry:
         return f"{self.root}/{model_type.lower()}/{target}"
 
     def save(self, tm: TrainedModels) -> str:
+        import time as _time
         d = self._dir(tm.model_type, tm.target)
         if tm.model_all is not None:
             tm.model_all.write().overwrite().save(f"{d}/ALL")
         tm.model_time.write().overwrite().save(f"{d}/TIME")
-        meta = json.dumps(tm.metadata())
+        meta = json.dumps({**tm.metadata(), "saved_at": _time.time()})
         self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{d}/metadata")
         return f"{tm.model_type}_{tm.target}"
 
@@ -130,6 +144,17 @@ class ModelRegistry:
         except Exception:  # noqa: BLE001
             return False
 
+    def latest(self, target: str, model_types: Sequence[str] = ("rf", "gbt")) -> TrainedModels:
+        """The newest saved model pair for ``target`` when no type is given."""
+        found = []
+        for t in model_types:
+            if self.exists(t, target):
+                meta = json.loads(self.spark.read.text(f"{self._dir(t, target)}/metadata").first()[0])
+                found.append((meta.get("saved_at", 0), t))
+        if not found:
+            raise KeyError(f"no model for target {target!r}")
+        return self.load(max(found)[1], target)
+
     def load(self, model_type: str, target: str) -> TrainedModels:
         d = self._dir(model_type, target)
         meta = json.loads(self.spark.read.text(f"{d}/metadata").first()[0])
