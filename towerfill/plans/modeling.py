@@ -95,11 +95,16 @@ def train_models(features: DataFrame, target: str, all_features: Sequence[str],
     counts = rows.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in all_features]).first().asDict()
     feats = [c for c in all_features if counts[c] > 0]
     complete = rows.filter(all_present(feats, rows))
-    model_all = None
-    if feats and complete.limit(1).count() > 0:
-        model_all = _pipeline(model_type, target, feats, "all", params).fit(complete)
     tfeats = list(time_features)
-    model_time = _pipeline(model_type, target, tfeats, "time", params).fit(rows)
+    fit_all = bool(feats) and complete.limit(1).count() > 0
+    # The two fits are independent: submit them from two driver threads so their
+    # jobs share the cluster instead of running one after the other.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fut_all = pool.submit(_pipeline(model_type, target, feats, "all", params).fit, complete) if fit_all else None
+        fut_time = pool.submit(_pipeline(model_type, target, tfeats, "time", params).fit, rows)
+        model_all = fut_all.result() if fut_all else None
+        model_time = fut_time.result()
     return TrainedModels(model_type, target, feats, tfeats, model_all, model_time, spec, dict(encoding),
                          dict(params or {}))
 
