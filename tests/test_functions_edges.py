@@ -81,3 +81,15 @@ def test_encoding_unseen_and_null_get_nan_code(spark):
     assert vocab == {"c": ["a", "b", "nan"]}
     new = spark.createDataFrame([("a",), ("zzz",), (None,), ("b",)], "c string")
     assert [r.c for r in apply_encoding(new, vocab).collect()] == [0, 2, 2, 1]
+
+
+def test_ensure_datetime(spark):
+    import pytest
+
+    from towerfill.timeline import ensure_datetime
+    df = spark.createDataFrame([("01.02.2024", "03:04:05", 1.0)], ["date", "time (UTC)", "v"])
+    assert str(ensure_datetime(df).first().datetime) == "2024-02-01 03:04:05"
+    has = spark.createDataFrame([(1.0,)], "v double").selectExpr("timestamp_ntz'2024-01-01 00:00:00' AS datetime", "v")
+    assert ensure_datetime(has) is has
+    with pytest.raises(ValueError):
+        ensure_datetime(spark.createDataFrame([(1.0,)], "v double"))
