@@ -170,6 +170,8 @@ def neighbour_frame(df: DataFrame, tl: Timeline, ahead: int, behind: int) -> tup
 def with_window_columns(df: DataFrame, tl: Timeline, ahead: int, behind: int,
                         build: "callable") -> DataFrame:
     """Add columns ``build(window) -> list[Column]`` evaluated exactly per series."""
-    x, w = neighbour_frame(df, tl, ahead, behind)
+    if use_direct(df, tl):  # plain per-series window: one projection, no bookkeeping columns
+        return df.select("*", *build(Window.partitionBy(*tl.series).orderBy(*tl.order_cols())))
+    x, w = neighbour_frame(df, tl.with_(strategy="blocked"), ahead, behind)  # already decided: split
     cols = build(w)
-    return x.select(*df.columns, *cols, HOME).filter(F.col(HOME)).drop(HOME)
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], *cols, HOME).filter(F.col(HOME)).drop(HOME)
