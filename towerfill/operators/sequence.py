@@ -4,12 +4,15 @@ The reference counts rows in file order (``shift``, ``rolling``, its gap loop).
 ``Window.partitionBy(series)`` would put a whole series in one task, and one
 series may hold a third of all rows.  So we split every series twice:
 
-1. ``index_rows`` numbers rows exactly.  Rows fall in time buckets whose width
-   is set per series from its density (``Timeline.bucket_rows`` rows per bucket on
-   average).  Per-bucket counts give each bucket's offset (a small table: one
-   row per bucket), and a ``row_number`` inside ``(series, bucket)`` finishes the
-   position.  The join and the window share one hash partitioning, so this is a
-   single shuffle of the data.
+1. ``index_rows`` numbers rows exactly.  By default (``numbering="range"``) the
+   rows are range-partitioned on the whole order key, which is unique, so the
+   partitions are balanced whatever the time density, even when one timestamp
+   repeats for a third of the rows; positions inside a partition come from a
+   sort, are written once, and small per-partition offsets finish them.
+   ``numbering="time"`` instead uses per-series time buckets sized from the
+   series' density (``Timeline.bucket_rows`` rows on average), per-bucket counts
+   and a ``row_number`` inside ``(series, bucket)``; it writes nothing but assumes
+   no bucket is hot.
 2. ``neighbour_frame`` cuts the numbered rows into fixed-size row blocks and copies
    the few rows a block needs from its neighbours (``ahead`` rows after it,
    ``behind`` rows before it).  Any ``lead``/``lag``/``rowsBetween`` expression
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from towerfill.session import cut_lineage
 from towerfill.timeline import Timeline
 
 INDEX = "_g"          # 0-based row position inside the series
@@ -96,6 +100,45 @@ def _index_direct(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
                      *[F.sum(F.col(c).isNull().cast("long")).over(run).alias(f"_nb_{c}") for c in nulls])
 
 
+def _index_range(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
+    """Row positions from a range partitioning of the whole order key.
+
+    The key (series, time, tiebreak) is unique, so Spark's sampled range bounds give
+    partitions of about equal size whatever the time density (bursts, repeated
+    stamps).  Inside a partition rows are sorted and numbered by
+    ``monotonically_increasing_id`` (partition index in the high bits, position in the
+    low bits); the result is written once, so positions are fixed for retries and
+    later jobs.  Per (series, partition): row count, first position and null counts
+    give exact offsets (a small table, windowed per series)."""
+    import math
+
+    x, s = _series(df, tl)
+    keys = [F.col(k).asc_nulls_first() for k in [*s, *tl.order]]
+    parts = max(1, math.ceil(x.count() / max(1, tl.bucket_rows)))
+    y = (x.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+          .withColumn("_mid", F.monotonically_increasing_id()))
+    y = y.select("*", F.shiftright("_mid", 33).alias("_p"),
+                 F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")).drop("_mid")
+    y = cut_lineage(y, "range-numbered")
+    aggs = [F.count(F.lit(1)).alias("_pn"), F.min("_pos").alias("_p0")]
+    aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"_pz_{i}") for i, c in enumerate(nulls)]
+    cnt = y.groupBy(*s, "_p").agg(*aggs)
+    before = Window.partitionBy(*s).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select(*s, "_p", "_p0", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_poff"),
+                     *[F.coalesce(F.sum(f"_pz_{i}").over(before), F.lit(0)).alias(f"_zoff_{i}")
+                       for i in range(len(nulls))])
+    y = join_on_keys(y, off, [*s, "_p"])
+    y = y.withColumn(INDEX, F.col("_poff") + F.col("_pos") - F.col("_p0"))
+    if nulls:
+        run = Window.partitionBy(*s, "_p").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+        for i, c in enumerate(nulls):
+            y = y.withColumn(f"_nb_{c}", F.col(f"_zoff_{i}") + F.sum(F.col(c).isNull().cast("long")).over(run))
+    drop = ["_p", "_pos", "_p0", "_poff", *[f"_zoff_{i}" for i in range(len(nulls))]]
+    if not tl.series:
+        drop.append(_ONE_SERIES)
+    return y.drop(*drop)
+
+
 def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = (),
                direct: bool | None = None) -> DataFrame:
     """Add ``_g``, the 0-based row position inside each series (order ``tl.order``).
@@ -107,6 +150,8 @@ def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = (),
     nulls = list(count_nulls_of)
     if direct if direct is not None else use_direct(df, tl):
         return _index_direct(df, tl, nulls)
+    if tl.numbering == "range":
+        return _index_range(df, tl, nulls)
     x, s = _series(df, tl)
     x = x.withColumn("_t", _order_value(x, tl.time))
 

@@ -24,6 +24,9 @@ class Timeline:
     # "auto": plain per-series window when the largest series has at most block_rows rows
     # (checked with one count per series), else split; "direct" / "blocked" force one path.
     strategy: str = "auto"
+    # Split-path numbering: "range" (balanced range partitions of the full order key,
+    # safe for any time density) or "time" (per-series time buckets, no extra write).
+    numbering: str = "range"
     # Target rows per time bucket used to number rows without a per-series sort.
     bucket_rows: int = 1 << 20
     extra: dict = field(default_factory=dict, compare=False)
@@ -45,7 +48,8 @@ class Timeline:
 
     def with_(self, **kw) -> "Timeline":
         d = dict(series=self.series, time=self.time, tiebreak=self.tiebreak,
-                 block_rows=self.block_rows, bucket_rows=self.bucket_rows, strategy=self.strategy)
+                 block_rows=self.block_rows, bucket_rows=self.bucket_rows, strategy=self.strategy,
+                 numbering=self.numbering)
         d.update(kw)
         return Timeline(**d)
 
