@@ -69,18 +69,35 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return out if how in ("left_semi", "left_anti", "semi", "anti") else out.drop(*ren.values())
 
 
+def _literal(value, dt: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(dt)
+    if isinstance(dt, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return F.array(*[_literal(v, dt.elementType) for v in value]).cast(dt)
+    return F.lit(value).cast(dt)
+
+
 def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Add the columns of a per-group table (one row per ``keys``) to every row.
 
-    With no keys the table has exactly one row, a proven size, and is broadcast.
-    With keys it has one row per group; AQE broadcasts it when it is small at run
-    time and otherwise splits a hot group's partition (skew join).  Rows whose
-    group has no row in ``small`` keep nulls (left join).
+    With keys the table has one row per group; AQE broadcasts it when it is small at
+    run time and otherwise splits a hot group's partition (skew join).  Rows whose
+    group has no row in ``small`` keep nulls (``how="left"``) or are dropped
+    (``"inner"``).  With no keys the table has at most one row, a proven size: its
+    values are read on the driver and added as literals, so no join is planned.
     """
     if keys:
         return join_on_keys(df, small, list(keys), how)
-    one = F.lit(0).alias("_one")
-    return df.select("*", one).join(F.broadcast(small.select("*", one)), "_one", how).drop("_one")
+    rows = small.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("attach without keys needs a table of at most one row")
+    if not rows and how == "inner":
+        return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema.fields])
+    row = rows[0] if rows else None
+    return df.select("*", *[_literal(row[f.name] if row else None, f.dataType).alias(f.name)
+                            for f in small.schema.fields])
 
 
 def use_direct(df: DataFrame, tl: Timeline) -> bool:
