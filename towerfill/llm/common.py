@@ -28,12 +28,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small_side(df: DataFrame, name: str, max_rows: int) -> tuple[DataFrame, bool]:
-    """``df`` written once to the shared folder, and whether it has at most ``max_rows`` rows.
+def small_side(df: DataFrame, name: str, size: Column, max_bytes: int) -> tuple[DataFrame, bool]:
+    """``df`` written once to the shared folder, and whether the sum of ``size`` over its rows is at most ``max_bytes``.
 
-    With at most ``max_rows`` rows it carries a broadcast hint; beyond that the
-    plain table comes back and the join shuffles.
+    If so it carries a broadcast hint; else the plain table comes back and the
+    join shuffles.
     """
     kept = cut_lineage(df, name)
-    fits = kept.count() <= max_rows
+    fits = (kept.agg(F.sum(size)).first()[0] or 0) <= max_bytes
     return (F.broadcast(kept) if fits else kept), fits

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from towerfill.llm import quality
+from towerfill.llm import decontam, quality, shards
 
 QUERIES = {
     "op6_quality_rules": quality.query,
+    "op7_minimax_shards": shards.query,
+    "op9_benchmark_decontamination": decontam.query,
 }
 
 ORACLE = {
     "op6_quality_rules": quality.ORACLE,
+    "op9_benchmark_decontamination": decontam.ORACLE,
 }
