@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from towerfill.llm import decontam, quality, shards
+from towerfill.llm import decontam, joinsim, quality, shards
 
 QUERIES = {
+    "op4_ngram_jaccard_join": joinsim.query,
     "op6_quality_rules": quality.query,
     "op7_minimax_shards": shards.query,
     "op9_benchmark_decontamination": decontam.query,
 }
 
 ORACLE = {
+    "op4_ngram_jaccard_join": joinsim.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
 }
