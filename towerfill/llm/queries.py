@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from towerfill.llm import decontam, joinsim, quality, shards
+from towerfill.llm import decontam, joinsim, quality, rlz, shards
 
 QUERIES = {
+    "op2_rlz_substring_dedup": rlz.query,
     "op4_ngram_jaccard_join": joinsim.query,
     "op6_quality_rules": quality.query,
     "op7_minimax_shards": shards.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_rlz_substring_dedup": rlz.ORACLE,
     "op4_ngram_jaccard_join": joinsim.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
