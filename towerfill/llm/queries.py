@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from towerfill.llm import decontam, joinsim, quality, rlz, shards
+from towerfill.llm import decontam, joinsim, packing, quality, rlz, shards, warc
 
 QUERIES = {
+    "op1_warc_dictionary": warc.query,
     "op2_rlz_substring_dedup": rlz.query,
     "op4_ngram_jaccard_join": joinsim.query,
     "op6_quality_rules": quality.query,
     "op7_minimax_shards": shards.query,
+    "op8_best_fit_packing": packing.query,
     "op9_benchmark_decontamination": decontam.query,
 }
 
 ORACLE = {
+    "op1_warc_dictionary": warc.ORACLE,
     "op2_rlz_substring_dedup": rlz.ORACLE,
     "op4_ngram_jaccard_join": joinsim.ORACLE,
     "op6_quality_rules": quality.ORACLE,
