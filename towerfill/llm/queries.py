@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from towerfill.llm import decontam, joinsim, packing, quality, rlz, shards, warc
+from towerfill.llm import chat, decontam, joinsim, packing, quality, rlz, shards, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_minimax_shards": shards.query,
     "op8_best_fit_packing": packing.query,
     "op9_benchmark_decontamination": decontam.query,
+    "op10_chat_formatting": chat.query,
 }
 
 ORACLE = {
@@ -20,4 +21,5 @@ ORACLE = {
     "op4_ngram_jaccard_join": joinsim.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
+    "op10_chat_formatting": chat.ORACLE,
 }
