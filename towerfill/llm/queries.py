@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from towerfill.llm import chat, decontam, joinsim, packing, quality, rlz, shards, warc
+from towerfill.llm import chat, decontam, joinsim, packing, pii, quality, rlz, shards, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op2_rlz_substring_dedup": rlz.query,
     "op4_ngram_jaccard_join": joinsim.query,
+    "op5_pii_crf": pii.query,
     "op6_quality_rules": quality.query,
     "op7_minimax_shards": shards.query,
     "op8_best_fit_packing": packing.query,
