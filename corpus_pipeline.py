@@ -1,12 +1,18 @@
-"""Corpus pipeline: the documents through four or five operators, each stage written as Parquet and read again."""
+"""Corpus pipeline: ``documents`` through five operators, each stage written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents; the last returns the
+packing of what is left, a row per piece.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from towerfill.llm import quality
+from towerfill.llm import decontam, joinsim, packing, pii, quality
+from towerfill.llm.common import words
 from towerfill.session import scratch_path
 
 
@@ -15,11 +21,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return joinsim.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; ``n_chars`` follows the text."""
+    return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces (by words) in bins of the permitted lengths."""
+    return packing.pack(docs, F.size(words(F.col("text"))))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", personal_data),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-#: The conditional random field's spans can't be had in SQL.
+#: The conditional random field's spans can't be had in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from towerfill.llm import chat, decontam, joinsim, packing, pii, quality, rlz, shards, warc
+from towerfill.llm import chat, decontam, joinsim, packing, pii, quality, rlz, shards, tagpath, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op2_rlz_substring_dedup": rlz.query,
+    "op3_tag_path_extraction": tagpath.query,
     "op4_ngram_jaccard_join": joinsim.query,
     "op5_pii_crf": pii.query,
     "op6_quality_rules": quality.query,
