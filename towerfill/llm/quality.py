@@ -49,17 +49,25 @@ def repeat_words(w: Column, width: int = WINDOW) -> Column:
 def score(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
     """The rows of ``docs`` with the base rule's counts and ``base_failed``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumns({"_q_t": t, "_q_w": words(F.col(text))})
-    lines = F.filter(F.split("_q_t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    d = d.withColumns({
-        "n_words": F.size("_q_w").cast("long"),
-        "word_chars": F.length(F.array_join("_q_w", "")).cast("long"),
-        "n_symbols": F.regexp_count("_q_t", F.lit(SYMBOLS)).cast("long"),
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+    def base(w: Column) -> Column:
+        return let(F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                            repeat_words(w).alias("n_repeat_words")), rule)
+
+    def rule(c: Column) -> Column:
+        failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_pct * c["n_words"])
+        return F.struct(c.alias("counts"), failed.alias("failed"))
+
+    # one expression holds the words, so that a filter on the rule that Spark moves to the scan splits each text once
+    return docs.withColumn("_q_base", let(words(F.col(text)), base)).withColumns({
+        "n_words": F.col("_q_base.counts.n_words"),
+        "word_chars": F.col("_q_base.counts.word_chars"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_q_w")),
-    }).drop("_q_t", "_q_w")
-    return d.withColumn("base_failed", (F.col("n_words") < min_words)
-                        | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
+        "n_repeat_words": F.col("_q_base.counts.n_repeat_words"),
+        "base_failed": F.col("_q_base.failed"),
+    }).drop("_q_base")
 
 
 def host_verdicts(scored: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
