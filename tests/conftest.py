@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from towerfill.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=4)
+    s = get_spark("local[4]", shuffle_partitions=4, **{"spark.driver.memory": "8g"})
     yield s
     s.stop()
 

@@ -56,9 +56,11 @@ def test_fill_invariants_and_registry_roundtrip(spark, tower_df):
     reg.save(tm)
     back = reg.load("rf", "co2_flux")
     assert back.all_features == tm.all_features and back.encoding == tm.encoding
-    a = fill.predict(feats, tm).select("event_id", "_pred_time", "_pred_all")
-    b = fill.predict(feats, back).select("event_id", "_pred_time", "_pred_all")
+    routed = fill.route(feats, "co2_flux", tm.all_features)
+    a, b = (fill.predict(routed, m).select("event_id", "route", "_pred") for m in (tm, back))
     assert a.exceptAll(b).count() == 0
+    assert a.filter("(route = 'observed') <> (_pred is null)").count() == 0
+    assert reg.exists("rf", "co2_flux") and not reg.exists("gbt", "co2_flux")
 
 
 def test_evaluate_report_and_gbt(spark, tower_df):

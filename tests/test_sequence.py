@@ -16,10 +16,9 @@ def test_index_is_dense_and_ordered(spark, tower_df):
     pdf = pdf.sort_values(["series_id", "datetime", "event_id"])
     pdf["g"] = pdf.groupby("series_id").cumcount()
     exp = dict(zip(pdf.event_id, pdf.g))
-    for numbering in ("time", "range"):
-        tl = TOWER.with_(bucket_rows=7, strategy="blocked", numbering=numbering)  # many tiny buckets / ranges
-        x = index_rows(tower_df.select("event_id", "series_id", "datetime"), tl)
-        assert {r.event_id: r[INDEX] for r in x.collect()} == exp, numbering
+    tl = TOWER.with_(bucket_rows=7, strategy="blocked")  # many tiny ranges
+    x = index_rows(tower_df.select("event_id", "series_id", "datetime"), tl)
+    assert {r.event_id: r[INDEX] for r in x.collect()} == exp
 
 
 def test_range_numbering_with_one_repeated_stamp(spark, tower_df):
@@ -43,13 +42,11 @@ def test_halo_blocks_equal_direct(spark, tower_df):
     kw = dict(shift_cols=["co2_flux"], rolling_cols=["co2_flux"], stats=["mean", "std", "min", "max"])
     direct = windows.add_window_features(base, TOWER.with_(block_rows=0), **kw)
     split = windows.add_window_features(base, TOWER.with_(block_rows=170, bucket_rows=11, strategy="blocked"), **kw)
-    split_time = windows.add_window_features(
-        base, TOWER.with_(block_rows=170, bucket_rows=11, strategy="blocked", numbering="time"), **kw)
     auto_small = windows.add_window_features(base, TOWER.with_(block_rows=100), **kw)  # series > 100 rows: split
     auto_big = windows.add_window_features(base, TOWER, **kw)  # series fit a block: plain window
     a, b = _rows(direct), _rows(split)
     assert len(a) == base.count() and a == b
-    assert _rows(auto_small) == a and _rows(auto_big) == a and _rows(split_time) == a
+    assert _rows(auto_small) == a and _rows(auto_big) == a
     fwd_d = windows.add_shift_features(base, TOWER.with_(block_rows=0), ["co2_flux"], direction="forward")
     fwd_s = windows.add_shift_features(base, TOWER.with_(block_rows=168, bucket_rows=5, strategy="blocked"), ["co2_flux"],
                                        direction="forward")
@@ -69,9 +66,7 @@ def test_lead_then_lag_is_identity(spark, tower_df):
 def test_gap_runs_cover_all_nulls(spark, tower_df):
     runs = gaps.gap_runs(tower_df, TOWER.with_(bucket_rows=13, strategy="blocked"), "co2_flux")
     direct = gaps.gap_runs(tower_df, TOWER, "co2_flux")
-    by_time = gaps.gap_runs(tower_df, TOWER.with_(bucket_rows=13, strategy="blocked", numbering="time"), "co2_flux")
     assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, direct.collect()))
-    assert sorted(map(tuple, by_time.collect())) == sorted(map(tuple, direct.collect()))
     total = runs.agg(F.sum("length")).first()[0]
     assert total == tower_df.filter(F.col("co2_flux").isNull()).count()
     pdf = tower_df.select("series_id", "datetime", "event_id", "co2_flux").toPandas()

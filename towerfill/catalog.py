@@ -779,27 +779,25 @@ def q_fill_summary(spark, sf):
     return _fill.fill_summary(_fill.route(feats, "co2_flux", allf), ["series_id"])
 
 
-# Models are trained once per (data, type) in this process and saved in the registry;
-# the feature frame is written once and serves both training and filling.
-_MODELS: dict = {}
-
-
 def trained(spark, sf, model_type="rf", params=None):
     return _trained(spark, sf, model_type, params)[0]
 
 
 def _trained(spark, sf, model_type="rf", params=None):
+    """The models for ``sf``, from this application's registry if they were saved there, else trained and saved;
+    and the feature frame, built with the models' stored encoding."""
+    import hashlib
+    import json
+
     from towerfill.session import cut_lineage, scratch_path
-    key = (sf, model_type, tuple(sorted((params or {}).items())))
-    if key in _MODELS and _MODELS[key][1].sparkSession is not spark:
-        del _MODELS[key]  # a new session: frames of the old one may be gone
-    if key not in _MODELS:
-        src, feats, enc, allf, timef, spec = _features(spark, sf)
-        feats = cut_lineage(feats, "features")
-        tm = _model.train_models(feats, "co2_flux", allf, timef, spec, enc, model_type, params, materialize=False)
-        _model.ModelRegistry(spark, scratch_path(spark, "models", format(abs(hash(key)), "x"))).save(tm)
-        _MODELS[key] = (tm, feats)
-    return _MODELS[key]
+    key = json.dumps([sf, model_type, sorted((params or {}).items())])
+    root = scratch_path(spark, "models", spark.sparkContext.applicationId, hashlib.md5(key.encode()).hexdigest())
+    registry = _model.ModelRegistry(spark, root)
+    src, feats, enc, allf, timef, spec = _features(spark, sf)
+    feats = cut_lineage(feats, "features")
+    if not registry.exists(model_type, "co2_flux"):
+        registry.save(_model.train_models(feats, "co2_flux", allf, timef, spec, enc, model_type, params, materialize=False))
+    return registry.load(model_type, "co2_flux"), feats
 
 
 def _filled(spark, sf, model_type="rf", keep_original=False):
@@ -1002,31 +1000,34 @@ def q_csv_roundtrip(spark, sf):
     return _layout_out(df, label, _RT_COLS)
 
 
-def _write_zips(spark, df, folder):
-    """Stand-in input for S2/S3: each partition becomes one ZIP holding one CSV member that
-    starts with two metadata lines (written by the executors into the shared folder)."""
-    import os
+def _write_zips(spark, df, folder, quoted=False):
+    """Stand-in input for S2/S3: each partition becomes one ZIP holding one CSV member that starts with two
+    metadata lines, streamed batch by batch into the shared folder."""
+    from towerfill.session import make_folder
+    uri = make_folder(spark, folder)
 
     def write(batches):
-        import io as _io
+        import csv as _csv
         import uuid as _uuid
         import zipfile as _zf
 
         import pandas as _pd
-        parts = [b for b in batches]
-        if not parts:
-            return
-        pdf = _pd.concat(parts)
-        buf = _io.StringIO()
-        buf.write("site: tower\nexported by: towerfill\n")
-        pdf.to_csv(buf, index=False, date_format="%Y-%m-%d %H:%M:%S.%f")
-        name = os.path.join(folder, f"part-{_uuid.uuid4().hex}.zip")
-        with _zf.ZipFile(name, "w", _zf.ZIP_DEFLATED) as z:
-            z.writestr("data/tower.csv", buf.getvalue())
+        from pyarrow import fs as _fs
+        files, path = _fs.FileSystem.from_uri(uri)
+        name, rows = f"part-{_uuid.uuid4().hex}.zip", 0
+        with files.open_output_stream(f"{path}/{name}") as out, _zf.ZipFile(out, "w", _zf.ZIP_DEFLATED) as z:
             z.writestr("README.md", "not a table")
+            with z.open("data/tower.csv", "w", force_zip64=True) as member:
+                member.write(b"site: tower\nexported by: towerfill\n")
+                for pdf in batches:
+                    member.write(pdf.to_csv(index=False, header=not rows, date_format="%Y-%m-%d %H:%M:%S.%f",
+                                            quoting=_csv.QUOTE_NONNUMERIC if quoted else _csv.QUOTE_MINIMAL).encode())
+                    rows += len(pdf)
+                if not rows:
+                    member.write((",".join(df_columns) + "\n").encode())
         yield _pd.DataFrame({"file": [name]})
 
-    os.makedirs(folder, exist_ok=True)
+    df_columns = list(df.columns)
     return df.mapInPandas(write, "file string").collect()
 
 
@@ -1045,5 +1046,70 @@ def q_zip_ingest(spark, sf):
     return _layout_out(df, label, _RT_COLS)
 
 
+@register("zip_quoted_skip", W + " SELECT datetime, CAST(event_id AS BIGINT) AS event_id, 'x, ' || series_id || chr(10) || 'y' "
+          "AS note, round(co2_flux, 6) AS co2_flux FROM tower")
+def q_zip_quoted_skip(spark, sf):
+    """ZIP members with metadata lines and quoted commas and line breaks lose no row and no header."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    folder = scratch_path(spark, "zips", uuid.uuid4().hex)
+    note = F.concat(F.lit("x, "), F.col("series_id"), F.lit("\ny"))
+    _write_zips(spark, tower(spark, sf).select("datetime", "event_id", note.alias("note"), "co2_flux"), folder, quoted=True)
+    df, _ = _lay.detect_layout(_arch.read_table(spark, folder, skip_rows="auto", glob="*.zip"))
+    return df.select("datetime", "event_id", "note", "co2_flux")
+
+
+@register("csv_column_order", W + " SELECT CAST(event_id AS BIGINT) AS event_id, CAST(k AS BIGINT) AS k, round(wind_speed, 6) AS wind_speed, "
+          "CASE WHEN event_id % 2 = 0 THEN round(air_temperature, 6) END AS air_temperature FROM tower")
+def q_csv_column_order(spark, sf):
+    """Files with other column orders, and one without a column, are read together by name."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    path = scratch_path(spark, "columns", uuid.uuid4().hex)
+    t = tower(spark, sf)
+    _text.write_csv(t.filter("event_id % 2 = 0").select("event_id", "k", "wind_speed", "air_temperature"), f"{path}/a")
+    _text.write_csv(t.filter("event_id % 2 = 1").select("wind_speed", "event_id", "k"), f"{path}/b")
+    return _text.read_csv(spark, f"{path}/*")
+
+
+@register("csv_bad_rows", W + " SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 7 <> 1 THEN CAST(k AS BIGINT) END AS k "
+          "FROM tower WHERE event_id % 5 <> 2")
+def q_csv_bad_rows(spark, sf):
+    """Rows with more fields than the header go (the default raises), rows with fewer are filled with nulls."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    path = scratch_path(spark, "bad", uuid.uuid4().hex)
+    line = (F.when(F.expr("event_id % 5 = 2"), F.concat_ws(",", "event_id", "k", F.lit("extra")))
+            .when(F.expr("event_id % 7 = 1"), F.col("event_id").cast("string")).otherwise(F.concat_ws(",", "event_id", "k")))
+    _text.write_csv(tower(spark, sf).select(line.alias("event_id,k")), f"{path}/lines", sep="|")  # lines as they are
+    return _text.read_csv(spark, f"{path}/lines", bad_rows="drop")
+
+
+@register("layout_general_formats", W + " SELECT CAST(event_id AS BIGINT) AS event_id, CASE CAST(event_id % 4 AS INT) "
+          "WHEN 0 THEN date_trunc('month', datetime) WHEN 1 THEN date_trunc('minute', datetime) WHEN 2 THEN date_trunc('second', datetime) "
+          "- INTERVAL 2 HOUR ELSE date_trunc('second', datetime) END AS datetime FROM tower")
+def q_layout_general_formats(spark, sf):
+    """S4f, C11: yyyyMM, day-first, offset and ISO stamps in one column, parsed by shape."""
+    stamp = (F.when(F.expr("event_id % 4 = 0"), _stamp("yyyyMM")).when(F.expr("event_id % 4 = 1"), _stamp("dd/MM/yyyy HH:mm"))
+             .when(F.expr("event_id % 4 = 2"), F.concat(_stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+             .otherwise(_stamp("yyyy-MM-dd HH:mm:ss")))
+    df, _ = _lay.detect_layout(tower(spark, sf).select(stamp.alias("timestamp"), "event_id"))
+    return df.select("event_id", "datetime")
+
+
+@register("layout_error_label", "SELECT label FROM (VALUES ('UNKNOWN (failed time parse)'), ('FLUXNET (timestamp error)'), "
+          "('UNKNOWN (no time column)'), ('GENERAL TIME SERIES')) t(label)")
+def q_layout_error_label(spark, sf):
+    """Labels of tables whose stamps don't parse, that have no time column, and that are well."""
+    t = tower(spark, sf)
+    tables = [t.select(F.col("series_id").alias("timestamp"), "k"),
+              t.select(F.col("series_id").alias("TIMESTAMP_START"), F.col("series_id").alias("TIMESTAMP_END"), "k"),
+              t.select("event_id", "k"), t.select(_stamp("yyyy-MM-dd HH:mm:ss").alias("timestamp"), "k")]
+    return spark.createDataFrame([(_lay.detect_layout(x)[1],) for x in tables], "label string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["fill_routing"](spark, sf_dir)

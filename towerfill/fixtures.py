@@ -9,6 +9,8 @@ shapes input rows; every operator under test runs in the library.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from towerfill.timeline import Timeline
@@ -51,14 +53,8 @@ TOWER_VARIABLES = [
 
 def tower(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tower view over ``{sf_dir}/events.parquet`` (lazy; columns pruned by Catalyst)."""
-    name = "towerfill_events_" + format(abs(hash(sf_dir)) % (1 << 40), "x")
+    name = "towerfill_events_" + hashlib.md5(sf_dir.encode()).hexdigest()[:12]
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        # The driver's files are single row groups, so the scan is one task; spread the rows
-        # over the cores (round-robin, sorted first so retries see the same partitions).
-        # Real inputs are many files and skip this.
-        events = events.repartition(cores)
     events.createOrReplaceTempView(name)
     return spark.sql(TOWER_BODY.format(DT=SPARK_DT, K=SPARK_K, EVENTS=name))
 

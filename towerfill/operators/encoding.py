@@ -3,9 +3,9 @@
 The vocabulary is the sorted distinct values as strings with ``nan`` for null,
 and ``nan`` is always reserved, so rows with null or unseen values at apply time
 get the code of ``nan`` instead of shifting other codes.  The encoded columns
-come from fixed label sets (8 stability classes, 16 wind sectors); the fit
-refuses more than ``max_levels`` values rather than pull an unbounded set to the
-driver.
+come from fixed label sets (8 stability classes, 16 wind sectors); the fit counts
+the levels on the executors first and never pulls more than ``max_levels`` of them
+to the driver.
 """
 
 from __future__ import annotations
@@ -19,18 +19,20 @@ NAN = "nan"
 
 
 def fit_encoding(df: DataFrame, cols: Sequence[str], max_levels: int = 4096) -> dict[str, list[str]]:
-    """One aggregate (``collect_set`` per column, partially aggregated).
+    """Distinct levels per column, cut at ``max_levels + 1`` rows before anything is collected.
 
     Meant for columns with a bounded label set (the stability and wind-sector
     labels have 8 and 16); more than ``max_levels`` values is an error."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}
-    row = df.agg(*[F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(NAN))).alias(c) for c in cols]).first()
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(NAN)).alias("v"))
+                                for c in cols])).alias("p")
+    rows = df.select(pairs).select("p.c", "p.v").distinct().limit(len(cols) * max_levels + 1).collect()
     vocab = {}
     for c in cols:
-        v = set(row[c]) | {NAN}
-        if len(v) > max_levels:
+        v = {r.v for r in rows if r.c == c} | {NAN}
+        if len(v) > max_levels or len(rows) > len(cols) * max_levels:
             raise ValueError(f"{c} has more than {max_levels} distinct values; not a categorical column")
         vocab[c] = sorted(v)
     return vocab

@@ -4,15 +4,11 @@ The reference counts rows in file order (``shift``, ``rolling``, its gap loop).
 ``Window.partitionBy(series)`` would put a whole series in one task, and one
 series may hold a third of all rows.  So we split every series twice:
 
-1. ``index_rows`` numbers rows exactly.  By default (``numbering="range"``) the
-   rows are range-partitioned on the whole order key, which is unique, so the
-   partitions are balanced whatever the time density, even when one timestamp
-   repeats for a third of the rows; positions inside a partition come from a
-   sort, are written once, and small per-partition offsets finish them.
-   ``numbering="time"`` instead uses per-series time buckets sized from the
-   series' density (``Timeline.bucket_rows`` rows on average), per-bucket counts
-   and a ``row_number`` inside ``(series, bucket)``; it writes nothing but assumes
-   no bucket is hot.
+1. ``index_rows`` numbers rows exactly.  The rows are range-partitioned on the
+   whole order key, which is unique, so the partitions are balanced whatever the
+   time density, even when one timestamp repeats for a third of the rows; positions
+   inside a partition come from a sort, are written once, and small per-partition
+   offsets finish them.
 2. ``neighbour_frame`` cuts the numbered rows into fixed-size row blocks and copies
    the few rows a block needs from its neighbours (``ahead`` rows after it,
    ``behind`` rows before it).  Any ``lead``/``lag``/``rowsBetween`` expression
@@ -48,18 +44,6 @@ def _series(df: DataFrame, tl: Timeline) -> tuple[DataFrame, list[str]]:
     return df.withColumn(_ONE_SERIES, F.lit(0)), [_ONE_SERIES]
 
 
-def _order_value(df: DataFrame, col: str) -> Column:
-    """A long that never decreases along the row order (micros for timestamps)."""
-    dt = df.schema[col].dataType
-    if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{col}`)")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(F.col(col))
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(col)).cast("long")
-    return F.floor(F.col(col)).cast("long")
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``keys``; the right side's key columns are dropped."""
     ren = {k: f"_r_{k}" for k in keys}
@@ -167,41 +151,7 @@ def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = (),
     nulls = list(count_nulls_of)
     if direct if direct is not None else use_direct(df, tl):
         return _index_direct(df, tl, nulls)
-    if tl.numbering == "range":
-        return _index_range(df, tl, nulls)
-    x, s = _series(df, tl)
-    x = x.withColumn("_t", _order_value(x, tl.time))
-
-    # Per-series density -> bucket width (one row per series).
-    stats = (x.groupBy(*s)
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-              .select(*s, "_lo",
-                      F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1).cast("double")
-                                                  * float(tl.bucket_rows) / F.col("_n"))).cast("long").alias("_w")))
-    x = join_on_keys(x, stats, s)
-    x = x.withColumn("_tb", F.when(F.col("_t").isNull(), F.lit(-1).cast("long"))
-                     .otherwise(F.expr("(_t - _lo) div _w"))).drop("_lo", "_w")
-
-    # Per-bucket counts -> offsets (one row per bucket, windowed per series).
-    aggs = [F.count(F.lit(1)).alias("_bn")]
-    aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"_bz_{i}") for i, c in enumerate(nulls)]
-    cnt = x.groupBy(*s, "_tb").agg(*aggs)
-    before = Window.partitionBy(*s).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(*s, "_tb",
-                     F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"),
-                     *[F.coalesce(F.sum(f"_bz_{i}").over(before), F.lit(0)).alias(f"_zoff_{i}")
-                       for i in range(len(nulls))])
-    x = join_on_keys(x, off, [*s, "_tb"])
-
-    inner = Window.partitionBy(*s, "_tb").orderBy(*tl.order_cols())
-    x = x.withColumn(INDEX, F.col("_boff") + F.row_number().over(inner) - 1)
-    running = inner.rowsBetween(Window.unboundedPreceding, 0)
-    for i, c in enumerate(nulls):
-        x = x.withColumn(f"_nb_{c}", F.col(f"_zoff_{i}") + F.sum(F.col(c).isNull().cast("long")).over(running))
-    drop = ["_t", "_tb", "_boff", *[f"_zoff_{i}" for i in range(len(nulls))]]
-    if not tl.series:
-        drop.append(_ONE_SERIES)
-    return x.drop(*drop)
+    return _index_range(df, tl, nulls)
 
 
 def neighbour_frame(df: DataFrame, tl: Timeline, ahead: int, behind: int) -> tuple[DataFrame, Window]:

@@ -57,8 +57,8 @@ def evaluate(df: DataFrame, tl: Timeline, tm: TrainedModels, mechanism: str = "M
         base = gapped0.drop(orig, f"_masked_{t}")
         allf, timef = feature_lists(base, gapped.drop(orig, f"_masked_{t}"), spec.targets, tl)
         models = train_models(gapped.drop(orig, f"_masked_{t}"), t, allf, timef, spec, enc, tm.model_type, tm.params)
-    routed = route(predict(gapped, models), t, models.all_features, models.model_all is not None)
-    filled = apply_fill(routed, t).filter(F.col(f"_masked_{t}") == 1)
+    routed = route(gapped, t, models.all_features, models.model_all is not None)
+    filled = apply_fill(predict(routed, models), t).filter(F.col(f"_masked_{t}") == 1)
     return filled.select(*keys, F.col(orig).alias("original"), F.col(t).alias("filled"),
                          (F.col(orig) - F.col(t)).alias("residual"), "route",
                          F.lit(mechanism).alias("mechanism"), F.lit(float(p)).alias("nan_percentage"),

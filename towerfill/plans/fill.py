@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from towerfill.plans.features import build_features
 from towerfill.plans.modeling import TrainedModels, all_present
+from towerfill.session import cut_lineage
 from towerfill.timeline import Timeline
 
 
@@ -24,34 +25,36 @@ def route(df: DataFrame, target: str, all_features: Sequence[str], has_all: bool
     return df.withColumns({"filled": F.col(target).isNull().cast("int"), "route": r})
 
 
-def predict(df: DataFrame, tm: TrainedModels) -> DataFrame:
-    """M5: both models' predictions as ``_pred_all`` / ``_pred_time`` (null ALL if none was trained)."""
-    x = tm.model_time.transform(df)
+def predict(routed: DataFrame, tm: TrainedModels) -> DataFrame:
+    """M5: ``_pred`` for the rows to be filled: ALL where routed to ALL, TIME where routed to TIME.
+
+    Each model scores only its own rows; observed rows pass by both (null ``_pred``)."""
+    keep = [F.col(f"`{c}`") for c in routed.columns]
+    none = F.lit(None).cast("double").alias("_pred")
+    out = routed.filter("route = 'observed'").select(*keep, none)
+    out = out.unionByName(tm.model_time.transform(routed.filter("route = 'TIME'")).select(*keep, F.col("_pred_time").alias("_pred")))
     if tm.model_all is not None:
-        x = tm.model_all.transform(x)
-    else:
-        x = x.withColumn("_pred_all", F.lit(None).cast("double"))
-    return x.drop("_f_all", "_f_time")
+        out = out.unionByName(tm.model_all.transform(routed.filter("route = 'ALL'")).select(*keep, F.col("_pred_all").alias("_pred")))
+    return out
 
 
 def apply_fill(routed: DataFrame, target: str, keep_original: bool = False) -> DataFrame:
-    value = (F.when(F.col("route") == "observed", F.col(target))
-              .when(F.col("route") == "ALL", F.col("_pred_all")).otherwise(F.col("_pred_time")))
+    value = F.coalesce(F.col(target), F.col("_pred"))
     if keep_original:
         routed = routed.withColumn(f"{target}_original", F.col(target))
-    return routed.withColumn(target, value).drop("_pred_all", "_pred_time")
+    return routed.withColumn(target, value).drop("_pred")
 
 
 def fill_with_features(feats: DataFrame, tm: TrainedModels, keep_original: bool = False) -> DataFrame:
     """M5-M7 on a feature frame already built with ``tm.spec`` and ``tm.encoding``."""
-    routed = route(predict(feats, tm), tm.target, tm.all_features, tm.model_all is not None)
-    return apply_fill(routed, tm.target, keep_original)
+    routed = route(feats, tm.target, tm.all_features, tm.model_all is not None)
+    return apply_fill(predict(routed, tm), tm.target, keep_original)
 
 
 def fill_gaps(df: DataFrame, tl: Timeline, tm: TrainedModels, keep_original: bool = False) -> DataFrame:
     """M7: features (with the stored encoding) -> predict -> route -> filled target."""
     feats, _ = build_features(df, tl, tm.spec, tm.encoding)
-    return fill_with_features(feats, tm, keep_original)
+    return fill_with_features(cut_lineage(feats, "fill-features"), tm, keep_original)  # three branches read it
 
 
 def fill_summary(filled: DataFrame, by: Sequence[str] = ()) -> DataFrame:

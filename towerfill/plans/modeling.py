@@ -143,11 +143,8 @@ class ModelRegistry:
         return f"{tm.model_type}_{tm.target}"
 
     def exists(self, model_type: str, target: str) -> bool:
-        try:
-            self.spark.read.text(f"{self._dir(model_type, target)}/metadata").first()
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._dir(model_type, target)}/metadata/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def latest(self, target: str, model_types: Sequence[str] = ("rf", "gbt")) -> TrainedModels:
         """The newest saved model pair for ``target`` when no type is given."""

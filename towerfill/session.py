@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,66 +15,79 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
-    # Wide feature plans (about 100 derived columns over null filters) make Catalyst's
-    # constraint propagation take tens of seconds per query; it adds nothing here.
-    "spark.sql.constraintPropagation.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-def get_spark(master: str = "local[*]", app: str = "towerfill", shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, app: str = "towerfill", shuffle_partitions: int | None = None,
               **conf: str) -> SparkSession:
-    """Build (or reuse) a session with the defaults this library assumes."""
-    b = SparkSession.builder.master(master).appName(app)
-    for k, v in {**DEFAULT_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **conf}.items():
+    """Build (or reuse) a session with the defaults this library assumes.
+
+    The master, the memory and the number of shuffle partitions are the
+    deployment's, unless the caller names them.
+    """
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in {**DEFAULT_CONF, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system).
-    Only when it is unset (local tests) do we create a private temp folder.
+    A deployment has to set it (a shared file system). Only a session inside one
+    machine (a ``local`` master, as in tests) gets a folder of its own if it is unset.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="towerfill-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some deployments lock core confs; the context dir below still holds it
-            pass
-    return d
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    d = checkpoint_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
+        d = spark.sparkContext.getCheckpointDir()
     return d
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (never a machine-local temp dir)."""
-    return os.path.join(ensure_checkpoint_dir(spark), *parts)
+    return os.path.join(checkpoint_dir(spark), *parts)
 
 
-def cut_lineage(df, name: str = "stage"):
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     This ends the lineage (later jobs and retries after a lost executor start from
     the files, not from the upstream shuffles) and, unlike ``Dataset.checkpoint``,
-    computes the frame once and stores it columnar.
+    computes the frame once and stores it columnar. The folders of a session lie
+    together (``stages_path``); ``drop_stages`` removes them once their readers are done.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = scratch_path(spark, "stages", f"{name}-{uuid.uuid4().hex}")
+    path = f"{stages_path(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stages_path(spark: SparkSession) -> str:
+    """The folder of this application's stages."""
+    return scratch_path(spark, "stages", spark.sparkContext.applicationId)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stage folders; frames that still read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stages_path(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def make_folder(spark: SparkSession, folder: str) -> str:
+    """Create ``folder`` through Spark's file systems; returns its full URI (``scheme://...``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    uri = files.makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)

@@ -1,12 +1,12 @@
 """Line-numbered scans: ZIP members and files with metadata lines.
 
-``binaryFile`` gives one row per file; a ``mapInPandas`` step opens each file in
-its task (ZIP members are streamed, never extracted to disk) and emits
-``(source, member, line_no, line)`` rows in batches.  Header detection, the
-metadata-line skip and CSV parsing (``from_csv``) then run as Spark expressions.
-A ZIP is not splittable, so each archive is one task; many archives spread
-across the cluster.  ``binaryFile`` loads a whole file per row, which bounds a
-single archive to under 2 GB.
+A ZIP is read by ``binaryFile`` (one row per file) and a ``mapInPandas`` step that
+streams its members in the task and emits ``(source, member, line_no, line)`` rows in
+batches. Other files go through Spark's splittable text source. The lines are
+written once to the shared folder, so an archive is opened once; header detection,
+the metadata-line skip and CSV parsing (``from_csv``) then run as Spark expressions.
+A ZIP is not splittable, so each archive is one task, and ``binaryFile`` bounds a
+single archive to under 2 GB; many archives spread across the cluster.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from towerfill.sources.text import infer_types, null_tokens
+from towerfill.session import cut_lineage
+from towerfill.sources.text import header_names, infer_types, n_fields, null_tokens
 
 LINES_SCHEMA = T.StructType([T.StructField("source", T.StringType()), T.StructField("member", T.StringType()),
                              T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
@@ -32,14 +33,21 @@ def _is_table(name: str) -> bool:
 
 
 def _emit(source: str, member: str, text: io.TextIOBase) -> Iterator[pd.DataFrame]:
-    buf, n = [], 0
+    buf, n, begun = [], 0, ""
     for line in text:
+        begun += line
+        if begun.count('"') % 2:  # a quoted line break: the record goes on
+            continue
         n += 1
-        buf.append(line.rstrip("\r\n"))
+        buf.append(begun.rstrip("\r\n"))
+        begun = ""
         if len(buf) >= BATCH:
             yield pd.DataFrame({"source": source, "member": member, "line_no": range(n - len(buf) + 1, n + 1),
                                 "line": buf})
             buf = []
+    if begun:
+        n += 1
+        buf.append(begun.rstrip("\r\n"))
     if buf:
         yield pd.DataFrame({"source": source, "member": member, "line_no": range(n - len(buf) + 1, n + 1),
                             "line": buf})
@@ -48,46 +56,57 @@ def _emit(source: str, member: str, text: io.TextIOBase) -> Iterator[pd.DataFram
 def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            raw = bytes(content)
-            if zipfile.is_zipfile(io.BytesIO(raw)):
-                with zipfile.ZipFile(io.BytesIO(raw)) as zf:
-                    for name in sorted(n for n in zf.namelist() if _is_table(n)):
-                        with zf.open(name) as fh:
-                            yield from _emit(path, name, io.TextIOWrapper(fh, encoding="utf-8"))
-            else:
-                yield from _emit(path, "", io.StringIO(raw.decode("utf-8")))
+            with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                for name in sorted(n for n in zf.namelist() if _is_table(n)):
+                    with zf.open(name) as fh:
+                        yield from _emit(path, name, io.TextIOWrapper(fh, encoding="utf-8"))
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per text line of every file (and every .csv/.txt member of every ZIP)."""
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(path).select("path", "content").mapInPandas(_split_files, LINES_SCHEMA)
-
+    """One row per record of every file (and every .csv/.txt member of every ``.zip``); written once.
 
-def _fields(line):
-    return F.size(F.split(line, ",", -1))
+    In a plain file ``line_no`` counts from 1 inside its first split and only grows after it.
+    """
+    def source(kind: str):
+        r = spark.read.format(kind).option("recursiveFileLookup", True)
+        return r.option("pathGlobFilter", glob) if glob else r
+
+    files = source("binaryFile").load(path).select("path")
+    zips = F.lower(F.col("path")).endswith(".zip")
+    kinds = files.agg(F.max(zips).alias("zip"), F.max(~zips).alias("plain")).first()
+    parts = []
+    if kinds.zip:
+        raw = source("binaryFile").load(path).filter(zips).select("path", "content")
+        parts.append(raw.mapInPandas(_split_files, LINES_SCHEMA))
+    if kinds.plain:
+        rows = (source("text").load(path).select(F.col("_metadata.file_path").alias("source"), F.lit("").alias("member"),
+                                                 F.monotonically_increasing_id().alias("_n"), F.col("value").alias("line"))
+                .filter(~F.lower(F.col("source")).endswith(".zip")))
+        start = rows.groupBy("source").agg(F.min("_n").alias("_first")).withColumnRenamed("source", "_source")
+        rows = rows.join(start, F.col("source") == F.col("_source"))
+        parts.append(rows.select("source", "member", (F.col("_n") - F.col("_first") + 1).alias("line_no"), "line"))
+    if not parts:
+        raise ValueError(f"no file found under {path}")
+    return cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "lines")
 
 
 def read_table(spark: SparkSession, path: str, member: str | None = None, skip_rows: int | str = "auto",
                glob: str | None = None, infer: bool = True) -> DataFrame:
     """S2 + S3: parse CSV members/files after ``skip_rows`` metadata lines.
 
-    ``skip_rows="auto"`` skips 2 lines in a file whose first line has fewer fields
-    than its third (what the reference's parser-error retry amounts to).  All
-    selected files must share one header; ``member`` picks one archive member.
+    ``skip_rows="auto"`` skips 2 lines in a file in which any row has more fields than
+    the first line, as the reference does when its parser fails. A row that has more
+    fields than the header after that raises. All selected files must share one
+    header; ``member`` picks one archive member.
     """
     lines = read_lines(spark, path, glob)
     if member is not None:
         lines = lines.filter(F.col("member") == member)
     keys = ["source", "member"]
     if skip_rows == "auto":
-        probe = (lines.filter(F.col("line_no").isin(1, 3))
-                 .groupBy(*keys)
-                 .agg(F.max(F.when(F.col("line_no") == 1, _fields(F.col("line")))).alias("f1"),
-                      F.max(F.when(F.col("line_no") == 3, _fields(F.col("line")))).alias("f3")))
-        skip = probe.select(*keys, F.when(F.col("f1") < F.col("f3"), F.lit(2)).otherwise(F.lit(0)).alias("_skip"))
+        n = n_fields(F.col("line"))
+        probe = lines.groupBy(*keys).agg(F.max(F.when(F.col("line_no") == 1, n)).alias("head"), F.max(n).alias("most"))
+        skip = probe.select(*keys, F.when(F.col("most") > F.col("head"), F.lit(2)).otherwise(F.lit(0)).alias("_skip"))
         lines = lines.join(skip, keys)  # one row per file
     else:
         lines = lines.withColumn("_skip", F.lit(int(skip_rows)))
@@ -96,26 +115,12 @@ def read_table(spark: SparkSession, path: str, member: str | None = None, skip_r
         raise ValueError(f"no table found under {path}")
     if len(headers) > 1:
         raise ValueError("selected files have different headers; pick one member")
-    names = _parse_header(headers[0].line)
+    names = header_names(headers[0].line)
     ddl = ", ".join(f"`{n}` STRING" for n in names)
     data = lines.filter(F.col("line_no") > F.col("_skip") + 1).filter(F.length(F.trim("line")) > 0)
-    parsed = data.select(F.from_csv(F.col("line"), ddl, {"nullValue": ""}).alias("r")).select("r.*")
+    bad = data.filter(n_fields(F.col("line")) > len(names)).limit(1).collect()
+    if bad:
+        raise ValueError(f"a row has more fields than the header: {bad[0].line!r}")
+    parsed = data.select(F.from_csv(F.col("line"), ddl, {"nullValue": "", "escape": '"'}).alias("r")).select("r.*")
     parsed = null_tokens(parsed)
     return infer_types(parsed) if infer else parsed
-
-
-def _parse_header(line: str) -> list[str]:
-    import csv
-    names = next(csv.reader([line]))
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        n = n.strip()
-        k = n.lower()  # Spark names are case-insensitive (T4): make duplicates distinct
-        if k in seen:
-            seen[k] += 1
-            n = f"{n}_{seen[k]}"
-        else:
-            seen[k] = 0
-        out.append(n)
-    return out

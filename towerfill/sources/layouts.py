@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from towerfill.functions.constants import EC_TOWER_CO2, MISSING_SENTINEL, RENAME_MAP, TIME_COLUMNS
 
-# Patterns tried in order by the inferred parser (after ISO-8601 casts).
-AUTO_PATTERNS = ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm",
-                 "dd.MM.yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "yyyyMMddHHmmss",
-                 "yyyyMMddHHmm", "yyyyMMddHH", "yyyyMMdd", "yyyyMM"]
+# Shapes of stamps and the patterns tried for each, in order.
+DIGITS = {14: "yyyyMMddHHmmss", 12: "yyyyMMddHHmm", 10: "yyyyMMddHH", 8: "yyyyMMdd", 6: "yyyyMM"}
+ISO = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?)?$"
+OFFSET = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{2}(:?\d{2})?)$"
+OTHER_PATTERNS = ["yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy"]
+SLASHED = ["H:mm:ss", "H:mm", ""]
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -35,10 +37,32 @@ def parse_pattern(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
-def parse_auto(text: Column) -> Column:
-    """Inferred format: ISO-8601 first, then the patterns above."""
-    cands = [text.try_cast("timestamp_ntz")] + [parse_pattern(text, p) for p in AUTO_PATTERNS]
-    return F.coalesce(*cands)
+def parse_offset(text: Column) -> Column:
+    """A stamp with a zone offset as its UTC time."""
+    with_t = F.regexp_replace(F.regexp_replace(text, " ?(Z|[+-][0-9:]+)$", "$1"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    micros = F.unix_micros(F.regexp_replace(with_t, r"([+-]\d{2})$", "$1:00").try_cast("timestamp"))
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def parse_auto(text: Column, day_first: bool = False) -> Column:
+    """Inferred format, by the stamp's shape: digits only by their number, ISO-8601 (with an offset: in UTC), else the
+    patterns above; ``13/02/2024`` by ``day_first``, and by the other order where that gives no date."""
+    digits = F.when(F.lit(False), F.lit(None).cast("timestamp_ntz"))
+    for n, pattern in DIGITS.items():
+        digits = digits.when(F.length(text) == n, parse_pattern(text, pattern))
+    orders = ["d/M/yyyy", "M/d/yyyy"] if day_first else ["M/d/yyyy", "d/M/yyyy"]
+    other = [*OTHER_PATTERNS, *(f"{d} {t}".strip() for d in orders for t in SLASHED)]
+    return (F.when(text.rlike(r"^\d+$"), digits).when(text.rlike(ISO), text.try_cast("timestamp_ntz"))
+             .when(text.rlike(OFFSET), parse_offset(text)).otherwise(F.coalesce(*[parse_pattern(text, p) for p in other])))
+
+
+def is_day_first(df: DataFrame, text: Column) -> bool:
+    """Whether a column of slashed dates has the day first: some first number is over 12 (no second number is)."""
+    if df.isStreaming:
+        return False
+    one, two = (F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/\d{4}", i).try_cast("int") for i in (1, 2))
+    r = df.agg(F.max(one).alias("one"), F.max(two).alias("two")).first()
+    return r.one is not None and r.one > 12 and (r.two or 0) <= 12
 
 
 def parse_fluxnet_aggregated(text: Column) -> Column:
@@ -94,11 +118,21 @@ def _finish(df: DataFrame, dt: Column, drop: Sequence[str], sentinels: Sequence[
     return nan_to_null(sentinel_to_null(out, sentinels))
 
 
-def detect_layout(df: DataFrame, rename: bool = True, sentinels: Sequence[float] | None = None) -> tuple[DataFrame, str]:
+def detect_layout(df: DataFrame, rename: bool = True, sentinels: Sequence[float] | None = None,
+                  check: bool | None = None) -> tuple[DataFrame, str]:
     """``(canonical frame, label)``; the frame has a ``datetime`` column first.
 
     ``sentinels`` overrides the per-layout default (T5: [-9999] for FLUXNET, AmeriFlux
-    and ICOS, none otherwise)."""
+    and ICOS, none otherwise). ``check`` (default: unless streaming) looks for one
+    stamp that parses; without any, the label is an error label (T2, T6) and every
+    ``datetime`` is null."""
+    out, label = _detect(df, rename, sentinels)
+    if check is None:
+        check = not df.isStreaming
+    return out, check_parse(out, label) if check else label
+
+
+def _detect(df: DataFrame, rename: bool, sentinels: Sequence[float] | None) -> tuple[DataFrame, str]:
     cols = set(df.columns)
     sv = (lambda default: list(default) if sentinels is None else list(sentinels))
     if "TIMESTAMP_START" in cols and "TIMESTAMP_END" in cols:
@@ -108,7 +142,8 @@ def detect_layout(df: DataFrame, rename: bool = True, sentinels: Sequence[float]
         dt = parse_fluxnet_aggregated(_as_text(df, "TIMESTAMP"))
         return _finish(df, dt, ["TIMESTAMP"], sv([MISSING_SENTINEL])), "FLUXNET"
     if "TIMESTAMP" in cols and "TIMESTAMP_END" in cols:
-        dt = parse_auto(_as_text(df, "TIMESTAMP"))
+        text = _as_text(df, "TIMESTAMP")
+        dt = parse_auto(text, is_day_first(df, text))
         return _finish(df, dt, ["TIMESTAMP", "TIMESTAMP_END"], sv([MISSING_SENTINEL])), "ICOS"
     if "TIMESTAMP_START" in cols and "FC" in cols:
         dt = parse_pattern(_as_text(df, "TIMESTAMP_START"), "yyyyMMddHHmm")
@@ -124,13 +159,13 @@ def detect_layout(df: DataFrame, rename: bool = True, sentinels: Sequence[float]
     if isinstance(dt_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         dt = F.col(f"`{found}`").cast("timestamp_ntz")
     else:
-        dt = parse_auto(_as_text(df, found))
+        text = _as_text(df, found)
+        dt = parse_auto(text, is_day_first(df, text))
     return _finish(df, dt, [found], sv([])), "GENERAL TIME SERIES"
 
 
 def check_parse(df: DataFrame, label: str) -> str:
-    """One small aggregate; if no stamp parsed, mark the label as a time error."""
-    ok = df.agg(F.count("datetime")).first()[0]
-    if ok > 0 or "UNKNOWN (no" in label:
+    """If no stamp parsed (a search for one), mark the label as a time error."""
+    if "UNKNOWN (no" in label or df.filter("datetime is not null").limit(1).count():
         return label
     return "FLUXNET (timestamp error)" if label == "FLUXNET" else "UNKNOWN (failed time parse)"

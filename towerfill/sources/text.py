@@ -1,15 +1,19 @@
 """CSV scan with pandas-like missing tokens and type inference (S1), CSV sinks (K1, K2).
 
-Files are read as strings; the default missing-value tokens of ``pandas.read_csv``
-become null; then one aggregate pass decides per column whether every value
-casts to a long or a double, and ``try_cast`` applies the choice.
+One pass over the lines finds each file's header, rows with more fields than the
+header, and quoted line breaks. Files are then read as strings, those of one header
+together, and put under each other by column name; the default missing-value tokens
+of ``pandas.read_csv`` become null; one aggregate decides per column whether every
+value casts to a long or a double, and ``try_cast`` applies the choice.
 """
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: the default missing-value tokens of pandas.read_csv ---------------
@@ -47,17 +51,83 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns(repl) if repl else df
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str = ",") -> DataFrame:
-    """Comma-separated, first row is the header (splittable scan)."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-          .option("nullValue", "").option("mode", "PERMISSIVE").csv(path))
-    df = null_tokens(df)
-    return infer_types(df) if infer else df
+def n_fields(line: Column, sep: str = ",") -> Column:
+    """Fields of a CSV line; separators inside quotes don't count."""
+    bare = F.regexp_replace(line, '"(?:[^"]|"")*("|$)', "")
+    return F.size(F.split(bare, re.escape(sep), -1))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+#: Different headers that one call reads together at most.
+MAX_HEADERS = 1000
+
+
+def csv_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """One row per non-empty file: ``file``, its first line ``header``, the rows ``over`` with more fields, and whether
+    quotes span lines (``breaks``; its rows over can't be told line by line)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    lines = lines.filter(F.length(F.trim("line")) > 0)
+    odd = F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1
+    first = F.min_by("line", F.struct("at", "n"))
+    files = lines.groupBy("file").agg(first.alias("header"), F.max(odd).alias("breaks"), F.max(n_fields(F.col("line"), sep)).alias("most"))
+    return files.withColumn("over", ~F.col("breaks") & (F.col("most") > n_fields(F.col("header"), sep))).drop("most")
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str = ",", bad_rows: str = "raise") -> DataFrame:
+    """Comma-separated, first row is the header (splittable unless a quoted value holds a line break).
+
+    Columns go by name, whatever their order in each file; a column that a file lacks
+    is null there. A row with more fields than its header raises, as the reference's
+    reader does, or goes with ``bad_rows="drop"``; one with fewer is filled with nulls.
+    """
+    files = csv_files(spark, path, sep)
+    groups = files.groupBy("header").agg(F.collect_list("file").alias("files"), F.max("breaks").alias("breaks"),
+                                         F.max("over").alias("over")).limit(MAX_HEADERS + 1).collect()
+    if not groups:
+        raise ValueError(f"no table found under {path}")
+    if len(groups) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
+    out = None
+    for g in sorted(groups, key=lambda g: g.header):
+        names = header_names(g.header, sep)
+        schema = ", ".join(f"`{n}` STRING" for n in [*names, BAD])
+        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("nullValue", "")
+              .option("escape", '"').option("multiLine", bool(g.breaks)).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", BAD).csv(g.files))
+        if g.over or g.breaks:
+            over = F.coalesce(n_fields(F.col(f"`{BAD}`"), sep) > len(names), F.lit(False))
+            if bad_rows == "drop":
+                df = df.filter(~over)
+            elif n := df.select("*").filter(over).select(*map(quoted, names), BAD).limit(1).collect():
+                raise ValueError(f"a row has more fields than the header: {n[0][BAD]!r}")
+        df = df.select(*map(quoted, names))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    out = null_tokens(out)
+    return infer_types(out) if infer else out
+
+
+BAD = "_bad_row"
+
+
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def header_names(line: str, sep: str = ",") -> list[str]:
+    """Column names of a header line; repeated ones (Spark's names ignore case, T4) get a number."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep)):
+        n = n.strip()
+        k = n.lower()
+        seen[k] = seen.get(k, -1) + 1
+        out.append(f"{n}_{seen[k]}" if seen[k] else n)
+    return out
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> str:
     """Header CSV written by the executors (one part file per partition)."""
-    (df.write.mode(mode).option("header", True)
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("sep", sep)
        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX").csv(path))
     return path

@@ -8,7 +8,7 @@ table may hold many series; ``series`` names the key and ``time`` plus
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +24,8 @@ class Timeline:
     # "auto": plain per-series window when the largest series has at most block_rows rows
     # (checked with one count per series), else split; "direct" / "blocked" force one path.
     strategy: str = "auto"
-    # Split-path numbering: "range" (balanced range partitions of the full order key,
-    # safe for any time density) or "time" (per-series time buckets, no extra write).
-    numbering: str = "range"
-    # Target rows per time bucket used to number rows without a per-series sort.
+    # Target rows per range partition when rows are numbered.
     bucket_rows: int = 1 << 20
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "series", tuple(self.series))
@@ -48,8 +44,7 @@ class Timeline:
 
     def with_(self, **kw) -> "Timeline":
         d = dict(series=self.series, time=self.time, tiebreak=self.tiebreak,
-                 block_rows=self.block_rows, bucket_rows=self.bucket_rows, strategy=self.strategy,
-                 numbering=self.numbering)
+                 block_rows=self.block_rows, bucket_rows=self.bucket_rows, strategy=self.strategy)
         d.update(kw)
         return Timeline(**d)
 
