@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from towerfill.fixtures import TOWER, duck_tower_cte, tower
+from towerfill.fixtures import TOWER, TOWER_VARIABLES, duck_tower_cte, tower
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -805,65 +805,138 @@ def _filled(spark, sf, model_type="rf", keep_original=False):
     return _fill.fill_with_features(feats, tm, keep_original)
 
 
-@register("fill_rf")
+_FILLED_SQL = (W + " SELECT event_id, series_id, round(co2_flux, 6) AS observed, CAST(co2_flux IS NULL AS BIGINT) AS filled, "
+               "CAST(1 AS BIGINT) AS has_value FROM tower")
+
+
+def _invariants(filled):
+    """What holds whatever the models say: observed values are kept, gaps are marked, every row has a value."""
+    return filled.select("event_id", "series_id", F.when(F.col("filled") == 0, F.col("co2_flux")).alias("observed"), "filled",
+                         (F.col("co2_flux").isNotNull() & ~F.isnan("co2_flux")).alias("has_value"))
+
+
+@register("fill_rf", _FILLED_SQL)
 def q_fill_rf(spark, sf):
-    """Random-forest ALL and TIME models (100 trees, depth 10), gaps filled."""
-    return _fill.export_frame(_filled(spark, sf, "rf"), "co2_flux", keys=["event_id", "series_id"])
+    """Random-forest ALL and TIME models (100 trees, depth 10), gaps filled; checked by invariants."""
+    return _invariants(_filled(spark, sf, "rf"))
 
 
-@register("fill_gbt")
+@register("fill_gbt", _FILLED_SQL)
 def q_fill_gbt(spark, sf):
-    """Gradient-boosted ALL and TIME models (100 rounds, depth 4, rate 0.05), gaps filled."""
-    return _fill.export_frame(_filled(spark, sf, "gbt"), "co2_flux", keys=["event_id", "series_id"])
+    """Gradient-boosted ALL and TIME models (100 rounds, depth 4, rate 0.05), gaps filled; checked by invariants."""
+    return _invariants(_filled(spark, sf, "gbt"))
+
+
+# Fixed formulas in the models' place, so that SQL can follow a fill or an evaluation value by value.
+_ALL_FORMULA = "air_temperature * 0.5E0 - latent_heat_flux * 0.25E0 + sensible_heat_flux"
+_TIME_FORMULA = "CAST(event_id % 17 AS DOUBLE)"
+
+
+def _formulas(spark, sf):
+    """ALL and TIME models that compute the formulas (SQL transformers in pipelines), and the feature frame."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    _, feats, enc, _, timef, spec = _features(spark, sf)
+    m_all, m_time = (PipelineModel([SQLTransformer(statement=f"SELECT *, {f} AS {c} FROM __THIS__")])
+                     for f, c in ((_ALL_FORMULA, "_pred_all"), (_TIME_FORMULA, "_pred_time")))
+    allf = ["air_temperature", "latent_heat_flux", "sensible_heat_flux"]
+    return _model.TrainedModels("formula", "co2_flux", allf, timef, m_all, m_time, spec, enc), feats
+
 
+_FORMULA_FILL = (W + f", f AS (SELECT *, CAST(co2_flux IS NULL AS BIGINT) AS filled, round(coalesce(co2_flux, {_ALL_FORMULA}, "
+                 f"{_TIME_FORMULA}), 6) AS value FROM tower)")
 
-@register("fill_export")
+
+@register("fill_export", _FORMULA_FILL + " SELECT datetime, value AS co2_flux, filled FROM f")
 def q_fill_export(spark, sf):
-    """The export columns datetime, co2_flux, filled of the random-forest fill."""
-    return _fill.export_frame(_filled(spark, sf, "rf"), "co2_flux")
+    """The export columns datetime, co2_flux, filled of a fill by fixed formulas."""
+    tm, feats = _formulas(spark, sf)
+    return _fill.export_frame(_fill.fill_with_features(feats, tm), "co2_flux")
 
 
-@register("fill_overlay")
+@register("fill_overlay", _FORMULA_FILL + " SELECT event_id, series_id, datetime, round(co2_flux, 6) AS co2_flux_original, "
+          "CASE WHEN filled = 1 THEN value END AS co2_flux_gapfilled FROM f")
 def q_fill_overlay(spark, sf):
-    """Original co2_flux beside the values the fill produced."""
-    return _fill.overlay(_filled(spark, sf, "rf", keep_original=True), "co2_flux", ["event_id", "series_id", "datetime"])
+    """Original co2_flux beside the values that a fill by fixed formulas produced."""
+    tm, feats = _formulas(spark, sf)
+    return _fill.overlay(_fill.fill_with_features(feats, tm, keep_original=True), "co2_flux", ["event_id", "series_id", "datetime"])
+
 
+@register("model_reload", _FORMULA_FILL + " SELECT event_id, value AS co2_flux, filled FROM f")
+def q_model_reload(spark, sf):
+    """K3: models saved to the registry, found again by target and loaded, fill as the ones that were saved."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    tm, feats = _formulas(spark, sf)
+    registry = _model.ModelRegistry(spark, scratch_path(spark, "models", uuid.uuid4().hex))
+    registry.save(tm)
+    back = registry.latest("co2_flux", ["rf", "formula"])
+    return _fill.fill_with_features(feats, back).select("event_id", "co2_flux", "filled")
 
-def _report(spark, sf, mechanism="MCAR", dep=None):
-    return _eval.evaluate(tower(spark, sf), TOWER, trained(spark, sf, "rf"), mechanism, 0.2, dep, 42,
-                          row_key=["event_id"])
+
+def _report(spark, sf, tm, mechanism="MCAR", dep=None):
+    return _eval.evaluate(tower(spark, sf), TOWER, tm, mechanism, 0.2, dep, 42, row_key=["event_id"])
+
+
+def _sql_report(weight: str | None = None) -> str:
+    """Oracle: the hidden cells of the complete cases with the formula's value (all features are there)."""
+    complete = "(" + " + ".join(TOWER_VARIABLES) + ") IS NOT NULL"
+    text = W + f", c AS (SELECT * FROM tower WHERE {complete})"
+    key, src = _U, "c"
+    if weight:
+        a = f"abs({weight})"
+        text += f", ws AS (SELECT series_id, min({a}) AS lo, max({a}) AS hi FROM c GROUP BY series_id)"
+        key = f"(-ln({_U}) / (CASE WHEN hi = lo THEN 1.0E0 ELSE ({a} - lo) / (hi - lo) + 0.1E0 END))"
+        src = "c JOIN ws USING (series_id)"
+    return (text + f", v AS (SELECT *, {key} AS key FROM {src}), rk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY key, "
+            "event_id) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM v), "
+            f"rep AS (SELECT event_id, co2_flux AS original, {_ALL_FORMULA} AS filled, co2_flux - ({_ALL_FORMULA}) AS residual "
+            "FROM rk WHERE rn <= floor(n * 0.2E0))")
 
 
-@register("evaluate_rf")
+@register("evaluate_rf", _sql_report() + " SELECT event_id, round(original, 6) AS original, CAST(1 AS BIGINT) AS has_value, CAST(1 AS BIGINT) AS residual_fits, "
+          "CAST(1 AS BIGINT) AS routed FROM rep")
 def q_evaluate_rf(spark, sf):
-    """Complete cases -> features -> 20 % MCAR gaps -> fill -> observed vs filled rows."""
-    return _report(spark, sf).select("event_id", "original", "filled", "residual", "route")
+    """Complete cases -> features -> 20 % MCAR gaps -> random-forest fill; checked by invariants."""
+    r = _report(spark, sf, trained(spark, sf, "rf"))
+    return r.select("event_id", "original", F.col("filled").isNotNull().alias("has_value"),
+                    (F.abs(F.col("original") - F.col("filled") - F.col("residual")) < 1e-9).alias("residual_fits"),
+                    F.col("route").isin("ALL", "TIME").alias("routed"))
 
 
-@register("eval_metrics")
+@register("eval_metrics", _sql_report() + " SELECT count(*) AS n, round(avg(abs(residual)), 6) AS mae, round(sqrt(avg(residual * residual)), 6) "
+          "AS rmse, round(1 - sum(residual * residual) / (count(*) * var_pop(original)), 6) AS r2, "
+          "round(regr_slope(filled, original), 6) AS slope FROM rep")
 def q_eval_metrics(spark, sf):
-    """MAE, RMSE, R^2 and slope of the random-forest fill on the hidden cells."""
-    return _eval.evaluation_metrics(_report(spark, sf))
+    """MAE, RMSE, R^2 and slope of a fill by fixed formulas on the hidden cells."""
+    return _eval.evaluation_metrics(_report(spark, sf, _formulas(spark, sf)[0]))
 
 
-@register("residual_histogram")
+@register("residual_histogram", _sql_report() + ", g AS (SELECT min(residual) AS lo, max(residual) AS hi FROM rep), "
+          "b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((residual - lo) / ((hi - lo) / 30)) AS BIGINT), 29) END AS bin, lo, hi "
+          "FROM rep, g) SELECT bin, round(lo + bin * ((hi - lo) / 30), 6) AS lower, round(CASE WHEN bin = 29 THEN hi ELSE lo + (bin + 1) * "
+          "((hi - lo) / 30) END, 6) AS upper, count(*) AS count FROM b GROUP BY bin, lo, hi")
 def q_residual_histogram(spark, sf):
-    """Residuals of the evaluation in 30 bins."""
+    """Residuals of an evaluation by fixed formulas in 30 bins."""
     from towerfill.operators.metrics import residual_histogram
-    return residual_histogram(_report(spark, sf), "residual", 30)
+    return residual_histogram(_report(spark, sf, _formulas(spark, sf)[0]), "residual", 30)
 
 
-@register("eval_pairs")
+@register("eval_pairs", _sql_report() + " SELECT count(*) AS n, round(least(min(original), min(filled)), 6) AS min_val, "
+          "round(greatest(max(original), max(filled)), 6) AS max_val FROM rep")
 def q_eval_pairs(spark, sf):
-    """Range of observed and predicted values (1:1 line ends)."""
+    """Range of observed and predicted values (1:1 line ends) of an evaluation by fixed formulas."""
     from towerfill.operators.metrics import pair_range
-    return pair_range(_report(spark, sf), "original", "filled")
+    return pair_range(_report(spark, sf, _formulas(spark, sf)[0]), "original", "filled")
 
 
-@register("eval_report")
+@register("eval_report", _sql_report("air_temperature") + " SELECT event_id, round(original, 6) AS original, round(filled, 6) AS filled, "
+          "round(residual, 6) AS residual, 'MAR' AS mechanism, 0.2E0 AS nan_percentage, 'co2_flux' AS target_variable, "
+          "'air_temperature' AS dependency_col FROM rep")
 def q_eval_report(spark, sf):
-    """K2: evaluation report rows with run settings (MAR driven by air_temperature)."""
-    return _report(spark, sf, "MAR", "air_temperature").drop("route")
+    """K2: evaluation report rows with run settings (MAR driven by air_temperature), filled by fixed formulas."""
+    return _report(spark, sf, _formulas(spark, sf)[0], "MAR", "air_temperature").drop("route")
 
 
 # --------------------------------------------------------------------------- sources and layouts
