@@ -3,10 +3,13 @@
 1. Every document becomes the set of its distinct shingle hashes; documents with
    equal sets form a class.
 2. All shingles are counted in a fixed-size table of counters. It gives the global
-   order, rare shingles first. Two sets of the wanted similarity share a shingle
-   among the first ``n - ceil(t * n) + 1`` of each, so classes that meet on such a
-   prefix shingle are candidates. A star per shingle (each class to the smallest)
-   is enough to put all candidates of a class into one cluster.
+   order, rare shingles first. Two sets of the wanted similarity share at least
+   ``1 + l`` shingles among the first ``n - ceil(t * n) + 1 + l`` of each (l: a tenth
+   of the smaller set). A class with fewer prefix shingles that another class of a
+   fitting size has is linked with nothing and goes. The classes left that meet on a
+   prefix shingle are candidates. A shingle's classes form a chain by size, cut where
+   the next size no longer fits: that puts all candidates into one cluster without a
+   row per pair.
 3. The clusters' shingles are compared once. The global order is cut into
    fragments; each fragment gives a matrix of partial overlaps, and the sum over
    the fragments is a pair's overlap. A cluster larger than a block is cut into
@@ -39,6 +42,8 @@ PERCENT = 80
 #: Counters of the global order, and how many of them one row carries.
 COUNTERS = 1 << 20
 COUNTER_BLOCK = 1 << 12
+#: Hundredths of a set by which its prefix is longer than one shared shingle needs.
+LONGER = 10
 #: Shingles and documents of a block; partial-overlap cells of a fragment.
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1 << 11
@@ -115,7 +120,7 @@ def describe(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS) -> t
 
 
 def _prefixes(order, width: int, percent: int, bucket_docs: int):
-    """Tasks: (``token``, ``key``) for the prefix shingles of each set, a set once per task.
+    """Tasks: (``token``, ``key``, ``n``) for the prefix shingles of each set, a set once per task.
 
     A shingle counted in more than ``bucket_docs`` documents is dealt to buckets by
     the set's name; the first set of a bucket in a task also goes to a bucket that
@@ -126,15 +131,16 @@ def _prefixes(order, width: int, percent: int, bucket_docs: int):
         seen: set[int] = set()
         tied: set[int] = set()
         for b in batches:
-            tokens, keys = [], []
+            tokens, keys, sizes = [], [], []
             for _, s in shingle_sets(utf8(b["text"]), width):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
                 est = counts[counter(s, len(counts))]
-                first = np.argsort(est, kind="stable")[:len(s) - (len(s) * percent + 99) // 100 + 1]
+                most = (len(s) * percent + 99) // 100  # the least size of a linked set, and the least overlap
+                first = np.argsort(est, kind="stable")[:len(s) - most + 1 + len(s) * LONGER // 100]
                 t = s[first]
-                if (est[first[-1]] > bucket_docs):
+                if est[first[-1]] > bucket_docs:
                     buckets = 1 + est[first].astype(np.uint64) // np.uint64(bucket_docs)
                     own = mix(t + (np.uint64(key & (2**64 - 1)) % buckets + np.uint64(1)) * BASE)
                     split = buckets > 1
@@ -142,8 +148,10 @@ def _prefixes(order, width: int, percent: int, bucket_docs: int):
                     t = np.concatenate([np.where(split, own, t), np.array(new, np.uint64)])
                 tokens.append(t)
                 keys += [key] * len(t)
+                sizes += [len(s)] * len(t)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.int64())], ["token", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.int64()),
+                                                  pa.array(sizes, pa.int32())], ["token", "key", "n"])
     return run
 
 
@@ -151,10 +159,18 @@ def clusters(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
              bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """(``node``, ``label``): sets that meet on a prefix shingle, directly or through others."""
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
-    met = docs.select("text").mapInArrow(_prefixes(order, width, percent, bucket_docs), "token long, key long")
-    lowest = F.first("key").over(Window.partitionBy("token").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    star = met.select(F.col("key").alias("a"), lowest.alias("b")).filter("a <> b").distinct()
-    return components(star)
+    met = docs.select("text").mapInArrow(_prefixes(order, width, percent, bucket_docs), "token long, key long, n int")
+    by_size = Window.partitionBy("token").orderBy("n", "key")
+    near = {c: f(c).over(by_size) for f, c in ((F.lag, "key"), (F.lag, "n"))}
+    below = (near["key"] != F.col("key")) & (100 * near["n"] >= percent * F.col("n"))
+    above = (F.lead("key").over(by_size) != F.col("key")) & (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    met = met.withColumn("shared", F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False)))
+    shared = cut_lineage(met.filter("shared").drop("shared"), "shared")
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * LONGER / 100)  # what a linked set of the least size shares
+    able = shared.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("key")
+    chain = shared.join(able, "key").select(F.col("key").alias("a"), near["key"].alias("b"), below.alias("fits"))
+    edges = chain.filter("fits").select("a", "b").distinct()
+    return components(edges)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], cells: int = FRAGMENT_CELLS) -> np.ndarray:
@@ -243,7 +259,8 @@ def links(docs: DataFrame, described: DataFrame, cluster: DataFrame, width: int
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label", F.lit(5)), F.lit(bins)))
         .otherwise(F.xxhash64("label", "p.i", "p.j")).alias("unit"))
     d = docs.select("id", "th", "text")
-    joined = d.join(placed, d["id"].eqNullSafe(placed["n_id"]) & (d["th"] == placed["n_th"])).select("unit", "label", "key", "side", "text")
+    # a merge join whatever the sizes: texts are dealt out once, never held by every executor
+    joined = d.hint("merge").join(placed, d["id"].eqNullSafe(placed["n_id"]) & (d["th"] == placed["n_th"])).select("unit", "label", "key", "side", "text")
     return joined.groupBy("unit").applyInPandas(_compare(width, percent), "a long, b long")
 
 
