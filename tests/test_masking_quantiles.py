@@ -1,20 +1,36 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from towerfill.operators import masking, quality
-from towerfill.operators.quantiles import exact_quantiles
+from towerfill.operators.quantiles import exact_quantiles, quantile_table
 
 
-def test_quantiles_match_numpy_with_tiny_histograms(spark, tower_df):
+PROBS = [0, 0.1, 0.25, 0.5, 0.9, 1]
+
+
+@pytest.mark.parametrize("accuracy", [100, 200, 20_000])  # at 100 and 200 the brackets hold a part of each series
+def test_quantiles_match_numpy(spark, tower_df, accuracy):
     pdf = tower_df.select("series_id", "co2_flux", "k").toPandas()
-    for bins, small in ((1, 0), (3, 0), (1 << 14, 0), (1 << 20, 1 << 20)):
-        for col in ("co2_flux", "k"):
-            got = exact_quantiles(tower_df, ["series_id"], col, [0, 0.1, 0.25, 0.5, 0.9, 1], bins=bins,
-                                  small_group_rows=small).collect()
-            for r in got:
-                vals = pdf.loc[pdf.series_id == r.series_id, col].dropna().astype(float).to_numpy()
-                exp = np.quantile(vals, [0, 0.1, 0.25, 0.5, 0.9, 1])
-                assert np.allclose([r.q0, r.q1, r.q2, r.q3, r.q4, r.q5], exp, rtol=0, atol=1e-9)
+    got = quantile_table(tower_df, ["series_id"], {"a": F.col("co2_flux"), "b": F.col("k")}, PROBS, accuracy=accuracy).collect()
+    assert len(got) == 2 * pdf.series_id.nunique()
+    for r in got:
+        vals = pdf.loc[pdf.series_id == r.series_id, {"a": "co2_flux", "b": "k"}[r.variable]].dropna().astype(float).to_numpy()
+        assert np.allclose([r[f"q{i}"] for i in range(6)], np.quantile(vals, PROBS), rtol=0, atol=1e-9)
+
+
+def test_quantiles_with_a_spike_and_ties(spark):
+    """One value of 1e12 among 60,000: brackets are of equal depth, so it fills none of them."""
+    df = spark.range(60_000).select(F.when(F.col("id") == 7, 1e12).otherwise((F.col("id") * 7919) % 1000 / 7.0).alias("v"))
+    vals = df.toPandas()["v"].to_numpy()
+    r = exact_quantiles(df, [], "v", PROBS, accuracy=2000).first()
+    assert np.allclose([r[f"q{i}"] for i in range(6)], np.quantile(vals, PROBS), rtol=0, atol=1e-9)
+
+
+def test_quantiles_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("b", None, None), ("c", float("nan"), None)], "g string, x double, y double")
+    got = quantile_table(df, ["g"], {"x": F.col("x"), "y": F.col("y")}, [0.5]).collect()
+    assert [(r.g, r.variable, r.q0) for r in got] == [("a", "x", 1.0)]
 
 
 def test_mask_counts_and_determinism(spark, tower_df):

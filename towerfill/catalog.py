@@ -488,6 +488,16 @@ def q_outlier_iqr(spark, sf):
     return _qual.outlier_iqr(tower(spark, sf), _OUT_COLS, 1.5, ["series_id"])
 
 
+_SPIKY = ", spiky AS (SELECT * REPLACE (CASE WHEN event_id % 997 = 5 THEN 1.0E12 ELSE co2_flux END AS co2_flux) FROM tower)"
+
+
+@register("outlier_iqr_spiky", W + _SPIKY + _sql_outlier("iqr", "spiky", 1.5))
+def q_outlier_iqr_spiky(spark, sf):
+    """O1: IQR rule on a co2_flux with spikes of 1e12 (derived from the events)."""
+    spiky = F.when(F.expr("event_id % 997 = 5"), F.lit(1e12)).otherwise(F.col("co2_flux"))
+    return _qual.outlier_iqr(tower(spark, sf).withColumn("co2_flux", spiky), _OUT_COLS, 1.5, ["series_id"])
+
+
 @register("outlier_zscore", W + _sql_outlier("z", param=3.0))
 def q_outlier_zscore(spark, sf):
     """O2: z-score rule (z = 3, sample std) per series."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from towerfill.operators.profile import flux_columns, outlier_columns
-from towerfill.operators.quantiles import exact_quantiles
+from towerfill.operators.quantiles import quantile_table
 from towerfill.operators.sequence import attach, join_on_keys
 
 
@@ -37,29 +37,25 @@ def qc_filter(df: DataFrame, limits: Mapping[str, tuple[str, int]]) -> DataFrame
     return df.withColumns(repl)
 
 
-def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    stack = "stack({}, {}) as (variable, value)".format(
-        len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))
-    return df.selectExpr(*[f"`{b}`" for b in by], stack)
+def _widen(th: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Thresholds by (group, variable) as one row per group: ``_th_{i}_{name}``."""
+    names = [c for c in th.columns if c not in (*by, "variable")]
+    return th.groupBy(*by).agg(*[F.first(F.when(F.col("variable") == c, F.col(n)), ignorenulls=True).alias(f"_th_{i}_{n}")
+                                 for i, c in enumerate(cols) for n in names])
 
 
-def _apply(df: DataFrame, th: DataFrame, cols: Sequence[str], by: Sequence[str], flag) -> DataFrame:
-    """Attach per-(group, variable) thresholds as one row per group and null flagged values."""
-    by = list(by)
-    names = [c for c in th.columns if c not in (*by, "variable")]
-    wide = th.groupBy(*by).agg(*[
-        F.first(F.when(F.col("variable") == c, F.col(n)), ignorenulls=True).alias(f"_th_{i}_{n}")
-        for i, c in enumerate(cols) for n in names])
-    x = attach(df, wide, by)
+def _apply(df: DataFrame, wide: DataFrame, names: Sequence[str], cols: Sequence[str], by: Sequence[str], flag) -> DataFrame:
+    """Attach the thresholds (one row per group) and null flagged values."""
+    x = attach(df, wide, list(by))
     out = {}
     for i, c in enumerate(cols):
         t = {n: F.col(f"_th_{i}_{n}") for n in names}
-        out[c] = F.when(F.coalesce(flag(F.col(c), t), F.lit(False)), F.lit(None)).otherwise(F.col(c))
+        out[c] = F.when(F.coalesce(flag(F.col(f"`{c}`"), t), F.lit(False)), F.lit(None)).otherwise(F.col(f"`{c}`"))
     return x.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
 
 
 def iqr_thresholds(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return exact_quantiles(_long(df, cols, by), [*by, "variable"], "value", [0.25, 0.75], ["q1", "q3"])
+    return quantile_table(df, by, {c: F.col(f"`{c}`") for c in cols}, [0.25, 0.75], ["q1", "q3"])
 
 
 def outlier_iqr(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
@@ -71,16 +67,16 @@ def outlier_iqr(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5
     def flag(x, t):
         iqr = t["q3"] - t["q1"]
         return (x < t["q1"] - k * iqr) | (x > t["q3"] + k * iqr)
-    return _apply(df, th, cols, by, flag)
+    return _apply(df, _widen(th, cols, by), ["q1", "q3"], cols, by, flag)
 
 
 def outlier_zscore(df: DataFrame, cols: Sequence[str] | None = None, z: float = 3.0,
                    by: Sequence[str] = ()) -> DataFrame:
     """O2: null values with |x - mean| > z * std (sample std)."""
     cols = list(cols) if cols is not None else outlier_columns(df, by)
-    th = _long(df, cols, by).groupBy(*by, "variable").agg(F.avg("value").alias("mean"),
-                                                         F.stddev_samp("value").alias("std"))
-    return _apply(df, th, cols, by, lambda x, t: F.abs(x - t["mean"]) > z * t["std"])
+    wide = df.groupBy(*by).agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"_th_{i}_{n}") for i, c in enumerate(cols)
+                                 for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    return _apply(df, wide, ["mean", "std"], cols, by, lambda x, t: F.abs(x - t["mean"]) > z * t["std"])
 
 
 def outlier_modz(df: DataFrame, cols: Sequence[str] | None = None, z: float = 3.5,
@@ -88,12 +84,12 @@ def outlier_modz(df: DataFrame, cols: Sequence[str] | None = None, z: float = 3.
     """O3: null values with |x - median| > z * 1.4826 * MAD (MAD over non-null values, T11)."""
     cols = list(cols) if cols is not None else outlier_columns(df, by)
     by = list(by)
-    long = _long(df, cols, by)
-    med = exact_quantiles(long, [*by, "variable"], "value", [0.5], ["median"])
-    dev = join_on_keys(long, med, [*by, "variable"]).withColumn("value", F.abs(F.col("value") - F.col("median")))
-    mad = exact_quantiles(dev, [*by, "variable"], "value", [0.5], ["mad"])
-    th = join_on_keys(med, mad, [*by, "variable"]).withColumn("mad", F.col("mad") * 1.4826)
-    return _apply(df, th, cols, by, lambda x, t: F.abs(x - t["median"]) > z * t["mad"])
+    med = _widen(quantile_table(df, by, {c: F.col(f"`{c}`") for c in cols}, [0.5], ["median"]), cols, by)
+    x = attach(df.select(*by, *[F.col(f"`{c}`") for c in cols if c not in by]), med, by)
+    dev = {c: F.abs(F.col(f"`{c}`") - F.col(f"_th_{i}_median")) for i, c in enumerate(cols)}
+    mad = _widen(quantile_table(x, by, dev, [0.5], ["mad"]), cols, by)
+    wide = join_on_keys(med, mad, by) if by else attach(med, mad, [])
+    return _apply(df, wide, ["median", "mad"], cols, by, lambda x, t: F.abs(x - t["median"]) > z * (t["mad"] * 1.4826))
 
 
 def preprocess(df: DataFrame, qc: Mapping[str, tuple[str, int]] | None = None, method: str | None = None,

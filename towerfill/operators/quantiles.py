@@ -2,99 +2,102 @@
 
 Spark's exact ``percentile`` keeps a map of every distinct value of a group and
 merges it in one task, which a hot group (a third of all rows) cannot afford.
-Here the order statistics are found in three aggregate passes:
-
-1. per group: count, min, max;
-2. per (group, bucket) of an equal-width histogram with about sqrt(n) buckets
-   (at most ``bins``): count, min, max; a running count over the buckets tells
-   which bucket holds each needed rank, and that bucket holds about sqrt(n) rows;
-3. only rows of those buckets are counted per distinct value, and a running
-   count over them picks the exact value of each rank.
+Here the order statistics of all columns are found in three aggregate passes:
+
+1. per group: count, min, max and, for each wanted quantile, a bracket from the
+   mergeable sketch of ``percentile_approx`` (its rank error is at most
+   n / ``accuracy``; the bracket is wider than that on both sides). Brackets are of
+   equal depth, so spikes and skewed values cannot fill them: a bracket holds about
+   ``20 / accuracy`` of its group. Groups of at most ``accuracy / 2`` values are
+   their own bracket;
+2. per group: how many values lie below each bracket;
+3. the values inside the brackets, counted per distinct value; a running count over
+   them picks the exact value of each rank.
 
 Quantiles interpolate linearly between the two neighbouring ranks, as pandas,
-Spark ``percentile`` and DuckDB ``quantile_cont`` do.
-
-When the largest group (known from pass 1) has at most ``small_group_rows`` rows,
-Spark's exact ``percentile`` is used instead: its per-group state is then bounded
-by that checked size, and one aggregate replaces passes 2 and 3.
-
-The small intermediate tables (per-group stats, the histogram, the result; at most
-groups x bins rows) are written once to the shared checkpoint folder, so the input
-is scanned three times and later consumers do not re-run the passes.
+Spark ``percentile`` and DuckDB ``quantile_cont`` do. All passes are wide: a row
+leaves pass 3 only for the brackets that it falls into. A rank that a bracket should
+hold and does not would fail the job, never give another value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from towerfill.operators.sequence import join_on_keys
+from towerfill.operators.sequence import attach, join_on_keys
 from towerfill.session import cut_lineage
 
+ACCURACY = 20_000
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, bins: int = 1 << 20,
-                    small_group_rows: int = 1 << 20) -> DataFrame:
-    """One row per group of ``keys`` with a column per probability (nulls ignored).
 
-    Groups with no non-null value are absent from the result."""
-    keys = list(keys)
+def quantile_table(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], probs: Sequence[float],
+                   names: Sequence[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group and variable with a column per probability (nulls and NaN ignored); ``values``: variable -> column.
+
+    Groups with no value of a variable have no row for it."""
+    keys, variables = list(keys), list(values)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    stats = cut_lineage(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                                             F.max("_v").alias("_hi")), "q-stats")
-    largest = stats.agg(F.max("_n")).first()[0] or 0
-    if largest <= small_group_rows:
-        arr = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
-        out = x.groupBy(*keys).agg(arr.alias("_q"))
-        return cut_lineage(out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]), "q-result")
-    span = F.col("_hi") - F.col("_lo")
-    nb = F.least(F.lit(bins), F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_n"))))).cast("long")
-    bucket = F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), span) * F.col("_nb")), F.col("_nb") - 1)).cast("long")
-    xb = (join_on_keys(x, stats.select(*keys, "_lo", "_hi", nb.alias("_nb")), keys)
-          .withColumn("_b", bucket).drop("_lo", "_hi", "_nb"))
-
-    hist = xb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_bmin"),
-                                       F.max("_v").alias("_bmax"))
-    hist = cut_lineage(hist.withColumn("_before", F.coalesce(F.sum("_bn").over(
-        Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "q-hist")
-
-    # Needed 0-based ranks: floor and ceil of (n - 1) * p for each p.
-    ranks = stats.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_j"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)])).alias("_q"))
-    ranks = ranks.select(*keys, "_q._j", "_q._p", ((F.col("_n") - 1) * F.col("_p")).alias("_h"))
-    ranks = ranks.select(*keys, "_j", "_h", F.explode(F.array(
-        F.floor("_h").cast("long"), F.ceil("_h").cast("long"))).alias("_r")).distinct()
-
-    # Which bucket holds each rank (small tables: ranks x buckets of one group).
-    tgt = join_on_keys(ranks, hist, keys).filter(
-        (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bn")))
-    tgt = tgt.select(*keys, "_j", "_h", "_r", "_b", (F.col("_r") - F.col("_before")).alias("_rb"),
-                     "_bmin", "_bmax")
-    solved = tgt.filter(F.col("_bmin") == F.col("_bmax")).select(*keys, "_j", "_h", "_r", F.col("_bmin").alias("_val"))
-    open_ = tgt.filter(F.col("_bmin") != F.col("_bmax"))
-
-    # Distinct values inside the open buckets only.
-    wanted = open_.select(*keys, "_b").distinct()
-    inb = join_on_keys(xb, wanted, [*keys, "_b"], "left_semi")
-    vals = inb.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_vn"))
-    vals = vals.withColumn("_vbefore", F.coalesce(F.sum("_vn").over(
-        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    picked = join_on_keys(open_, vals, [*keys, "_b"]).filter(
-        (F.col("_rb") >= F.col("_vbefore")) & (F.col("_rb") < F.col("_vbefore") + F.col("_vn")))
-    picked = picked.select(*keys, "_j", "_h", "_r", F.col("_v").alias("_val"))
-
-    at = solved.unionByName(picked)
-    per_q = at.groupBy(*keys, "_j", "_h").agg(
-        F.min(F.struct("_r", "_val")).alias("_lo"), F.max(F.struct("_r", "_val")).alias("_hi"))
-    lo_r, hi_r = F.col("_lo._r"), F.col("_hi._r")
-    q = F.when(lo_r == hi_r, F.col("_lo._val")).otherwise(
-        (hi_r - F.col("_h")) * F.col("_lo._val") + (F.col("_h") - lo_r) * F.col("_hi._val"))
-    per_q = per_q.select(*keys, "_j", q.alias("_qv"))
-    wide = per_q.groupBy(*keys).agg(*[F.first(F.when(F.col("_j") == i, F.col("_qv")), ignorenulls=True).alias(n)
-                                      for i, n in enumerate(names)])
-    return cut_lineage(wide, "q-result")
+    none = F.lit(None).cast("double")
+    x = df.select(*keys, *[F.nanvl(c.cast("double"), none).alias(f"_v{i}") for i, c in enumerate(values.values())])
+    margin = 10 / accuracy
+    points = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    aggs = []
+    for i in range(len(variables)):
+        v = F.col(f"_v{i}")
+        aggs += [F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"),
+                 F.percentile_approx(v, points, accuracy).alias(f"_b{i}")]
+    stats = cut_lineage(x.groupBy(*keys).agg(*aggs), "q-stats")
+
+    pairs = [(i, j) for i in range(len(variables)) for j in range(len(probs))]
+
+    def bracket(i: int, j: int) -> tuple[Column, Column]:
+        whole = F.col(f"_n{i}") <= accuracy // 2
+        low = F.lit(probs[j] <= margin) | whole
+        high = F.lit(probs[j] >= 1 - margin) | whole
+        return (F.when(low, F.col(f"_lo{i}")).otherwise(F.get(f"_b{i}", F.lit(2 * j))).alias(f"_l{i}_{j}"),
+                F.when(high, F.col(f"_hi{i}")).otherwise(F.get(f"_b{i}", F.lit(2 * j + 1))).alias(f"_h{i}_{j}"))
+
+    edges = stats.select(*keys, *[c for i, j in pairs for c in bracket(i, j)])
+    y = attach(x, edges, keys)
+
+    def inside(i: int, j: int) -> Column:
+        return F.coalesce(F.col(f"_v{i}").between(F.col(f"_l{i}_{j}"), F.col(f"_h{i}_{j}")), F.lit(False))
+
+    below = y.groupBy(*keys).agg(*[F.count(F.when(F.col(f"_v{i}") < F.col(f"_l{i}_{j}"), 1)).alias(f"_c{i}_{j}") for i, j in pairs])
+    hit = F.array(*[F.when(inside(i, j), F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_v{i}").alias("_v"))) for i, j in pairs])
+    vals = y.select(*keys, F.explode(F.filter(hit, lambda s: s.isNotNull())).alias("_s")).groupBy(
+        *keys, "_s._i", "_s._j", "_s._v").agg(F.count(F.lit(1)).alias("_vn"))
+    upto = F.sum("_vn").over(Window.partitionBy(*keys, "_i", "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    vals = vals.withColumn("_upto", upto)
+
+    # one row per group, variable and probability: the position h of the quantile, and the values below its bracket
+    small = join_on_keys(stats.select(*keys, *[f"_n{i}" for i in range(len(variables))]), below, keys) if keys else \
+        attach(stats.select(*[f"_n{i}" for i in range(len(variables))]), below, [])
+    ranks = small.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_n{i}").alias("_n"), F.col(f"_c{i}_{j}").alias("_c"),
+                 ((F.col(f"_n{i}") - 1) * F.lit(float(probs[j]))).alias("_h")) for i, j in pairs])).alias("_r"))
+    ranks = cut_lineage(ranks.select(*keys, "_r.*").filter("_n > 0"), "q-ranks")
+    at = join_on_keys(vals, ranks, [*keys, "_i", "_j"])
+    start, end = F.col("_c") + F.col("_upto") - F.col("_vn"), F.col("_c") + F.col("_upto")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= start) & (rank < end), F.col("_v")))
+
+    lo_r, hi_r = F.floor("_h"), F.ceil("_h")
+    per_q = at.groupBy(*keys, "_i", "_j", "_h").agg(value_at(lo_r).alias("_a"), value_at(hi_r).alias("_z"))
+    q = F.when(F.col("_a").isNull() | F.col("_z").isNull(), F.raise_error(F.lit("a quantile's rank lies outside its bracket"))) \
+        .when(lo_r == hi_r, F.col("_a")).otherwise((hi_r - F.col("_h")) * F.col("_a") + (F.col("_h") - lo_r) * F.col("_z"))
+    per_q = per_q.select(*keys, "_i", "_j", q.cast("double").alias("_q"))
+    wide = per_q.groupBy(*keys, "_i").agg(*[F.first(F.when(F.col("_j") == j, F.col("_q")), ignorenulls=True).alias(n)
+                                            for j, n in enumerate(names)])
+    label = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(variables) for x in (i, v)]), F.col("_i"))
+    return cut_lineage(wide.select(*keys, label.alias("variable"), *names), "q-result")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group of ``keys`` with a column per probability of the column ``value``."""
+    return quantile_table(df, keys, {value: F.col(f"`{value}`")}, probs, names, accuracy).drop("variable")
