@@ -93,6 +93,16 @@ def q_gap_runs(spark, sf):
     return _gaps.gap_runs(tower(spark, sf), TOWER, "co2_flux")
 
 
+#: Small blocks and ranges, so that every series of the test tables is split into many.
+SPLIT = TOWER.with_(strategy="blocked", block_rows=256, bucket_rows=200)
+
+
+@register("gap_runs_split", W + _GAP_CTE + " SELECT * FROM runs")
+def q_gap_runs_split(spark, sf):
+    """W5, G9 on series split into range partitions of about 200 rows."""
+    return _gaps.gap_runs(tower(spark, sf), SPLIT, "co2_flux")
+
+
 @register("gap_summary", W + _GAP_CTE + """ SELECT series_id, variable, count(*) AS gap_count,
   round(avg(length), 6) AS mean_length, round(quantile_cont(length, 0.5), 6) AS median_length,
   max(length) AS max_length FROM runs GROUP BY series_id, variable""")
@@ -268,6 +278,18 @@ def q_shift_forward(spark, sf):
     return _win.add_shift_features(_tower_keys(spark, sf), TOWER, ["co2_flux"], direction="forward").drop("co2_flux")
 
 
+@register("shift_backward_split", _sql_shift("lead"))
+def q_shift_backward_split(spark, sf):
+    """W1 on series split into blocks of 256 rows with copies of their neighbours' rows."""
+    return _win.add_shift_features(_tower_keys(spark, sf), SPLIT, ["co2_flux"]).drop("co2_flux")
+
+
+@register("rolling_split", _sql_roll(["std", "min", "max"]))
+def q_rolling_split(spark, sf):
+    """W3, W4 on series split into blocks of 256 rows."""
+    return _win.add_rolling_features(_tower_keys(spark, sf), SPLIT, ["co2_flux"], stats=["std", "min", "max"]).drop("co2_flux")
+
+
 @register("rolling_mean", _sql_roll(["mean"]))
 def q_rolling_mean(spark, sf):
     """Trailing 3/6/12-row mean, at least one value."""
@@ -755,6 +777,13 @@ def q_feature_frame(spark, sf):
     return _features(spark, sf)[1]
 
 
+@register("feature_frame_split", _FF_SQL + " SELECT " + _ff_select() + " FROM ff")
+def q_feature_frame_split(spark, sf):
+    """N1 on series split into blocks of 256 rows."""
+    src = tower(spark, sf)
+    return build_features(src, SPLIT, FeatureSpec(targets=["co2_flux"]))[0]
+
+
 @register("label_encode", W + _ENC_SQL + f" SELECT event_id, CAST((SELECT code FROM enc_s WHERE lab = coalesce("
           f"{_STAB_LABEL}, 'nan')) AS BIGINT) AS stability_class, CAST((SELECT code FROM enc_w WHERE lab = "
           f"coalesce({_WIND_LABEL}, 'nan')) AS BIGINT) AS wind_dir_cat FROM tower")

@@ -14,9 +14,7 @@ partitioning and survives task retries:
 "The n smallest keys" is found without sorting a series in one task: a histogram
 of keys per series (about sqrt(n) buckets) gives the bucket that holds the n-th
 key, only that bucket's rows are ranked, and the exact threshold key is then a
-filter.  When every series has at most ``direct_rows`` eligible rows (checked from
-the quota table), a per-series ``row_number`` is used instead; each task then
-sorts at most that many rows.
+filter.
 """
 
 from __future__ import annotations
@@ -49,18 +47,13 @@ def _weights(df: DataFrame, valid: Column, dep: str, by: list[str]) -> tuple[Dat
     return x, w
 
 
-def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int = 1 << 20,
-                  direct: bool = False) -> DataFrame:
+def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int = 1 << 20) -> DataFrame:
     """Add boolean ``_sel``: row is among the ``_n`` smallest ``(_key, tiebreak)`` of its group.
 
     ``df`` carries ``_key`` (null = not eligible), ``_unit`` (``_key`` mapped monotonically
     into [0, 1)), ``_n`` (quota per group) and optionally ``_nbins`` (buckets per group,
     default ``bins``), each equal on every row of the group."""
     order = [F.col("_key").asc_nulls_last(), *[F.col(c) for c in tiebreak]]
-    if direct:
-        rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        sel = F.when(F.col("_key").isNotNull(), rn <= F.col("_n"))
-        return df.withColumn("_sel", F.coalesce(sel, F.lit(False)))
     nb = F.col("_nbins") if "_nbins" in df.columns else F.lit(bins)
     x = df.withColumn("_bk", F.least(F.floor(F.col("_unit") * nb), nb - 1).cast("long"))
     el = x.filter(F.col("_key").isNotNull())
@@ -84,8 +77,7 @@ def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int =
 
 def artificial_gaps(df: DataFrame, targets: Sequence[str], p: float = 0.2, mechanism: str = "MCAR",
                     dependency: str | None = None, seed: int = 42, row_key: Sequence[str] = (),
-                    by: Sequence[str] = (), flag_prefix: str = "masked_",
-                    direct_rows: int = 1 << 20) -> DataFrame:
+                    by: Sequence[str] = (), flag_prefix: str = "masked_") -> DataFrame:
     """Null ``floor(n_valid * p)`` cells of each target per group; add ``{flag_prefix}{target}`` (0/1)."""
     by, row_key = list(by), list(row_key)
     if not row_key:
@@ -108,11 +100,9 @@ def artificial_gaps(df: DataFrame, targets: Sequence[str], p: float = 0.2, mecha
         quota = x.filter(valid).groupBy(*by).agg(F.count(F.lit(1)).alias("_valid"))
         quota = cut_lineage(quota.select(
             *by, F.floor(F.col("_valid") * float(p)).cast("long").alias("_n"),
-            F.least(F.lit(1 << 20), F.greatest(F.lit(1), F.floor(F.sqrt("_valid")))).cast("long").alias("_nbins"),
-            "_valid"), "quota")
-        largest = quota.agg(F.max("_valid")).first()[0] or 0
-        x = attach(x, quota.drop("_valid"), by)
-        x = mark_smallest(x, by, row_key, direct=largest <= direct_rows)
+            F.greatest(F.lit(1), F.floor(F.sqrt("_valid"))).cast("long").alias("_nbins")), "quota")
+        x = attach(x, quota, by)
+        x = mark_smallest(x, by, row_key)
         out = x.select(*[F.when(F.col("_sel"), F.lit(None)).otherwise(F.col(c)).alias(c) if c == t else F.col(f"`{c}`")
                          for c in cols],
                        F.col("_sel").cast("int").alias(f"{flag_prefix}{t}"))
