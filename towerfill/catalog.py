@@ -818,13 +818,8 @@ def q_fill_summary(spark, sf):
     return _fill.fill_summary(_fill.route(feats, "co2_flux", allf), ["series_id"])
 
 
-def trained(spark, sf, model_type="rf", params=None):
-    return _trained(spark, sf, model_type, params)[0]
-
-
-def _trained(spark, sf, model_type="rf", params=None):
-    """The models for ``sf``, from this application's registry if they were saved there, else trained and saved;
-    and the feature frame, built with the models' stored encoding."""
+def trained(spark, sf, model_type="rf", params=None, feats=None):
+    """The models for ``sf``: from this application's registry if they were saved there, else trained and saved."""
     import hashlib
     import json
 
@@ -832,16 +827,17 @@ def _trained(spark, sf, model_type="rf", params=None):
     key = json.dumps([sf, model_type, sorted((params or {}).items())])
     root = scratch_path(spark, "models", spark.sparkContext.applicationId, hashlib.md5(key.encode()).hexdigest())
     registry = _model.ModelRegistry(spark, root)
-    src, feats, enc, allf, timef, spec = _features(spark, sf)
-    feats = cut_lineage(feats, "features")
     if not registry.exists(model_type, "co2_flux"):
+        _, lazy, enc, allf, timef, spec = _features(spark, sf)
+        feats = cut_lineage(lazy, "features") if feats is None else feats
         registry.save(_model.train_models(feats, "co2_flux", allf, timef, spec, enc, model_type, params, materialize=False))
-    return registry.load(model_type, "co2_flux"), feats
+    return registry.load(model_type, "co2_flux")
 
 
 def _filled(spark, sf, model_type="rf", keep_original=False):
-    tm, feats = _trained(spark, sf, model_type)
-    return _fill.fill_with_features(feats, tm, keep_original)
+    from towerfill.session import cut_lineage
+    feats = cut_lineage(_features(spark, sf)[1], "features")
+    return _fill.fill_with_features(feats, trained(spark, sf, model_type, feats=feats), keep_original)
 
 
 _FILLED_SQL = (W + " SELECT event_id, series_id, round(co2_flux, 6) AS observed, CAST(co2_flux IS NULL AS BIGINT) AS filled, "

@@ -91,3 +91,12 @@ def make_folder(spark: SparkSession, folder: str) -> str:
     files.mkdirs(path)
     uri = files.makeQualified(path).toString()
     return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions whose workers can't import it (else: ``--py-files``)."""
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="towerfill-py-"), "towerfill"), "zip", root, "towerfill")
+    spark.sparkContext.addPyFile(zipped)
