@@ -659,6 +659,43 @@ def q_bowen_monthly(spark, sf):
 
 
 # --------------------------------------------------------------------------- artificial gaps
+_BOWEN_MEAN = ("SELECT series_id, 'bowen' AS part, round(avg(b), 6) AS value FROM (SELECT series_id, CASE WHEN latent_heat_flux <> 0 THEN "
+               "sensible_heat_flux / latent_heat_flux END AS b FROM tower) WHERE b > -10 AND b < 10 GROUP BY series_id")
+
+
+@register("flux_report", W + _BUDGET_SQL + " SELECT series_id, 'carbon' AS part, round(sum(d * days), 6) AS value FROM bud GROUP BY series_id "
+          "UNION ALL " + _BOWEN_MEAN)
+def q_flux_report(spark, sf):
+    """The flux report of a table without one radiation column: its energy part is skipped, the others stay."""
+    parts = _flux.flux_report(tower(spark, sf).drop("upwelling_longwave_flux"), by=["series_id"])
+    out = None
+    for part, value in (("energy", "ebr"), ("carbon", "annual_gC_m2"), ("bowen", "mean_bowen")):
+        if part in parts:
+            t = parts[part].select("series_id", F.lit(part).alias("part"), F.col(value).alias("value"))
+            out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("datetime_composed", W + " SELECT CAST(event_id AS BIGINT) AS event_id, date_trunc('second', datetime) AS datetime FROM tower")
+def q_datetime_composed(spark, sf):
+    """The datetime column composed from date and time (UTC)."""
+    from towerfill.timeline import ensure_datetime
+    t = tower(spark, sf).select("event_id", F.date_format("datetime", "dd.MM.yyyy").alias("date"),
+                                F.date_format("datetime", "HH:mm:ss").alias("time (UTC)"))
+    return ensure_datetime(t).select("event_id", "datetime")
+
+
+@register("missing_summary_order", W + " SELECT *, row_number() OVER (ORDER BY series_id, missing DESC, variable) AS place FROM ("
+          + " UNION ALL ".join(f"SELECT series_id, '{c}' AS variable, count(*) FILTER ({c} IS NULL) AS missing FROM tower GROUP BY series_id"
+                               for c in TOWER_VARIABLES) + ")")
+def q_missing_summary_order(spark, sf):
+    """L1: the order in which the missing-value summary comes (worst first), as a number."""
+    from pyspark.sql import Window
+    s = _prof.missing_summary(tower(spark, sf), TOWER_VARIABLES, ["series_id"]).select("series_id", "variable", "missing")
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # a row per series and variable
+    return s.withColumn("place", place)
+
+
 from towerfill.operators import masking as _mask  # noqa: E402
 
 _U = "((CAST(CAST('0x' || substr(md5(concat('42:', event_id)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5E0) / 4503599627370496E0)"
@@ -695,6 +732,12 @@ def q_mask_mcar(spark, sf):
     return _masked(spark, sf, "MCAR")
 
 
+@register("mask_mar_fallback", _sql_mask(None))
+def q_mask_mar_fallback(spark, sf):
+    """M4: MAR without its driving column falls back to MCAR."""
+    return _masked(spark, sf, "MAR", "no_such_column")
+
+
 @register("mask_mar", _sql_mask("air_temperature"))
 def q_mask_mar(spark, sf):
     """M2: weighted by min-max scaled |air_temperature| + 0.1 (Efraimidis-Spirakis keys)."""

@@ -97,3 +97,24 @@ def bowen_series(df: DataFrame, time_col: str = "datetime", keep: Sequence[str]
 def bowen_filtered(series: DataFrame) -> DataFrame:
     """Keep -10 < ratio < 10 (null ratios drop out, like inf and NaN)."""
     return series.filter((F.col("bowen_ratio") > -10) & (F.col("bowen_ratio") < 10))
+
+
+def flux_parts(df: DataFrame) -> list[str]:
+    """The parts of the flux report whose columns are there, as in the reference."""
+    have = set(df.columns)
+    needs = {"energy": {*fx.RAD_PARTS, H, LE}, "carbon": {CO2}, "bowen": {H, LE}}
+    return [part for part, cols in needs.items() if cols <= have]
+
+
+def flux_report(df: DataFrame, time_col: str = "datetime", by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """One table per part that the columns allow (an absent column skips its part): closure ratio, annual budget, and the
+    mean of the screened Bowen ratio."""
+    out: dict[str, DataFrame] = {}
+    parts = flux_parts(df)
+    if "energy" in parts:
+        out["energy"] = closure_ratio(energy_balance(df, time_col, by), by)
+    if "carbon" in parts:
+        out["carbon"] = carbon_annual(carbon_budget(df, time_col, by), by)
+    if "bowen" in parts:
+        out["bowen"] = bowen_filtered(bowen_series(df, time_col, by)).groupBy(*by).agg(F.avg("bowen_ratio").alias("mean_bowen"))
+    return out

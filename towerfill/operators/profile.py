@@ -80,11 +80,10 @@ def missing_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
 def missing_matrix(df: DataFrame, cols: Sequence[str], time_col: str, unit: str = "day",
                    by: Sequence[str] = ()) -> DataFrame:
     """Share of null values per variable and time bucket (the heatmap's data)."""
-    stack = "stack({}, {}) as (variable, _isnull)".format(
-        len(cols), ", ".join(f"'{c}', CAST(`{c}` IS NULL AS INT)" for c in cols))
-    long = df.select(*by, F.date_trunc(unit, time_col).cast("timestamp_ntz").alias("bucket"), *cols) \
-             .selectExpr(*by, "bucket", stack)
-    return long.groupBy(*by, "variable", "bucket").agg(F.avg("_isnull").alias("missing_frac"))
+    wide = df.groupBy(*by, F.date_trunc(unit, time_col).cast("timestamp_ntz").alias("bucket")).agg(
+        *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(f"_m{i}") for i, c in enumerate(cols)])
+    stack = "stack({}, {}) as (variable, missing_frac)".format(len(cols), ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols)))
+    return wide.selectExpr(*[f"`{b}`" for b in by], "bucket", stack).select(*by, "variable", "bucket", "missing_frac")
 
 
 def head(df: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
