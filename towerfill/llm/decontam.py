@@ -103,9 +103,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                       item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
     th = F.xxhash64(F.col(text))
-    found = window_matches(docs.select(th.alias("h_th"), F.col(text).alias("h_text")), benchmark, ["h_th"], "h_text",
+    found = window_matches(docs.select(th.alias("_d_th"), F.col(text).alias("_d_text")), benchmark, ["_d_th"], "_d_text",
                            item_id, item_text, width)
-    return docs.join(found.select("h_th").distinct(), th == F.col("h_th"), "left_anti")
+    return docs.join(found.select("_d_th").distinct(), th == F.col("_d_th"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

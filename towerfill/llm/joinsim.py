@@ -286,9 +286,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs``, with its columns, without those linked to a document of a smaller id; repeated rows stay once."""
     got = jaccard_components(docs, doc_id, text).filter(
         F.col(doc_id).eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
-    keep = got.select(F.col(doc_id).alias("k_id"), F.col("th").alias("k_th")).distinct()
+    keep = got.select(F.col(doc_id).alias("_j_id"), F.col("th").alias("_j_th")).distinct()
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("k_id")) & (th == F.col("k_th")), "left_semi")
+    kept = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("_j_id")) & (th == F.col("_j_th")), "left_semi")
     nth = F.row_number().over(Window.partitionBy(doc_id, th).orderBy(F.lit(0)))
     return kept.withColumn("_j_nth", nth).filter("_j_nth = 1").drop("_j_nth")
 
