@@ -151,9 +151,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_phrases = parsed.select("k", "doc", F.inline(F.arrays_zip("a", "c", "s", "m")))
     anchors = all_phrases.groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc").alias("d0"),
                                            F.max("doc").alias("d1"))
-    anchors = anchors.filter("c0 <> c1 or d0 <> d1").select("a", (F.col("c0") != F.col("c1")).alias("several"))
+    # written, not aggregated under the join: so Spark can split a hot anchor's phrases there (also below)
+    anchors = cut_lineage(anchors.filter("c0 <> c1 or d0 <> d1").select("a", (F.col("c0") != F.col("c1")).alias("several")), "anchors")
     shared = cut_lineage(all_phrases.join(anchors, "a").select("k", "doc", "c", "s", "m", "several"), "shared")
-    first = shared.groupBy("c").agg(F.min("doc").alias("low"))
+    first = cut_lineage(shared.groupBy("c").agg(F.min("doc").alias("low")), "first")
     placed = shared.join(first, "c")
     whole = placed.filter("doc > low").select("k", "s", (F.col("s") + F.col("m") + window - 1).alias("e"))
 
@@ -164,10 +165,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _windows(window), "k long, doc long, w long, s int")
     checked = cut_lineage(checked, "boundary")
     low = checked.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low")
-    single = checked.join(low, "w").filter("doc > low").select("k", "s", (F.col("s") + window).alias("e"))
+    single = checked.join(cut_lineage(low, "low"), "w").filter("doc > low").select("k", "s", (F.col("s") + window).alias("e"))
 
     # copies of a whole text go without a look at it
-    first_copy = parsed.groupBy("th").agg(F.min("doc").alias("copy_of"))
+    first_copy = cut_lineage(parsed.groupBy("th").agg(F.min("doc").alias("copy_of")), "copies")
     copied = (F.col("doc") > F.col("copy_of")) & (F.col("n") >= window)
     base = parsed.select("k", "id", "doc", "th", "n", "sha").join(first_copy, "th").withColumn("copied", copied)
     spans = whole.union(single).groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
