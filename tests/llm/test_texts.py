@@ -77,6 +77,54 @@ def test_jaccard_components(spark, kw):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_components(rows)
 
 
+def check_components(spark, texts, bucket_docs):
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = joinsim.jaccard_components(df, bucket_docs=bucket_docs)
+    want = brute_components(rows)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+    return {d: c for d, _, c in want}
+
+
+def one_set(text):
+    return next(s for _, s in joinsim.shingle_sets([text.encode()], joinsim.WIDTH))
+
+
+def test_common_shingles_keep_a_small_pair(spark):
+    """A small linked pair in two buckets of shingles that many larger sets, which come first, have too."""
+    e = [f"e{i}" for i in range(400)]
+    texts = [" ".join([*e, *(f"t{i}_{j}" for j in range(4))]) for i in range(20)]
+    texts += [" ".join([*e[100:], *(f"u{i}_{j}" for j in range(4))]) for i in range(6)]  # so the passage is rarer than the rest
+    texts += [" ".join(e[:100]), " ".join(e[:97])]
+    x, y = (joinsim.set_key(one_set(t)) % 2**64 % 12 for t in texts[-2:])
+    assert x != y
+    got = check_components(spark, texts, 2)
+    assert got[27] == got[26] == 26
+
+
+def test_ties_outlast_the_pruning(spark):
+    """The first set of x's size and bucket goes for want of shared shingles; x and y still meet."""
+    e = [f"e{i}" for i in range(100)]
+    tall = [" ".join([*e, *(f"t{i}_{j}" for j in range(300))]) for i in range(8)]
+    x, y = " ".join(e), " ".join(e[:97])
+    buckets = 1 + 11 // 2
+    place = joinsim.set_key(one_set(x)) % 2**64 % buckets
+    assert joinsim.set_key(one_set(y)) % 2**64 % buckets != place
+    small, fill, k = [], [], 0
+    for j in range(0, 96, 3):  # each has three of x's shingles; the rest is common, but in sets of another size
+        while True:
+            k += 1
+            g = [f"g{k}_{i}" for i in range(93)]
+            t = " ".join([*e[j:j + 7], *g])
+            if joinsim.set_key(one_set(t)) % 2**64 % buckets == place:
+                break
+        small.append(t)
+        fill += g
+    fill = [" ".join([*fill, *(f"f{i}_{j}" for j in range(4))]) for i in range(30)]
+    got = check_components(spark, [*small, *tall, *fill, x, y], 2)
+    assert got[len(small) + 39] == got[len(small) + 38] == len(small) + 38
+
+
 def test_one_of_each_group_stays(spark):
     rows = documents()
     kept = joinsim.keep_one(table(spark, rows))

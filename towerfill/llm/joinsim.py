@@ -120,18 +120,20 @@ def describe(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS) -> t
 
 
 def _prefixes(order, width: int, percent: int, bucket_docs: int):
-    """Tasks: (``token``, ``key``, ``n``) for the prefix shingles of each set, a set once per task.
+    """Tasks: (``token``, ``bucket``, ``key``, ``n``) for the prefix shingles of each set, a set once per task.
 
-    A shingle counted in more than ``bucket_docs`` documents is dealt to buckets by
-    the set's name; the first set of a bucket in a task also goes to a bucket that
-    all of them share, which keeps the shingle's sets connected.
+    Bucket 0 of a shingle is shared by all. A shingle counted in more than
+    ``bucket_docs`` documents is dealt to buckets from 1 by the set's name; the
+    first set of each size of a bucket in a task also goes to bucket 0, under the
+    bucket's negative number. So every set still meets a set of each size that its
+    shingle has anywhere.
     """
     def run(batches):
         counts = order.value
         seen: set[int] = set()
-        tied: set[int] = set()
+        tied: set[tuple[int, int, int]] = set()
         for b in batches:
-            tokens, keys, sizes = [], [], []
+            tokens, places, keys, sizes = [], [], [], []
             for _, s in shingle_sets(utf8(b["text"]), width):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
@@ -139,19 +141,19 @@ def _prefixes(order, width: int, percent: int, bucket_docs: int):
                 est = counts[counter(s, len(counts))]
                 most = (len(s) * percent + 99) // 100  # the least size of a linked set, and the least overlap
                 first = np.argsort(est, kind="stable")[:len(s) - most + 1 + len(s) * LONGER // 100]
-                t = s[first]
+                t, place = s[first], np.zeros(len(first), np.int32)
                 if est[first[-1]] > bucket_docs:
                     buckets = 1 + est[first].astype(np.uint64) // np.uint64(bucket_docs)
-                    own = mix(t + (np.uint64(key & (2**64 - 1)) % buckets + np.uint64(1)) * BASE)
-                    split = buckets > 1
-                    new = [x for x, o in zip(t[split].tolist(), own[split].tolist()) if o not in tied and not tied.add(o)]
-                    t = np.concatenate([np.where(split, own, t), np.array(new, np.uint64)])
+                    place = np.where(est[first] > bucket_docs, 1 + np.uint64(key & (2**64 - 1)) % buckets, 0).astype(np.int32)
+                    new = [i for i in np.flatnonzero(place) if (x := (int(t[i]), int(place[i]), len(s))) not in tied and not tied.add(x)]
+                    t, place = np.concatenate([t, t[new]]), np.concatenate([place, -place[new]])
                 tokens.append(t)
+                places.append(place)
                 keys += [key] * len(t)
                 sizes += [len(s)] * len(t)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.int64()),
-                                                  pa.array(sizes, pa.int32())], ["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)),
+                                                  pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], ["token", "bucket", "key", "n"])
     return run
 
 
@@ -159,8 +161,8 @@ def clusters(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
              bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """(``node``, ``label``): sets that meet on a prefix shingle, directly or through others."""
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
-    met = docs.select("text").mapInArrow(_prefixes(order, width, percent, bucket_docs), "token long, key long, n int")
-    by_size = Window.partitionBy("token").orderBy("n", "key")
+    met = docs.select("text").mapInArrow(_prefixes(order, width, percent, bucket_docs), "token long, bucket int, key long, n int")
+    by_size = Window.partitionBy("token", F.greatest("bucket", F.lit(0))).orderBy("n", "key")
     near = {c: f(c).over(by_size) for f, c in ((F.lag, "key"), (F.lag, "n"))}
     below = (near["key"] != F.col("key")) & (100 * near["n"] >= percent * F.col("n"))
     above = (F.lead("key").over(by_size) != F.col("key")) & (100 * F.col("n") >= percent * F.lead("n").over(by_size))
@@ -168,7 +170,12 @@ def clusters(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
     shared = cut_lineage(met.filter("shared").drop("shared"), "shared")
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * LONGER / 100)  # what a linked set of the least size shares
     able = shared.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("key")
-    chain = shared.join(able, "key").select(F.col("key").alias("a"), near["key"].alias("b"), below.alias("fits"))
+    left = shared.join(able, "key").withColumn("bucket", F.abs("bucket"))
+    if (counts > bucket_docs).any():
+        # a task's first set may have gone: the sets left are tied anew
+        ties = shared.filter("bucket <> 0").withColumn("bucket", F.abs("bucket")).join(able, "key").groupBy("token", "bucket", "n").agg(F.min("key").alias("key"))
+        left = left.unionByName(ties.withColumn("bucket", F.lit(0)))
+    chain = left.select(F.col("key").alias("a"), near["key"].alias("b"), below.alias("fits"))
     edges = chain.filter("fits").select("a", "b").distinct()
     return components(edges)
 
