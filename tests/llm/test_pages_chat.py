@@ -61,6 +61,16 @@ def test_main_text():
     assert tagpath.main_text("<p>" * 5000 + "deep") == "deep"
 
 
+def test_main_text_without_sections():
+    long, short = "Long text, with words. " * 39, "Short text, with words. " * 4
+    page = f"<body><header>Site</header><div><h1>Title</h1><p>{long}</p><p>{short}</p><ul><li>one</li><li><a href=x>link</a></li></ul></div></body>"
+    assert tagpath.main_text(page).split("\n") == ["Title", long.strip(), short.strip(), "one"]
+    page = f"<body><h1>Title</h1><div><p>{long}</p></div><div><p>{short}</p></div></body>"
+    assert tagpath.main_text(page).split("\n") == ["Title", long.strip(), short.strip()]
+    page = f"<body><div><h2>Head</h2><p>{long}</p><p>ok</p><div><p>{short}</p><p>so</p></div></div><footer>f</footer></body>"
+    assert tagpath.main_text(page).split("\n") == ["Head", long.strip(), "ok", short.strip(), "so"]
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     got = tagpath.extract_text(df).collect()

@@ -5,8 +5,8 @@ Elements that are no part of an article by their name, role or class are left ou
 with all they hold. Over the rest, text length and punctuation are summed per path;
 a path's ratios (characters and punctuation marks for each of its blocks, without
 link text) are smoothed over the page with a Gaussian, fused, and compared with a
-threshold. Paths above it give the content nodes; what the smallest section around
-them holds is the article, so that its headings and short paragraphs stay.
+threshold. Paths above it give the content nodes; what the smallest element around
+all of them holds is the article, so that its headings and short paragraphs stay.
 
 Defined results: null or textless pages give an empty text. Repeated rows each get
 a row. Columns other than id, url and html are not read. An empty table gives no
@@ -177,8 +177,8 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     A block is content if its score is at least ``share`` of the standard deviation
     of all scores, or the page's scores do not differ. With article or main
     elements only blocks in them can be content; a block of nothing but links in
-    them stays out. Without, the content's nearest shared element is the article,
-    and headings there stay with it.
+    them stays out. Without, the article is the nearest element that holds all content
+    blocks and more than the text of one element; the same blocks in it stay.
     """
     found, names, sectioned = blocks(page or "")
     if sectioned:
@@ -186,22 +186,33 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     if not found:
         return ""
     score = path_scores(found)
-    chosen = [b for b, s in zip(found, score) if s >= share * score.std()] or found
+    chosen = score >= share * score.std()
+    if not chosen.any():
+        chosen[:] = True
+    picked = [b for b, c in zip(found, chosen) if c]
     if sectioned:
-        hosts = {next(i for i in b.chain if names[i] in SECTIONS) for b in chosen}
-        inside = [b for b in found if hosts & set(b.chain) and (b.link < len(b.text) or b in chosen)]
+        hosts = {next(i for i in b.chain if names[i] in SECTIONS) for b in picked}
     else:
-        weight: dict[int, int] = {}
-        for b in chosen:
-            for i in b.chain:
-                weight[i] = weight.get(i, 0) + len(b.text)
-        most = sum(len(b.text) for b in chosen)
-        host = max((i for i, w in weight.items() if w >= 0.8 * most), default=0)
-        heads = {"h1", "h2", "h3", "h4", "h5", "h6"}
-        inside = [b for b in found if (not host or host in b.chain) and (b in chosen or b.path.rpartition("/")[2] in heads)]
+        hosts = host(found, picked)
+    inside = [b for b, c in zip(found, chosen) if (not hosts or not hosts.isdisjoint(b.chain)) and (b.link < len(b.text) or c)]
     return "\n".join(b.text for b in inside)
 
 
+def host(found: list[Block], picked: list[Block]) -> set[int]:
+    """The deepest element that holds all picked blocks and blocks of more than one element; none if only the page does."""
+    shared = picked[0].chain
+    for b in picked:
+        n = next((k for k, (x, y) in enumerate(zip(shared, b.chain)) if x != y), min(len(shared), len(b.chain)))
+        shared = shared[:n]
+    held: dict[int, tuple[int, ...]] = {}
+    wide: set[int] = set()
+    for b in found:
+        for i in b.chain:
+            if held.setdefault(i, b.chain) != b.chain:
+                wide.add(i)
+    return {next((i for i in reversed(shared) if i in wide), 0)} - {0}
+
+
 def _extract(batches):
     for b in batches:
         texts = [main_text(x) for x in b["html"].to_pylist()]
