@@ -71,6 +71,15 @@ def test_main_text_without_sections():
     assert tagpath.main_text(page).split("\n") == ["Head", long.strip(), "ok", short.strip(), "so"]
 
 
+@pytest.mark.parametrize("mark", ["site has-sidebar", "no-sidebar", "elementor-widget-container", "widget", "modal search"])
+def test_marked_wrappers_stay(mark):
+    text = "A paragraph, with text. " * 9
+    for inner in (f"<article><h1>T</h1><p>{text}</p></article>", f"<main><h1>T</h1><p>{text}</p></main>", f"<h1>T</h1><p>{text}</p>"):
+        page = f'<body><div class="{mark}">{inner}<div class="sidebar"><p>Aside, here.</p></div></div><div id="comments"><p>Nice.</p></div></body>'
+        assert tagpath.main_text(page) == f"T\n{text.strip()}"
+    assert tagpath.main_text(f'<body><span class="{mark}"><p>{text}</p></span><span class="ad">buy</span></body>') == text.strip()
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     got = tagpath.extract_text(df).collect()

@@ -2,7 +2,8 @@
 
 A page is cut into text blocks, each under its root-to-leaf path of block elements.
 Elements that are no part of an article by their name, role or class are left out
-with all they hold. Over the rest, text length and punctuation are summed per path;
+with all they hold; a role or class leaves out none that holds an article or main
+element or most of the page's path score. Over the rest, text length and punctuation are summed per path;
 a path's ratios (characters and punctuation marks for each of its blocks, without
 link text) are smoothed over the page with a Gaussian, fused, and compared with a
 threshold. Paths above it give the content nodes; what the smallest element around
@@ -30,8 +31,9 @@ from towerfill.llm.common import table
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+SCRIPT = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|$)", re.S | re.I)
+SECTION = re.compile(r"<(?:article|main)[\s>]", re.I)
 SPACE = re.compile(r"\s+")
-NAME = re.compile(r"[a-z]+")
 
 #: Elements whose inside is not text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -41,7 +43,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: Elements that never belong to an article's text.
 OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "head", "template",
            "svg", "canvas", "object", "audio", "video", "map", "fieldset", "legend"}
-#: Words in class, id or role that mark such a part.
+#: Whole class names, ids or roles that mark such a part.
 MARKS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "banner", "footer", "foot", "sidebar",
          "aside", "complementary", "contentinfo", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored",
          "promo", "promotion", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter",
@@ -64,20 +66,25 @@ class Block:
     link: int
 
 
-def outside(name: str, tag: str) -> bool:
-    """Whether an element is no part of an article by its name or its attributes."""
+def outside(name: str, tag: str) -> tuple[bool, bool]:
+    """Whether an element is no part of an article by its name or because it is hidden, and whether its class, id or role says so."""
     if name in OUTSIDE:
-        return True
+        return True, False
+    marked = False
     for m in ATTRIBUTE.finditer(tag, len(name) + 1):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name not in ("html", "body", "article", "main") and MARKS.intersection(NAME.findall(value)):
-            return True
-    return False
+                return True, False
+        elif name not in ("html", "body", "article", "main"):
+            marked = marked or not MARKS.isdisjoint(value.split())
+    return False, marked
+
+
+def text_size(page: str) -> int:
+    return len(MARKUP.sub("", SCRIPT.sub("", page)))
 
 
 def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
@@ -85,8 +92,15 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # name, number, left out
     names: dict[int, str] = {}
+    marked: set[int] = set()
+    holds: set[int] = set()  # a section
     text: list[str] = []
-    link, links, number, at = 0, 0, 0, 0
+    link, links, number, at, size = 0, 0, 0, 0, -1
+
+    def main_part(part: str) -> bool:
+        nonlocal size
+        size = text_size(page) if size < 0 else size
+        return SECTION.search(part) is not None or 2 * len(part) > size and 2 * text_size(part) > size
 
     def flush():
         nonlocal text, link
@@ -117,9 +131,10 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
             links = 0 if close else 1
             continue
         if name in INLINE:
-            if not close and outside(name, tag):  # a marked inline part is dropped up to its end
+            if not close and any(gone := outside(name, tag)):  # a marked inline part is dropped up to its end
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+                if end and (gone[0] or not main_part(page[at:end.start()])):
+                    at = end.end()
             continue
         if name == "br":
             text.append(" ")
@@ -144,8 +159,22 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
                     break
         number += 1
         names[number] = name
-        stack.append((name, number, outside(name, tag)))
+        gone, mark = outside(name, tag)
+        stack.append((name, number, gone))
+        if mark:
+            marked.add(number)
+        if name in SECTIONS and not any(x[2] for x in stack):
+            holds.update(x[1] for x in stack)
     flush()
+    marked -= holds
+    if marked and out:
+        score = path_scores(out)
+        sums: dict[int, float] = {}
+        for b, s in zip(out, score):
+            for i in marked.intersection(b.chain):
+                sums[i] = sums.get(i, 0.0) + s
+        marked -= {i for i, s in sums.items() if 2 * s > score.sum()}
+        out = [b for b in out if marked.isdisjoint(b.chain)]
     return out, names, any(names[i] in SECTIONS for b in out for i in b.chain)
 
 
