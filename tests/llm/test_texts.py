@@ -186,6 +186,24 @@ def test_masking_keeps_columns(spark):
     assert by[1] == "mail <EMAIL>, or <IP> and 10.0.0.256" and by[4] is None and by[6] == PII[5][1]
 
 
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(pii.labelled_rows(None))
+
+
+def all_spans(field, text):
+    """(kind, matched text) of a text's spans, the field's among them."""
+    kept, dropped = pii.base_spans(text)
+    return [(pii.KINDS[k], text[s:e]) for k, s, e in sorted({*kept, *pii.added_spans([text], [(kept, dropped)], field)[0]}, key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize("text", ["contact info (at) shop.example.com", "mail bob[at]example.net soon", "contact info (AT) shop.example.com",
+                                  "write to anna\nat\nexample dot com please", "write to anna AT example dot com please"])
+def test_spelled_out_at_without_digits(field, text):
+    got = all_spans(field, text)
+    assert [k for k, _ in got] == ["email"] and pii.SPELLED_AT.search(got[0][1])
+
+
 def test_field_on_held_out_rows():
     rows = pii.labelled_rows(None)
     held = rows[::5]

@@ -34,7 +34,6 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 NEEDS = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile("[0-9]"), "phone": re.compile(r"\+[0-9]")}
-DIGIT = re.compile("[0-9]")
 
 #: A small labelled table: [kind|text] marks a span.
 EXAMPLES = (
@@ -57,6 +56,10 @@ EXAMPLES = (
 )
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What the field looks near: digits, at signs and spelled-out ones.
+AT = r"(?:[(\[]|(?<=[\x20\x09-\x0D]))[Aa][Tt](?=[)\]\x20\x09-\x0D])"
+TRIGGER = re.compile(f"[0-9@]+|{AT}")
+SPELLED_AT = re.compile(f"@|{AT}")
 #: Words on each side of a word with a digit or an at sign that the field sees.
 REACH = 3
 #: At most this many rows of a labelled table are trained on.
@@ -226,7 +229,7 @@ def near_words(text: str) -> list[list[tuple[int, int]]]:
     """Runs of words (start, end), each within REACH words of one with a digit or an at sign (also a spelled-out one)."""
     runs: list[list[tuple[int, int]]] = []
     done = -1
-    for m in re.finditer(r"[0-9@]+|[(\[ ]at[)\] ]", text):
+    for m in TRIGGER.finditer(text):
         if m.start() < done:
             continue
         start = m.start()
@@ -261,7 +264,7 @@ def trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 def added_spans(texts: list[str], found: list[tuple[list, list]], model: Field) -> list[list[tuple[int, int, int]]]:
     """The field's spans for each text that touch no match of a pattern."""
-    runs = [(i, run) for i, text in enumerate(texts) if DIGIT.search(text) or "@" in text or " at " in text for run in near_words(text)]
+    runs = [(i, run) for i, text in enumerate(texts) for run in near_words(text)]
     labels = model.decode([[texts[i][s:e] for s, e in run] for i, run in runs])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, run), path in zip(runs, labels):
@@ -285,7 +288,7 @@ def added_spans(texts: list[str], found: list[tuple[list, list]], model: Field)
 def plausible(kind: str, span: str) -> bool:
     n = sum(c in "0123456789" for c in span)
     if kind == "email":
-        return re.search(r"@|[\[( ]at[\]) ]", span) is not None and len(span.split()) <= 9
+        return SPELLED_AT.search(span) is not None and len(span.split()) <= 9
     return {"ip": 4 <= n <= 12, "card": 16 <= n <= 19, "phone": 8 <= n <= 15}[kind] and len(span.split()) <= 6
 
 
