@@ -204,6 +204,15 @@ def test_spelled_out_at_without_digits(field, text):
     assert [k for k, _ in got] == ["email"] and pii.SPELLED_AT.search(got[0][1])
 
 
+def test_digits_are_counted(field):
+    assert all_spans(field, "call 0049 30 5550 1234 now") == [("phone", "0049 30 5550 1234")]
+    two = [("phone", "0171 555 2340"), ("phone", "0171 555 2341")]
+    assert all_spans(field, "0171 555 2340 0171 555 2341") == all_spans(field, "tel 0171 555 2340 0171 555 2341 only") == two
+    assert all_spans(field, "card 4111 1111 1111 1112 no") == []
+    assert pii.numbers("phone", "06 12 34 56 78 06 12 34 56 79".split()) == [(0, 5), (5, 10)]
+    assert pii.numbers("phone", ["1" * 16]) == [(0, 1)]
+
+
 def test_field_on_held_out_rows():
     rows = pii.labelled_rows(None)
     held = rows[::5]

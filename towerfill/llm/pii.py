@@ -62,10 +62,17 @@ TRIGGER = re.compile(f"[0-9@]+|{AT}")
 SPELLED_AT = re.compile(f"@|{AT}")
 #: Words on each side of a word with a digit or an at sign that the field sees.
 REACH = 3
+#: Digits of a number by kind, and the words it has at most.
+NUMBERS = {"card": (16, 19), "phone": (8, 15)}
+NUMBER_WORDS = 6
 #: At most this many rows of a labelled table are trained on.
 MAX_LABELLED = 2000
 
 
+def digits(s: str) -> int:
+    return sum(c in "0123456789" for c in s)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -91,7 +98,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             for m in PATTERNS[kind].finditer(text):
                 if valid(kind, m.group()):
                     kept.append((k, m.start(), m.end()))
-                elif kind != "card" or m.end() - m.start() >= 16:
+                elif kind != "card" or 16 <= digits(m.group()) <= 19:
                     dropped.append(m.span())
     return kept, dropped
 
@@ -279,17 +286,37 @@ def added_spans(texts: list[str], found: list[tuple[list, list]], model: Field)
             t += 1
             while t < len(path) and path[t] == 2 + 2 * k:
                 t += 1
-            s, e = trim(texts[i], run[first][0], run[t - 1][1])
-            if s < e and not any(s < b and a < e for a, b in taken) and plausible(KINDS[k], texts[i][s:e]):
-                out[i].append((k, s, e))
+            for a, b in numbers(KINDS[k], [texts[i][s:e] for s, e in run[first:t]]):
+                s, e = trim(texts[i], run[first + a][0], run[first + b - 1][1])
+                if s < e and not any(s < y and x < e for x, y in taken) and plausible(KINDS[k], texts[i][s:e]):
+                    out[i].append((k, s, e))
     return out
 
 
+def numbers(kind: str, words: list[str]) -> list[tuple[int, int]]:
+    """Ranges of words, one for each number: more digits than one has are cut into the fewest and most even numbers of the kind."""
+    least, most = NUMBERS.get(kind, (0, 0))
+    n = [digits(w) for w in words]
+    if not most or sum(n) <= most:
+        return [(0, len(words))]
+    best: list[tuple[int, int, int] | None] = [(0, 0, 0)]  # numbers, squares of their digits, start of the last
+    for j in range(1, len(n) + 1):
+        some = [(best[i][0] + 1, best[i][1] + sum(n[i:j]) ** 2, i) for i in range(max(0, j - NUMBER_WORDS), j)
+                if best[i] is not None and least <= sum(n[i:j]) <= most]
+        best.append(min(some, default=None))
+    out, j = [], len(n)
+    while j and best[j] is not None:
+        out.append((best[j][2], j))
+        j = best[j][2]
+    return out[::-1] or [(0, len(words))]
+
+
 def plausible(kind: str, span: str) -> bool:
-    n = sum(c in "0123456789" for c in span)
+    n = digits(span)
     if kind == "email":
         return SPELLED_AT.search(span) is not None and len(span.split()) <= 9
-    return {"ip": 4 <= n <= 12, "card": 16 <= n <= 19, "phone": 8 <= n <= 15}[kind] and len(span.split()) <= 6
+    least, most = NUMBERS.get(kind, (4, 12))
+    return least <= n <= most and len(span.split()) <= NUMBER_WORDS
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
