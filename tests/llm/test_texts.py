@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -213,6 +214,19 @@ def test_digits_are_counted(field):
     assert pii.numbers("phone", ["1" * 16]) == [(0, 1)]
 
 
+@pytest.mark.parametrize("row", pii.EXAMPLES)
+def test_examples_are_found_whole(field, row):
+    marks = re.compile(r"\[(email|ip|card|phone)\|((?:[^\]\[]|\[at\])*)\]")
+    assert all_spans(field, marks.sub(r"\2", row)) == [(m[1], m[2]) for m in marks.finditer(row)]
+
+
+def test_long_addresses_are_found_whole(field):
+    for mail in ("john dot m dot smith at mail dot example dot org", "john dot m dot p dot smith at a dot mail dot example dot co dot uk"):
+        assert all_spans(field, f"mail {mail} for it") == [("email", mail)]
+    text = "room 204 on floor two anna dot lee at example dot com"
+    assert [[text[s:e] for s, e in run] for run in pii.near_words(text)] == [text.split()]
+
+
 def test_field_on_held_out_rows():
     rows = pii.labelled_rows(None)
     held = rows[::5]

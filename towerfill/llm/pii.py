@@ -3,8 +3,8 @@
 The patterns give the base spans. The field adds spans that the patterns miss
 (numbers without a plus sign, spelled-out mail addresses): it is trained by maximum
 likelihood on a small labelled table, over word-shape features, and decoded by
-Viterbi in numpy batches. It labels every word near a digit or an at sign; words
-further off are outside by rule. A decoded span that touches a match of a pattern,
+Viterbi in numpy batches. It labels every word near a digit or an at sign, or near a
+joint ("dot", "at") of an address there; words further off are outside by rule. A decoded span that touches a match of a pattern,
 kept or dropped, adds nothing: there the pattern has decided.
 
 Defined results: null text is empty and has no spans. Repeated rows each get a row.
@@ -60,7 +60,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AT = r"(?:[(\[]|(?<=[\x20\x09-\x0D]))[Aa][Tt](?=[)\]\x20\x09-\x0D])"
 TRIGGER = re.compile(f"[0-9@]+|{AT}")
 SPELLED_AT = re.compile(f"@|{AT}")
-#: Words on each side of a word with a digit or an at sign that the field sees.
+#: A word that holds a spelled-out address together.
+JOINT = re.compile(r"[(\[]?(?:at|dot)[)\]]?", re.I)
+#: Words on each side of a word with a digit or an at sign, or of a joint, that the field sees.
 REACH = 3
 #: Digits of a number by kind, and the words it has at most.
 NUMBERS = {"card": (16, 19), "phone": (8, 15)}
@@ -233,28 +235,31 @@ def train(rows: list[tuple[list[str], np.ndarray]], rounds: int = 150, rate: flo
 
 
 def near_words(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end), each within REACH words of one with a digit or an at sign (also a spelled-out one)."""
+    """Runs of words (start, end), each within REACH words of one with a digit or an at sign (also a spelled-out one), or of a joint in such a run."""
     runs: list[list[tuple[int, int]]] = []
     done = -1
     for m in TRIGGER.finditer(text):
         if m.start() < done:
             continue
-        start = m.start()
-        for _ in range(REACH + 1):  # back to the start of the word, then REACH words more
+        start, left = m.start(), REACH
+        while left >= 0 and start > max(done, 0):  # back to the start of the word, then REACH words more
+            end = start
             while start > 0 and text[start - 1] in SPACE:
                 start -= 1
+            last = start
             while start > 0 and text[start - 1] not in SPACE:
                 start -= 1
-        start = max(start, done, 0)
-        words, left, at = [], REACH, start
+            left = REACH if end > last and JOINT.fullmatch(text, start, last) else left - 1
+        more = bool(runs) and start <= done
+        words, left, at = [], REACH, max(start, done, 0)
         while left >= 0 and (w := WORD.search(text, at)):
             words.append(w.span())
             at = w.end()
             if w.end() > m.start():
-                left = REACH if re.search("[0-9@]", w.group()) else left - 1
+                left = REACH if re.search("[0-9@]", w.group()) or JOINT.fullmatch(w.group()) else left - 1
         done = at
-        if runs and words and runs[-1][-1][1] >= words[0][0]:
-            runs[-1] += [w for w in words if w[0] >= runs[-1][-1][1]]
+        if more:
+            runs[-1] += words
         elif words:
             runs.append(words)
     return runs
@@ -314,7 +319,8 @@ def numbers(kind: str, words: list[str]) -> list[tuple[int, int]]:
 def plausible(kind: str, span: str) -> bool:
     n = digits(span)
     if kind == "email":
-        return SPELLED_AT.search(span) is not None and len(span.split()) <= 9
+        words = span.split()
+        return SPELLED_AT.search(span) is not None and (len(words) <= 9 or all(map(JOINT.fullmatch, words[1::2])))
     least, most = NUMBERS.get(kind, (4, 12))
     return least <= n <= most and len(span.split()) <= NUMBER_WORDS
 
