@@ -1,4 +1,4 @@
-"""Exact Jaccard join of word shingles with vertical partitioning.
+"""Exact Jaccard join of word shingles by a prefix filter and comparison in blocks.
 
 1. Every document becomes the set of its distinct shingle hashes; documents with
    equal sets form a class.
@@ -10,9 +10,10 @@
    prefix shingle are candidates. A shingle's classes form a chain by size, cut where
    the next size no longer fits: that puts all candidates into one cluster without a
    row per pair.
-3. The clusters' shingles are compared once. The global order is cut into
-   fragments; each fragment gives a matrix of partial overlaps, and the sum over
-   the fragments is a pair's overlap. A cluster larger than a block is cut into
+3. The clusters' shingles are compared once, inside a task. The shared shingles of
+   two blocks, sorted by hash, are cut into slices; each gives a matrix of partial
+   overlaps, and their sum is a pair's overlap. The slices bound the memory; the
+   global order plays no part here. A cluster larger than a block is cut into
    blocks, and every pair of blocks is a group of its own, so no task holds a
    whole large cluster and no pair is left out.
 4. Links leave a task as spanning edges only; their components are the result.
@@ -44,7 +45,7 @@ COUNTERS = 1 << 20
 COUNTER_BLOCK = 1 << 12
 #: Hundredths of a set by which its prefix is longer than one shared shingle needs.
 LONGER = 10
-#: Shingles and documents of a block; partial-overlap cells of a fragment.
+#: Shingles and documents of a block; partial-overlap cells of a slice.
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1 << 11
 FRAGMENT_CELLS = 1 << 22
@@ -181,7 +182,7 @@ def clusters(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], cells: int = FRAGMENT_CELLS) -> np.ndarray:
-    """Overlap counts of every set of ``left`` with every set of ``right``: partial counts per fragment of the order, summed."""
+    """Overlap counts of every set of ``left`` with every set of ``right``: partial counts per slice of the shared shingles, summed."""
     total = np.zeros((len(left), len(right)), np.int32)
     joint = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
     width = max(1, cells // max(len(left), len(right)))
