@@ -1,4 +1,4 @@
-"""Substring dedup by a relative Lempel-Ziv parse against the documents of smaller id.
+"""Substring dedup by content-defined phrases against the documents of smaller id.
 
 The reference is the corpus itself, indexed in hash blocks: each text is cut into
 phrases at content-defined anchors (the least hash of ``ANCHOR`` words in every
@@ -6,15 +6,15 @@ window of ``WINDOW`` words), and a phrase is indexed under its anchor with the
 smallest document that has it. Equal windows have the same anchor, so a window can
 only occur in documents that share that anchor, and lies in one phrase of each.
 
-A document is parsed greedily from left to right: phrases that the reference has
-join into factors. Where a phrase is not in the reference as a whole, a factor
-ends inside it; there, and only where the anchor occurs elsewhere, the windows are
-checked one by one against the windows of the other phrases of that anchor. All
-factors are at least a window long, so each is a duplicate span.
+A phrase that the reference has is marked whole. Where a phrase is not in the
+reference as a whole, and its anchor occurs elsewhere, its windows are checked one by
+one against the windows of the other phrases of that anchor. The marked intervals
+merged are the removed spans ("factors"); all are at least a window long.
 
-(Parsing every document against a suffix array of every block would be a cross
-join of documents and blocks; the anchors send each piece to the one block that
-can hold it.)
+This replaces a relative Lempel-Ziv parse: no text is parsed from left to right
+against a reference, and no factor is extended to its longest match. (Parsing every
+document against a suffix array of every block would be a cross join of documents and
+blocks; the anchors send each piece to the one block that can hold it.)
 
 Every shuffle carries hashes and positions; the texts are dealt out once, to the
 documents that have spans. Copies of a text are found by its hash first; they
@@ -107,7 +107,7 @@ def _windows(window: int):
 
 
 def factors(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans (start, end) merged greedily from left to right."""
+    """Spans (start, end) merged where they touch."""
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
