@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from towerfill.llm import chat, decontam, joinsim, packing, pii, quality, rlz, shards, tagpath, warc
+from towerfill.llm import chat, decontam, joinsim, minmax, packing, phrases, pii, quality, rlz, rtree, shards, tagpath, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.query,
     "op9_benchmark_decontamination": decontam.query,
     "op10_chat_formatting": chat.query,
+    "op11_minmax_hashing": minmax.query,
+    "op12_phrase_collocations": phrases.query,
+    "op13_rtree_hard_negatives": rtree.query,
 }
 
 ORACLE = {
@@ -24,4 +27,7 @@ ORACLE = {
     "op6_quality_rules": quality.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "op11_minmax_hashing": minmax.ORACLE,
+    "op12_phrase_collocations": phrases.ORACLE,
+    "op13_rtree_hard_negatives": rtree.ORACLE,
 }
