@@ -136,3 +136,48 @@ def test_train_targets_and_latest(spark, tower_df):
     gbt = train_targets(feats, ["co2_flux"], sets, spec, enc, "gbt", {"maxIter": 2})["co2_flux"]
     reg.save(gbt)
     assert reg.latest("co2_flux").model_type == "gbt" and reg.load("rf", "co2_flux").model_type == "rf"
+
+
+def test_a_save_cut_off_half_way_leaves_the_old_pair(spark, tower_df, monkeypatch):
+    feats, tm = _small_models(spark, tower_df, "gbt")
+    reg = ModelRegistry(spark, tempfile.mkdtemp(prefix="tf-reg-"))
+    reg.save(tm)
+    old = reg.commits("gbt", "co2_flux")
+    newer = train_models(feats, "co2_flux", tm.all_features[:3], tm.time_features, tm.spec, tm.encoding, "gbt", {"maxIter": 2})
+    for step in ("model_time", "metadata"):  # the save stops after ALL, or before the metadata is there
+        broken = train_models.__globals__["TrainedModels"](**{**newer.__dict__})
+        if step == "model_time":
+            broken.model_time = type("Broken", (), {"save": lambda self, path: 1 / 0})()
+        else:
+            broken.metadata = lambda: 1 / 0
+        try:
+            reg.save(broken)
+            raise AssertionError("the save went through")
+        except ZeroDivisionError:
+            pass
+        assert reg.commits("gbt", "co2_flux") == old
+        assert reg.load("gbt", "co2_flux").all_features == tm.all_features
+    reg.save(newer)
+    assert reg.load("gbt", "co2_flux").all_features == newer.all_features
+    assert reg.load("gbt", "co2_flux", old[0]).all_features == tm.all_features
+    assert reg.latest("co2_flux").all_features == newer.all_features
+
+
+def test_tree_models_train_on_rows_that_lack_features(spark, tower_df):
+    spec = FeatureSpec(targets=["co2_flux"])
+    feats, enc = build_features(tower_df, TOWER, spec)
+    allf, timef = feature_lists(tower_df, feats, spec.targets, TOWER)
+    tm = train_models(feats, "co2_flux", allf, timef, spec, enc, "xgboost", {"trees": 2})
+    reg = ModelRegistry(spark, tempfile.mkdtemp(prefix="tf-reg-"))
+    reg.save(tm)
+    back = reg.latest("co2_flux")
+    assert back.accepts_missing and back.model_all.to_json() == tm.model_all.to_json()
+    routed = fill.route(feats, "co2_flux", back.all_features, lacking="ALL").cache()
+    lacking = routed.filter("route = 'ALL' AND sensible_heat_flux IS NULL").count()
+    assert lacking > 0 and routed.filter("route = 'TIME'").count() == 0
+    assert fill.fill_with_features(feats, back, lacking="ALL").filter("co2_flux IS NULL OR isnan(co2_flux)").count() == 0
+    try:
+        fill.fill_with_features(feats, _small_models(spark, tower_df, "gbt")[1], lacking="ALL")
+        raise AssertionError("MLlib models can't score rows that lack features")
+    except ValueError:
+        pass

@@ -877,10 +877,10 @@ def trained(spark, sf, model_type="rf", params=None, feats=None):
     return registry.load(model_type, "co2_flux")
 
 
-def _filled(spark, sf, model_type="rf", keep_original=False):
+def _filled(spark, sf, model_type="rf", keep_original=False, params=None, lacking="TIME"):
     from towerfill.session import cut_lineage
     feats = cut_lineage(_features(spark, sf)[1], "features")
-    return _fill.fill_with_features(feats, trained(spark, sf, model_type, feats=feats), keep_original)
+    return _fill.fill_with_features(feats, trained(spark, sf, model_type, params, feats=feats), keep_original, lacking)
 
 
 _FILLED_SQL = (W + " SELECT event_id, series_id, round(co2_flux, 6) AS observed, CAST(co2_flux IS NULL AS BIGINT) AS filled, "
@@ -905,6 +905,78 @@ def q_fill_gbt(spark, sf):
     return _invariants(_filled(spark, sf, "gbt"))
 
 
+@register("fill_xgboost", _FILLED_SQL)
+def q_fill_xgboost(spark, sf):
+    """Regularised boosted trees (gamma, L1, L2, column sample; 10 rounds here) trained on rows with missing features too."""
+    return _invariants(_filled(spark, sf, "xgboost", params={"trees": 10}))
+
+
+@register("fill_forest_missing", _FILLED_SQL)
+def q_fill_forest_missing(spark, sf):
+    """A forest (10 trees, depth 6 here) that learns where missing features go; ALL fills every row that has any feature."""
+    return _invariants(_filled(spark, sf, "forest", params={"trees": 10, "max_depth": 6}, lacking="ALL"))
+
+
+#: Columns of few values for a tree that SQL can follow: one with missing values, two without.
+_STUMP = {"s": "floor(sensible_heat_flux / 10)", "t": "floor(air_temperature)", "h": "CAST(hour(datetime) AS DOUBLE)"}
+_STUMP_PARAMS = dict(trees=1, max_depth=1, eta=0.3, subsample=1.0, colsample=1.0, gamma=0.1, l1=0.1, l2=1.0, min_child_weight=3.0)
+
+
+def _sql_worth(g: str, h: str) -> str:
+    return f"(pow(greatest(abs({g}) - 0.1E0, 0), 2) / ({h} + 1))"
+
+
+def _sql_stump() -> str:
+    """Every cut of every column, with the missing rows on either side; the best by regularised gain; both leaves."""
+    leaf = "-(CASE WHEN {g} < 0 THEN -1 ELSE 1 END) * greatest(abs({g}) - 0.1E0, 0) / ({h} + 1) * 0.3E0"
+    return (W + ", st AS (SELECT event_id, datetime, co2_flux AS y, " + ", ".join(f"{e} AS {c}" for c, e in _STUMP.items()) + " FROM tower), "
+            "x AS (" + " UNION ALL ".join(f"SELECT event_id, y, {i} AS f, CAST({c} AS DOUBLE) AS v FROM st" for i, c in enumerate(_STUMP)) + "), "
+            "b AS (SELECT avg(y) AS base, count(y) AS n FROM st), "
+            "lv AS (SELECT f, v, sum(base - y) AS g, count(*) AS h FROM x, b WHERE y IS NOT NULL GROUP BY f, v), "
+            "c AS (SELECT f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, lead(v) OVER (PARTITION BY f ORDER BY v) AS nv FROM lv WHERE v IS NOT NULL "
+            "WINDOW w AS (PARTITION BY f ORDER BY v)), "
+            "m AS (SELECT f, coalesce(sum(g) FILTER (v IS NULL), 0) AS gm, coalesce(sum(h) FILTER (v IS NULL), 0) AS hm, sum(g) AS g, sum(h) AS h FROM lv GROUP BY f), "
+            "s AS (SELECT c.f, c.v, (c.v + coalesce(nv, c.v)) / 2 AS mid, nv IS NULL AS last, side, gl + side * gm AS gl, hl + side * hm AS hl, g, h "
+            "FROM c JOIN m USING (f), (VALUES (0), (1)) k(side)), "
+            f"k AS (SELECT *, {_sql_worth('gl', 'hl')} + {_sql_worth('(g - gl)', '(h - hl)')} - {_sql_worth('g', 'h')} AS gain FROM s WHERE hl >= 3 AND h - hl >= 3), "
+            "best AS (SELECT * FROM k WHERE gain >= 0.1E0 ORDER BY gain DESC, f, v, side LIMIT 1), "
+            "p AS (SELECT x.event_id, base + CASE WHEN CASE WHEN x.v IS NULL THEN side = 1 ELSE last OR x.v <= mid END THEN "
+            + leaf.format(g="gl", h="hl") + " ELSE " + leaf.format(g="(g - gl)", h="(h - hl)") + " END AS prediction "
+            "FROM x, best, b WHERE x.f = best.f) ")
+
+
+@register("boosted_stump_missing", _sql_stump() + "SELECT event_id, round(prediction, 6) AS prediction, CAST(s IS NULL AS BIGINT) AS lacks FROM p JOIN st USING (event_id)")
+def q_boosted_stump_missing(spark, sf):
+    """One boosted split with gamma, L1, L2 and a learned side for missing values, against SQL that tries every cut."""
+    from towerfill.plans.trees import fit_trees
+    rows = tower(spark, sf).select("event_id", F.col("co2_flux").alias("y"), *[F.expr(e).alias(c) for c, e in _STUMP.items()])
+    model = fit_trees(rows, "y", list(_STUMP), _STUMP_PARAMS)
+    return model.transform(rows).select("event_id", "prediction", F.col("s").isNull().alias("lacks"))
+
+
+@register("fill_routing_lacking", _FF_SQL + " SELECT event_id, CASE WHEN co2_flux IS NOT NULL THEN 'observed' WHEN sensible_heat_flux IS NOT NULL "
+          "OR (vpd IS NOT NULL AND NOT isnan(vpd)) THEN 'ALL' ELSE 'TIME' END AS route FROM ff")
+def q_fill_routing_lacking(spark, sf):
+    """M6 for models that accept missing features: a row with any ALL feature goes to ALL."""
+    return _fill.route(_features(spark, sf)[1], "co2_flux", ["sensible_heat_flux", "vpd"], lacking="ALL").select("event_id", "route")
+
+
+@register("train_targets", W + " SELECT target, count(*) AS n FROM (SELECT unnest(['co2_flux', 'sensible_heat_flux']) AS target, event_id FROM tower) "
+          "GROUP BY target")
+def q_train_targets(spark, sf):
+    """Models of two targets from one feature frame; each predicts every row from calendar features."""
+    src = tower(spark, sf)
+    targets = ["co2_flux", "sensible_heat_flux"]
+    _, feats, enc, _, _, spec = _features(spark, sf, FeatureSpec(targets=targets))
+    _, timef = feature_lists(src, feats, targets, TOWER)
+    got = _model.train_targets(feats, targets, {t: (["air_temperature", "vpd"], timef) for t in targets}, spec, enc, "xgboost", {"trees": 2})
+    out = None
+    for t, tm in got.items():
+        part = tm.model_time.transform(feats).filter(F.col("_pred_time").isNotNull()).groupBy().agg(F.count("*").alias("n")).select(F.lit(t).alias("target"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Fixed formulas in the models' place, so that SQL can follow a fill or an evaluation value by value.
 _ALL_FORMULA = "air_temperature * 0.5E0 - latent_heat_flux * 0.25E0 + sensible_heat_flux"
 _TIME_FORMULA = "CAST(event_id % 17 AS DOUBLE)"

@@ -18,9 +18,19 @@ from towerfill.session import cut_lineage
 from towerfill.timeline import Timeline
 
 
-def route(df: DataFrame, target: str, all_features: Sequence[str], has_all: bool = True) -> DataFrame:
-    """M6 decision: ``filled`` (0/1) and ``route`` in {observed, ALL, TIME}."""
-    use_all = all_present(all_features, df) if has_all else F.lit(False)
+def route(df: DataFrame, target: str, all_features: Sequence[str], has_all: bool = True, lacking: str = "TIME") -> DataFrame:
+    """M6 decision: ``filled`` (0/1) and ``route`` in {observed, ALL, TIME}.
+
+    ``lacking`` says where a row goes that lacks some ALL features: to TIME as in the
+    reference, or to "ALL" (a model that accepts missing features) if it has one at least."""
+    if lacking not in ("TIME", "ALL"):
+        raise ValueError(f"rows that lack features go to TIME or ALL, not {lacking!r}")
+    use_all = F.lit(False)
+    if has_all and lacking == "ALL":
+        for c in all_features:
+            use_all = use_all | all_present([c], df)
+    elif has_all:
+        use_all = all_present(all_features, df)
     r = F.when(F.col(target).isNotNull(), "observed").when(use_all, "ALL").otherwise("TIME")
     return df.withColumns({"filled": F.col(target).isNull().cast("int"), "route": r})
 
@@ -45,9 +55,11 @@ def apply_fill(routed: DataFrame, target: str, keep_original: bool = False) -> D
     return routed.withColumn(target, value).drop("_pred")
 
 
-def fill_with_features(feats: DataFrame, tm: TrainedModels, keep_original: bool = False) -> DataFrame:
+def fill_with_features(feats: DataFrame, tm: TrainedModels, keep_original: bool = False, lacking: str = "TIME") -> DataFrame:
     """M5-M7 on a feature frame already built with ``tm.spec`` and ``tm.encoding``."""
-    routed = route(feats, tm.target, tm.all_features, tm.model_all is not None)
+    if lacking == "ALL" and not tm.accepts_missing:
+        raise ValueError(f"{tm.model_type} models can't score rows that lack features")
+    routed = route(feats, tm.target, tm.all_features, tm.model_all is not None, lacking)
     return apply_fill(predict(routed, tm), tm.target, keep_original)
 
 
