@@ -173,7 +173,7 @@ def test_tree_models_train_on_rows_that_lack_features(spark, tower_df):
     back = reg.latest("co2_flux")
     assert back.accepts_missing and back.model_all.to_json() == tm.model_all.to_json()
     routed = fill.route(feats, "co2_flux", back.all_features, lacking="ALL").cache()
-    lacking = routed.filter("route = 'ALL' AND sensible_heat_flux IS NULL").count()
+    lacking = routed.filter("route = 'ALL' AND co2_flux_lag_3 IS NULL").count()
     assert lacking > 0 and routed.filter("route = 'TIME'").count() == 0
     assert fill.fill_with_features(feats, back, lacking="ALL").filter("co2_flux IS NULL OR isnan(co2_flux)").count() == 0
     try:
