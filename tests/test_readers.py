@@ -79,3 +79,79 @@ def test_error_labels(spark):
     assert label == "UNKNOWN (failed time parse)" and out.first().datetime is None
     df = spark.createDataFrame([("x", "y", 1)], "TIMESTAMP_START string, TIMESTAMP_END string, v int")
     assert layouts.detect_layout(df)[1] == "FLUXNET (timestamp error)"
+
+
+def test_a_stray_quote_in_a_zip_loses_no_row(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("t.csv", 'a,b\n1,5" pipe\n2,ok\n3,6" x 7" pipe\n4,ok\n')
+    rows = archive.read_table(spark, str(tmp_path), glob="*.zip").orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [(1, '5" pipe'), (2, "ok"), (3, '6" x 7" pipe'), (4, "ok")]
+
+
+def test_quoted_line_breaks_in_a_plain_file(spark, tmp_path):
+    path = put(tmp_path, "a.csv", '1,"x\ny"\n')
+    r = archive.read_table(spark, put(tmp_path, "a.csv", 'a,b\n1,"x\ny"\n2,z\n')).orderBy("a").collect()
+    assert path and [tuple(x) for x in r] == [(1, "x\ny"), (2, "z")]
+
+
+def test_a_quote_that_never_closes(spark, tmp_path):
+    with pytest.raises(ValueError, match="never closes"):
+        archive.read_table(spark, put(tmp_path, "a.csv", 'a,b\n1,"x\n2,y\n'), skip_rows=0)
+    # the retry after two lines reads what is left
+    rows = archive.read_table(spark, put(tmp_path, "a.csv", 'site,"A\nmade,B"\nmore "\na,b\n1,x\n')).collect()
+    assert len(rows) >= 1
+
+
+@pytest.mark.parametrize("line,out,inside", [("a,b", False, True), ('a,"b', True, False), ('a,"b"', False, False), ('5" x', False, False),
+                                             ('"a""b', True, False), ('"a"x"y,"z', True, True), ('""', False, True), ('', False, True),
+                                             ('","', False, True)])
+def test_line_states(line, out, inside):
+    from towerfill.sources.records import ends_inside
+    assert (ends_inside(line, False), ends_inside(line, True)) == (out, inside)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_records_over_many_splits_are_those_of_pandas(spark, tmp_path, seed):
+    import csv
+    import io
+    import random
+
+    import pandas as pd
+
+    from towerfill.sources.records import text_records
+    rng = random.Random(seed)
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(["k", "a", "b"])
+    for i in range(100):
+        w.writerow([i, *("".join(rng.choice(['x', 'y', ',', '"', '\n', ' ']) for _ in range(rng.randint(0, 12))) or "e" for _ in "ab")])
+        if rng.random() < 0.1:
+            out.write(f'{10_000 + i},5" pipe,q"r"\n')
+    put(tmp_path, "a.csv", out.getvalue())
+    put(tmp_path, "b.csv", "k,a,b\n1,2,3\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = text_records(spark, str(tmp_path)).filter("source LIKE '%a.csv'").orderBy("line_no").collect()
+        table = archive.read_table(spark, str(tmp_path), glob="a.csv", skip_rows=0, infer=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.line_no for r in got] == list(range(1, len(got) + 1)) and not any(r.unclosed for r in got)
+    want = list(csv.reader(io.StringIO(out.getvalue())))
+    assert [next(csv.reader(io.StringIO(r.line))) for r in got] == want
+    frame = pd.read_csv(tmp_path / "a.csv", dtype=str, keep_default_na=False)
+    assert sorted(r.k for r in table) == sorted(frame["k"])
+
+
+def test_members_of_one_archive_are_separate_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(6):
+            z.writestr(f"t{i}.csv", "a,b\n" + "".join(f"{j},{i}\n" for j in range(500)))
+        z.writestr("notes.md", "x")
+    members = archive.zip_records(spark, str(tmp_path))
+    from pyspark.sql import functions as F
+    tasks = members.withColumn("p", F.spark_partition_id()).groupBy("member").agg(F.collect_set("p").alias("p"), F.count("*").alias("n")).collect()
+    assert {r.n for r in tasks} == {501} and len({tuple(r.p) for r in tasks}) == 6
+    assert archive.read_table(spark, str(tmp_path), member="t3.csv").agg({"b": "max"}).first()[0] == 3

@@ -1223,7 +1223,7 @@ def q_csv_roundtrip(spark, sf):
     return _layout_out(df, label, _RT_COLS)
 
 
-def _write_zips(spark, df, folder, quoted=False):
+def _write_zips(spark, df, folder, quoted=False, raw=False):
     """Stand-in input for S2/S3: each partition becomes one ZIP holding one CSV member that starts with two
     metadata lines, streamed batch by batch into the shared folder."""
     from towerfill.session import make_folder
@@ -1243,6 +1243,10 @@ def _write_zips(spark, df, folder, quoted=False):
             with z.open("data/tower.csv", "w", force_zip64=True) as member:
                 member.write(b"site: tower\nexported by: towerfill\n")
                 for pdf in batches:
+                    if raw:  # lines as they are
+                        member.write(("" if rows else df_columns[0] + "\n").encode() + "".join(x + "\n" for x in pdf.iloc[:, 0]).encode())
+                        rows += len(pdf)
+                        continue
                     member.write(pdf.to_csv(index=False, header=not rows, date_format="%Y-%m-%d %H:%M:%S.%f",
                                             quoting=_csv.QUOTE_NONNUMERIC if quoted else _csv.QUOTE_MINIMAL).encode())
                     rows += len(pdf)
@@ -1283,6 +1287,44 @@ def q_zip_quoted_skip(spark, sf):
     return df.select("datetime", "event_id", "note", "co2_flux")
 
 
+@register("zip_stray_quotes", W + " SELECT CAST(event_id AS BIGINT) AS event_id, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '5\" pipe' "
+          "WHEN 1 THEN 'x, \"y\"' || chr(10) || 'z' ELSE 'say ' || CAST(k AS VARCHAR) END AS note, CAST(k AS BIGINT) AS k FROM tower")
+def q_zip_stray_quotes(spark, sf):
+    """A quote inside a plain value is a character, one at its start opens a value that may span lines; no row is lost."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    folder = scratch_path(spark, "zips", uuid.uuid4().hex)
+    _write_zips(spark, _noted(tower(spark, sf)), folder, raw=True)
+    return _arch.read_table(spark, folder, skip_rows="auto", glob="*.zip").select("event_id", "note", "k")
+
+
+def _noted(t):
+    """Lines ``event_id,note,k`` as a careless writer leaves them: stray quotes, and quoted values with line breaks."""
+    note = (F.when(F.expr("event_id % 3 = 0"), F.lit('5" pipe')).when(F.expr("event_id % 3 = 1"), F.lit('"x, ""y""\nz"'))
+            .otherwise(F.concat(F.lit("say "), F.col("k").cast("string"))))
+    return t.select(F.concat_ws(",", F.col("event_id").cast("string"), note, F.col("k").cast("string")).alias("event_id,note,k"))
+
+
+@register("csv_quote_scan", W + " SELECT CAST(event_id AS BIGINT) AS event_id, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '5\" pipe' "
+          "WHEN 1 THEN 'x, \"y\"' || chr(10) || 'z' ELSE 'say ' || CAST(k AS VARCHAR) END AS note, CAST(k AS BIGINT) AS k FROM tower")
+def q_csv_quote_scan(spark, sf):
+    """Plain files with quoted line breaks and stray quotes, split anywhere, put together by the scan over quote states."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    path = scratch_path(spark, "quotes", uuid.uuid4().hex)
+    lines = _noted(tower(spark, sf)).select(F.col("`event_id,note,k`").alias("value"))
+
+    def headed(batches):  # each part file begins with the header
+        import pandas as _pd
+        yield _pd.DataFrame({"value": ["event_id,note,k"]})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.text(path)
+    return _arch.read_table(spark, path)
+
+
 @register("csv_column_order", W + " SELECT CAST(event_id AS BIGINT) AS event_id, CAST(k AS BIGINT) AS k, round(wind_speed, 6) AS wind_speed, "
           "CASE WHEN event_id % 2 = 0 THEN round(air_temperature, 6) END AS air_temperature FROM tower")
 def q_csv_column_order(spark, sf):

@@ -1,12 +1,12 @@
-"""Line-numbered scans: ZIP members and files with metadata lines.
-
-A ZIP is read by ``binaryFile`` (one row per file) and a ``mapInPandas`` step that
-streams its members in the task and emits ``(source, member, line_no, line)`` rows in
-batches. Other files go through Spark's splittable text source. The lines are
-written once to the shared folder, so an archive is opened once; header detection,
-the metadata-line skip and CSV parsing (``from_csv``) then run as Spark expressions.
-A ZIP is not splittable, so each archive is one task, and ``binaryFile`` bounds a
-single archive to under 2 GB; many archives spread across the cluster.
+"""Record-numbered scans: ZIP members and files with metadata lines.
+
+A ZIP's central directory lists its members, so tasks first list the members of the
+archives and then read them, each member a task of its own: it is opened through a
+seekable stream and only its own bytes are read, whatever the archive's size. Other
+files go through :mod:`towerfill.sources.records`, which splits them anywhere. The
+records are written once to the shared folder, so an archive is opened once; header
+detection, the metadata-line skip and CSV parsing (``from_csv``) then run as Spark
+expressions. (A deflated member can't be split, so one member is one task.)
 """
 
 from __future__ import annotations
@@ -18,107 +18,128 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from towerfill.session import cut_lineage
+from towerfill.sources.records import stream_records, text_records
 from towerfill.sources.text import header_names, infer_types, n_fields, null_tokens
 
-LINES_SCHEMA = T.StructType([T.StructField("source", T.StringType()), T.StructField("member", T.StringType()),
-                             T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
+RECORDS = "source string, member string, line_no long, line string, unclosed boolean"
 BATCH = 50_000
+#: Schemes of Spark's file systems that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs"}
 
 
 def _is_table(name: str) -> bool:
     return name.endswith(".csv") or name.endswith(".txt")
 
 
-def _emit(source: str, member: str, text: io.TextIOBase) -> Iterator[pd.DataFrame]:
-    buf, n, begun = [], 0, ""
-    for line in text:
-        begun += line
-        if begun.count('"') % 2:  # a quoted line break: the record goes on
-            continue
-        n += 1
-        buf.append(begun.rstrip("\r\n"))
-        begun = ""
-        if len(buf) >= BATCH:
-            yield pd.DataFrame({"source": source, "member": member, "line_no": range(n - len(buf) + 1, n + 1),
-                                "line": buf})
-            buf = []
-    if begun:
-        n += 1
-        buf.append(begun.rstrip("\r\n"))
-    if buf:
-        yield pd.DataFrame({"source": source, "member": member, "line_no": range(n - len(buf) + 1, n + 1),
-                            "line": buf})
-
-
-def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def open_seekable(uri: str):
+    """A seekable stream of a file that Spark named; local paths and what ``pyarrow.fs`` reads."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or not rest:
+        return open("/" + rest.lstrip("/") if rest else uri, "rb")
+    files, path = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    return files.open_input_file(path)
+
+
+def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                for name in sorted(n for n in zf.namelist() if _is_table(n)):
-                    with zf.open(name) as fh:
-                        yield from _emit(path, name, io.TextIOWrapper(fh, encoding="utf-8"))
+        for path in pdf["path"]:
+            with open_seekable(path) as raw, zipfile.ZipFile(raw) as z:
+                found = [(path, i.filename, i.file_size) for i in z.infolist() if _is_table(i.filename)]
+            yield pd.DataFrame(found, columns=["path", "member", "bytes"])
+
+
+def zip_members(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(``path``, ``member``, ``bytes``) of every .csv and .txt member, from the archives' directories."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (read.option("pathGlobFilter", glob) if glob else read).load(path).select("path")  # names only: no content is read
+    zips = files.filter(F.lower(F.col("path")).endswith(".zip"))
+    return zips.mapInPandas(_list_members, "path string, member string, bytes long")
+
+
+def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, name in zip(pdf["path"], pdf["member"]):
+            with open_seekable(path) as raw, zipfile.ZipFile(raw) as z, z.open(name) as member:
+                held, n = [], 0
+                for record in stream_records(io.TextIOWrapper(member, encoding="utf-8", newline=None)):
+                    held.append(record)
+                    if len(held) == BATCH:
+                        yield _frame(path, name, n, held)
+                        held, n = [], n + BATCH
+                if held:
+                    yield _frame(path, name, n, held)
+
+
+def _frame(path: str, name: str, n: int, held: list[tuple[str, bool]]) -> pd.DataFrame:
+    return pd.DataFrame({"source": path, "member": name, "line_no": range(n + 1, n + len(held) + 1),
+                         "line": [r[0] for r in held], "unclosed": [r[1] for r in held]})
+
+
+def zip_records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """The records of every member; there are as many partitions as members, in equal ranges of their names."""
+    members = cut_lineage(zip_members(spark, path, glob), "members")
+    members = members.repartitionByRange(max(1, members.count()), "path", "member")
+    return members.select("path", "member").mapInPandas(_read_members, RECORDS)
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per record of every file (and every .csv/.txt member of every ``.zip``); written once.
 
-    In a plain file ``line_no`` counts from 1 inside its first split and only grows after it.
+    ``line_no`` is the record's number in its file or member, from 1.
     """
-    def source(kind: str):
-        r = spark.read.format(kind).option("recursiveFileLookup", True)
-        return r.option("pathGlobFilter", glob) if glob else r
-
-    files = source("binaryFile").load(path).select("path")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (read.option("pathGlobFilter", glob) if glob else read).load(path).select("path")
     zips = F.lower(F.col("path")).endswith(".zip")
     kinds = files.agg(F.max(zips).alias("zip"), F.max(~zips).alias("plain")).first()
     parts = []
     if kinds.zip:
-        raw = source("binaryFile").load(path).filter(zips).select("path", "content")
-        parts.append(raw.mapInPandas(_split_files, LINES_SCHEMA))
+        parts.append(zip_records(spark, path, glob))
     if kinds.plain:
-        rows = (source("text").load(path).select(F.col("_metadata.file_path").alias("source"), F.lit("").alias("member"),
-                                                 F.monotonically_increasing_id().alias("_n"), F.col("value").alias("line"))
-                .filter(~F.lower(F.col("source")).endswith(".zip")))
-        start = rows.groupBy("source").agg(F.min("_n").alias("_first")).withColumnRenamed("source", "_source")
-        rows = rows.join(start, F.col("source") == F.col("_source"))
-        parts.append(rows.select("source", "member", (F.col("_n") - F.col("_first") + 1).alias("line_no"), "line"))
+        parts.append(text_records(spark, path, glob))
     if not parts:
         raise ValueError(f"no file found under {path}")
-    return cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "lines")
+    return cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "records")
 
 
 def read_table(spark: SparkSession, path: str, member: str | None = None, skip_rows: int | str = "auto",
                glob: str | None = None, infer: bool = True) -> DataFrame:
     """S2 + S3: parse CSV members/files after ``skip_rows`` metadata lines.
 
-    ``skip_rows="auto"`` skips 2 lines in a file in which any row has more fields than
-    the first line, as the reference does when its parser fails. A row that has more
-    fields than the header after that raises. All selected files must share one
-    header; ``member`` picks one archive member.
+    ``skip_rows="auto"`` skips 2 records in a file in which any row has more fields than
+    the first line, or whose last quote never closes, as the reference does when its
+    parser fails. A row that has more fields than the header after that, or a quote that
+    never closes, raises. All selected files must share one header; ``member`` picks
+    one archive member. Blank lines are no rows.
     """
     lines = read_lines(spark, path, glob)
     if member is not None:
         lines = lines.filter(F.col("member") == member)
+    lines = lines.filter((F.length(F.trim("line")) > 0) | F.col("unclosed"))
     keys = ["source", "member"]
     if skip_rows == "auto":
         n = n_fields(F.col("line"))
-        probe = lines.groupBy(*keys).agg(F.max(F.when(F.col("line_no") == 1, n)).alias("head"), F.max(n).alias("most"))
-        skip = probe.select(*keys, F.when(F.col("most") > F.col("head"), F.lit(2)).otherwise(F.lit(0)).alias("_skip"))
+        probe = lines.groupBy(*keys).agg(F.min_by(n, "line_no").alias("head"), F.max(n).alias("most"), F.max("unclosed").alias("open"))
+        skip = probe.select(*keys, F.when(F.col("open") | (F.col("most") > F.col("head")), F.lit(2)).otherwise(F.lit(0)).alias("_skip"))
         lines = lines.join(skip, keys)  # one row per file
     else:
         lines = lines.withColumn("_skip", F.lit(int(skip_rows)))
-    headers = lines.filter(F.col("line_no") == F.col("_skip") + 1).select("line").distinct().limit(2).collect()
+    lines = lines.filter(F.col("line_no") > F.col("_skip"))
+    first = lines.groupBy(*keys).agg(F.min("line_no").alias("_head"), F.min_by("line", "line_no").alias("header"))
+    headers = first.select("header").distinct().limit(2).collect()
     if not headers:
         raise ValueError(f"no table found under {path}")
     if len(headers) > 1:
         raise ValueError("selected files have different headers; pick one member")
-    names = header_names(headers[0].line)
+    names = header_names(headers[0].header)
     ddl = ", ".join(f"`{n}` STRING" for n in names)
-    data = lines.filter(F.col("line_no") > F.col("_skip") + 1).filter(F.length(F.trim("line")) > 0)
-    bad = data.filter(n_fields(F.col("line")) > len(names)).limit(1).collect()
+    data = lines.join(first.select(*keys, "_head"), keys).filter(F.col("line_no") > F.col("_head"))
+    bad = data.filter(F.col("unclosed") | (n_fields(F.col("line")) > len(names))).limit(1).collect()
+    if bad and bad[0].unclosed:
+        raise ValueError(f"a quote never closes: {bad[0].line[:200]!r}")
     if bad:
         raise ValueError(f"a row has more fields than the header: {bad[0].line!r}")
     parsed = data.select(F.from_csv(F.col("line"), ddl, {"nullValue": "", "escape": '"'}).alias("r")).select("r.*")

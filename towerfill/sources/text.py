@@ -52,9 +52,9 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def n_fields(line: Column, sep: str = ",") -> Column:
-    """Fields of a CSV line; separators inside quotes don't count."""
-    bare = F.regexp_replace(line, '"(?:[^"]|"")*("|$)', "")
-    return F.size(F.split(bare, re.escape(sep), -1))
+    """Fields of a CSV record; separators inside quotes don't count, and a quote opens only at a field's start."""
+    bare = F.regexp_replace(line, f'(^|{re.escape(sep)})"[^"]*+(?:""[^"]*+)*+("|$)', "$1")
+    return F.size(F.split(F.when(F.contains(line, F.lit('"')), bare).otherwise(line), re.escape(sep), -1))
 
 
 #: Different headers that one call reads together at most.
