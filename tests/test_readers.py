@@ -155,3 +155,12 @@ def test_members_of_one_archive_are_separate_tasks(spark, tmp_path):
     tasks = members.withColumn("p", F.spark_partition_id()).groupBy("member").agg(F.collect_set("p").alias("p"), F.count("*").alias("n")).collect()
     assert {r.n for r in tasks} == {501} and len({tuple(r.p) for r in tasks}) == 6
     assert archive.read_table(spark, str(tmp_path), member="t3.csv").agg({"b": "max"}).first()[0] == 3
+
+
+def test_many_headers_and_quoted_breaks_in_one_scan(spark, tmp_path):
+    for i in range(30):
+        put(tmp_path, f"f{i:02}.csv", f'k,c{i},"two\nlines"\n{i},v{i},"a\nb"\n\n{i + 100},5" x,\n')
+    got = text.read_csv(spark, str(tmp_path))
+    assert len(got.columns) == 32
+    rows = {r.k: r for r in got.collect()}
+    assert len(rows) == 60 and rows[7].c7 == "v7" and rows[7]["two\nlines"] == "a\nb" and rows[107].c7 == '5" x' and rows[7].c8 is None

@@ -134,9 +134,10 @@ def split_states(lines: DataFrame) -> DataFrame:
                          F.last("end").over(whole).alias("ends"), F.sum("count").over(whole).alias("records"))
 
 
-def text_records(spark: SparkSession, path: str, glob: str | None = None, sep: str = ",", skip: str | None = ".zip") -> DataFrame:
+def text_records(spark: SparkSession, path: str, glob: str | None = None, sep: str = ",", skip: str | None = ".zip",
+                 recursive: bool = True) -> DataFrame:
     """The records of the text files under ``path`` (not of those whose name ends in ``skip``)."""
-    read = spark.read.format("text").option("recursiveFileLookup", True)
+    read = spark.read.format("text").option("recursiveFileLookup", recursive)
     raw = (read.option("pathGlobFilter", glob) if glob else read).load(path)
     raw = raw.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("at"),
                      F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))

@@ -1,8 +1,8 @@
 """CSV scan with pandas-like missing tokens and type inference (S1), CSV sinks (K1, K2).
 
 One pass over the lines finds each file's header, rows with more fields than the
-header, and quoted line breaks. Files are then read as strings, those of one header
-together, and put under each other by column name; the default missing-value tokens
+header, and quoted line breaks. Files are then read as strings, by Spark's CSV reader
+or record by record, and put under each other by column name; the default missing-value tokens
 of ``pandas.read_csv`` become null; one aggregate decides per column whether every
 value casts to a long or a double, and ``try_cast`` applies the choice.
 """
@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from towerfill.session import cut_lineage
+
 # --- fixed values: the default missing-value tokens of pandas.read_csv ---------------
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -57,13 +59,9 @@ def n_fields(line: Column, sep: str = ",") -> Column:
     return F.size(F.split(F.when(F.contains(line, F.lit('"')), bare).otherwise(line), re.escape(sep), -1))
 
 
-#: Different headers that one call reads together at most.
-MAX_HEADERS = 1000
-
-
 def csv_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """One row per non-empty file: ``file``, its first line ``header``, the rows ``over`` with more fields, and whether
-    quotes span lines (``breaks``; its rows over can't be told line by line)."""
+    quotes may span lines (``breaks``; its rows over can't be told line by line)."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                                          F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
     lines = lines.filter(F.length(F.trim("line")) > 0)
@@ -74,39 +72,53 @@ def csv_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str = ",", bad_rows: str = "raise") -> DataFrame:
-    """Comma-separated, first row is the header (splittable unless a quoted value holds a line break).
+    """Comma-separated, first row is the header; files are split anywhere, also inside quoted line breaks.
 
     Columns go by name, whatever their order in each file; a column that a file lacks
     is null there. A row with more fields than its header raises, as the reference's
     reader does, or goes with ``bad_rows="drop"``; one with fewer is filled with nulls.
+    Only the distinct headers reach the driver. Files of one header without quoted line
+    breaks are read by Spark's CSV reader, others record by record in one scan.
     """
-    files = csv_files(spark, path, sep)
-    groups = files.groupBy("header").agg(F.collect_list("file").alias("files"), F.max("breaks").alias("breaks"),
-                                         F.max("over").alias("over")).limit(MAX_HEADERS + 1).collect()
+    groups = csv_files(spark, path, sep).groupBy("header").agg(F.max("breaks").alias("breaks"), F.max("over").alias("over")).limit(2).collect()
     if not groups:
         raise ValueError(f"no table found under {path}")
-    if len(groups) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
-    out = None
-    for g in sorted(groups, key=lambda g: g.header):
-        names = header_names(g.header, sep)
-        schema = ", ".join(f"`{n}` STRING" for n in [*names, BAD])
-        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).option("nullValue", "")
-              .option("escape", '"').option("multiLine", bool(g.breaks)).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", BAD).csv(g.files))
-        if g.over or g.breaks:
-            over = F.coalesce(n_fields(F.col(f"`{BAD}`"), sep) > len(names), F.lit(False))
-            if bad_rows == "drop":
-                df = df.filter(~over)
-            elif n := df.select("*").filter(over).select(*map(quoted, names), BAD).limit(1).collect():
-                raise ValueError(f"a row has more fields than the header: {n[0][BAD]!r}")
-        df = df.select(*map(quoted, names))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if len(groups) == 1 and not groups[0].breaks and not groups[0].over:
+        names = header_names(groups[0].header, sep)
+        out = (spark.read.schema(", ".join(f"{quoted(n)} STRING" for n in names)).option("header", True).option("enforceSchema", True)
+               .option("sep", sep).option("nullValue", "").option("escape", '"').csv(path))
+    else:
+        out = _by_records(spark, path, sep, bad_rows)
     out = null_tokens(out)
     return infer_types(out) if infer else out
 
 
-BAD = "_bad_row"
+def _by_records(spark: SparkSession, path: str, sep: str, bad_rows: str) -> DataFrame:
+    """Every file's records with its own header, under each other by column name."""
+    from towerfill.sources.records import text_records
+
+    records = text_records(spark, path, sep=sep, skip=None, recursive=False).filter((F.length(F.trim("line")) > 0) | F.col("unclosed"))
+    first = cut_lineage(records.groupBy("source").agg(F.min("line_no").alias("at"), F.min_by("line", "line_no").alias("header")), "headers")
+    headers = sorted(r.header for r in first.select("header").distinct().collect())
+    data = records.join(first, "source").filter(F.col("line_no") > F.col("at"))
+    over = n_fields(F.col("line"), sep) > n_fields(F.col("header"), sep)
+    if bad := data.filter(F.col("unclosed")).limit(1).collect():
+        raise ValueError(f"a quote never closes: {bad[0].line[:200]!r}")
+    if bad_rows == "drop":
+        data = data.filter(~over)
+    elif bad := data.filter(over).limit(1).collect():
+        raise ValueError(f"a row has more fields than the header: {bad[0].line!r}")
+    names = [header_names(h, sep) for h in headers]
+    every: dict[str, str] = {}  # the first spelling of each name (Spark's names ignore case)
+    for n in (n for part in names for n in part):
+        every.setdefault(n.lower(), n)
+    row = F.lit(None)
+    for h, part in zip(headers, names):
+        got = F.from_csv("line", ", ".join(f"{quoted(n)} STRING" for n in part), {"nullValue": "", "escape": '"', "sep": sep})
+        have = {n.lower(): n for n in part}
+        fields = F.struct(*[(got.getField(have[k]) if k in have else F.lit(None).cast("string")).alias(n) for k, n in every.items()])
+        row = F.when(F.col("header") == h, fields).otherwise(row)
+    return data.select(row.alias("r")).select("r.*")
 
 
 def quoted(name: str) -> str:
