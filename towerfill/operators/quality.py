@@ -40,8 +40,9 @@ def qc_filter(df: DataFrame, limits: Mapping[str, tuple[str, int]]) -> DataFrame
 def _widen(th: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Thresholds by (group, variable) as one row per group: ``_th_{i}_{name}``."""
     names = [c for c in th.columns if c not in (*by, "variable")]
-    return th.groupBy(*by).agg(*[F.first(F.when(F.col("variable") == c, F.col(n)), ignorenulls=True).alias(f"_th_{i}_{n}")
-                                 for i, c in enumerate(cols) for n in names])
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)])
+    return th.withColumn("_i", place[F.col("variable")]).groupBy(*by).agg(
+        *[F.expr(f"max(if(_i = {i}, `{n}`, NULL))").alias(f"_th_{i}_{n}") for i in range(len(cols)) for n in names])
 
 
 def _apply(df: DataFrame, wide: DataFrame, names: Sequence[str], cols: Sequence[str], by: Sequence[str], flag) -> DataFrame:

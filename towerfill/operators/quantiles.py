@@ -2,7 +2,7 @@
 
 Spark's exact ``percentile`` keeps a map of every distinct value of a group and
 merges it in one task, which a hot group (a third of all rows) cannot afford.
-Here the order statistics of all columns are found in three aggregate passes:
+Here the order statistics of all columns are found in two reads of the input:
 
 1. per group: count, min, max and, for each wanted quantile, a bracket from the
    mergeable sketch of ``percentile_approx`` (its rank error is at most
@@ -10,13 +10,12 @@ Here the order statistics of all columns are found in three aggregate passes:
    equal depth, so spikes and skewed values cannot fill them: a bracket holds about
    ``20 / accuracy`` of its group. Groups of at most ``accuracy / 2`` values are
    their own bracket;
-2. per group: how many values lie below each bracket;
-3. the values inside the brackets, counted per distinct value; a running count over
-   them picks the exact value of each rank.
+2. the values inside the brackets, counted per distinct value, and those below a
+   bracket, counted as one null value. A running count over them, the null first,
+   picks the exact value of each rank.
 
 Quantiles interpolate linearly between the two neighbouring ranks, as pandas,
-Spark ``percentile`` and DuckDB ``quantile_cont`` do. All passes are wide: a row
-leaves pass 3 only for the brackets that it falls into. A rank that a bracket should
+Spark ``percentile`` and DuckDB ``quantile_cont`` do. A rank that a bracket should
 hold and does not would fail the job, never give another value.
 """
 
@@ -43,57 +42,35 @@ def quantile_table(df: DataFrame, keys: Sequence[str], values: Mapping[str, Colu
     none = F.lit(None).cast("double")
     x = df.select(*keys, *[F.nanvl(c.cast("double"), none).alias(f"_v{i}") for i, c in enumerate(values.values())])
     margin = 10 / accuracy
-    points = [p for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    aggs = []
-    for i in range(len(variables)):
-        v = F.col(f"_v{i}")
-        aggs += [F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"),
-                 F.percentile_approx(v, points, accuracy).alias(f"_b{i}")]
-    stats = cut_lineage(x.groupBy(*keys).agg(*aggs), "q-stats")
-
+    points = ", ".join(f"{p!r}D" for q in probs for p in (max(q - margin, 0.0), min(q + margin, 1.0)))
+    stats = cut_lineage(x.groupBy(*keys).agg(*[F.expr(f"named_struct('n', count(_v{i}), 'lo', min(_v{i}), 'hi', max(_v{i}), "
+                                                      f"'b', percentile_approx(_v{i}, array({points}), {accuracy}))").alias(f"_s{i}")
+                                               for i in range(len(variables))]), "q-stats")
     pairs = [(i, j) for i in range(len(variables)) for j in range(len(probs))]
 
-    def bracket(i: int, j: int) -> tuple[Column, Column]:
-        whole = F.col(f"_n{i}") <= accuracy // 2
-        low = F.lit(probs[j] <= margin) | whole
-        high = F.lit(probs[j] >= 1 - margin) | whole
-        return (F.when(low, F.col(f"_lo{i}")).otherwise(F.get(f"_b{i}", F.lit(2 * j))).alias(f"_l{i}_{j}"),
-                F.when(high, F.col(f"_hi{i}")).otherwise(F.get(f"_b{i}", F.lit(2 * j + 1))).alias(f"_h{i}_{j}"))
-
-    edges = stats.select(*keys, *[c for i, j in pairs for c in bracket(i, j)])
-    y = attach(x, edges, keys)
-
-    def inside(i: int, j: int) -> Column:
-        return F.coalesce(F.col(f"_v{i}").between(F.col(f"_l{i}_{j}"), F.col(f"_h{i}_{j}")), F.lit(False))
-
-    below = y.groupBy(*keys).agg(*[F.count(F.when(F.col(f"_v{i}") < F.col(f"_l{i}_{j}"), 1)).alias(f"_c{i}_{j}") for i, j in pairs])
-    hit = F.array(*[F.when(inside(i, j), F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_v{i}").alias("_v"))) for i, j in pairs])
-    vals = y.select(*keys, F.explode(F.filter(hit, lambda s: s.isNotNull())).alias("_s")).groupBy(
-        *keys, "_s._i", "_s._j", "_s._v").agg(F.count(F.lit(1)).alias("_vn"))
-    upto = F.sum("_vn").over(Window.partitionBy(*keys, "_i", "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    vals = vals.withColumn("_upto", upto)
-
-    # one row per group, variable and probability: the position h of the quantile, and the values below its bracket
-    small = join_on_keys(stats.select(*keys, *[f"_n{i}" for i in range(len(variables))]), below, keys) if keys else \
-        attach(stats.select(*[f"_n{i}" for i in range(len(variables))]), below, [])
-    ranks = small.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_n{i}").alias("_n"), F.col(f"_c{i}_{j}").alias("_c"),
-                 ((F.col(f"_n{i}") - 1) * F.lit(float(probs[j]))).alias("_h")) for i, j in pairs])).alias("_r"))
-    ranks = cut_lineage(ranks.select(*keys, "_r.*").filter("_n > 0"), "q-ranks")
-    at = join_on_keys(vals, ranks, [*keys, "_i", "_j"])
-    start, end = F.col("_c") + F.col("_upto") - F.col("_vn"), F.col("_c") + F.col("_upto")
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= start) & (rank < end), F.col("_v")))
-
-    lo_r, hi_r = F.floor("_h"), F.ceil("_h")
-    per_q = at.groupBy(*keys, "_i", "_j", "_h").agg(value_at(lo_r).alias("_a"), value_at(hi_r).alias("_z"))
-    q = F.when(F.col("_a").isNull() | F.col("_z").isNull(), F.raise_error(F.lit("a quantile's rank lies outside its bracket"))) \
-        .when(lo_r == hi_r, F.col("_a")).otherwise((hi_r - F.col("_h")) * F.col("_a") + (F.col("_h") - lo_r) * F.col("_z"))
-    per_q = per_q.select(*keys, "_i", "_j", q.cast("double").alias("_q"))
-    wide = per_q.groupBy(*keys, "_i").agg(*[F.first(F.when(F.col("_j") == j, F.col("_q")), ignorenulls=True).alias(n)
-                                            for j, n in enumerate(names)])
-    label = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(variables) for x in (i, v)]), F.col("_i"))
+    def edge(i: int, j: int, side: int) -> str:
+        outer = probs[j] >= 1 - margin if side else probs[j] <= margin
+        end = f"_s{i}.{'hi' if side else 'lo'}"
+        return end if outer else f"if(_s{i}.n <= {accuracy // 2}, {end}, get(_s{i}.b, {2 * j + side}))"
+
+    edges = stats.selectExpr(*[f"`{k}`" for k in keys], *[f"{edge(i, j, e)} AS _{'lh'[e]}{i}_{j}" for i, j in pairs for e in (0, 1)])
+    hits = ", ".join(f"if(_v{i} <= _h{i}_{j}, named_struct('_i', {i}, '_j', {j}, '_v', if(_v{i} >= _l{i}_{j}, _v{i}, NULL)), NULL)" for i, j in pairs)
+    seen = attach(x, edges, keys).select(*keys, F.expr(f"inline(array_compact(array({hits})))"))
+    vals = seen.groupBy(*keys, "_i", "_j", "_v").agg(F.count(F.lit(1)).alias("_vn"))
+    upto = F.sum("_vn").over(Window.partitionBy(*keys, "_i", "_j").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    vals = vals.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_vn"))
+
+    # the position h of each group's, variable's and probability's quantile
+    at = ", ".join(f"named_struct('_i', {i}, '_j', {j}, '_h', (_s{i}.n - 1) * {float(probs[j])!r}D)" for i, j in pairs)
+    ranks = stats.select(*keys, F.expr(f"inline(array({at}))")).filter("_h >= 0")
+    met = join_on_keys(vals, ranks, [*keys, "_i", "_j"])
+    value_at = "max(if({0}(_h) >= _start AND {0}(_h) < _end, _v, NULL))"
+    per_q = met.groupBy(*keys, "_i", "_j", "_h").agg(F.expr(value_at.format("floor")).alias("_a"), F.expr(value_at.format("ceil")).alias("_z"))
+    q = F.expr("CASE WHEN _a IS NULL OR _z IS NULL THEN CAST(raise_error('a quantile''s rank lies outside its bracket') AS DOUBLE) "
+               "WHEN floor(_h) = ceil(_h) THEN _a ELSE (ceil(_h) - _h) * _a + (_h - floor(_h)) * _z END")
+    wide = per_q.select(*keys, "_i", "_j", q.alias("_q")).groupBy(*keys, "_i").agg(
+        *[F.expr(f"max(if(_j = {j}, _q, NULL))").alias(n) for j, n in enumerate(names)])
+    label = F.get(F.lit(variables), F.col("_i"))
     return cut_lineage(wide.select(*keys, label.alias("variable"), *names), "q-result")
 
 
