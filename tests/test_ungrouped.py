@@ -26,9 +26,9 @@ def test_single_series_split_equals_direct(spark, tower_df):
     one = tower_df.filter("series_id = 'click'").select("event_id", "datetime", "co2_flux")
     tl = Timeline(series=(), time="datetime", tiebreak=("event_id",))
     kw = dict(shift_cols=["co2_flux"], rolling_cols=["co2_flux"])
-    a = windows.add_window_features(one, tl.with_(block_rows=0), **kw)
-    b = windows.add_window_features(one, tl.with_(strategy="blocked", block_rows=170, bucket_rows=40), **kw)
+    a = windows.add_window_features(one, tl, **kw)
+    b = windows.add_window_features(one, tl.with_(block_rows=170, ranges=8), **kw)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    r1 = gaps.gap_runs(one, tl.with_(block_rows=0), "co2_flux")
-    r2 = gaps.gap_runs(one, tl.with_(strategy="blocked", bucket_rows=40), "co2_flux")
+    r1 = gaps.gap_runs(one, tl.with_(ranges=1), "co2_flux")
+    r2 = gaps.gap_runs(one, tl.with_(ranges=8), "co2_flux")
     assert sorted(map(tuple, r1.collect())) == sorted(map(tuple, r2.collect()))

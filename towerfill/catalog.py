@@ -94,12 +94,12 @@ def q_gap_runs(spark, sf):
 
 
 #: Small blocks and ranges, so that every series of the test tables is split into many.
-SPLIT = TOWER.with_(strategy="blocked", block_rows=256, bucket_rows=200)
+SPLIT = TOWER.with_(block_rows=256, ranges=50)
 
 
 @register("gap_runs_split", W + _GAP_CTE + " SELECT * FROM runs")
 def q_gap_runs_split(spark, sf):
-    """W5, G9 on series split into range partitions of about 200 rows."""
+    """W5, G9 on series split into 50 range partitions."""
     return _gaps.gap_runs(tower(spark, sf), SPLIT, "co2_flux")
 
 
@@ -396,6 +396,22 @@ def q_missing_matrix(spark, sf):
     return _prof.missing_matrix(tower(spark, sf), TOWER_VARIABLES, "datetime", "day", ["series_id"])
 
 
+@register("missing_records", W + ", rec AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY datetime, event_id) - 1 AS record FROM tower) "
+          + " UNION ALL ".join(f"SELECT series_id, '{c}' AS variable, record FROM rec WHERE {c} IS NULL" for c in TOWER_VARIABLES))
+def q_missing_records(spark, sf):
+    """The missing matrix by record, packed to bitmaps per block and variable and unpacked again."""
+    bits = _prof.missing_bitmaps(tower(spark, sf), TOWER_VARIABLES, TOWER)
+    return _prof.missing_records(bits, TOWER_VARIABLES, ["series_id"])
+
+
+@register("missing_records_window", W + ", rec AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY datetime, event_id) - 1 AS record FROM tower) "
+          "SELECT series_id, 'co2_flux' AS variable, record FROM rec WHERE co2_flux IS NULL AND record BETWEEN 100 AND 299")
+def q_missing_records_window(spark, sf):
+    """A window of records drawn from the bitmaps."""
+    bits = _prof.missing_bitmaps(tower(spark, sf), ["co2_flux"], SPLIT)
+    return _prof.missing_records(bits, ["co2_flux"], ["series_id"], 100, 299)
+
+
 @register("time_series", W + " SELECT series_id, datetime, event_id, round(co2_flux, 6) AS co2_flux FROM tower")
 def q_time_series(spark, sf):
     """Datetime and variable in time order (whole series)."""
@@ -837,6 +853,17 @@ def q_label_encode(spark, sf):
     return apply_encoding(m, fit_encoding(m, ["stability_class", "wind_dir_cat"]))
 
 
+@register("label_dictionary", W + ", lab AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT coalesce(series_id || '-' "
+          "|| CAST(nullif(event_id % 5000, 7) AS VARCHAR), 'nan') AS label FROM tower UNION SELECT 'nan')) "
+          "SELECT CAST(event_id AS BIGINT) AS event_id, code AS tag FROM tower JOIN lab ON label = coalesce(series_id || '-' || CAST(nullif(event_id % 5000, 7) AS VARCHAR), 'nan')")
+def q_label_dictionary(spark, sf):
+    """Codes of a column of thousands of labels from the distributed dictionary."""
+    from towerfill.operators.encoding import apply_dictionary, fit_dictionary
+    tag = F.concat(F.col("series_id"), F.lit("-"), F.expr("nullif(event_id % 5000, 7)").cast("string"))
+    t = tower(spark, sf).select("event_id", tag.alias("tag"))
+    return apply_dictionary(t, fit_dictionary(t, ["tag"], ranges=7), ["tag"])
+
+
 def _present_sql(cols) -> str:
     return " AND ".join(f"({c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE)))" for c in cols)
 
@@ -1004,6 +1031,26 @@ def q_fill_export(spark, sf):
     return _fill.export_frame(_fill.fill_with_features(feats, tm), "co2_flux")
 
 
+@register("export_lines", _FORMULA_FILL + ", l AS (SELECT 1 AS body, series_id, datetime, event_id, series_id || ',' || CAST(event_id AS VARCHAR) || ',' || "
+          "strftime(datetime, '%Y-%m-%d %H:%M:%S.%f') || ',' || CAST(filled AS VARCHAR) AS line FROM f UNION ALL SELECT 0, NULL, NULL, NULL, 'series_id,event_id,datetime,filled') "
+          "SELECT row_number() OVER (ORDER BY body, series_id, datetime, event_id) AS place, line FROM l")
+def q_export_lines(spark, sf):
+    """K1: the export's lines by their place in the ordered parts: header once, then each series in time order."""
+    import uuid
+
+    from towerfill.session import scratch_path
+    tm, feats = _formulas(spark, sf)
+    out = _fill.fill_with_features(feats, tm).select("series_id", "event_id", "datetime", "filled")
+    path = _text.write_ordered_csv(out, scratch_path(spark, "export", uuid.uuid4().hex), ["series_id", "datetime", "event_id"], ranges=9)
+    from towerfill.sources.records import text_records
+    lines = text_records(spark, path)
+    part = F.regexp_extract("source", "part-([0-9]+)", 1).cast("long")
+    count = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.expr("sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
+    return lines.withColumn("part", part).join(count.select("part", before.alias("before")), "part").select(
+        (F.col("before") + F.col("line_no")).alias("place"), "line")
+
+
 @register("fill_overlay", _FORMULA_FILL + " SELECT event_id, series_id, datetime, round(co2_flux, 6) AS co2_flux_original, "
           "CASE WHEN filled = 1 THEN value END AS co2_flux_gapfilled FROM f")
 def q_fill_overlay(spark, sf):

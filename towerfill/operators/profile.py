@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from towerfill.functions.constants import EXCLUDE_PATTERNS, TIME_FEATURES
 from towerfill.operators.quantiles import exact_quantiles
-from towerfill.operators.sequence import attach, join_on_keys
+from towerfill.operators.sequence import INDEX, attach, index_rows, join_on_keys
+from towerfill.timeline import Timeline
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -86,6 +87,36 @@ def missing_matrix(df: DataFrame, cols: Sequence[str], time_col: str, unit: str
     return wide.selectExpr(*[f"`{b}`" for b in by], "bucket", stack).select(*by, "variable", "bucket", "missing_frac")
 
 
+def missing_bitmaps(df: DataFrame, cols: Sequence[str], tl: Timeline) -> DataFrame:
+    """G3 by record: per series and block of 32768 records a bitmap of the null records of each variable.
+
+    ``block`` counts from 0; ``records`` are the block's records; a variable without
+    nulls in a block has no bitmap (null), so long complete stretches cost nothing. The
+    bitmaps are merged from partial ones by Spark's bitmap aggregate."""
+    x = index_rows(df.select(*tl.keys, *[F.col(f"`{c}`") for c in cols if c not in tl.keys]), tl)
+    at = F.col(INDEX) + 1
+    null = [F.when(F.col(f"`{c}`").isNull(), F.bitmap_bit_position(at)) for c in cols]
+    return x.groupBy(*tl.series, (F.bitmap_bucket_number(at) - 1).alias("block")).agg(
+        F.count(F.lit(1)).alias("records"),
+        *[F.when(F.count(p) > 0, F.bitmap_construct_agg(p)).alias(c) for c, p in zip(cols, null)])
+
+
+def missing_records(bitmaps: DataFrame, cols: Sequence[str], by: Sequence[str] = (), first: int = 0, last: int | None = None) -> DataFrame:
+    """The null cells (``variable``, ``record``) of the records ``first`` to ``last`` drawn from the bitmaps; other blocks aren't read."""
+    size = 8 * 4096
+    near = bitmaps.filter((F.col("block") >= first // size) & (F.lit(True) if last is None else F.col("block") <= last // size))
+    every = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").alias("bits")) for c in cols])
+    cells = near.select(*by, "block", F.explode(every).alias("v")).select(*by, "block", "v.variable", F.hex("v.bits").alias("h")).filter("h IS NOT NULL")
+    # a byte is two digits; bytes of 0 are skipped before their bits are looked at
+    used = F.expr("filter(sequence(0, length(h) div 2 - 1), i -> substr(h, 2 * i + 1, 2) <> '00')")
+    cells = cells.select(*by, "block", "variable", "h", F.explode(used).alias("i"))
+    byte = F.expr("CAST(conv(substr(h, 2 * i + 1, 2), 16, 10) AS INT)")
+    bit = F.explode(F.expr("filter(sequence(0, 7), b -> (shiftright(_byte, b) & 1) = 1)"))
+    cells = cells.select(*by, "block", "variable", "i", byte.alias("_byte")).select(*by, "block", "variable", "i", bit.alias("b"))
+    out = cells.select(*by, "variable", (F.col("block") * size + F.col("i") * 8 + F.col("b")).alias("record"))
+    return out.filter((F.col("record") >= first) & (F.lit(True) if last is None else F.col("record") <= last))
+
+
 def head(df: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
     """L2: first n rows (per group).  Spark plans a partial top-n before the shuffle."""
     from pyspark.sql import Window

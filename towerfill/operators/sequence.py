@@ -14,11 +14,8 @@ series may hold a third of all rows.  So we split every series twice:
    ``behind`` rows before it).  Any ``lead``/``lag``/``rowsBetween`` expression
    evaluated over ``(series, block)`` is then exact for the block's own rows.
 
-With ``Timeline.strategy = "auto"`` one count per series decides: if the largest
-series has at most ``block_rows`` rows, the plain ``partitionBy(series)`` window is
-used (each task then holds at most ``block_rows`` rows, a checked bound);
-otherwise the split path above.  ``block_rows = 0`` or ``strategy = "direct"``
-forces the plain window, ``strategy = "blocked"`` the split one.
+There is this one path, whatever the size: nothing is counted first, and a short series
+is one block. Spark chooses how many ranges there are (``Timeline.ranges`` overrides it).
 """
 
 from __future__ import annotations
@@ -84,25 +81,12 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left")
                             for f in small.schema.fields])
 
 
-def use_direct(df: DataFrame, tl: Timeline) -> bool:
-    """Whether the plain per-series window is safe: forced, or the largest series fits a block."""
-    if tl.block_rows <= 0 or tl.strategy == "direct":
-        return True
-    if tl.strategy == "blocked":
-        return False
-    largest = (df.groupBy(*tl.series).count().agg(F.max("count")).first()[0]) if tl.series else df.count()
-    return (largest or 0) <= tl.block_rows
-
-
-def _index_direct(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
-    w = Window.partitionBy(*tl.series).orderBy(*tl.order_cols())
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(INDEX),
-                     *[F.sum(F.col(c).isNull().cast("long")).over(run).alias(f"_nb_{c}") for c in nulls])
-
+def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = ()) -> DataFrame:
+    """Add ``_g``, the 0-based row position inside each series (order ``tl.order``).
 
-def _index_range(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
-    """Row positions from a range partitioning of the whole order key.
+    For each column ``c`` in ``count_nulls_of`` also add ``_nb_c``: the number
+    of rows at or before this one (same series) where ``c`` is null.
+    The order must be total (``tl.tiebreak``) for positions to be deterministic.
 
     The key (series, time, tiebreak) is unique, so Spark's sampled range bounds give
     partitions of about equal size whatever the time density (bursts, repeated
@@ -111,12 +95,10 @@ def _index_range(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
     low bits); the result is written once, so positions are fixed for retries and
     later jobs.  Per (series, partition): row count, first position and null counts
     give exact offsets (a small table, windowed per series)."""
-    import math
-
+    nulls = list(count_nulls_of)
     x, s = _series(df, tl)
     keys = [F.col(k).asc_nulls_first() for k in [*s, *tl.order]]
-    parts = max(1, math.ceil(x.count() / max(1, tl.bucket_rows)))
-    y = (x.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    y = (x.repartitionByRange(*([tl.ranges] if tl.ranges else []), *keys).sortWithinPartitions(*keys)
           .withColumn("_mid", F.monotonically_increasing_id()))
     y = y.select("*", F.shiftright("_mid", 33).alias("_p"),
                  F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")).drop("_mid")
@@ -140,20 +122,6 @@ def _index_range(df: DataFrame, tl: Timeline, nulls: list[str]) -> DataFrame:
     return y.drop(*drop)
 
 
-def index_rows(df: DataFrame, tl: Timeline, count_nulls_of: Iterable[str] = (),
-               direct: bool | None = None) -> DataFrame:
-    """Add ``_g``, the 0-based row position inside each series (order ``tl.order``).
-
-    For each column ``c`` in ``count_nulls_of`` also add ``_nb_c``: the number
-    of rows at or before this one (same series) where ``c`` is null.
-    The order must be total (``tl.tiebreak``) for positions to be deterministic.
-    """
-    nulls = list(count_nulls_of)
-    if direct if direct is not None else use_direct(df, tl):
-        return _index_direct(df, tl, nulls)
-    return _index_range(df, tl, nulls)
-
-
 def neighbour_frame(df: DataFrame, tl: Timeline, ahead: int, behind: int) -> tuple[DataFrame, Window]:
     """Rows plus halo copies, and the window spec to evaluate row-offset expressions.
 
@@ -162,11 +130,8 @@ def neighbour_frame(df: DataFrame, tl: Timeline, ahead: int, behind: int) -> tup
     largest row offsets after / before the current row that any expression reads.
     """
     ahead, behind = max(0, int(ahead)), max(0, int(behind))
-    if use_direct(df, tl):  # one partition per series, checked to be small
-        x = df.withColumn(HOME, F.lit(True)).withColumn(BLOCK, F.lit(0)).withColumn(INDEX, F.lit(0))
-        return x, Window.partitionBy(*tl.series).orderBy(*tl.order_cols())
     size = max(int(tl.block_rows), ahead, behind, 1)
-    x = index_rows(df, tl, direct=False)
+    x = index_rows(df, tl)
     b = F.floor(F.col(INDEX) / F.lit(size)).cast("long")
     pos = F.col(INDEX) - b * F.lit(size)
     targets = F.array(b,
@@ -182,8 +147,6 @@ def neighbour_frame(df: DataFrame, tl: Timeline, ahead: int, behind: int) -> tup
 def with_window_columns(df: DataFrame, tl: Timeline, ahead: int, behind: int,
                         build: "callable") -> DataFrame:
     """Add columns ``build(window) -> list[Column]`` evaluated exactly per series."""
-    if use_direct(df, tl):  # plain per-series window: one projection, no bookkeeping columns
-        return df.select("*", *build(Window.partitionBy(*tl.series).orderBy(*tl.order_cols())))
-    x, w = neighbour_frame(df, tl.with_(strategy="blocked"), ahead, behind)  # already decided: split
+    x, w = neighbour_frame(df, tl, ahead, behind)
     cols = build(w)
     return x.select(*[F.col(f"`{c}`") for c in df.columns], *cols, HOME).filter(F.col(HOME)).drop(HOME)

@@ -72,6 +72,7 @@ def evaluation_metrics(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str, target: str, mechanism: str) -> str:
-    """K2: ``eval_report_{target}_{mechanism}`` CSV folder written by the executors."""
-    from towerfill.sources.text import write_csv
-    return write_csv(report, f"{path.rstrip('/')}/eval_report_{target}_{mechanism}")
+    """K2: ``eval_report_{target}_{mechanism}``, a CSV folder in the order of the report's keys (the columns before ``original``)."""
+    from towerfill.sources.text import write_ordered_csv
+    keys = report.columns[:report.columns.index("original")] or ["original"]
+    return write_ordered_csv(report, f"{path.rstrip('/')}/eval_report_{target}_{mechanism}", keys)

@@ -87,7 +87,8 @@ def overlay(filled: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
 
 
 def write_export(filled: DataFrame, path: str, target: str, time_col: str = "datetime",
-                 keys: Sequence[str] = ()) -> str:
-    """K1: CSV with header, in folder ``{path}/gapfilled_{target}_clean``."""
-    from towerfill.sources.text import write_csv
-    return write_csv(export_frame(filled, target, time_col, keys), f"{path.rstrip('/')}/gapfilled_{target}_clean")
+                 keys: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> str:
+    """K1: CSV in time order (per key), header once, in folder ``{path}/gapfilled_{target}_clean``: its parts in name order are the file."""
+    from towerfill.sources.text import write_ordered_csv
+    out = export_frame(filled, target, time_col, [*keys, *tiebreak])
+    return write_ordered_csv(out, f"{path.rstrip('/')}/gapfilled_{target}_clean", [*keys, time_col, *tiebreak])

@@ -143,3 +143,43 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",")
        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX").csv(path))
     return path
+
+
+def write_ordered_csv(df: DataFrame, path: str, order: Sequence[str], sep: str = ",", ranges: int | None = None) -> str:
+    """K1 / K2: a CSV in the order of ``order``, its header once at the beginning.
+
+    The rows are range-partitioned and sorted, so the part files in the order of their
+    names are the file; no row passes the driver or one task. Where the file system can
+    put files together by their blocks (HDFS), ``join_parts`` makes them one named file.
+    """
+    stamp = {"sep": sep, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
+    head = sep.join(f'"{c.replace(chr(34), chr(34) * 2)}"' if re.search(f'[{re.escape(sep)}"\n]', c) else c for c in df.columns)
+    line = F.to_csv(F.struct(*[F.col(quoted(c)) for c in df.columns]), stamp)
+    keys = [F.col(quoted(c)).alias(f"_o{i}") for i, c in enumerate(order)]
+    rows = df.select(F.lit(1).alias("_body"), *keys, line.alias("value"))
+    top = df.sparkSession.range(1).select(F.lit(0).alias("_body"), *[F.lit(None).cast(rows.schema[f"_o{i}"].dataType).alias(f"_o{i}")
+                                                                   for i in range(len(keys))], F.lit(head).alias("value"))
+    by = ["_body", *[F.col(f"_o{i}").asc_nulls_first() for i in range(len(keys))]]
+    dealt = rows.unionByName(top).repartitionByRange(*([ranges] if ranges else []), *by).sortWithinPartitions(*by)
+    dealt.select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def join_parts(spark: SparkSession, folder: str, file: str) -> str:
+    """Makes the part files of ``folder``, in the order of their names, the one named ``file`` (by block, on file systems that can)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in files.listStatus(path(folder)) if s.getPath().getName().startswith("part-") and s.getLen())
+    if not parts:
+        raise ValueError(f"no part files under {folder}")
+    if len(parts) > 1:
+        rest = spark._sc._gateway.new_array(path, len(parts) - 1)
+        for i, p in enumerate(parts[1:]):
+            rest[i] = path(f"{folder}/{p}")
+        try:
+            files.concat(path(f"{folder}/{parts[0]}"), rest)
+        except Exception as e:
+            raise NotImplementedError(f"this file system can't put files together; {folder} holds the parts in order") from e
+    if not files.rename(path(f"{folder}/{parts[0]}"), path(file)):
+        raise OSError(f"could not name {file}")
+    return file

@@ -21,11 +21,8 @@ class Timeline:
     tiebreak: tuple[str, ...] = ()
     # Rows per block when one series is split across tasks (see operators.sequence).
     block_rows: int = 1 << 20
-    # "auto": plain per-series window when the largest series has at most block_rows rows
-    # (checked with one count per series), else split; "direct" / "blocked" force one path.
-    strategy: str = "auto"
-    # Target rows per range partition when rows are numbered.
-    bucket_rows: int = 1 << 20
+    # Range partitions when rows are numbered (None: the session's shuffle partitions).
+    ranges: int | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "series", tuple(self.series))
@@ -44,7 +41,7 @@ class Timeline:
 
     def with_(self, **kw) -> "Timeline":
         d = dict(series=self.series, time=self.time, tiebreak=self.tiebreak,
-                 block_rows=self.block_rows, bucket_rows=self.bucket_rows, strategy=self.strategy)
+                 block_rows=self.block_rows, ranges=self.ranges)
         d.update(kw)
         return Timeline(**d)
 
