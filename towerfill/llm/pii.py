@@ -9,13 +9,15 @@ kept or dropped, adds nothing: there the pattern has decided.
 
 Defined results: null text is empty and has no spans. Repeated rows each get a row.
 Columns other than the id and the text are not read. An empty table gives no rows.
-A word that holds no digit is never added as a number.
+A word that holds no digit is never added as a number, and an added address has the
+form of one: an at sign or "at", and after it a dot or "dot".
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +54,12 @@ EXAMPLES = (
     "order 48213 shipped on 12/05/2021", "the score was 21-17 at half time", "room 204 on floor 2", "about 3.5 percent of 1200",
     "isbn 978-3-16-148410-0 in print", "see section 4.2.1 for more", "sha 9f86d081884c7d65 of the file", "meet at noon at the dot in the middle",
     "follow @example for news", "ratio 16:9 and 4k at 60 hz", "build 10.2.455 is out", "ids 1000234 and 1000235 match",
+    "reach [email|kim(at)example(dot)org] by noon", "mail [email|John dot Smith at example dot com] first", "ask [email|Mary.Jones[at]mail.example.com] about it",
+    "send it to [email|lee at example dot co dot uk] or come by", "his address is [email|o.brien (at) example (dot) net] he says",
+    "under [email|pat[at]example.org] all day", "mine is [email|jo.doe(at)mail(dot)net] as before", "it is [email|pat(at)example.com] as always",
+    "at [email|max_w at my-firm dot org] as ever", "mail or [email|sam7(at)my-firm(dot)co(dot)uk] all year", "note: [email|t.beck[at]example.com]",
+    "or call [phone|0049 30 5550 1234] instead", "my number is [phone|07700 900 123] at work", "he left at noon. At the station we met",
+    "she smiled.\nAt home they waited for two hours", "look at that dot at the end", "we met at Example street at 9 or at 10", "at 12 people arrived at once",
     "a table | 12 | 14 | 15 | of values", "from 1990-1999 the rate fell 0.75", "key = \"a81bc81b-dead-4e5d-abff-90865d1e13b1\" set",
 )
 SPACE = " \t\n\x0b\x0c\r"
@@ -62,11 +70,14 @@ TRIGGER = re.compile(f"[0-9@]+|{AT}")
 SPELLED_AT = re.compile(f"@|{AT}")
 #: A word that holds a spelled-out address together.
 JOINT = re.compile(r"[(\[]?(?:at|dot)[)\]]?", re.I)
+_INSIDE = (("+at", re.compile(r"[(\[]at[)\]]", re.I)), ("+dot", re.compile(r"[(\[]dot[)\]]", re.I)), (".x", re.compile(r"[A-Za-z]\.[A-Za-z]{2}")))
 #: Words on each side of a word with a digit or an at sign, or of a joint, that the field sees.
 REACH = 3
 #: Digits of a number by kind, and the words it has at most.
 NUMBERS = {"card": (16, 19), "phone": (8, 15)}
 NUMBER_WORDS = 6
+#: Words (padding included) that are decoded together; a longer run is decoded alone.
+CELLS = 1 << 14
 #: At most this many rows of a labelled table are trained on.
 MAX_LABELLED = 2000
 
@@ -107,23 +118,31 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 def shape(word: str) -> str:
     """Digits as 9, letters as a or A, the rest itself; runs over three are cut to three."""
-    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:40])
+    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1{3,}", r"\1\1\1", s)
 
 
-def features(words: list[str]) -> list[list[str]]:
+def joint(word: str) -> str:
+    """What a word has of an address: "at" or "dot" by itself, either in brackets inside, or a plain domain."""
+    if JOINT.fullmatch(word):
+        return word.strip("()[]").lower()
+    return "".join(name for name, pattern in _INSIDE if pattern.search(word))
+
+
+def features(words: list[str]) -> Iterator[list[str]]:
     """Feature names of each word: shapes of it and its neighbours, size, marks, and short words themselves."""
     shapes = ["<s>", *map(shape, words), "</s>"]
     low = ["<s>", *(w.lower().strip(".,:;!?") for w in words), "</s>"]
-    out = []
+    marks = ["", "", *map(joint, words), "", "", ""]
     for i, w in enumerate(words, 1):
         n = sum(c.isdigit() for c in w)
         f = [f"s={shapes[i]}", f"p={shapes[i - 1]}", f"n={shapes[i + 1]}", f"b={shapes[i - 1]}~{shapes[i]}", f"a={shapes[i]}~{shapes[i + 1]}",
              f"d={min(n, 12)}", f"l={low[i - 1]}", f"r={low[i + 1]}", f"e={w[-1:]}" if not w[-1:].isalnum() else "e=w", f"f={w[0]}" if not w[0].isalnum() else "f=w"]
         if not n and len(w) <= 8:
             f.append(f"w={low[i]}")
-        out.append(f)
-    return out
+        if any(near := marks[i - 1:i + 4]):  # joints of an address, two words to each side
+            f += [f"j={marks[i + 1]}", f"k={marks[i]}~{marks[i + 1]}~{marks[i + 2]}", f"q={'~'.join(near)}"]
+        yield f
 
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -145,16 +164,20 @@ class Field:
         return out
 
     def decode(self, parts: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi labels of each part; parts of like length go through numpy together."""
+        """Viterbi labels of each part; parts of like length go through numpy together, ``CELLS`` words with their padding at most."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(parts)
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for i in range(0, len(order), 256):
-            some = order[i:i + 256]
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j + 1 - i) * len(parts[order[j]]) <= CELLS:
+                j += 1
+            some, i = order[i:j], j
             n = np.array([len(parts[k]) for k in some])
             score = np.zeros((len(some), n.max(), len(LABELS)))
             for r, k in enumerate(some):
                 score[r, :n[r]] = self.scores(parts[k])
-            best, back = score[:, 0] + self.move[-1], np.zeros(score.shape, np.int64)
+            best, back = score[:, 0] + self.move[-1], np.zeros(score.shape, np.int8)
             for t in range(1, n.max()):
                 step = best[:, :, None] + self.move[None, :-1]
                 back[:, t] = step.argmax(axis=1)
@@ -316,11 +339,16 @@ def numbers(kind: str, words: list[str]) -> list[tuple[int, int]]:
     return out[::-1] or [(0, len(words))]
 
 
+_PART = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
+_DOT = r"(?:\s*[(\[]\s*dot\s*[)\]]\s*|\s+dot\s+)"
+#: A spelled-out address: parts and joints, an at sign of some kind, and after it a dot or "dot". No sentence ends inside.
+ADDRESS = re.compile(rf"{_PART}(?:{_DOT}{_PART})*(?:\s*@\s*|\s*[(\[]\s*at\s*[)\]]\s*|\s+at\s+)(?=\S*[^\s.]\.\S|\S+?{_DOT}){_PART}(?:{_DOT}{_PART})*", re.I)
+
+
 def plausible(kind: str, span: str) -> bool:
-    n = digits(span)
     if kind == "email":
-        words = span.split()
-        return SPELLED_AT.search(span) is not None and (len(words) <= 9 or all(map(JOINT.fullmatch, words[1::2])))
+        return ADDRESS.fullmatch(span) is not None
+    n = digits(span)
     least, most = NUMBERS.get(kind, (4, 12))
     return least <= n <= most and len(span.split()) <= NUMBER_WORDS
 
