@@ -51,20 +51,38 @@ def with_prefix(windows: DataFrame, doc_words: DataFrame) -> DataFrame:
             .select("ws", "items", F.col("r.token").alias("token"), F.col("r.at").alias("at")))
 
 
-def window_matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text",
-                   item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Every occurrence of an item window: the documents' ``keys``, ``start``, ``len`` in words and the window's ``items``."""
-    doc_words = docs.select(*keys, item_words(F.col(text)).alias("w"))
+def tokenised(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The ``keys`` and words ``w`` of each row, written once: counting, joining and checking read them, and no text is split twice."""
+    return cut_lineage(docs.select(*keys, item_words(F.col(text)).alias("w")), "doc-words")
+
+
+def window_matches(doc_words: DataFrame, benchmark: DataFrame, keys: list[str], item_id: str = "item_id", item_text: str = "text",
+                   width: int = WIDTH) -> DataFrame:
+    """Every occurrence of an item window: the documents' ``keys``, ``start``, ``len`` in words and the window's ``items``.
+
+    A small prefix table is broadcast and the windows are checked where the words are. A
+    larger one is joined by a shuffle of (keys, position, word) alone; the candidates then
+    meet their document's words by its keys.
+    """
     windows = cut_lineage(item_windows(benchmark, item_id, item_text, width), "windows")
     size = F.aggregate("ws", F.lit(64), lambda a, x: a + F.octet_length(x) + 16)
-    prefix, _ = small_side(with_prefix(windows, doc_words), "prefix", size, BROADCAST_BYTES)
-    d = doc_words.filter(F.size("w") > 0).select(*keys, "w", F.posexplode("w").alias("pos", "word")).alias("d")
+    prefix, small = small_side(with_prefix(windows, doc_words), "prefix", size, BROADCAST_BYTES)
     start, n = F.col("pos") - F.col("at"), F.size("ws")
-    inside = (start >= 0) & (start + n <= F.size("w"))
-    ends = (F.get("w", start) == F.get("ws", F.lit(0))) & (F.get("w", start + n - 1) == F.get("ws", n - 1))
-    equal = F.slice("w", F.greatest(start, F.lit(0)) + 1, n) == F.col("ws")
-    return (d.join(prefix, (F.col("word") == F.col("token")) & inside & ends & equal)
-            .select(*keys, start.alias("start"), n.alias("len"), "items"))
+    if small:
+        d = doc_words.filter(F.size("w") > 0).select(*keys, "w", F.posexplode("w").alias("pos", "word")).alias("d")
+        inside = (start >= 0) & (start + n <= F.size("w"))
+        ends = (F.get("w", start) == F.get("ws", F.lit(0))) & (F.get("w", start + n - 1) == F.get("ws", n - 1))
+        equal = F.slice("w", F.greatest(start, F.lit(0)) + 1, n) == F.col("ws")
+        return (d.join(prefix, (F.col("word") == F.col("token")) & inside & ends & equal)
+                .select(*keys, start.alias("start"), n.alias("len"), "items"))
+    own = doc_words.dropDuplicates(keys)  # rows that share the keys share the text
+    places = own.select(*keys, F.posexplode("w").alias("pos", "word"))
+    met = places.join(prefix, F.col("word") == F.col("token")).filter(start >= 0).select(*keys, start.alias("start"), "ws", "items")
+    texts = own.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "w")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    return met.join(texts, same).filter(F.slice("w", F.col("start") + 1, n) == F.col("ws")).select(*keys, "start", n.alias("len"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -75,7 +93,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     apart. What is gathered per document is bounded by its own length.
     """
     docs = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    found = window_matches(docs, benchmark, ["doc", "th"], "text", item_id, item_text, width)
+    doc_words = tokenised(docs, ["doc", "th"])
+    found = window_matches(doc_words, benchmark, ["doc", "th"], item_id, item_text, width)
 
     def cover(a: Column, x: Column) -> Column:
         end = x["start"] + x["len"]
@@ -88,23 +107,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover)["n"].alias("n_hit"),
         F.sort_array(F.transform(names, lambda x: x.cast("string"))).alias("items"))
     hits = hits.withColumnsRenamed({"doc": "h_doc", "th": "h_th"})
-    plain = docs.select("doc", "th", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS_ANY_CASE), ""))
-                        .cast("long").alias("n_words"))
+    plain = doc_words.select("doc", "th", F.size("w").cast("long").alias("n_words"))
     return (plain.join(hits, F.col("doc").eqNullSafe(F.col("h_doc")) & F.col("th").eqNullSafe(F.col("h_th")), "left")
             .select(F.col("doc").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items")))
 
 
-#: The same breaks before lower-casing: which characters belong to words does not depend on case.
-BREAKS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                       item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
     th = F.xxhash64(F.col(text))
-    found = window_matches(docs.select(th.alias("_d_th"), F.col(text).alias("_d_text")), benchmark, ["_d_th"], "_d_text",
-                           item_id, item_text, width)
+    doc_words = tokenised(docs.select(th.alias("_d_th"), F.col(text).alias("_d_text")), ["_d_th"], "_d_text")
+    found = window_matches(doc_words, benchmark, ["_d_th"], item_id, item_text, width)
     return docs.join(found.select("_d_th").distinct(), th == F.col("_d_th"), "left_anti")
 
 
