@@ -46,8 +46,9 @@ def repeat_words(w: Column, width: int = WINDOW) -> Column:
     return let(grams, count).cast("long")
 
 
-def score(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
-    """The rows of ``docs`` with the base rule's counts and ``base_failed``."""
+def score(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_pct: int = 20,
+          verdict_only: bool = False) -> DataFrame:
+    """The rows of ``docs`` with the base rule's counts and ``base_failed`` (or only the verdict, as ``_q_failed``)."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
@@ -60,7 +61,10 @@ def score(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_p
         return F.struct(c.alias("counts"), failed.alias("failed"))
 
     # one expression holds the words, so that a filter on the rule that Spark moves to the scan splits each text once
-    return docs.withColumn("_q_base", let(words(F.col(text)), base)).withColumns({
+    based = docs.withColumn("_q_base", let(words(F.col(text)), base))
+    if verdict_only:
+        return based.withColumn("_q_failed", F.col("_q_base.failed")).drop("_q_base")
+    return based.withColumns({
         "n_words": F.col("_q_base.counts.n_words"),
         "word_chars": F.col("_q_base.counts.word_chars"),
         "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
@@ -95,7 +99,8 @@ def host_quality(docs: DataFrame, text: str = "text", host: str = "source", max_
     host is one row of a partial aggregate; the join back is left to Spark, which
     splits a skewed side.
     """
-    scored = cut_lineage(score(docs, text).drop(text), "quality")
+    own = [c for c in ("host_docs", "host_failures", "host_rejected", "kept") if c != host]  # an input column of such a name gives way
+    scored = cut_lineage(score(docs.drop(*(c for c in own if c != text)), text).drop(text), "quality")
     hosts = host_verdicts(scored, host, max_rate)
     return (scored.join(hosts, F.col(host).eqNullSafe(F.col("_q_host")), "left").drop("_q_host")
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")))
@@ -103,10 +108,10 @@ def host_quality(docs: DataFrame, text: str = "text", host: str = "source", max_
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with its columns, that pass the base rules and whose host passes."""
-    scored = score(docs, text)
-    hosts = host_verdicts(cut_lineage(scored.select(host, "base_failed"), "quality"), host, max_rate)
-    bad = hosts.filter("host_rejected").select("_q_host")
-    good = scored.filter(~F.col("base_failed")).select(*docs.columns)
+    scored = score(docs, text, verdict_only=True)
+    counted = cut_lineage(scored.select(F.col(host).alias("_q_source"), F.col("_q_failed").alias("base_failed")), "quality")
+    bad = host_verdicts(counted, "_q_source", max_rate).filter("host_rejected").select("_q_host")
+    good = scored.filter(~F.col("_q_failed")).select(*docs.columns)
     return good.join(bad, F.col(host).eqNullSafe(F.col("_q_host")), "left_anti")
 
 
