@@ -72,12 +72,15 @@ def minimax_shards(docs: DataFrame, text: str = "text", key: str = "doc_id", sha
                    cell_bits: int = CELL_BITS) -> DataFrame:
     """``docs`` without the text, with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
-    Rows of a shard are numbered by cell, part and ``key``. A cell's first slot
+    Rows of a shard are numbered by cell, part, ``key`` and text, so rows that share a
+    key keep their slots whatever the run (equal rows are alike). A cell's first slot
     comes from the driver's cell table, a part's from the counts by cell and part,
     and the rank inside a part from a window over that part alone.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.drop(*(c for c in ("shard", "slot") if c not in (key, text)))  # an input column of such a name gives way
     rows = docs.withColumns({
+        "_s_text": F.xxhash64(t, F.lit(7)),
         "size": (F.octet_length(t) + OVERHEAD).cast("long"),
         "text_crc32": F.crc32(F.encode(t, "UTF-8")),
         "_s_cell": F.shiftrightunsigned(F.xxhash64(t), 64 - cell_bits).cast("int"),
@@ -96,10 +99,10 @@ def minimax_shards(docs: DataFrame, text: str = "text", key: str = "doc_id", sha
     before = F.sum("n").over(Window.partitionBy("_s_cell").orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = (parts.select("_s_cell", "_s_part", F.coalesce(before, F.lit(0)).alias("_s_before"))
                .join(F.broadcast(begins), "_s_cell"))  # at most 2 ** cell_bits rows
-    rank = F.row_number().over(Window.partitionBy("_s_cell", "_s_part").orderBy(key))
+    rank = F.row_number().over(Window.partitionBy("_s_cell", "_s_part").orderBy(key, "text_crc32", "_s_text"))
     return (rows.withColumn("_s_rank", rank).join(offsets, ["_s_cell", "_s_part"])
             .withColumn("slot", F.col("_s_begin") + F.col("_s_before") + F.col("_s_rank") - 1)
-            .drop("_s_cell", "_s_part", "_s_rank", "_s_begin", "_s_before"))
+            .drop("_s_cell", "_s_part", "_s_text", "_s_rank", "_s_begin", "_s_before"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
