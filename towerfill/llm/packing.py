@@ -110,12 +110,13 @@ def pack(docs: DataFrame, length: Column, keys: Sequence[str] = ("doc_id",), cap
     whole = docs.select(*keys, length.cast("long").alias("_p_n"))
     pieces = whole.select(*keys, "_p_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((n - 1) / top), F.lit(0)))).alias("piece"))
     pieces = pieces.select(*keys, "piece", (F.col("piece") * top).alias("start"), F.least(n - F.col("piece") * top, F.lit(top)).alias("length"))
-    pieces = cut_lineage(pieces, "pieces")
+    # the row's number is written with it, so that rows that repeat a key spread over the groups and do so alike on a retry
+    pieces = cut_lineage(pieces.withColumn("_p_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    group = F.pmod(F.xxhash64(*keys, "piece", "length"), F.lit(groups)).cast("long")
+    group = F.pmod(F.xxhash64(*keys, "piece", "length", "_p_row"), F.lit(groups)).cast("long")
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "piece long, start long, length long, bin_id long, bin_offset long, capacity long"])
-    packed = pieces.filter("length > 0").withColumn("_p_group", group).groupBy("_p_group").applyInPandas(_pack(capacities, keys), schema)
+    packed = pieces.filter("length > 0").withColumn("_p_group", group).drop("_p_row").groupBy("_p_group").applyInPandas(_pack(capacities, keys), schema)
     empty = pieces.filter("length <= 0").select(*keys, "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in ("bin_id", "bin_offset", "capacity")])
     return packed.unionByName(empty)
 
