@@ -47,16 +47,16 @@ def unescape(text: str) -> str:
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """The paths of all leaves; list items share a path."""
+    """The paths of all leaves; list items share a path. Marks of a path inside a key are escaped, so keys can't forge one."""
     if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}") for k, v in value.items()))
+        return set().union(*(field_paths(v, at + "." + re.sub(r"([\\.\[\]\n])", r"\\\1", k)) for k, v in value.items()))
     if isinstance(value, list) and value:
         return set().union(*(field_paths(v, f"{at}[]") for v in value))
     return {at}
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
+    return hashlib.md5("\n".join(sorted(paths)).encode("utf-8", "backslashreplace")).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -109,14 +109,43 @@ def registry(mappings=MAPPINGS) -> dict[str, Mapping]:
     return {fingerprint(m.paths()): m for m in mappings}
 
 
+def select_mapping(paths: set[str], known: dict[str, Mapping]) -> Mapping | None:
+    """The mapping of a schema: that of its fingerprint, else the one whose paths are there with only fields beside them that no mapping reads."""
+    exact = known.get(fingerprint(paths))
+    if exact:
+        return exact
+    content = {re.match(r"\.[^.\[]*", p)[0] for m in known.values() for p in m.paths()}
+    fits = []
+    for m in known.values():
+        inside = f".{m.items}[]." if m.items else None
+        extra = {p for p in paths - m.paths() if not (inside and p.startswith(inside))}
+        if m.paths() <= paths and not any(p == c or p.startswith((c + ".", c + "[")) for p in extra for c in content):
+            fits.append(m)
+    return max(fits, key=lambda m: len(m.paths()), default=None)
+
+
 def record_turns(body: str | None, known: dict[str, Mapping]) -> tuple[str, list[tuple[str, str]]]:
-    """The fingerprint of a JSON record and its canonical turns."""
+    """The fingerprint of a JSON record and its canonical turns.
+
+    A record that is no JSON, is nested too deeply, fits no mapping, or whose texts
+    can't be written as UTF-8 (lone surrogates) is one ``unmapped`` turn, its body unchanged.
+    """
+    plain = [(UNMAPPED, body or "")]
     try:
         record = json.loads(body or "")
-    except ValueError:
-        return "", [(UNMAPPED, body or "")]
-    key = fingerprint(field_paths(record))
-    return key, list(known[key].turns(record)) if key in known else [(UNMAPPED, body)]
+        paths = field_paths(record)
+    except (ValueError, RecursionError):
+        return "", plain
+    key = fingerprint(paths)
+    mapping = select_mapping(paths, known)
+    if mapping is None:
+        return key, plain
+    turns = list(mapping.turns(record))
+    try:
+        "".join(x for turn in turns for x in turn).encode()
+    except UnicodeEncodeError:
+        return key, plain
+    return key, turns
 
 
 _TURNS = "conv_id long, seq long, role string, text string, fingerprint string"
