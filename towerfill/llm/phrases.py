@@ -50,6 +50,8 @@ LIMIT = 1 << 20
 #: Bits of a word's number in a trie, and first words that share a container at first.
 BITS = 21
 SHARED_BITS = 6
+#: Parts of a language's phrases that are ranked first.
+PARTS = 32
 #: Paths of a chunk; bytes of text that are turned into paths at a time.
 CHUNK_PATHS = 1 << 13
 TEXT_BYTES = 1 << 20
@@ -399,8 +401,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     three = (triples.join(head, ["w1", "w2"]).join(tail, ["w2", "w3"]).join(word(1), "w1").join(word(2), "w2").join(word(3), "w3")
              .select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a", F.least(cut, cut2).alias("c"))
              .select("lang", "phrase", "a", "c.l", "c.r", "c.score"))
-    by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # a language's first phrases are among the first of its parts, so the last ranking reads PARTS * top rows of a language at most
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    firsts = two.unionByName(three).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
