@@ -104,17 +104,54 @@ def test_cuts_are_minimal():
 
 def test_shards(spark):
     rows = documents()
-    got = shards.minimax_shards(table(spark, rows), shards=7).collect()
+    df = table(spark, rows).drop("shard")
+    got = shards.minimax_shards(df, shards=7).collect()
     size = {r[0]: len((r[1] or "").encode()) + 16 for r in rows}
     crc = {r[0]: zlib.crc32((r[1] or "").encode()) for r in rows}
     assert len(got) == len(rows) and all(r["size"] == size[r.doc_id] and r.text_crc32 == crc[r.doc_id] for r in got)
     text = {r[0]: r[1] or "" for r in rows}
-    home = {}
-    for r in got:
-        assert home.setdefault(text[r.doc_id], r["shard"]) == r["shard"]
+    home: dict = {}
+    for r in got:  # equal texts lie together
+        assert home.setdefault(text[r.doc_id], r.shard) == r.shard
+    assert {r.shard for r in got} <= set(range(7))
     for k in range(7):
-        slots = sorted(r.slot for r in got if r["shard"] == k)
+        slots = sorted(r.slot for r in got if r.shard == k)
         assert slots == list(range(len(slots)))
+    again = shards.minimax_shards(df.repartition(5), shards=7).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_shards_are_near_equal(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(0, 400) + str(i % 900)) for i in range(3000)] + [(5000 + i, "copy " * 20) for i in range(150)]
+    got = shards.minimax_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    load = {k: sum(r["size"] for r in got if r.shard == k) for k in range(8)}
+    mean, largest = sum(load.values()) / 8, 150 * 116
+    assert max(load.values()) <= mean + largest and min(load.values()) > 0.5 * mean
+    # brute force over the ordered cells: no contiguous cut has a smaller largest shard
+    sizes = [rng.randint(1, 30) for _ in range(11)]
+    import itertools
+    best = min(max(sum(sizes[a:b]) for a, b in zip((0, *c), (*c, 11))) for c in itertools.combinations(range(1, 11), 3))
+    assert shards.smallest_capacity(sizes, 4) == best
+
+
+@pytest.mark.parametrize("name", ["size", "text_crc32", "shard", "slot", "n", "b"])
+def test_shards_with_a_clashing_column(spark, name):
+    df = spark.createDataFrame([(1, "a", "z"), (2, "b", "z")], f"doc_id long, text string, {name} string")
+    got = shards.minimax_shards(df, shards=2)
+    assert got.columns.count("shard") == got.columns.count("slot") == 1 and {r.slot for r in got.collect()} <= {0, 1}
+
+
+@pytest.mark.parametrize("name", ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failures",
+                                  "host_rejected", "kept"])
+def test_quality_with_a_clashing_column(spark, name):
+    good = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, good, "s", "mine"), (2, "few", "s", "mine"), (3, good, "s", "mine")], f"doc_id long, text string, source string, {name} string")
+    got = {r.doc_id: r for r in quality.host_quality(df).collect()}
+    assert got[1].n_words == 20 and got[2].base_failed and got[1].host_docs == 3 and not got[2].kept
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and all(r[name] == "mine" for r in kept.collect())
 
 
 def test_item_digest_is_over_sorted_ids():

@@ -204,3 +204,32 @@ def test_stages_take_empty_documents(spark, corpus):
         assert out.count() == 0
         if name != "best_fit_packing":
             assert out.columns == none.columns
+
+
+def test_hostile_records():
+    known = chat.registry()
+    for body in ['{"messages[].role": "user", "messages[].content": "x"}', "[" * 100_000, '{"a":' * 50_000, '{"prompt": "\\ud800"}',
+                 '{"prompt": {"\\ud800": 1}}', '{"messages": ["x", {"role": "user", "content": "y"}]}', '{"messages": []}', "3", "null", None, ""]:
+        key, turns = chat.record_turns(body, known)
+        assert turns == [(chat.UNMAPPED, body or "")], body
+        key.encode()
+
+
+def test_added_fields_do_not_hide_a_mapping():
+    known = chat.registry()
+    assert chat.record_turns('{"id": 7, "messages": [{"role": "user", "content": "a", "tool_calls": [{"x": 1}]}]}', known)[1] == [("user", "a")]
+    assert chat.record_turns('{"prompt": "p", "completion": "c", "meta": {"source": "s"}}', known)[1] == [("user", "p"), ("assistant", "c")]
+    # a field that another mapping reads is text: nothing may be lost
+    assert chat.record_turns('{"prompt": "p", "output": "c"}', known)[1][0][0] == chat.UNMAPPED
+    assert chat.record_turns('{"system": "s", "instruction": "i", "input": "x", "output": "o"}', known)[1][0][0] == chat.UNMAPPED
+
+
+def test_rows_that_repeat_a_key_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, 5)] * 400, "doc_id long, n long")
+    from pyspark.sql import functions as F
+    got = packing.pack(df, F.col("n"), capacities=(8, 16), group_pieces=50).collect()
+    assert len({r.bin_id >> 32 for r in got}) >= 6 and len(got) == 400
+    fill = {}
+    for r in got:
+        fill.setdefault((r.bin_id, r.capacity), []).append((r.bin_offset, r.length))
+    assert all(sum(n for _, n in v) <= cap for (_, cap), v in fill.items())
