@@ -233,3 +233,48 @@ def test_rows_that_repeat_a_key_spread_over_groups(spark):
     for r in got:
         fill.setdefault((r.bin_id, r.capacity), []).append((r.bin_offset, r.length))
     assert all(sum(n for _, n in v) <= cap for (_, cap), v in fill.items())
+
+
+TEXT = "A paragraph, with text. " * 9
+FULL = TEXT.strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    # comments that are articles, in a marked section or marked themselves
+    (f'<article><h1>T</h1><p>{TEXT}</p></article><section id="comments"><article class="comment"><p>{TEXT * 3}</p></article></section>', f"T\n{FULL}"),
+    (f'<article><h1>T</h1><p>{TEXT}</p></article><article class="comment"><p>{TEXT * 3}</p></article>', f"T\n{FULL}"),
+    (f'<div class="site has-sidebar"><article><p>{TEXT}</p><div class="comment-list"><p>{TEXT}</p></div></article></div>', FULL),
+    # a title in the article's header, and one that is a link
+    (f'<header><h1>Site</h1></header><article><header><h1>T</h1><p>by Ann, today</p></header><p>{TEXT}</p></article>', f"T\n{FULL}"),
+    (f'<article><h2><a href="x">A title</a></h2><p>{TEXT}</p></article>', f"A title\n{FULL}"),
+    # parts of class names are weighed with the score
+    (f'<article><p>{TEXT}</p><div class="related-posts"><ul><li>Other one</li><li>Other two</li></ul></div><div class="newsletter-signup"><p>Get mail</p></div></article>', FULL),
+    (f'<div class="site-header"><p>My site</p></div><div><h1>T</h1><p>{TEXT}</p><p>{TEXT}</p></div><div class="site-footer"><p>Imprint</p></div><div class="cookie-banner"><p>We use cookies, as all do. Agree, please.</p></div>',
+     f"T\n{FULL}\n{FULL}"),
+    ("".join(f'<div class="elementor-widget-container"><p>{TEXT}</p></div>' for _ in range(4)), "\n".join([FULL] * 4)),
+    (f'<div class="post-header"><h1>T</h1></div><article class="widget"><p>{TEXT}</p></article>', FULL),
+])
+def test_marks_are_weighed(page, want):
+    assert tagpath.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_the_scores_decide(monkeypatch):
+    """A constant score changes what is kept, with and without articles."""
+    import numpy as np
+    pages = [f'<article><p>{TEXT}</p><div class="{c}"><p>short</p></div></article>' for c in ("related-posts", "share-box", "ad-slot")]
+    pages += [f'<div class="site-nav"><p>Home</p></div><div><p>{TEXT}</p><p>{TEXT}</p></div><div class="{c}"><p>end</p></div>' for c in ("site-footer", "promo-box")]
+    pages += [f"<h1>T</h1><div><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div>" + "<ul>" + "<li>a</li>" * 9 + "</ul>"]
+    before = [tagpath.main_text(p) for p in pages]
+    monkeypatch.setattr(tagpath, "path_scores", lambda found, sigma=1.0: np.ones(len(found)))
+    assert all(a != b for a, b in zip(before, [tagpath.main_text(p) for p in pages]))
+
+
+def test_path_scores_by_hand():
+    import numpy as np
+    found = [tagpath.Block("a/p", (1,), "One, two. Three", 0), tagpath.Block("a/p", (1,), "x" * 9, 9), tagpath.Block("a/li", (2,), "four!", 0)]
+    chars, marks = [15 / 2, 15 / 2, 5.0], [2 / 2 + 1, 2 / 2 + 1, 2.0]
+    k = np.exp(-np.arange(-3, 4) ** 2 / 2)
+    k /= k.sum()
+    def smooth(v):
+        return np.array([sum(k[j + 3] * v[min(max(i + j, 0), 2)] for j in range(-3, 4)) for i in range(3)])
+    assert np.allclose(tagpath.path_scores(found), smooth(chars) * smooth(marks))

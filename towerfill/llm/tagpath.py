@@ -1,14 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into text blocks, each under its root-to-leaf path of block elements.
-Elements that are no part of an article by their name, role or class are left out
-with all they hold; a role or class leaves out none that holds an article or main
-element or most of the page's path score. Over the rest, text length and punctuation are summed per path;
+Elements that are no part of an article by their name are left out with all they hold
+(of a header inside an article its headings stay). Text length and punctuation are summed per path;
 a path's ratios (characters and punctuation marks for each of its blocks, without
 link text) are smoothed over the page with a Gaussian, fused, and compared with a
 threshold. Paths above it give the content nodes; what the smallest element around
 all of them holds is the article, so that its headings and short paragraphs stay.
 
+Classes, ids and roles are evidence that the scores weigh. An element whose whole class
+name marks it (or a part of it does, for comments and cookie notices) goes, unless the
+article would go with it: then the marked element with the highest score stays, and
+what is marked inside it is judged anew. Articles marked so, as comments often are, are
+no article. An element of which only a part of a class name is a mark goes if the ratios of
+its own blocks are less than half of what unmarked paths score on average.
+
 Defined results: null or textless pages give an empty text. Repeated rows each get
 a row. Columns other than id, url and html are not read. An empty table gives no
 rows. Unclosed and stray tags are taken as browsers take them; an unclosed comment,
@@ -49,6 +55,9 @@ MARKS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "he
          "promo", "promotion", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter",
          "subscribe", "subscription", "signup", "login", "search", "social", "share", "sharing", "related", "recommended", "comment",
          "comments", "disqus", "reply", "replies", "respond", "pagination", "pager", "toolbar", "widget", "hidden", "skip", "copyright"}
+#: Of these also a part of a class name is enough.
+STRONG_PARTS = {"comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An end tag or a sibling's start closes these; a block's start closes an open paragraph.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}, "p": {"p"}}
@@ -66,20 +75,27 @@ class Block:
     link: int
 
 
-def outside(name: str, tag: str) -> tuple[bool, bool]:
-    """Whether an element is no part of an article by its name or because it is hidden, and whether its class, id or role says so."""
+WEAK, STRONG = 1, 2
+
+
+def outside(name: str, tag: str) -> tuple[bool, int]:
+    """Whether an element is no part of an article by its name or because it is hidden, and how strongly its class, id or role says so."""
     if name in OUTSIDE:
-        return True, False
-    marked = False
+        return True, 0
+    marked = 0
     for m in ATTRIBUTE.finditer(tag, len(name) + 1):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True, False
+            return True, 0
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True, False
-        elif name not in ("html", "body", "article", "main"):
-            marked = marked or not MARKS.isdisjoint(value.split())
+                return True, 0
+        elif name not in ("html", "body", "main"):
+            parts = set(re.split(r"[\s_-]+", value))
+            if not MARKS.isdisjoint(value.split()) or not STRONG_PARTS.isdisjoint(parts):
+                marked = STRONG
+            elif name != "article" and not MARKS.isdisjoint(parts):
+                marked = max(marked, WEAK)
     return False, marked
 
 
@@ -92,8 +108,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # name, number, left out
     names: dict[int, str] = {}
-    marked: set[int] = set()
-    holds: set[int] = set()  # a section
+    marked: dict[int, int] = {}
+    heads: set[int] = set()  # headers inside a section
     text: list[str] = []
     link, links, number, at, size = 0, 0, 0, 0, -1
 
@@ -131,9 +147,10 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
             links = 0 if close else 1
             continue
         if name in INLINE:
-            if not close and any(gone := outside(name, tag)):  # a marked inline part is dropped up to its end
+            gone, mark = (False, 0) if close else outside(name, tag)
+            if gone or mark == STRONG:  # a marked inline part is dropped up to its end
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if end and (gone[0] or not main_part(page[at:end.start()])):
+                if end and (gone or not main_part(page[at:end.start()])):
                     at = end.end()
             continue
         if name == "br":
@@ -160,22 +177,54 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str], bool]:
         number += 1
         names[number] = name
         gone, mark = outside(name, tag)
+        if name == "header" and any(x[0] in SECTIONS for x in stack):
+            gone = False
+            heads.add(number)
         stack.append((name, number, gone))
         if mark:
-            marked.add(number)
-        if name in SECTIONS and not any(x[2] for x in stack):
-            holds.update(x[1] for x in stack)
+            marked[number] = mark
     flush()
-    marked -= holds
-    if marked and out:
-        score = path_scores(out)
-        sums: dict[int, float] = {}
-        for b, s in zip(out, score):
-            for i in marked.intersection(b.chain):
+    out = [b for b in out if heads.isdisjoint(b.chain) or not HEADINGS.isdisjoint(names[i] for i in b.chain)]
+    articles = {i for i, n in names.items() if n in SECTIONS and marked.get(i) != STRONG}
+    out = _unmarked(out, marked, articles, names)
+    return out, names, any(i in articles for b in out for i in b.chain)
+
+
+def _unmarked(out: list[Block], marked: dict[int, int], articles: set[int], names: dict[int, str]) -> list[Block]:
+    """The blocks that marks and path scores leave."""
+    if not out or not marked:
+        return out
+    score = path_scores(out)
+    against = {i for i, m in marked.items() if m == STRONG}
+    in_article = np.array([not articles.isdisjoint(b.chain) for b in out])
+    while against:
+        free = np.array([against.isdisjoint(b.chain) for b in out])
+        if (free & in_article).any() if in_article.any() else 2 * score[free].sum() >= score.sum():
+            break
+        sums: dict[int, float] = {}  # of the outermost marked elements; with articles only of those that hold one
+        for b, s, a in zip(out, score, in_article):
+            if (a or not in_article.any()) and (i := next((i for i in b.chain if i in against), None)) is not None:
                 sums[i] = sums.get(i, 0.0) + s
-        marked -= {i for i, s in sums.items() if 2 * s > score.sum()}
-        out = [b for b in out if marked.isdisjoint(b.chain)]
-    return out, names, any(names[i] in SECTIONS for b in out for i in b.chain)
+        best = max(sums, key=sums.get, default=None)
+        if best is None or not in_article.any() and 2 * sums[best] <= score.sum():
+            break
+        against.discard(best)
+    left = [k for k, b in enumerate(out) if against.isdisjoint(b.chain)]
+    weak = {i for i, m in marked.items() if m == WEAK}
+    plain = [score[k] for k in left if weak.isdisjoint(out[k].chain)]
+    usual = np.mean(plain) if plain else 0.0
+    below: dict[int, list[float]] = {}  # by element, as paths know no classes
+    for k in left:
+        for i in weak.intersection(out[k].chain):
+            below.setdefault(i, []).append(float(np.prod(ratio(out[k]))))
+    holders = {i for k in left if in_article[k] for i in out[k].chain[:next(n for n, j in enumerate(out[k].chain) if j in articles)]}
+    poor = {i for i, s in below.items() if i not in holders and 2 * np.mean(s) < usual}
+    return [out[k] for k in left if poor.isdisjoint(out[k].chain) or in_article[k] and any(names[i] == "h1" for i in out[k].chain)]
+
+
+def ratio(b: Block) -> tuple[float, float]:
+    """Characters, and punctuation marks plus one, of a block without its link text."""
+    return len(b.text) - b.link, len(PUNCTUATION.findall(b.text)) * (1 - b.link / len(b.text)) + 1
 
 
 def path_scores(found: list[Block], sigma: float = 1.0) -> np.ndarray:
@@ -188,10 +237,11 @@ def path_scores(found: list[Block], sigma: float = 1.0) -> np.ndarray:
     sums: dict[str, list[float]] = {}
     for b in found:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
-        s[0] += len(b.text) - b.link
-        s[1] += len(PUNCTUATION.findall(b.text)) * (1 - b.link / len(b.text))
+        chars, marks = ratio(b)
+        s[0] += chars
+        s[1] += marks
         s[2] += 1
-    ratios = np.array([[sums[b.path][0] / sums[b.path][2], sums[b.path][1] / sums[b.path][2] + 1] for b in found])
+    ratios = np.array([[sums[b.path][0] / sums[b.path][2], sums[b.path][1] / sums[b.path][2]] for b in found])
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * sigma ** 2))
     kernel /= kernel.sum()
@@ -206,7 +256,7 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     A block is content if its score is at least ``share`` of the standard deviation
     of all scores, or the page's scores do not differ. With article or main
     elements only blocks in them can be content; a block of nothing but links in
-    them stays out. Without, the article is the nearest element that holds all content
+    them stays out, but for headings. Without, the article is the nearest element that holds all content
     blocks and more than the text of one element; the same blocks in it stay.
     """
     found, names, sectioned = blocks(page or "")
@@ -223,7 +273,8 @@ def main_text(page: str | None, share: float = 0.5) -> str:
         hosts = {next(i for i in b.chain if names[i] in SECTIONS) for b in picked}
     else:
         hosts = host(found, picked)
-    inside = [b for b, c in zip(found, chosen) if (not hosts or not hosts.isdisjoint(b.chain)) and (b.link < len(b.text) or c)]
+    inside = [b for b, c in zip(found, chosen) if (not hosts or not hosts.isdisjoint(b.chain))
+              and (b.link < len(b.text) or c or not HEADINGS.isdisjoint(names[i] for i in b.chain))]
     return "\n".join(b.text for b in inside)
 
 
