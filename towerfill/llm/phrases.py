@@ -46,7 +46,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 #: Entries of a container that bursts, and of a trie that spills.
 BURST = 1 << 12
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 #: Bits of a word's number in a trie, and first words that share a container at first.
 BITS = 21
 SHARED_BITS = 6
