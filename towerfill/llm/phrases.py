@@ -55,6 +55,8 @@ PARTS = 32
 #: Paths of a chunk; bytes of text that are turned into paths at a time.
 CHUNK_PATHS = 1 << 13
 TEXT_BYTES = 1 << 20
+#: Rows of a batch whose texts are copied at a time.
+SLICE = 256
 
 _BREAK = np.isin(np.arange(256), list(BREAKS))
 _GAP = _BREAK | np.isin(np.arange(256), list(BLANKS))
@@ -193,8 +195,8 @@ def runs_of(texts: list[bytes]) -> Iterator[bytes]:
         at = end
 
 
-def parts_of(run: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(word hashes, pieces, distinct words in the order of their hashes) of a run, a long one cut at a piece's end."""
+def parts_of(run: bytes, spell: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(word hashes, pieces, distinct words in the order of their hashes if ``spell``) of a run, a long one cut at a piece's end."""
     low = LOWER[np.frombuffer(run, np.uint8)].tobytes()
     breaks = np.flatnonzero(_BREAK[np.frombuffer(low, np.uint8)])
     at = 0
@@ -204,7 +206,7 @@ def parts_of(run: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]
         part = low[at:end]
         starts, ends, h, piece = find_words(part)
         if len(h):
-            _, first = np.unique(h, return_index=True)
+            first = np.unique(h, return_index=True)[1] if spell else starts[:0]
             yield h, piece, [part[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
         at = end
 
@@ -214,16 +216,16 @@ def language_seed(lang: str) -> np.uint64:
     return between(run, np.array([0]), np.array([len(run) - 1]))[0]
 
 
-def pieces_of(batches) -> Iterator[tuple[str, np.uint64, np.ndarray, np.ndarray, list[bytes]]]:
+def pieces_of(batches, spell: bool) -> Iterator[tuple[str, np.uint64, np.ndarray, np.ndarray, list[bytes]]]:
     """(language, its seed, word hashes, pieces, distinct words) of the batches' texts, run by run."""
-    for b in batches:
+    for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         by_lang: dict[str, list[bytes]] = {}
         for lang, t in zip(b["lang"].to_pylist(), utf8(b["text"])):
             by_lang.setdefault(lang, []).append(t)
         for lang, texts in by_lang.items():
             seed = language_seed(lang)
             for run in runs_of(texts):
-                for h, piece, names in parts_of(run):
+                for h, piece, names in parts_of(run, spell):
                     yield lang, seed, h, piece, names
 
 
@@ -238,7 +240,7 @@ def _count_words(limit: int):
     def run(batches):
         words: dict[tuple[str, int], list] = {}
         size = 0
-        for lang, seed, h, _, names in pieces_of(batches):
+        for lang, seed, h, _, names in pieces_of(batches, True):
             at, n = np.unique(h, return_counts=True)
             for k, w, c in zip(mix(at ^ seed).tolist(), names, n.tolist()):
                 v = words.get((lang, k))
@@ -271,7 +273,7 @@ def _count_paths(prefix_bits: int, burst: int, limit: int):
 
     def run(batches):
         trie = Counter(burst, limit)
-        for _, seed, h, piece, _ in pieces_of(batches):
+        for _, seed, h, piece, _ in pieces_of(batches, False):
             for paths in trie.add(mix(h ^ seed), piece):
                 yield from chunks(paths)
         yield from chunks(trie.spill(0))
@@ -329,7 +331,7 @@ def _merge(min_count: int):
     def run(batches):
         held, waiting, size, most = np.zeros(0, PATH), [], 0, 4 * CHUNK_PATHS
         for b in batches:
-            for first, raw in zip(b["first"].to_pylist(), b["run"].to_pylist()):
+            for first, raw in zip(b["first"].to_pylist(), (x.as_buffer() for x in b["run"])):
                 if size > most:
                     got = np.concatenate([held, *waiting])
                     below = got["pair"] < np.uint64(first + (1 << 63))  # no later chunk has these
