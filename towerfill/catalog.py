@@ -712,6 +712,34 @@ def q_missing_summary_order(spark, sf):
     return s.withColumn("place", place)
 
 
+@register("monthly_order", W + " SELECT series_id, CAST(month AS BIGINT) AS month, row_number() OVER (ORDER BY series_id, month) AS place FROM "
+          "(SELECT DISTINCT series_id, month(datetime) AS month FROM tower)")
+def q_monthly_order(spark, sf):
+    """L3: the order in which monthly means come, by month number, as a number."""
+    from pyspark.sql import Window
+    m = _flux.monthly_mean(tower(spark, sf), "co2_flux", by=["series_id"]).select("series_id", "month")
+    return m.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # a row per series and month
+
+
+@register("column_choices", W + " SELECT variable, n, CAST(variable NOT IN ('datetime', 'co2_flux_qc') AS BIGINT) AS plotted, "
+          "CAST(variable <> 'datetime' AS BIGINT) AS target FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n FROM tower" for c in _ALL_COLS) + ")")
+def q_column_choices(spark, sf):
+    """Which columns can be plotted and which can be filled, with their values counted."""
+    t = tower(spark, sf)
+    plotted, targets = _prof.plot_columns(t), _prof.target_candidates(t)
+    counts = t.agg(*[F.count(F.col(c)).alias(c) for c in t.columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("n"), F.lit(int(c in plotted)).alias("plotted"),
+                              F.lit(int(c in targets)).alias("target")) for c in t.columns])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@register("outlier_default_columns", W + _sql_outlier("z", param=3.0))
+def q_outlier_default_columns(spark, sf):
+    """The z-score rule over the columns that the library chooses: numeric, no keys, no flags."""
+    t = tower(spark, sf)
+    return _qual.outlier_zscore(t, _prof.outlier_columns(t, TOWER.keys), 3.0, ["series_id"])
+
+
 from towerfill.operators import masking as _mask  # noqa: E402
 
 _U = "((CAST(CAST('0x' || substr(md5(concat('42:', event_id)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5E0) / 4503599627370496E0)"
