@@ -88,21 +88,23 @@ def _parse(window: int, anchor: int):
 
 
 def _windows(window: int):
-    """Tasks: the hash of every window of the phrases in ``parts`` (pairs of first window and number)."""
+    """Tasks: the anchor and hash of every window of the phrases in ``parts`` (anchor, first window and number)."""
     def run(batches):
         for b in batches:
-            hashes, starts, rows = [], [], []
+            hashes, anchors, starts, rows = [], [], [], []
             parts = b["parts"].to_pylist()
             for i, h in doc_words(utf8(b["text"])):
                 at = np.concatenate([np.arange(p["s"], p["s"] + p["m"]) for p in parts[i]])
                 hashes.append(between(sums(h), at, at + window))
+                anchors.append(np.repeat(np.array([p["a"] for p in parts[i]], np.int64), [p["m"] for p in parts[i]]))
                 starts.append(at)
                 rows.append(np.full(len(at), i))
             if rows:
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [b["k"].take(take), b["doc"].take(take), pa.array(np.concatenate(hashes).view(np.int64)),
-                     pa.array(np.concatenate(starts), pa.int32())], ["k", "doc", "w", "s"])
+                    [b["k"].take(take), b["doc"].take(take), pa.array(np.concatenate(anchors)),
+                     pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(starts), pa.int32())],
+                    ["k", "doc", "a", "w", "s"])
     return run
 
 
@@ -153,19 +155,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                                            F.max("doc").alias("d1"))
     # written, not aggregated under the join: so Spark can split a hot anchor's phrases there (also below)
     anchors = cut_lineage(anchors.filter("c0 <> c1 or d0 <> d1").select("a", (F.col("c0") != F.col("c1")).alias("several")), "anchors")
-    shared = cut_lineage(all_phrases.join(anchors, "a").select("k", "doc", "c", "s", "m", "several"), "shared")
-    first = cut_lineage(shared.groupBy("c").agg(F.min("doc").alias("low")), "first")
-    placed = shared.join(first, "c")
+    shared = cut_lineage(all_phrases.join(anchors, "a").select("k", "doc", "a", "c", "s", "m", "several"), "shared")
+    first = cut_lineage(shared.groupBy("a", "c").agg(F.min("doc").alias("low")), "first")
+    placed = shared.join(first, ["a", "c"])  # two hashes have to agree, here and below
     whole = placed.filter("doc > low").select("k", "s", (F.col("s") + F.col("m") + window - 1).alias("e"))
 
     # factor boundaries: phrases that are not in the reference as a whole, window by window
     texts = docs.select("k", "doc", "text").repartition("k")
-    open_parts = (placed.filter("doc = low and several").groupBy("k").agg(F.collect_set(F.struct("s", "m")).alias("parts")))
+    open_parts = (placed.filter("doc = low and several").groupBy("k").agg(F.collect_set(F.struct("a", "s", "m")).alias("parts")))
     checked = texts.join(open_parts, "k").select("k", "doc", "text", "parts").mapInArrow(
-        _windows(window), "k long, doc long, w long, s int")
+        _windows(window), "k long, doc long, a long, w long, s int")
     checked = cut_lineage(checked, "boundary")
-    low = checked.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low")
-    single = checked.join(cut_lineage(low, "low"), "w").filter("doc > low").select("k", "s", (F.col("s") + window).alias("e"))
+    low = checked.groupBy("a", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("a", "w", "low")
+    single = checked.join(cut_lineage(low, "low"), ["a", "w"]).filter("doc > low").select("k", "s", (F.col("s") + window).alias("e"))
 
     # copies of a whole text go without a look at it
     first_copy = cut_lineage(parsed.groupBy("th").agg(F.min("doc").alias("copy_of")), "copies")
