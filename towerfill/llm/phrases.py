@@ -56,7 +56,7 @@ PARTS = 32
 CHUNK_PATHS = 1 << 13
 TEXT_BYTES = 1 << 20
 #: Rows of a batch whose texts are copied at a time.
-SLICE = 256
+SLICE = 1 << 12
 
 _BREAK = np.isin(np.arange(256), list(BREAKS))
 _GAP = _BREAK | np.isin(np.arange(256), list(BLANKS))
