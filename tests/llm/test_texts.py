@@ -71,7 +71,8 @@ def brute_components(rows):
     return sorted((doc, len(sets[doc]), label[doc]) for doc, *_ in rows)
 
 
-@pytest.mark.parametrize("kw", [{}, {"block_docs": 2, "block_shingles": 300, "counters": 1 << 12, "bucket_docs": 2}])
+@pytest.mark.parametrize("kw", [{}, {"block_docs": 2, "block_shingles": 300, "counters": 1 << 12, "bucket_docs": 2},
+                                {"fragments": 1}, {"fragments": 40, "counters": 1 << 12}])
 def test_jaccard_components(spark, kw):
     rows = documents()
     got = joinsim.jaccard_components(table(spark, rows), **kw)
@@ -151,6 +152,35 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_fragments_of_the_order_give_the_links(seed):
+    """Segments are ranges of the order (count, hash), of near-equal occurrences; pairs closed early are decided rightly."""
+    rng = np.random.default_rng(seed)
+    base = hashing.mix(np.arange(4000, dtype=np.uint64) + np.uint64(seed))
+    sets = []
+    for i in range(60):
+        s = base[(i % 5) * 300:(i % 5) * 300 + rng.integers(1, 400)]
+        sets.append(np.unique(np.concatenate([rng.permutation(s)[:max(1, int(len(s) * rng.uniform(0.8, 1)))], rng.permutation(base)[:rng.integers(0, 8)]])))
+    counts = np.zeros(1 << 10, np.uint32)
+    for s in sets:
+        np.add.at(counts, joinsim.counter(s, len(counts)).astype(np.int64), 1)
+    cuts = joinsim.pivots(counts, 8)
+    parts = [joinsim.segments(s, counts, cuts) for s in sets]
+    rank = [[(int(counts[joinsim.counter(x[None], len(counts))[0]]), int(x)) for x in np.concatenate([p[f] for p in parts])] for f in range(8)]
+    assert all(max(a) < min(b) for a, b in zip(filter(None, rank), list(filter(None, rank))[1:]))
+    assert max(map(len, rank)) < 2.5 * len(np.concatenate(sets)) / 8
+    assert all((np.unique(np.concatenate(p)) == s).all() for p, s in zip(parts, sets))
+    want = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    got = joinsim.linked_by_fragments(parts, parts, 80)
+    np.fill_diagonal(got, True)
+    assert (got == want).all() and want.sum() > len(sets)
+    assert (joinsim.linked_by_fragments(parts[:20], parts[20:], 80) == want[:20, 20:]).all()
+
+
+def test_no_counts_no_cuts():
+    assert joinsim.pivots(np.zeros(16, np.uint32), 8) == []
+
+
 def test_partial_overlaps_sum_to_the_whole():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(9)]

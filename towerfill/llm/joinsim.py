@@ -1,4 +1,4 @@
-"""Exact Jaccard join of word shingles by a prefix filter and comparison in blocks.
+"""Exact Jaccard join of word shingles by vertical partitioning: the global shingle order is cut into fragments.
 
 1. Every document becomes the set of its distinct shingle hashes; documents with
    equal sets form a class.
@@ -10,12 +10,15 @@
    prefix shingle are candidates. A shingle's classes form a chain by size, cut where
    the next size no longer fits: that puts all candidates into one cluster without a
    row per pair.
-3. The clusters' shingles are compared once, inside a task. The shared shingles of
-   two blocks, sorted by hash, are cut into slices; each gives a matrix of partial
-   overlaps, and their sum is a pair's overlap. The slices bound the memory; the
-   global order plays no part here. A cluster larger than a block is cut into
-   blocks, and every pair of blocks is a group of its own, so no task holds a
-   whole large cluster and no pair is left out.
+3. The global order is cut by pivots into fragments of equal numbers of occurrences,
+   and every set into its segments, one per fragment. The fragments are counted one by
+   one, the rarest first: each gives the partial overlaps of the pairs that are still
+   open, and their sum is a pair's overlap. A pair is closed once its sum is enough for
+   a link, or once the segments left can't make it enough. A cluster larger than a
+   block is cut into blocks, and every pair of blocks is a group of its own, so no task
+   holds a whole large cluster and no pair is left out. The fragments of a pair of
+   blocks are summed where they are counted: a row for each fragment and pair would
+   grow with the square of a group of near copies. Slices of a fragment bound the memory.
 4. Links leave a task as spanning edges only; their components are the result.
 
 Defined results: no words (or null): no shingles, no links, a component of its own
@@ -45,9 +48,10 @@ COUNTERS = 1 << 20
 COUNTER_BLOCK = 1 << 12
 #: Hundredths of a set by which its prefix is longer than one shared shingle needs.
 LONGER = 10
-#: Shingles and documents of a block; partial-overlap cells of a slice.
+#: Shingles and documents of a block; fragments of the global order; partial-overlap cells of a slice of one.
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1 << 11
+FRAGMENTS = 8
 FRAGMENT_CELLS = 1 << 22
 #: A prefix shingle is dealt to one more bucket for so many counted documents.
 BUCKET_DOCS = 1 << 17
@@ -158,11 +162,14 @@ def _prefixes(order, width: int, percent: int, bucket_docs: int):
     return run
 
 
-def clusters(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT,
-             bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """(``node``, ``label``): sets that meet on a prefix shingle, directly or through others."""
-    order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+def clusters(docs: DataFrame, order, width: int = WIDTH, percent: int = PERCENT, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """(``node``, ``label``): sets that meet on a prefix shingle, directly or through others; ``order``: the broadcast counters."""
     met = docs.select("text").mapInArrow(_prefixes(order, width, percent, bucket_docs), "token long, bucket int, key long, n int")
+    dealt = bool((order.value > bucket_docs).any())
+    if dealt:  # one set of each size and bucket meets the other buckets', not one of every task
+        met = cut_lineage(met, "prefixes")
+        ties = met.filter("bucket < 0").groupBy("token", "bucket", "n").agg(F.min("key").alias("key"))
+        met = met.filter("bucket >= 0").unionByName(ties)
     by_size = Window.partitionBy("token", F.greatest("bucket", F.lit(0))).orderBy("n", "key")
     near = {c: f(c).over(by_size) for f, c in ((F.lag, "key"), (F.lag, "n"))}
     below = (near["key"] != F.col("key")) & (100 * near["n"] >= percent * F.col("n"))
@@ -172,8 +179,8 @@ def clusters(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * LONGER / 100)  # what a linked set of the least size shares
     able = shared.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("key")
     left = shared.join(able, "key").withColumn("bucket", F.abs("bucket"))
-    if (counts > bucket_docs).any():
-        # a task's first set may have gone: the sets left are tied anew
+    if dealt:
+        # the set of a size may have gone: the sets left are tied anew
         ties = shared.filter("bucket <> 0").withColumn("bucket", F.abs("bucket")).join(able, "key").groupBy("token", "bucket", "n").agg(F.min("key").alias("key"))
         left = left.unionByName(ties.withColumn("bucket", F.lit(0)))
     chain = left.select(F.col("key").alias("a"), near["key"].alias("b"), below.alias("fits"))
@@ -209,6 +216,55 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     return 100 * o >= percent * (n[:, None] + m[None, :] - o)
 
 
+def pivots(counts: np.ndarray, fragments: int) -> list[tuple[int, int]]:
+    """The first (count, hash) of each fragment of the global order but the first; fragments have equal numbers of occurrences."""
+    value, many = np.unique(counts[counts > 0].astype(np.int64), return_counts=True)
+    mass = value * many
+    upto, out = np.cumsum(mass), []
+    for k in range(1, fragments if len(value) else 0):
+        goal = int(upto[-1]) * k // fragments
+        i = int(np.searchsorted(upto, goal, "right"))
+        # the shingles of one count are ordered by hash, which spreads them evenly
+        out.append((int(value[i]), ((goal - int(upto[i] - mass[i])) << 64) // int(mass[i])))
+    return out
+
+
+def segments(s: np.ndarray, counts: np.ndarray, cuts: list[tuple[int, int]]) -> list[np.ndarray]:
+    """A set's shingles by fragment of the global order, each segment sorted by hash."""
+    est, fragment = counts[counter(s, len(counts))], np.zeros(len(s), np.int64)
+    for c, h in cuts:
+        fragment += (est > c) | ((est == c) & (s >= np.uint64(h)))
+    by = np.argsort(fragment, kind="stable")
+    return np.split(s[by], np.searchsorted(fragment[by], np.arange(1, len(cuts) + 1)))
+
+
+def linked_by_fragments(left: list[list[np.ndarray]], right: list[list[np.ndarray]], percent: int) -> np.ndarray:
+    """Which sets (as segments) of ``left`` are linked with which of ``right``: partial overlaps per fragment, summed per pair.
+
+    After each fragment a pair is open only if its sum is too small for a link and
+    the shorter rest could still make it large enough. The diagonal of ``left`` with
+    itself means nothing.
+    """
+    n, m = (np.array([[len(p) for p in s] for s in side], np.int64) for side in (left, right))
+    least = -(-percent * (n.sum(1)[:, None] + m.sum(1)[None, :]) // (100 + percent))  # the least overlap of a link
+    n, m = (x[:, ::-1].cumsum(1)[:, ::-1] for x in (n, m))  # what is left from each fragment on
+    total = np.zeros(least.shape, np.int32)
+    open_pairs = np.minimum(n[:, 0, None], m[None, :, 0]) >= least
+    if left is right:
+        np.fill_diagonal(open_pairs, False)
+    for f in range(n.shape[1]):
+        rows = np.flatnonzero(open_pairs.any(1))
+        if not len(rows):
+            break
+        cols = rows if left is right else np.flatnonzero(open_pairs.any(0))
+        a = [left[i][f] for i in rows]
+        total[np.ix_(rows, cols)] += overlaps(a, a if left is right else [right[i][f] for i in cols])
+        open_pairs &= total < least
+        if f + 1 < n.shape[1]:
+            open_pairs &= total + np.minimum(n[:, f + 1, None], m[None, :, f + 1]) >= least
+    return total >= least
+
+
 def spanning(links: np.ndarray) -> list[tuple[int, int]]:
     """For a symmetric matrix of links, an edge from each row to the first row of its component."""
     label = np.arange(len(links), dtype=np.int32)
@@ -220,13 +276,13 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
         label = low
 
 
-def _compare(width: int, percent: int):
+def _compare(order, cuts: list[tuple[int, int]], width: int, percent: int):
     """Tasks: the spanning links of each cluster (or pair of blocks) of the group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["label", "key", "side"]).reset_index(drop=True)
         sets = {}
         for i, s in shingle_sets([t.encode() if t is not None else b"" for t in pdf["text"]], width):
-            sets[i] = s
+            sets[i] = segments(s, order.value, cuts)
         out = []
         for _, rows in pdf.groupby("label"):
             if len(rows) < 2:
@@ -234,12 +290,12 @@ def _compare(width: int, percent: int):
             if (rows["side"] == 0).all():
                 at = list(rows.index)
                 part = [sets[i] for i in at]
-                out += [(pdf["key"][at[i]], pdf["key"][at[j]]) for i, j in spanning(linked(part, part, percent))]
+                out += [(pdf["key"][at[i]], pdf["key"][at[j]]) for i, j in spanning(linked_by_fragments(part, part, percent))]
                 continue
             a, b = list(rows.index[rows["side"] == 1]), list(rows.index[rows["side"] == 2])
             if not a or not b:
                 continue
-            cross = linked([sets[i] for i in a], [sets[i] for i in b], percent)
+            cross = linked_by_fragments([sets[i] for i in a], [sets[i] for i in b], percent)
             both = np.zeros((len(a) + len(b),) * 2, bool)
             both[:len(a), len(a):], both[len(a):, :len(a)] = cross, cross.T
             out += [(pdf["key"][(a + b)[i]], pdf["key"][(a + b)[j]]) for i, j in spanning(both)]
@@ -247,8 +303,8 @@ def _compare(width: int, percent: int):
     return run
 
 
-def links(docs: DataFrame, described: DataFrame, cluster: DataFrame, width: int = WIDTH, percent: int = PERCENT,
-          block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def links(docs: DataFrame, described: DataFrame, cluster: DataFrame, order, width: int = WIDTH, percent: int = PERCENT,
+          block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS, fragments: int = FRAGMENTS) -> DataFrame:
     """Edges (``a``, ``b``) between linked sets that span every component of the links inside the clusters."""
     rep = described.filter("key is not null").groupBy("key").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("r"), F.first("n").alias("n"))
@@ -269,18 +325,19 @@ def links(docs: DataFrame, described: DataFrame, cluster: DataFrame, width: int
     d = docs.select("id", "th", "text")
     # a merge join whatever the sizes: texts are dealt out once, never held by every executor
     joined = d.hint("merge").join(placed, d["id"].eqNullSafe(placed["n_id"]) & (d["th"] == placed["n_th"])).select("unit", "label", "key", "side", "text")
-    return joined.groupBy("unit").applyInPandas(_compare(width, percent), "a long, b long")
+    return joined.groupBy("unit").applyInPandas(_compare(order, pivots(order.value, fragments), width, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                        percent: int = PERCENT, counters: int = COUNTERS, block_shingles: int = BLOCK_SHINGLES,
-                       block_docs: int = BLOCK_DOCS, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+                       block_docs: int = BLOCK_DOCS, bucket_docs: int = BUCKET_DOCS, fragments: int = FRAGMENTS) -> DataFrame:
     """Per document: its id, ``th`` (its text's hash), ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"),
                        F.col(text).alias("text"))
     described, counts = describe(docs, width, counters)
-    cluster = clusters(docs, counts, width, percent, bucket_docs)
-    found = components(links(docs, described, cluster, width, percent, block_shingles, block_docs))
+    order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+    cluster = clusters(docs, order, width, percent, bucket_docs)
+    found = components(links(docs, described, cluster, order, width, percent, block_shingles, block_docs, fragments))
     classes = described.filter("key is not null").groupBy("key").agg(F.min("id").alias("low"))
     named = classes.join(found, classes["key"] == found["node"], "left").select("key", "low", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("low").alias("component"))
