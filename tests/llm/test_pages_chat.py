@@ -36,6 +36,19 @@ def test_archives(spark):
     assert warc.read_warc(warc.write_warc(df.limit(0), folder)).count() == 0
 
 
+def test_store_names():
+    assert warc.store_name("s3a://bucket/a") == "s3://bucket/a" and warc.store_name("hdfs://n/a") == "hdfs://n/a"
+    assert warc.store_name("vol:/x/a", {"vol:/": "file:///vol/", "vol:/x/": "file:///x/"}) == "file:///x/a"
+
+
+def test_archives_by_a_name_that_only_spark_knows(spark):
+    """Spark's name of the folder is mapped before tasks write, and the manifest has the mapped one."""
+    folder = "file://" + scratch_path(spark, "warc-named").removeprefix("file://").removeprefix("file:")
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    manifest = warc.write_warc(df, folder, stores={folder: folder + "/."})
+    assert manifest.first().folder == folder + "/." and warc.read_warc(manifest).count() == len(PAGES)
+
+
 def test_archive_starts_with_a_dictionary_frame(spark):
     folder = scratch_path(spark, "warc-frame")
     df = spark.createDataFrame([(i, "u", f"<p>{i} " + LONG) for i in range(200)], "page_id long, url string, html string").coalesce(1)

@@ -42,6 +42,11 @@ ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Beginnings of folder names of Spark's file systems, and what ``pyarrow.fs`` calls the same place.
+STORES = {"s3a://": "s3://", "s3n://": "s3://"}
+#: Bytes that are read from an archive, and that are decompressed, at a time.
+READ_BYTES = 1 << 20
+FEED_BYTES = 1 << 14
 
 
 def record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes, date: str) -> bytes:
@@ -73,6 +78,13 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(records)[-size:] or b"WARC/1.1\r\nWARC-Type: response\r\n"
 
 
+def store_name(folder: str, stores: dict[str, str] | None = None) -> str:
+    """The URI by which tasks open ``folder``; the longest beginning in ``stores`` or ``STORES`` counts."""
+    known = STORES | (stores or {})
+    old = max((x for x in known if folder.startswith(x)), key=len, default="")
+    return known.get(old, "") + folder[len(old):]
+
+
 class Archive:
     """One archive: it takes records until its sample is full, builds the dictionary, then writes frame by frame."""
 
@@ -149,13 +161,19 @@ def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
 
 
 def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-               date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes ``pages`` to archives in ``folder`` (a URI that all executors share); returns the manifest: ``archive, records, bytes``."""
+               date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, stores: dict[str, str] | None = None) -> DataFrame:
+    """Writes ``pages`` to archives in ``folder`` (a URI that all executors share); returns the manifest: ``archive, records, bytes, folder``.
+
+    Spark makes the folder; tasks write by ``pyarrow.fs``. ``stores`` maps the
+    beginnings of names that only Spark knows to ones that pyarrow opens (say, a
+    mount of the same store); the manifest carries the latter.
+    """
     spark = pages.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     if "://" not in folder:
         folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
+    folder = store_name(folder, stores)
     rows = mark_revisits(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     manifest = rows.mapInArrow(_write(folder, date, archive_bytes), "archive string, records long, bytes long")
     return cut_lineage(manifest.withColumn("folder", F.lit(folder)), "manifest")
@@ -173,7 +191,7 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         raw = b""
         while not one.eof:
             if not buffer:
-                buffer = stream.read(1 << 20)
+                buffer = stream.read(FEED_BYTES)
                 if not buffer:
                     if raw:
                         raise EOFError("an archive ends inside a record")
@@ -194,7 +212,7 @@ def _read(batches):
     for b in batches:
         for folder, name in zip(b["folder"].to_pylist(), b["archive"].to_pylist()):
             files, path = fs.FileSystem.from_uri(folder)
-            with files.open_input_stream(f"{path}/{name}") as stream:
+            with files.open_input_stream(f"{path}/{name}", buffer_size=READ_BYTES) as stream:
                 rows: list[tuple] = []
                 for fields, block in records(stream):
                     if fields["WARC-Type"] == "warcinfo":
