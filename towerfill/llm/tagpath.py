@@ -17,7 +17,8 @@ its own blocks are less than half of what unmarked paths score on average.
 
 Defined results: null or textless pages give an empty text. Repeated rows each get
 a row. Columns other than id, url and html are not read. An empty table gives no
-rows. Unclosed and stray tags are taken as browsers take them; an unclosed comment,
+rows. A page is read whole, however long, and paths of equal scores get one
+verdict. Unclosed and stray tags are taken as browsers take them; an unclosed comment,
 script or style runs to the end.
 """
 
