@@ -46,6 +46,26 @@ def test_zip_with_quoted_commas_keeps_rows(spark, tmp_path):
     assert [r.s for r in rows] == ["p", "a,b", "c\nd"]
 
 
+def test_one_header_with_and_without_quotes(spark, tmp_path):
+    for name, body in (("a", '"t","v"\n"x, y",1\n'), ("b", "t,v\n"), ("c", "t,w\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("t.csv", body)
+    assert [tuple(r) for r in archive.read_table(spark, str(tmp_path), glob="[ab].zip").collect()] == [("x, y", 1)]
+    with pytest.raises(ValueError, match="different headers"):
+        archive.read_table(spark, str(tmp_path), glob="*.zip")
+
+
+def test_archives_of_empty_partitions_have_the_same_header(spark, tmp_path):
+    from towerfill.catalog import _write_zips
+    df = spark.createDataFrame([(1, "x, y")], "a long, note string").repartition(3)
+    _write_zips(spark, df, str(tmp_path / "z"), quoted=True)
+    heads = set()
+    for f in (tmp_path / "z").glob("*.zip"):
+        with zipfile.ZipFile(f) as z:
+            heads.add(z.read("data/tower.csv").splitlines()[2])
+    assert heads == {b'"a","note"'}
+
+
 def test_metadata_lines_are_found_by_any_longer_row(spark, tmp_path):
     put(tmp_path, "m.csv", "site,A\nmade,B\ndatetime,v,w\n2024-01-01 00:00:00,1,2\n")
     r = archive.read_table(spark, str(tmp_path)).first()

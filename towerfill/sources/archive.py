@@ -129,12 +129,13 @@ def read_table(spark: SparkSession, path: str, member: str | None = None, skip_r
         lines = lines.withColumn("_skip", F.lit(int(skip_rows)))
     lines = lines.filter(F.col("line_no") > F.col("_skip"))
     first = lines.groupBy(*keys).agg(F.min("line_no").alias("_head"), F.min_by("line", "line_no").alias("header"))
-    headers = first.select("header").distinct().limit(2).collect()
-    if not headers:
+    names = None
+    for r in first.select("header").distinct().toLocalIterator():  # one name may be written with and without quotes
+        if names not in (None, header_names(r.header)):
+            raise ValueError("selected files have different headers; pick one member")
+        names = header_names(r.header)
+    if names is None:
         raise ValueError(f"no table found under {path}")
-    if len(headers) > 1:
-        raise ValueError("selected files have different headers; pick one member")
-    names = header_names(headers[0].header)
     ddl = ", ".join(f"`{n}` STRING" for n in names)
     data = lines.join(first.select(*keys, "_head"), keys).filter(F.col("line_no") > F.col("_head"))
     bad = data.filter(F.col("unclosed") | (n_fields(F.col("line")) > len(names))).limit(1).collect()
