@@ -25,6 +25,8 @@ from towerfill.sources.text import header_names, infer_types, n_fields, null_tok
 
 RECORDS = "source string, member string, line_no long, line string, unclosed boolean"
 BATCH = 50_000
+#: Written records of one file: a member is read by one task, its records by many.
+ROWS_PER_FILE = 100_000
 #: Schemes of Spark's file systems that pyarrow knows by another name.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs"}
 
@@ -102,7 +104,7 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         parts.append(text_records(spark, path, glob))
     if not parts:
         raise ValueError(f"no file found under {path}")
-    return cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "records")
+    return cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "records", ROWS_PER_FILE)
 
 
 def read_table(spark: SparkSession, path: str, member: str | None = None, skip_rows: int | str = "auto",
@@ -120,15 +122,17 @@ def read_table(spark: SparkSession, path: str, member: str | None = None, skip_r
         lines = lines.filter(F.col("member") == member)
     lines = lines.filter((F.length(F.trim("line")) > 0) | F.col("unclosed"))
     keys = ["source", "member"]
+    # One pass: a row per file with the header after either skip. It is written, so its real (small) size is known and
+    # the records are not shuffled by their file, which would put a whole file in one task.
+    n = n_fields(F.col("line"))
+    after = [0, 2] if skip_rows == "auto" else [int(skip_rows)]
+    heads = [F.min(F.when(F.col("line_no") > k, F.struct("line_no", "line", n.alias("n")))).alias(f"h{k}") for k in after]
+    probe = lines.groupBy(*keys).agg(*heads, F.max(n).alias("most"), F.max("unclosed").alias("open"))
+    head = F.col(f"h{after[0]}")
     if skip_rows == "auto":
-        n = n_fields(F.col("line"))
-        probe = lines.groupBy(*keys).agg(F.min_by(n, "line_no").alias("head"), F.max(n).alias("most"), F.max("unclosed").alias("open"))
-        skip = probe.select(*keys, F.when(F.col("open") | (F.col("most") > F.col("head")), F.lit(2)).otherwise(F.lit(0)).alias("_skip"))
-        lines = lines.join(skip, keys)  # one row per file
-    else:
-        lines = lines.withColumn("_skip", F.lit(int(skip_rows)))
-    lines = lines.filter(F.col("line_no") > F.col("_skip"))
-    first = lines.groupBy(*keys).agg(F.min("line_no").alias("_head"), F.min_by("line", "line_no").alias("header"))
+        head = F.when(F.col("open") | (F.col("most") > F.col("h0.n")), F.col("h2")).otherwise(F.col("h0"))
+    first = probe.select(*keys, head.alias("h"), "most", "open").filter("h IS NOT NULL")
+    first = cut_lineage(first.select(*keys, F.col("h.line_no").alias("_head"), F.col("h.line").alias("header"), "most", "open"), "headers")
     names = None
     for r in first.select("header").distinct().toLocalIterator():  # one name may be written with and without quotes
         if names not in (None, header_names(r.header)):
@@ -138,11 +142,13 @@ def read_table(spark: SparkSession, path: str, member: str | None = None, skip_r
         raise ValueError(f"no table found under {path}")
     ddl = ", ".join(f"`{n}` STRING" for n in names)
     data = lines.join(first.select(*keys, "_head"), keys).filter(F.col("line_no") > F.col("_head"))
-    bad = data.filter(F.col("unclosed") | (n_fields(F.col("line")) > len(names))).limit(1).collect()
+    bad = []
+    if first.filter(F.col("open") | (F.col("most") > len(names))).limit(1).count():  # else no row can be
+        bad = data.filter(F.col("unclosed") | (n_fields(F.col("line")) > len(names))).limit(1).collect()
     if bad and bad[0].unclosed:
         raise ValueError(f"a quote never closes: {bad[0].line[:200]!r}")
     if bad:
         raise ValueError(f"a row has more fields than the header: {bad[0].line!r}")
     parsed = data.select(F.from_csv(F.col("line"), ddl, {"nullValue": "", "escape": '"'}).alias("r")).select("r.*")
     parsed = null_tokens(parsed)
-    return infer_types(parsed) if infer else parsed
+    return infer_types(cut_lineage(parsed, "parsed", ROWS_PER_FILE)) if infer else parsed  # inference reads columns, not lines again

@@ -23,6 +23,9 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 # --- end of fixed values --------------------------------------------------------------
 
+#: What a text needs to be a number at all; a failing cast costs the JVM an exception, a hundred times this look.
+MAYBE_NUMBER = r"^[\x00-\x20]*[+-]?[0-9.iInN][0-9A-Za-z.+-]*[\x00-\x20]*$"
+
 
 def null_tokens(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
@@ -39,7 +42,7 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     for i, c in enumerate(cols):
         x = F.trim(F.col(f"`{c}`"))
         aggs += [F.count(x).alias(f"n{i}"), F.count(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")).alias(f"d{i}")]
+                 F.count(F.when(x.rlike(MAYBE_NUMBER), x.try_cast("double"))).alias(f"d{i}")]
     r = df.agg(*aggs).first()
     repl = {}
     for i, c in enumerate(cols):
