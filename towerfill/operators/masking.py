@@ -68,7 +68,7 @@ def mark_smallest(df: DataFrame, by: list[str], tiebreak: list[str], bins: int =
     keycols = [F.col("_key"), *[F.col(c) for c in tiebreak]]
     thr = inb.filter(F.col("_r") == F.col("_need")).select(
         *by, "_edge", F.struct(*[c.alias(f"_t{i}") for i, c in enumerate(keycols)]).alias("_thr"))
-    y = attach(x, thr, by)
+    y = attach(x, cut_lineage(thr, "thresholds") if by else thr, by)  # a row per group, its size known before the join is planned
     me = F.struct(*[c.alias(f"_t{i}") for i, c in enumerate(keycols)])
     sel = F.col("_key").isNotNull() & F.col("_edge").isNotNull() & (
         (F.col("_bk") < F.col("_edge")) | ((F.col("_bk") == F.col("_edge")) & (me <= F.col("_thr"))))
