@@ -182,6 +182,31 @@ def test_hard_negatives(spark, shape):
     assert len(want) > 200
 
 
+def test_trees_are_copied_per_group_of_anchors(spark, monkeypatch):
+    assert rtree.deal(176, 7182, 4096 * 64, 6, 128) == (22, 3)  # 528 copies of trees, not 176 for each of 57 blocks
+    lanes, groups = rtree.deal(880, 36_000, 4096 * 64, 6, 128)
+    assert (lanes, groups) == (110, 5) and rtree.deal(0, 0, 0, 6, 128) == (1, 1)
+    monkeypatch.setattr(rtree, "LANE_CELLS", 50 * 8 * 4)
+    monkeypatch.setattr(rtree, "GROUP", 3)
+    seen = []
+    real = rtree.meet
+
+    def meet(*a):
+        out = real(*a)
+        seen.append((a[2], a[3], out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(rtree, "meet", meet)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(0.1, 0.3, 8)], int(rng.integers(0, 3))) for i in range(600)]
+    rows += [(2000 + i, [0.25] * 8, i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = rtree.hard_negatives(df, tree_rows=50, leaf=4, fan=3, block=2).collect()
+    assert sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in got) == brute_negatives(rows)
+    assert len(seen) == 2 and all(lanes >= 4 and groups >= 3 for lanes, groups, _ in seen)
+    assert "Join" not in seen[0][2] and "Broadcast" not in seen[0][2]
+
+
 def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert rtree.hard_negatives(spark.createDataFrame([], schema)).count() == 0

@@ -7,11 +7,13 @@
    ``FAN`` children per node. Every node keeps its minimum bounding box (and label range).
 2. For a query a box gives an interval of inner products: each coordinate's product lies
    between its products with the box's two sides, and the sums are the bounds.
-3. Anchors are read in blocks of at most ``BLOCK`` and meet every tree; the pairs of block and
-   tree are the tasks' units. Per anchor a best-first queue takes the box with the greatest
-   upper bound (within the score window); boxes outside the window, of no wanted label, or
-   strictly below the k-th best so far are pruned. A tree gives its k best; Spark ranks
-   the trees' results together.
+3. Trees are dealt to lanes and anchors to groups; a lane and a group meet in one task, which
+   searches its anchors in blocks of at most ``BLOCK``. Per anchor the boxes outside the score
+   window, of no wanted label, or strictly below the k-th best so far are pruned from the root
+   down; the leaves that stay are read by descending upper bound (within the window), a few
+   more at each turn. The k best of a tree prune the lane's next one. A lane gives the k best
+   of its trees; Spark ranks the lanes' results together. So a tree is copied once per group
+   and an anchor once per lane, not a tree for every block of anchors.
 4. First the positives are found (same label, no window), then, with windows that their
    scores set, the negatives of all positives of an anchor in one pass over each tree.
 
@@ -28,7 +30,6 @@ An empty table, or one without anchors, gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 
 import numpy as np
@@ -49,6 +50,9 @@ TREE_ROWS = 1 << 12
 LEAF = 64
 FAN = 16
 BLOCK = 128
+#: Cells (rows x coordinates) of the trees of a lane, about, and anchors of a group: they bound a task's memory, not its result.
+LANE_CELLS = 1 << 21
+GROUP = 1 << 13
 #: Coordinates that are tiled after the label.
 TILES = 2
 LARGEST = 1 << 31
@@ -113,78 +117,73 @@ class Tree:
             nodes += up
         self.start, self.end = [n[0] for n in nodes], [n[1] for n in nodes]
         self.low, self.high = np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes])
-        self.least, self.most = [n[4] for n in nodes], [n[5] for n in nodes]
+        self.least, self.most = np.array([n[4] for n in nodes]), np.array([n[5] for n in nodes])
+        self.root = np.array([len(nodes) - 1])
+        self.children = {i: np.arange(n[0], n[1]) for i, n in enumerate(nodes) if i >= self.leaves}
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and the greatest inner product that each query (row) can have in each node's box."""
         plus, minus = np.maximum(q, 0), np.minimum(q, 0)
         return plus @ self.low.T + minus @ self.high.T, plus @ self.high.T + minus @ self.low.T
 
-    def positives(self, anchor: int, label: int, q: np.ndarray, upper: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the ``k`` best other rows of the anchor's label."""
-        best: list[tuple[int, int]] = []  # a heap with the worst first: (score, -id)
-        root = len(self.start) - 1
-        queue = [(-upper[root], root)]
-        while queue:
-            bound, node = heapq.heappop(queue)
-            if len(best) == k and -bound < best[0][0]:
-                break
-            if node >= self.leaves:
-                for c in range(self.start[node], self.end[node]):
-                    if self.least[c] <= label <= self.most[c]:
-                        heapq.heappush(queue, (-upper[c], c))
-                continue
-            rows = np.arange(self.start[node], self.end[node])
-            rows = rows[(self.label[rows] == label) & (self.ids[rows] != anchor)]
-            for s, i in zip((self.v[rows] @ q).tolist(), self.ids[rows].tolist()):
-                x = (int(s), -i)
-                if len(best) < k:
-                    heapq.heappush(best, x)
-                elif x > best[0]:
-                    heapq.heapreplace(best, x)
-        return [(s, -i) for s, i in best]
+    def positives(self, anchor: int, label: int, q: np.ndarray, upper: np.ndarray, k: int, best: list[tuple[int, int]] | None = None,
+                  products: Products | None = None, i: int = 0) -> list[tuple[int, int]]:
+        """(score, id) of the ``k`` best other rows of the anchor's label, of this tree and of ``best``."""
+        may = (self.least <= label) & (label <= self.most)
+        rows = (self.label == label) & (self.ids != anchor)
+        return self._search(products or Products(self, q[None]), i, upper, may, rows, -np.inf, np.inf, k, best or [])
 
     def negatives(self, label: int, q: np.ndarray, lower: np.ndarray, upper: np.ndarray, windows: list[tuple[int, int]],
-                  k: int) -> list[list[tuple[int, int]]]:
-        """Per window (least and greatest score) the (score, id) of its ``k`` best rows of other labels."""
-        best: list[list[tuple[int, int]]] = [[] for _ in windows]
-        open_ = [w for w, (lo, hi) in enumerate(windows) if lo <= hi]
-        root = len(self.start) - 1
-        scores: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def leaf(node: int) -> tuple[np.ndarray, np.ndarray]:
-            if node not in scores:  # read once for all windows: scores in descending order, equal ones by id
-                rows = np.arange(self.start[node], self.end[node])
-                rows = rows[self.label[rows] != label]
-                s = self.v[rows] @ q
-                o = np.lexsort((self.ids[rows], -s))
-                scores[node] = s[o], self.ids[rows][o]
-            return scores[node]
-
-        for w in open_:
-            lo, hi = windows[w]
-            found, queue = best[w], [(-min(upper[root], hi), root)]
-            while queue:
-                bound, node = heapq.heappop(queue)
-                if len(found) == k and -bound < found[0][0]:
-                    break
-                if node >= self.leaves:
-                    for c in range(self.start[node], self.end[node]):
-                        only = self.least[c] == self.most[c] == label
-                        if not only and lower[c] <= hi and upper[c] >= lo:
-                            heapq.heappush(queue, (-min(upper[c], hi), c))
-                    continue
-                s, ids = leaf(node)
-                i = int(np.searchsorted(-s, -hi))  # the first score within the window
-                for x in zip(s[i:i + k].tolist(), ids[i:i + k].tolist()):
-                    x = (int(x[0]), -x[1])
-                    if x[0] < lo or (len(found) == k and x <= found[0]):
-                        break
-                    if len(found) < k:
-                        heapq.heappush(found, x)
-                    else:
-                        heapq.heapreplace(found, x)
-        return [[(s, -i) for s, i in f] for f in best]
+                  k: int, best: list[list[tuple[int, int]]] | None = None, products: Products | None = None,
+                  i: int = 0) -> list[list[tuple[int, int]]]:
+        """Per window (least and greatest score) the (score, id) of its ``k`` best rows of other labels, of this tree and of ``best``."""
+        products = products or Products(self, q[None])
+        rows, mixed = self.label != label, (self.least != label) | (self.most != label)
+        out = list(best or [[] for _ in windows])
+        for w, (lo, hi) in enumerate(windows):
+            if lo <= hi:
+                may = mixed & (lower <= hi) & (upper >= lo)
+                out[w] = self._search(products, i, np.minimum(upper, hi), may, rows, lo, hi, k, out[w])
+        return out
+
+    def _search(self, products: Products, i: int, bound: np.ndarray, may: np.ndarray, rows: np.ndarray, lo: float, hi: float, k: int,
+                best: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """``best`` (score, id) in order, with the wanted ``rows`` of boxes that ``may`` hold one and whose ``bound`` is not below the k-th."""
+        before, s = best, products.s[i]  # unread rows are NaN there and stand no comparison
+        full = len(best) == k
+        worst = best[-1][0] if full else -np.inf
+        nodes = self.root
+        while (nodes := nodes[may[nodes] & (bound[nodes] >= worst)]).size and nodes[0] >= self.leaves:
+            nodes = np.concatenate([self.children[n] for n in nodes.tolist()])
+        size = 64 if full else 1
+        if len(nodes) > size:
+            nodes = nodes[np.argsort(-bound[nodes], kind="stable")]
+        while nodes.size and bound[nodes].max() >= worst:
+            products.read(nodes[:size])
+            nodes, size = nodes[size:], 8 * size
+            found = (rows & (s >= max(lo, worst)) & (s <= hi)).nonzero()[0]
+            if len(found) > k:  # the k-th score and all that equal it
+                found = found[s[found] >= np.partition(s[found], len(found) - k)[len(found) - k]]
+                found = found[np.lexsort((self.ids[found], -s[found]))[:k]]
+            if len(found):
+                best = sorted([*before, *zip(s[found].astype(np.int64).tolist(), self.ids[found].tolist())], key=lambda x: (-x[0], x[1]))[:k]
+                worst = best[-1][0] if len(best) == k else -np.inf
+        return best
+
+
+class Products:
+    """The inner products of a block's anchors with a tree's rows; a leaf's are worked out when the first anchor opens it."""
+
+    def __init__(self, tree: Tree, q: np.ndarray):
+        self.tree, self.q = tree, q
+        self.s, self.unread = np.full((len(q), len(tree.ids)), np.nan), np.ones(tree.leaves, bool)
+
+    def read(self, leaves: np.ndarray) -> None:
+        if (new := leaves[self.unread[leaves]]).size:
+            for n in new.tolist():
+                a, b = self.tree.start[n], self.tree.end[n]
+                self.s[:, a:b] = self.q @ self.tree.v[a:b].T
+            self.unread[new] = False
 
 
 def _plant(dims: int, order: list[int], tree_rows: int, leaf: int, fan: int):
@@ -225,36 +224,52 @@ def plant(rows: DataFrame, tree_rows: int = TREE_ROWS, leaf: int = LEAF, fan: in
     return trees, trees.count(), dims
 
 
-def _search(dims: int, find):
-    """Tasks: rows of a tree and a block of anchors; ``find`` gives the rows of one anchor from its tree and bounds."""
-    def run(batches):
-        last, tree = None, None
-        for b in batches:
-            for raw, block in zip(b["tree"], b["block"].to_pylist()):
-                if (raw := raw.as_buffer().to_pybytes()) != last:
-                    last, tree = raw, pickle.loads(raw)
-                    tree.v, tree.low, tree.high = (x.astype(float) for x in (tree.v, tree.low, tree.high))
-                q = _matrix([a["v"] for a in block], dims)
-                if dims and (np.abs(tree.v).max(initial=0) * np.abs(q).max(initial=0) * dims) >= 2**53:
+FOUND = ["anchor_id", "positive_id", "positive_score", "found_id", "found_score"]
+
+
+def _meet(dims: int, block: int, start, find, rows):
+    """Tasks: a lane's trees and a group's anchors. ``find`` adds a tree to the results that ``start`` made for an anchor, ``rows`` lists them."""
+    def run(trees: pa.Table, anchors: pa.Table) -> pa.Table:
+        grown = [pickle.loads(raw.as_buffer()) for raw in trees["tree"]]
+        for t in grown:
+            t.v, t.low, t.high = (x.astype(float) for x in (t.v, t.low, t.high))
+        out = [[] for _ in FOUND]
+        for at in range(0, anchors.num_rows, block):
+            some = anchors.slice(at, block).to_pylist()
+            q = _matrix([a["v"] for a in some], dims)
+            best = [start(a) for a in some]
+            for t in grown:
+                if dims and (np.abs(t.v).max(initial=0) * np.abs(q).max(initial=0) * dims) >= 2**53:
                     raise ValueError("inner products are too large for exact sums")
-                lower, upper = tree.bounds(q)
-                out = [row for i, a in enumerate(block) for row in find(tree, a, q[i], lower[i], upper[i])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], FOUND)
+                lower, upper = t.bounds(q)
+                products = Products(t, q)
+                for i, a in enumerate(some):
+                    best[i] = find(t, a, q[i], lower[i], upper[i], best[i], products, i)
+            for a, b in zip(some, best):
+                for row in rows(a, b):
+                    for column, x in zip(out, row):
+                        column.append(x)
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], FOUND)
     return run
 
 
-FOUND = ["anchor_id", "positive_id", "positive_score", "found_id", "found_score"]
+def deal(trees: int, anchors: int, cells: int, cores: int, block: int) -> tuple[int, int]:
+    """The numbers of lanes and of groups: as few copies as the bounds of a task allow, but work for all ``cores``."""
+    blocks, most = max(1, -(-anchors // block)), max(1, LANE_CELLS // max(1, cells))
+    lanes = max(1, -(-trees // most), min(trees, -(-8 * cores // blocks)))
+    return lanes, max(1, -(-anchors // GROUP), min(blocks, -(-8 * cores // lanes)))
 
 
-def meet(trees: DataFrame, lanes: int, anchors: DataFrame, find, dims: int, every: int, block: int = BLOCK) -> DataFrame:
-    """Every block of anchors with every tree (a join on the trees' lane), searched by ``find``."""
-    blocks = anchors.groupBy(F.floor(F.col("id") / (every * block)).alias("b")).agg(
-        F.sort_array(F.collect_list(F.struct("id", "label", "v", "want"))).alias("block"))
-    lane = lambda c: F.pmod(F.xxhash64(c), F.lit(lanes))
-    copies = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    pairs = trees.select(lane("least").alias("lane"), "tree").join(copies.withColumn("lane", F.col("lane").cast("long")), "lane")
-    pairs = pairs.repartition(F.xxhash64("lane", F.col("block")[0]["id"])).select("tree", "block")
-    return pairs.mapInArrow(_search(dims, find), ", ".join(f"{c} long" for c in FOUND))
+def meet(trees: DataFrame, anchors: DataFrame, lanes: int, groups: int, run) -> DataFrame:
+    """Every lane of trees with every group of anchors, searched by ``run``; both are dealt by hash and shuffled."""
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    unit = (F.col("lane") * groups + F.col("group")).alias("unit")
+    left = trees.select(part("least", lanes).alias("lane"), every(groups).alias("group"), "tree").select(unit, "tree")
+    right = anchors.select(part("id", groups).alias("group"), every(lanes).alias("lane"), "id", "label", "v", "want").select(
+        unit, "id", "label", "v", "want")
+    left, right = (x.repartition(lanes * groups, "unit").groupBy("unit") for x in (left, right))
+    return left.cogroup(right).applyInArrow(run, ", ".join(f"{c} long" for c in FOUND))
 
 
 def hard_negatives(rows: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding", every: int = EVERY,
@@ -263,28 +278,30 @@ def hard_negatives(rows: DataFrame, vec_id: str = "vec_id", label: str = "label"
     """(``anchor_id``, ``positive_id``, ``rank``, ``negative_id``, ``positive_score``, ``negative_score``) for anchors whose id ``every`` divides."""
     kept = cut_lineage(clean(rows, vec_id, label, vector), "vectors")
     trees, n, dims = plant(kept, tree_rows, leaf, fan)
-    lanes = max(1, n)
     nothing = F.array().cast("array<struct<id:bigint,score:bigint>>")
     anchors = kept.filter(F.col("id") % every == 0)
+    lanes, groups = deal(n, anchors.count(), tree_rows * dims, rows.sparkSession.sparkContext.defaultParallelism, block)
+
+    def first(tree, a, q, lower, upper, best, products, i):
+        return tree.positives(a["id"], a["label"], q, upper, positives, best, products, i)
 
-    def first(tree, a, q, lower, upper):
-        return [(a["id"], None, None, i, s) for s, i in tree.positives(a["id"], a["label"], q, upper, positives)]
+    def then(tree, a, q, lower, upper, best, products, i):
+        windows = [(-(-low * w["score"] // 100), high * w["score"] // 100) for w in a["want"]]
+        return tree.negatives(a["label"], q, lower, upper, windows, negatives, best, products, i)
 
-    def then(tree, a, q, lower, upper):
-        want = a["want"]
-        windows = [(-(-low * w["score"] // 100), high * w["score"] // 100) for w in want]
-        got = tree.negatives(a["label"], q, lower, upper, windows, negatives)
-        return [(a["id"], w["id"], w["score"], i, s) for w, f in zip(want, got) for s, i in f]
+    seek = _meet(dims, block, lambda a: [], first, lambda a, best: [(a["id"], None, None, i, s) for s, i in best])
+    refuse = _meet(dims, block, lambda a: [[] for _ in a["want"]], then,
+                   lambda a, best: [(a["id"], w["id"], w["score"], i, s) for w, f in zip(a["want"], best) for s, i in f])
 
     def best(found: DataFrame, keys: list[str], k: int) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(F.desc("found_score"), "found_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    pos = best(meet(trees, lanes, anchors.withColumn("want", nothing), first, dims, every, block), ["anchor_id"], positives)
+    pos = best(meet(trees, anchors.withColumn("want", nothing), lanes, groups, seek), ["anchor_id"], positives)
     want = cut_lineage(pos.groupBy("anchor_id").agg(F.sort_array(F.collect_list(
         F.struct(F.col("found_id").alias("id"), F.col("found_score").alias("score")))).alias("want")), "positives")
     with_want = anchors.join(want, anchors["id"] == want["anchor_id"]).select("id", "label", "v", "want")
-    neg = best(meet(trees, lanes, with_want, then, dims, every, block), ["anchor_id", "positive_id"], negatives)
+    neg = best(meet(trees, with_want, lanes, groups, refuse), ["anchor_id", "positive_id"], negatives)
     return neg.select("anchor_id", "positive_id", "rank", F.col("found_id").alias("negative_id"), "positive_score",
                       F.col("found_score").alias("negative_score"))
 
